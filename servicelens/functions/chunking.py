@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from servicelens import fields
 
@@ -49,7 +50,7 @@ def split_text(text: str, size: int = 500, overlap: int = 50,
 
 def chunk_array(c: Column, size: int = 500, overlap: int = 50,
                 separators: Sequence[str] = tuple(fields.CHUNK_SEPARATORS)) -> Column:
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def chunks(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: split_text(t, size, overlap, separators), na_action="ignore")
 

@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _WORD_BITS = 64
 _BLOCK = 1 << 20      # windows or characters held at a time, bounds task memory
@@ -139,7 +140,7 @@ def partial_scores(needle: str, texts: list[str | None]) -> np.ndarray:
 
 
 def _scorer(needle: str) -> Callable:
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(partial_scores(needle, texts.tolist()))
 

@@ -9,6 +9,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from servicelens import fields
 from servicelens.functions.values import any_of, blank_to_null
@@ -20,7 +21,7 @@ _NON_ASCII = r"[^\x00-\x7F]"
 WORD_RUN = r"([\p{L}\p{N}_]+)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 

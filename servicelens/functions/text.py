@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 import unicodedata
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,16 +14,17 @@ from pyspark.sql import types as T
 from servicelens import fields
 from servicelens.functions.values import any_of, blank_to_null
 
-# Unicode white space and the separator controls, as one run
-_SPACES = (r"[\s\x0B\x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}"
-           r"\x{3000}]+")
-_NON_ASCII = r"[^\x00-\x7F]"
-WORD_RUN = r"([\p{L}\p{N}_]+)"
+# ASCII white space and separator controls where they are more than one plain space
+_ASCII_RUN = r"[\t-\r\x1C-\x20]{2,}|[\t-\r\x1C-\x1F]"
+WORD_CHARACTER = r"[\p{L}\p{N}_]"
+WORD_RUN = f"({WORD_CHARACTER}+)"
 
 
 @F.pandas_udf(T.StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+def _normalized(texts: pd.Series) -> pd.Series:
+    # split() without arguments knows all Unicode white space
+    return texts.map(lambda t: " ".join(unicodedata.normalize("NFKC", t).split()),
+                     na_action="ignore")
 
 
 def normalize_text(c: Column) -> Column:
@@ -32,8 +33,9 @@ def normalize_text(c: Column) -> Column:
     Spark has no Unicode normalization of its own. ASCII text needs none, so only the other rows
     carry their text over to Python.
     """
-    composed = F.coalesce(_nfkc(F.when(c.rlike(_NON_ASCII), c)), c)
-    return F.trim(F.regexp_replace(composed, _SPACES, " "))
+    beyond_ascii = F.octet_length(c) != F.length(c)
+    plain = F.trim(F.regexp_replace(c, _ASCII_RUN, " "))
+    return F.when(beyond_ascii, _normalized(F.when(beyond_ascii, c))).otherwise(plain)
 
 
 def tokens(c: Column) -> Column:
@@ -100,6 +102,11 @@ def labelled(labels: Mapping[str, str], units: Mapping[str, str] | None = None,
     return F.concat_ws(" | ", *parts)
 
 
+def has_any(names: Iterable[str]) -> Column:
+    """True when any of the columns has a value, i.e. when the text made of them is not empty."""
+    return any_of(F.col(n).isNotNull() for n in names)
+
+
 def record_text() -> Column:
     """Full searchable text of a standard record."""
     units = {name: fields.HOUR_UNIT for name in fields.NUMERIC_RECORD_COLUMNS}

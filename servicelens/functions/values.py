@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from servicelens import fields
 
 _NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
-_YEAR_FIRST = r"^\s*(\d{4})[/.年](\d{1,2})[/.月](\d{1,2})日?"
-_EIGHT_DIGITS = r"^\s*(\d{4})(\d{2})(\d{2})(?!\d)"
+_DAY = r"^\s*(\d{4})(?:[/.年](\d{1,2})[/.月](\d{1,2})日?|(\d{2})(\d{2})(?!\d))"
 
 
 def blank_to_null(c: Column) -> Column:
@@ -43,9 +42,7 @@ def to_number(c: Column) -> Column:
 
 def to_timestamp(c: Column) -> Column:
     """Text to a zone-free timestamp; `2024-1-5`, `2024/1/5 9:30`, `2024年1月5日`, `20240105`."""
-    iso = F.regexp_replace(c, _YEAR_FIRST, "$1-$2-$3")
-    iso = F.regexp_replace(iso, _EIGHT_DIGITS, "$1-$2-$3")
-    return F.when(iso.rlike(r"^\s*\d{4}"), iso.try_cast("timestamp_ntz"))
+    return F.regexp_replace(c, _DAY, "$1-$2$4-$3$5").try_cast("timestamp_ntz")
 
 
 def duration_days(c: Column) -> Column:

@@ -51,10 +51,6 @@ def derive(df: DataFrame, exempt_words: Sequence[str] = fields.FLAG_EXEMPT_WORDS
     out: dict[str, Column] = {}
     if "elapsed" in df.columns:
         out["elapsed_days"] = values.duration_days(F.col("elapsed").cast("string"))
-    out["base_date"] = base_date(df)
-    out["year"] = F.year(out["base_date"])
-    out["month"] = F.month(out["base_date"])
-    out["week"] = F.weekofyear(out["base_date"])
     if "hour_meter" in df.columns:
         out["hour_bin"] = values.hour_bin(F.col("hour_meter"))
     out["malfunction"] = values.malfunction_flag(
@@ -62,7 +58,10 @@ def derive(df: DataFrame, exempt_words: Sequence[str] = fields.FLAG_EXEMPT_WORDS
     notes = present(fields.BULLETIN_COLUMNS)
     out["bulletin_no"] = (values.extract_code(notes) if notes
                           else F.lit(None).cast("string"))
-    return df.withColumns(out)
+    # the calendar columns read the finished base date, so it is worked out once per row
+    day = F.col("base_date")
+    return (df.withColumns(out).withColumn("base_date", base_date(df))
+            .withColumns({"year": F.year(day), "month": F.month(day), "week": F.weekofyear(day)}))
 
 
 def normalize_records(raw: DataFrame,

@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from servicelens.functions.text import WORD_RUN, tokens
+from servicelens.functions.text import WORD_CHARACTER, WORD_RUN, tokens
 from servicelens.functions.values import any_of
 from servicelens.operators.skew import join_counted_key
 
@@ -21,22 +21,43 @@ def _tokenized(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     return documents.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("tokens"))
 
 
+def _exploded(df: DataFrame, array: Column, *keep: str) -> DataFrame:
+    """One row per element. A plain explode makes Spark infer a filter on the array's size, which
+    would tokenize every text a second time; the outer form does not."""
+    return df.select(*keep, F.explode_outer(array).alias("term")).filter("term is not null")
+
+
 def document_frequency(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(term, df): the number of documents a term occurs in.
 
     Repeats are removed inside each row, so the only shuffle is that of the partial counts.
     """
-    return (_tokenized(documents, doc_id, text)
-            .select(F.explode(F.array_distinct("tokens")).alias("term"))
-            .groupBy("term").agg(F.count("*").alias("df")))
+    terms = _exploded(_tokenized(documents, doc_id, text), F.array_distinct("tokens"))
+    return terms.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def vocabulary(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(term, occurrences, documents), from one pass and one shuffle of partial counts.
+
+    Every token counts as an occurrence, and the distinct tokens of a row count as documents.
+    """
+    def marked(array: Column, occurrences: int, rows: int) -> Column:
+        return F.transform(array, lambda t: F.struct(
+            t.alias("term"), F.lit(occurrences).alias("occurrences"), F.lit(rows).alias("rows")))
+
+    found = _tokenized(documents, doc_id, text)
+    both = F.concat(marked(F.col("tokens"), 1, 0), marked(F.array_distinct("tokens"), 0, 1))
+    each = found.select(F.inline_outer(both)).filter("term is not null")
+    return each.groupBy("term").agg(F.sum("occurrences").alias("occurrences"),
+                                    F.sum("rows").alias("documents"))
 
 
 def term_counts(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, term, tf, length) with tf the term's share of the document's tokens."""
-    exploded = _tokenized(documents, doc_id, text).select(
-        "doc_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-    return (exploded.groupBy("doc_id", "term")
-            .agg(F.count("*").alias("n"), F.first("length").alias("length"))
+    """(doc_id, term, tf) with tf the term's share of the document's tokens."""
+    # the length is taken before the explode, or every exploded row would drag the array along
+    sized = _tokenized(documents, doc_id, text).withColumn("length", F.size("tokens"))
+    return (_exploded(sized, F.col("tokens"), "doc_id", "length")
+            .groupBy("doc_id", "length", "term").agg(F.count("*").alias("n"))
             .select("doc_id", "term", (F.col("n") / F.col("length")).alias("tf")))
 
 
@@ -92,13 +113,13 @@ def tfidf_search(documents: DataFrame, query: str, k: int = 10, doc_id: str = "d
     """Search documents directly: (doc_id, score), best first, ties in document order.
 
     All documents take part in the document frequencies; weights are built only for those that hold
-    a query term, since no other document can score. A plain containment test spares the rest the
-    tokenization.
+    a query term, since no other document can score.
     """
     wanted = query_weights(query)
 
     def holds(term: str) -> Column:
-        return F.contains(F.lower(text), F.lit(term)) & F.array_contains(tokens(F.col(text)), term)
+        # the term as a whole token; stops at the first occurrence, unlike tokenizing the text
+        return F.lower(text).rlike(f"(?<!{WORD_CHARACTER}){term}(?!{WORD_CHARACTER})")
 
     candidates = documents.filter(any_of(holds(t) for t in wanted))
     # corpus size, and the query's norm over the terms the corpus knows, from one pass

@@ -12,13 +12,13 @@ from servicelens.functions import values
 from servicelens.functions.chunking import chunk_documents
 from servicelens.functions.fuzzy import fuzzy_match
 from servicelens.functions.text import (
-    light_snippet, light_text, metadata_json, normalize_text, record_snippet, record_text, tokens,
+    has_any, light_snippet, light_text, metadata_json, normalize_text, record_snippet, record_text,
 )
 from servicelens.operators import facts, filters, fusion, metrics, quality, search, tfidf, vectors
 from servicelens.operators.clean import derive, normalize_records, text_columns
 from servicelens.plans.spec import run_spec
 from servicelens.plans.standin import (
-    DOCUMENT_RECORDS_SQL, ORDER, RECORDS_SQL, documents_as_records, lines, table,
+    DOCUMENT_RECORDS_SQL, ORDER, RECORDS_SQL, documents, documents_as_records, lines, table,
 )
 from servicelens.sources.exports import sentinels_to_null
 from servicelens.sources.tables import number_rows, standard_records
@@ -431,16 +431,7 @@ WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+
            FROM documents)
 SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM t GROUP BY term""")
 def text_tokens(spark, sf_dir):
-    # distinct documents without a second shuffle: repeats are counted within the row
-    found = tokens(F.col("text"))
-    per_row = table(spark, sf_dir, "documents").select(found.alias("t")).select(
-        F.explode(F.concat(F.transform("t", lambda x: F.struct(x.alias("term"), F.lit(1).alias("o"),
-                                                              F.lit(0).alias("d"))),
-                           F.transform(F.array_distinct("t"),
-                                       lambda x: F.struct(x.alias("term"), F.lit(0).alias("o"),
-                                                          F.lit(1).alias("d"))))).alias("e"))
-    return per_row.groupBy(F.col("e.term").alias("term")).agg(
-        F.sum("e.o").alias("occurrences"), F.sum("e.d").alias("documents"))
+    return tfidf.vocabulary(documents(spark, sf_dir), "doc_id", "text")
 
 
 _TFIDF_SQL = r"""
@@ -477,20 +468,20 @@ SEARCH_TEXT = "The oninre ungber, vielle zzzunknown"
 @query(f"""WITH {_TFIDF_SQL.format(table="documents", id="doc_id")}
 SELECT doc_id, term, round(tf, 6) AS tf, df, round(weight, 6) AS weight FROM w""")
 def tfidf_weights(spark, sf_dir):
-    return tfidf.tfidf_weights(table(spark, sf_dir, "documents")).select(
+    return tfidf.tfidf_weights(documents(spark, sf_dir)).select(
         "doc_id", "term", F.round("tf", 6).alias("tf"), "df", F.round("weight", 6).alias("weight"))
 
 
 @query(f"""WITH {tfidf_sql(SEARCH_TEXT, "documents", "doc_id")}
 SELECT doc_id, score FROM score WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20""")
 def tfidf_search(spark, sf_dir):
-    return tfidf.tfidf_search(table(spark, sf_dir, "documents"), SEARCH_TEXT, 20)
+    return tfidf.tfidf_search(documents(spark, sf_dir), SEARCH_TEXT, 20)
 
 
 @query(f"""WITH {tfidf_sql(SEARCH_TEXT, "documents", "doc_id")}
 SELECT doc_id, score FROM score WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10""")
 def tfidf_index_search(spark, sf_dir):
-    return tfidf.search_weights(tfidf.tfidf_weights(table(spark, sf_dir, "documents")),
+    return tfidf.search_weights(tfidf.tfidf_weights(documents(spark, sf_dir)),
                                 SEARCH_TEXT, 10)
 
 
@@ -500,7 +491,7 @@ WHERE contains(lower(text), 'ungber') OR contains(lower(text), 'vielle')
    OR contains(lower(lang), 'ungber') OR contains(lower(lang), 'vielle')
    OR contains(lower(source), 'ungber') OR contains(lower(source), 'vielle')""")
 def keyword_any(spark, sf_dir):
-    return filters.keyword_search(table(spark, sf_dir, "documents"), " Ungber  vielle "
+    return filters.keyword_search(documents(spark, sf_dir), " Ungber  vielle "
                                   ).select("doc_id", "lang", "source")
 
 
@@ -612,7 +603,7 @@ l AS (SELECT 'struct_' || doc_id AS document_id, 0.8::DOUBLE AS score, 1 AS side
       FROM documents WHERE {_FOLD.format("text")} LIKE '%ungber%' ORDER BY doc_id LIMIT 5)
 SELECT document_id, score FROM (FROM s UNION ALL FROM l) ORDER BY score DESC, side, id LIMIT 10""")
 def hybrid_light(spark, sf_dir):
-    semantic = tfidf.tfidf_search(table(spark, sf_dir, "documents"), SEARCH_TEXT, 5)
+    semantic = tfidf.tfidf_search(documents(spark, sf_dir), SEARCH_TEXT, 5)
     keyword = search.light_hits(documents_as_records(spark, sf_dir), "ungber", 5,
                                 columns=["work_content"], content=F.col("category"))
     return fusion.light_hybrid(semantic.withColumnRenamed("doc_id", "id"), keyword, 10)
@@ -780,7 +771,7 @@ SELECT doc_id, coalesce(nullif(regexp_extract(text, '\d{3}-\d{4}'), ''),
 WHERE regexp_matches(text, '\d{3}-\d{4}') OR source LIKE '%1%'""")
 def extract_code(spark, sf_dir):
     pattern = r"\d{3}-\d{4}"
-    docs = table(spark, sf_dir, "documents").filter(
+    docs = documents(spark, sf_dir).filter(
         F.col("text").rlike(pattern) | F.col("source").contains("1"))
     return docs.select("doc_id", F.coalesce(
         values.extract_code([F.col("text")], pattern),
@@ -805,8 +796,8 @@ def _text_sql(labels: dict[str, str], blank_is_null: bool = False) -> str:
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_text_sql(fields.RECORD_LABELS)} AS content
 FROM clean"""))
 def document_text(spark, sf_dir):
-    df = clean(spark, sf_dir, *KEY, *_RECORD_INPUTS)
-    return df.select(*KEY, record_text().alias("content")).filter("content <> ''")
+    df = derive(lines(spark, sf_dir, *KEY, *_RECORD_INPUTS, spread=True))
+    return df.filter(has_any(fields.RECORD_LABELS)).select(*KEY, record_text().alias("content"))
 
 
 @query(on_records(f"""
@@ -837,7 +828,7 @@ def normalize_documents(spark, sf_dir):
     # the given texts hold no compatibility characters, so full-width copies must come back as they
     ascii_text = "".join(map(chr, range(0x21, 0x7F)))
     wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", normalize_text(F.translate("text", ascii_text + " ", wide + "　")).alias("text"))
 
 
@@ -849,13 +840,13 @@ def fuzzy_parts(spark, sf_dir):
 
 @query()
 def fuzzy_documents(spark, sf_dir):
-    df = table(spark, sf_dir, "documents")
+    df = documents(spark, sf_dir)
     return df.filter(fuzzy_match(F.col("text"), "onnatonshed vielle unkber")).select("doc_id")
 
 
 @query()
 def chunk_texts(spark, sf_dir):
-    return chunk_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return chunk_documents(documents(spark, sf_dir).select("doc_id", "text"), "text")
 
 
 # --- whole ingest steps -----------------------------------------------------------------------
@@ -869,7 +860,7 @@ FROM clean"""))
 def clean_records(spark, sf_dir):
     rows = lines(spark, sf_dir, *ORDER, "case_no", "machine_model", "category",
                  "malfunction_content", *DATES, "hour_meter", "work_hours", "parts_qty",
-                 "work_content", "work_note")
+                 "work_content", "work_note", spread=True)
     cell = lambda name: F.col(name).cast("string")      # noqa: E731
     marker = F.lit("« NULL »")
     raw = rows.select(

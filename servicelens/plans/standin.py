@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from servicelens.sources.tables import read_spread
+
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 _LINE, _ORDERS, _PART, _CUSTOMER, _NATION = "lineitem", "orders", "part", "customer", "nation"
@@ -20,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_spread(spark, f"{sf_dir}/documents.parquet", "doc_id")
+
+
 def _columns() -> dict[str, tuple[tuple[str, ...], Column]]:
     """Record column -> (tables it needs, expression)."""
     c, text = F.col, lambda name: F.col(name).cast("string")
@@ -59,11 +65,12 @@ def _columns() -> dict[str, tuple[tuple[str, ...], Column]]:
     }
 
 
-def lines(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
-    """Repair records with the named columns."""
+def lines(spark: SparkSession, sf_dir: str, *names: str, spread: bool = False) -> DataFrame:
+    """Repair records with the named columns; `spread` is for work that is heavy per row."""
     columns = _columns()
     needed = {t for n in names for t in columns[n][0]}
-    df = table(spark, sf_dir, _LINE)
+    df = (read_spread(spark, f"{sf_dir}/{_LINE}.parquet", "l_orderkey") if spread
+          else table(spark, sf_dir, _LINE))
 
     def join(name: str, left: str, right: str) -> None:
         nonlocal df
@@ -83,7 +90,7 @@ def lines(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
 
 def documents_as_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as records with long work texts."""
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("id"), F.col("lang").alias("machine_model"),
         F.col("source").alias("category"), F.col("text").alias("work_content"))
 

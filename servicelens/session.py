@@ -7,6 +7,17 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+# Settings the jobs profit from. The JVM does not compile methods over 8000 bytes; the wide
+# projections of record cleaning generate larger ones, which then run interpreted. With the limit
+# Spark falls back to smaller generated methods instead.
+SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for reliable checkpoints: the one the cluster names, if it names one.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from servicelens import fields
@@ -56,6 +56,17 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str = "id",
             .select(*df.columns, (F.col("_before") + position + 1).alias(name)))
 
 
+def read_spread(spark: SparkSession, path: str, *key: str) -> DataFrame:
+    """Read a stored table; hash-partition it by the key if its splits are fewer than the cores.
+
+    A file can hold all its rows in one row group, which no reader can split. Without the exchange
+    text work on such a file runs in one task. Tables with enough splits are read in place.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *key)
+
+
 def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Replace the stored table with this load."""
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from servicelens import fields
-from servicelens.functions.values import any_of, blank_to_null
+from servicelens.functions.values import any_of, blank_to_null, named
 
 # ASCII white space and separator controls where they are more than one plain space
 _ASCII_RUN = r"[\t-\r\x1C-\x20]{2,}|[\t-\r\x1C-\x1F]"
@@ -85,7 +85,7 @@ def relevance(weighted: Mapping[str, float], words: Sequence[str]) -> Column:
     score = F.lit(0.0)
     for name, weight in weighted.items():
         for w in words:
-            hit = F.coalesce(contains_text(F.col(name), w), F.lit(False))
+            hit = F.coalesce(contains_text(named(name), w), F.lit(False))
             score = score + F.when(hit, weight).otherwise(0.0)
     return score
 

@@ -17,6 +17,11 @@ _NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
 _DAY = r"^\s*(\d{4})(?:[/.年](\d{1,2})[/.月](\d{1,2})日?|(\d{2})(\d{2})(?!\d))"
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name; headings may hold dots and other marks."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 

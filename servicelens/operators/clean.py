@@ -20,7 +20,7 @@ def text_columns(df: DataFrame) -> list[str]:
 def normalize_texts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Normalize every text column of the table (or the ones named) in one projection."""
     chosen = text_columns(df) if columns is None else columns
-    return df.withColumns({c: normalize_text(F.col(c)) for c in chosen})
+    return df.withColumns({c: normalize_text(values.named(c)) for c in chosen})
 
 
 def _typed(df: DataFrame) -> dict[str, Column]:

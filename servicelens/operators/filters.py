@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from servicelens import fields
 from servicelens.functions.text import any_keyword, keywords, matches
-from servicelens.functions.values import any_of, words_pattern
+from servicelens.functions.values import any_of, named, words_pattern
 from servicelens.operators.clean import text_columns
 
 
@@ -81,7 +81,7 @@ def table_search(df: DataFrame, pattern: str) -> DataFrame:
     """Rows where the pattern (case-insensitive) is found in any text column; blank keeps all."""
     if not pattern:
         return df
-    return df.filter(any_of(matches(F.col(c), pattern) for c in text_columns(df)))
+    return df.filter(any_of(matches(named(c), pattern) for c in text_columns(df)))
 
 
 def keyword_search(df: DataFrame, query: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -90,4 +90,4 @@ def keyword_search(df: DataFrame, query: str, columns: Sequence[str] | None = No
     if not words:
         return df
     chosen = text_columns(df) if columns is None else [c for c in columns if c in df.columns]
-    return df.filter(any_keyword([F.col(c) for c in chosen], words))
+    return df.filter(any_keyword([named(c) for c in chosen], words))

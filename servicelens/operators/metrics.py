@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from servicelens import fields
-from servicelens.functions.values import percent
+from servicelens.functions.values import named, percent
 
 _BUCKETS = 4096
 
@@ -140,5 +140,5 @@ def row_counts(df: DataFrame, condition: Column) -> DataFrame:
 
 def long_form(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(field, value) rows for the columns, values as text."""
-    texts = df.select(*(F.col(c).cast("string").alias(c) for c in columns))
-    return texts.unpivot([], list(columns), "field", "value")
+    texts = df.select(*(named(c).cast("string").alias(c) for c in columns))
+    return texts.unpivot([], [named(c) for c in columns], "field", "value")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from servicelens import fields
+from servicelens.functions.values import named
 from servicelens.operators.metrics import long_form
 
 
@@ -16,8 +17,8 @@ def missing_rates(df: DataFrame, n: int = 20) -> DataFrame:
 
     One aggregate over all columns; only its single row is turned into long form.
     """
-    one_row = df.agg(*(F.avg(F.col(f"`{c}`").isNull().cast("int")).alias(c) for c in df.columns))
-    rates = one_row.unpivot([], list(df.columns), "column_name", "_share")
+    one_row = df.agg(*(F.avg(named(c).isNull().cast("int")).alias(c) for c in df.columns))
+    rates = one_row.unpivot([], [named(c) for c in df.columns], "column_name", "_share")
     return (rates.select("column_name", (F.col("_share") * 100).alias("missing_pct"))
             .filter("missing_pct > 0")
             .orderBy(F.col("missing_pct").desc(), "column_name").limit(n))

@@ -12,7 +12,7 @@ from servicelens import fields
 from servicelens.functions.text import (
     any_keyword, ilike_any, keywords, like_any, light_snippet, record_snippet, relevance,
 )
-from servicelens.functions.values import any_of
+from servicelens.functions.values import any_of, named
 from servicelens.operators.clean import text_columns
 
 KEYWORD_SCORE = 1.0
@@ -78,7 +78,7 @@ def relevance_search(df: DataFrame, query: str, tie_break: Sequence[str],
         return df
     chosen = {c: w for c, w in (weights or fields.RELEVANCE_WEIGHTS).items() if c in df.columns}
     chosen = chosen or {c: 0.5 for c in text_columns(df)}
-    columns = [F.col(c) for c in chosen]
+    columns = [named(c) for c in chosen]
     found = df.filter(any_keyword(columns, words) if columns else any_of([]))
     return (found.withColumn("relevance", relevance(chosen, words))
             .orderBy(F.col("relevance").desc(), *tie_break))

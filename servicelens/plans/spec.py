@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from servicelens import fields
 from servicelens.functions.fuzzy import fuzzy_match
 from servicelens.functions.text import any_keyword, contains_text, matches
-from servicelens.functions.values import any_of, to_number
+from servicelens.functions.values import any_of, named, to_number
 from servicelens.operators.filters import in_range
 
 Spec = Mapping[str, Any]
@@ -63,7 +63,7 @@ def _member(df: DataFrame, column: str, values: list[Any]) -> Column:
     """True where the cell equals one of the values; false, never null, elsewhere."""
     literals = [_literal(df.schema[column].dataType, v) for v in values if v is not None]
     known = [v for v in literals if v is not None]
-    return F.coalesce(F.col(column).isin(known), F.lit(False)) if known else F.lit(False)
+    return F.coalesce(named(column).isin(known), F.lit(False)) if known else F.lit(False)
 
 
 def _as_list(value: Any) -> list[Any]:
@@ -71,7 +71,7 @@ def _as_list(value: Any) -> list[Any]:
 
 
 def _text(column: str) -> Column:
-    return F.col(column).cast("string")
+    return named(column).cast("string")
 
 
 _OPERATORS: dict[str, Callable[[DataFrame, str, Any], Column]] = {
@@ -108,7 +108,7 @@ def _number_or_zero(df: DataFrame, name: str) -> Column:
     if column is None:
         return F.lit(0.0)
     kind = df.schema[column].dataType
-    number = (F.col(column).cast("double") if isinstance(kind, (T.NumericType, T.BooleanType))
+    number = (named(column).cast("double") if isinstance(kind, (T.NumericType, T.BooleanType))
               else to_number(_text(column)))
     return F.coalesce(F.nanvl(number, F.lit(0.0)), F.lit(0.0))
 
@@ -129,7 +129,7 @@ def _sorted(result: DataFrame, spec: Spec, keys: list[str], metrics: list[str])
     by = order.get("by", fields.COUNT_NAME)
     if by not in result.columns:
         by = metrics[0]
-    column = F.col(f"`{by}`")
+    column = named(by)
     leading = [column]
     if isinstance(result.schema[by].dataType, T.StringType):
         # a text key sorts by number when every value of it is one
@@ -137,7 +137,7 @@ def _sorted(result: DataFrame, spec: Spec, keys: list[str], metrics: list[str])
         leading = [F.when(numeric, to_number(column)), F.when(~numeric, column)]
     ascending = bool(order.get("asc", False))
     first = [c.asc_nulls_last() if ascending else c.desc_nulls_last() for c in leading]
-    return result.orderBy(*first, *(F.col(f"`{k}`").asc_nulls_last() for k in keys))
+    return result.orderBy(*first, *(named(k).asc_nulls_last() for k in keys))
 
 
 def run_spec(cases: DataFrame, parts: DataFrame, spec: Spec) -> DataFrame:
@@ -153,7 +153,7 @@ def run_spec(cases: DataFrame, parts: DataFrame, spec: Spec) -> DataFrame:
     if len(set(names)) < len(names):
         raise ValueError(f"result names are not unique: {names}")
 
-    grouped = df.groupBy(*(F.col(f"`{column}`").alias(shown) for shown, column in keys.items()))
+    grouped = df.groupBy(*(named(column).alias(shown) for shown, column in keys.items()))
     result = grouped.agg(*(expr.alias(name) for name, expr in metrics))
     result = _sorted(result, spec, list(keys), [name for name, _ in metrics])
     topn = spec.get("topn")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from servicelens import fields
+from servicelens.functions.values import named
 
 log = logging.getLogger(__name__)
 
@@ -125,7 +126,7 @@ def sentinels_to_null(df: DataFrame, markers: Sequence[str] = tuple(fields.NULL_
                       ) -> DataFrame:
     """Text cells that are exactly one of the markers become null."""
     texts = [n for n, t in df.dtypes if t == "string"]
-    return df.replace(list(markers), None, subset=texts) if texts else df
+    return df.withColumns({n: F.when(~named(n).isin(list(markers)), named(n)) for n in texts})
 
 
 def read_exports(spark: SparkSession, paths: Sequence[str], sheets: Sequence[str] | None = None,

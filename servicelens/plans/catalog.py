@@ -841,7 +841,7 @@ def fuzzy_parts(spark, sf_dir):
 @query()
 def fuzzy_documents(spark, sf_dir):
     df = documents(spark, sf_dir)
-    return df.filter(fuzzy_match(F.col("text"), "onnatonshed vielle unkber")).select("doc_id")
+    return df.filter(fuzzy_match(F.col("text"), "heoron eratch therin bles")).select("doc_id")
 
 
 @query()

@@ -12,7 +12,7 @@ from servicelens import fields
 from servicelens.functions.text import (
     any_keyword, ilike_any, keywords, like_any, light_snippet, record_snippet, relevance,
 )
-from servicelens.functions.values import any_of, named
+from servicelens.functions.values import named
 from servicelens.operators.clean import text_columns
 
 KEYWORD_SCORE = 1.0
@@ -66,9 +66,9 @@ def light_hits(records: DataFrame, query: str, n: int = 10, row_id: str = "id",
         (light_snippet() if content is None else content).alias("content"))
 
 
-def relevance_search(df: DataFrame, query: str, tie_break: Sequence[str],
-                     weights: Mapping[str, float] | None = None) -> DataFrame:
-    """Rows with any keyword, with their relevance, best first.
+def relevance_hits(df: DataFrame, query: str, weights: Mapping[str, float] | None = None
+                   ) -> DataFrame:
+    """Rows with any keyword, with their relevance, in no order.
 
     Known columns weigh 1 or 0.5; a table without any of them is searched in all its text columns
     at 0.5. A blank query returns all rows, unranked.
@@ -78,10 +78,17 @@ def relevance_search(df: DataFrame, query: str, tie_break: Sequence[str],
         return df
     chosen = {c: w for c, w in (weights or fields.RELEVANCE_WEIGHTS).items() if c in df.columns}
     chosen = chosen or {c: 0.5 for c in text_columns(df)}
-    columns = [named(c) for c in chosen]
-    found = df.filter(any_keyword(columns, words) if columns else any_of([]))
-    return (found.withColumn("relevance", relevance(chosen, words))
-            .orderBy(F.col("relevance").desc(), *tie_break))
+    found = df.filter(any_keyword([named(c) for c in chosen], words))
+    return found.withColumn("relevance", relevance(chosen, words))
+
+
+def relevance_search(df: DataFrame, query: str, tie_break: Sequence[str],
+                     weights: Mapping[str, float] | None = None) -> DataFrame:
+    """:func:`relevance_hits`, best first."""
+    found = relevance_hits(df, query, weights)
+    if "relevance" not in found.columns:
+        return found
+    return found.orderBy(F.col("relevance").desc(), *tie_break)
 
 
 def combined_facts(cases: DataFrame, parts: DataFrame) -> DataFrame:
@@ -128,5 +135,6 @@ def summary_text(summary: DataFrame, query: str) -> DataFrame:
 def fallback_search(cases: DataFrame, parts: DataFrame, query: str, tie_break: Sequence[str],
                     n: int = 50) -> tuple[DataFrame, DataFrame]:
     """(summary of all hits, the n most relevant hits) over cases and parts together."""
-    found = relevance_search(combined_facts(cases, parts), query, tie_break)
-    return result_summary(found), found.limit(n)
+    both = combined_facts(cases, parts)
+    shown = relevance_search(both, query, tie_break).limit(n)
+    return result_summary(relevance_hits(both, query)), shown

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from servicelens.functions.text import WORD_CHARACTER, WORD_RUN, tokens
 from servicelens.functions.values import any_of
 from servicelens.operators.skew import join_counted_key
+from servicelens.session import ensure_checkpoint_dir
 
 
 def _tokenized(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -75,6 +76,13 @@ def tfidf_weights(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
                      ).select("doc_id", "term", "tf", "df", "weight")
 
 
+def built_index(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """:func:`tfidf_weights` computed once and read back from the reliable checkpoint folder, for
+    a session that searches the same documents several times."""
+    ensure_checkpoint_dir(documents.sparkSession)
+    return tfidf_weights(documents, doc_id, text).checkpoint()
+
+
 def query_weights(query: str) -> dict[str, float]:
     """Share of each term among all the query's tokens, known to the corpus or not."""
     found = regex.findall(WORD_RUN, query.lower())

@@ -481,8 +481,7 @@ def tfidf_search(spark, sf_dir):
 @query(f"""WITH {tfidf_sql(SEARCH_TEXT, "documents", "doc_id")}
 SELECT doc_id, score FROM score WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10""")
 def tfidf_index_search(spark, sf_dir):
-    return tfidf.search_weights(tfidf.tfidf_weights(documents(spark, sf_dir)),
-                                SEARCH_TEXT, 10)
+    return tfidf.search_weights(tfidf.built_index(documents(spark, sf_dir)), SEARCH_TEXT, 10)
 
 
 @query("""

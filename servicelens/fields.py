@@ -100,6 +100,20 @@ LIGHT_SNIPPET_LABELS = {
     "machine_model": "機種", "work_content": "作業内容", "malfunction_content": "不具合",
     "parts_name": "部品",
 }
+CONTEXT_HEADER = ("【関連情報 - スコア: ", "】\n")
+CONTEXT_LABEL = "関連情報: "
+SUMMARY_FOUND = ("「{query}」に関連するデータが", "件見つかりました。")
+SUMMARY_NOTHING = "「{query}」に関連するデータが見つかりませんでした。"
+SUMMARY_LABELS = {"machine_model": "主な機種: ", "work_content": "主な作業内容: "}
+
+# --- fixed values: search scores, weights and sizes -----------------------------------------
+KEYWORD_SCORE = 1.0
+LIGHT_KEYWORD_SCORE = 0.8
+SEMANTIC_WEIGHT = 0.7
+CONTEXT_CHARACTERS = 4000
+FUZZY_ABOVE = 70
+CHUNK_SIZE = 500
+CHUNK_OVERLAP = 50
 CHUNK_SEPARATORS = [" | ", "。", "、", " "]
 
 

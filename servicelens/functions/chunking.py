@@ -30,7 +30,7 @@ def _pieces(text: str, size: int, separators: Sequence[str]) -> list[str]:
     return [text[i:i + size] for i in range(0, len(text), size)]
 
 
-def split_text(text: str, size: int = 500, overlap: int = 50,
+def split_text(text: str, size: int = fields.CHUNK_SIZE, overlap: int = fields.CHUNK_OVERLAP,
                separators: Sequence[str] = tuple(fields.CHUNK_SEPARATORS)) -> list[str]:
     """Greedy chunks of at most `size` characters; each starts with the whole pieces that ended
     the one before, as far as they fit in `overlap` characters and leave room for what follows."""
@@ -48,7 +48,7 @@ def split_text(text: str, size: int = 500, overlap: int = 50,
     return [c for c in chunks if c]
 
 
-def chunk_array(c: Column, size: int = 500, overlap: int = 50,
+def chunk_array(c: Column, size: int = fields.CHUNK_SIZE, overlap: int = fields.CHUNK_OVERLAP,
                 separators: Sequence[str] = tuple(fields.CHUNK_SEPARATORS)) -> Column:
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def chunks(texts: pd.Series) -> pd.Series:
@@ -59,7 +59,8 @@ def chunk_array(c: Column, size: int = 500, overlap: int = 50,
     return F.when(F.length(c) <= size, short).otherwise(chunks(F.when(F.length(c) > size, c)))
 
 
-def chunk_documents(documents: DataFrame, text: str, size: int = 500, overlap: int = 50,
+def chunk_documents(documents: DataFrame, text: str, size: int = fields.CHUNK_SIZE,
+                    overlap: int = fields.CHUNK_OVERLAP,
                     separators: Sequence[str] = tuple(fields.CHUNK_SEPARATORS)) -> DataFrame:
     """One row per chunk: the other columns copied, plus `chunk_index` and `content`."""
     keep = [c for c in documents.columns if c != text]

@@ -17,6 +17,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from servicelens import fields
+
 _WORD_BITS = 64
 _BLOCK = 1 << 15      # windows scored at a time: their state stays in the processor cache
 _BATCH = 1 << 20      # characters held at a time: bounds task memory
@@ -171,4 +173,4 @@ def fuzzy_match(c: Column, needle: str) -> Column:
     Cells the cheap test rejects cross to Python as null, which scores 0.
     """
     candidate = F.when(can_reach(c, needle), c)
-    return F.coalesce(_scorer(needle)(candidate) > 70, F.lit(False))
+    return F.coalesce(_scorer(needle)(candidate) > fields.FUZZY_ABOVE, F.lit(False))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from servicelens import fields
+
 
 def top_k(hits: DataFrame, k: int, *tie_break: str) -> DataFrame:
     return hits.orderBy(F.col("score").desc(), *tie_break).limit(k)
@@ -14,8 +16,8 @@ def _score(c: Column) -> Column:
     return F.round(c, 6).alias("score")
 
 
-def fuse_union(keyword: DataFrame, semantic: DataFrame, k: int, semantic_weight: float = 0.7
-               ) -> DataFrame:
+def fuse_union(keyword: DataFrame, semantic: DataFrame, k: int,
+               semantic_weight: float = fields.SEMANTIC_WEIGHT) -> DataFrame:
     """Weighted union under separate id spaces: the same record may appear once per side."""
     sides = [("db_", keyword, 1 - semantic_weight), ("vec_", semantic, semantic_weight)]
     parts = [hits.select(F.concat(F.lit(prefix), F.col("id").cast("string")).alias("document_id"),
@@ -23,8 +25,8 @@ def fuse_union(keyword: DataFrame, semantic: DataFrame, k: int, semantic_weight:
     return top_k(parts[0].unionByName(parts[1]), k, "document_id")
 
 
-def fuse_by_record(keyword: DataFrame, semantic: DataFrame, k: int, semantic_weight: float = 0.7
-                   ) -> DataFrame:
+def fuse_by_record(keyword: DataFrame, semantic: DataFrame, k: int,
+                   semantic_weight: float = fields.SEMANTIC_WEIGHT) -> DataFrame:
     """Scores of the same record are added: full outer join of the two top lists on the id."""
     def weighted(hits: DataFrame, weight: float, name: str) -> DataFrame:
         return hits.select("id", (F.col("score") * weight).alias(name))
@@ -56,14 +58,14 @@ def with_records(hits: DataFrame, records: DataFrame, hit_id: str, record_id: st
     return records.join(F.broadcast(hits), records[record_id] == hits[hit_id])
 
 
-def pack_context(hits: DataFrame, tie_break: str = "id", max_chars: int = 4000) -> DataFrame:
+def pack_context(hits: DataFrame, tie_break: str = "id", max_chars: int = fields.CONTEXT_CHARACTERS) -> DataFrame:
     """The hits whose texts fit the budget, in score order, stopping at the first overflow.
 
     `hits` is a top list, so the global running sum works on k rows. Each text carries a header line
     with the score; all lengths are positive, so a running sum within the budget is the early stop.
     """
-    header = F.concat(F.lit("【関連情報 - スコア: "),
-                      F.format_string("%.2f", F.bround("score", 2)), F.lit("】\n"))
+    before, after = fields.CONTEXT_HEADER
+    header = F.concat(F.lit(before), F.format_string("%.2f", F.bround("score", 2)), F.lit(after))
     text = F.concat(header, F.col("content"), F.lit("\n"))
     order = Window.orderBy(F.col("score").desc(), tie_break)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
@@ -76,7 +78,7 @@ def pack_context(hits: DataFrame, tie_break: str = "id", max_chars: int = 4000)
 def first_hits(hits: DataFrame, n: int = 5) -> DataFrame:
     """The light form of context packing: the first n hits, each under a fixed label."""
     return top_k(hits, n, "id").withColumn(
-        "context_text", F.concat(F.lit("関連情報: "), F.col("content")))
+        "context_text", F.concat(F.lit(fields.CONTEXT_LABEL), F.col("content")))
 
 
 def context(packed: DataFrame) -> DataFrame:

@@ -15,9 +15,6 @@ from servicelens.functions.text import (
 from servicelens.functions.values import named
 from servicelens.operators.clean import text_columns
 
-KEYWORD_SCORE = 1.0
-LIGHT_KEYWORD_SCORE = 0.8
-
 
 def ilike_search(records: DataFrame, query: str = "", filters: Mapping[str, Any] | None = None,
                  columns: Sequence[str] = fields.RECORD_SEARCH_COLUMNS) -> DataFrame:
@@ -46,7 +43,7 @@ def record_hits(records: DataFrame, query: str, filters: Mapping[str, Any] | Non
                 content: Column | None = None) -> DataFrame:
     """Newest matching records as scored hits: (id, score, content)."""
     found = newest(ilike_search(records, query, filters, columns), n, row_id)
-    return found.select(F.col(row_id).alias("id"), F.lit(KEYWORD_SCORE).alias("score"),
+    return found.select(F.col(row_id).alias("id"), F.lit(fields.KEYWORD_SCORE).alias("score"),
                         (record_snippet() if content is None else content).alias("content"))
 
 
@@ -62,7 +59,7 @@ def light_hits(records: DataFrame, query: str, n: int = 10, row_id: str = "id",
                content: Column | None = None) -> DataFrame:
     """:func:`like_search` as scored hits: (id, score, content)."""
     return like_search(records, query, n, row_id, columns).select(
-        F.col(row_id).alias("id"), F.lit(LIGHT_KEYWORD_SCORE).alias("score"),
+        F.col(row_id).alias("id"), F.lit(fields.LIGHT_KEYWORD_SCORE).alias("score"),
         (light_snippet() if content is None else content).alias("content"))
 
 
@@ -102,7 +99,7 @@ def result_summary(found: DataFrame, n: int = 3) -> DataFrame:
     All sections are counted in one pass; the rank limit works per partition before the rows of a
     section come together.
     """
-    sections = [c for c in ("machine_model", "work_content") if c in found.columns]
+    sections = [c for c in fields.SUMMARY_LABELS if c in found.columns]
     cells = [F.struct(F.lit("all").alias("section"), F.lit(None).cast("string").alias("value"))]
     cells += [F.struct(F.lit(c).alias("section"), F.col(c).cast("string").alias("value"))
               for c in sections]
@@ -117,19 +114,17 @@ def summary_text(summary: DataFrame, query: str) -> DataFrame:
     """The summary as one line of text per section, in one row."""
     item = F.concat("value", F.lit("("), F.col("cases").cast("string"), F.lit("件)"))
 
-    def line(section: str, label: str) -> Column:
+    def line(section: str) -> Column:
         items = F.array_sort(F.collect_list(
             F.when(F.col("section") == section, F.struct("rank", item.alias("item")))))
         joined = F.array_join(F.transform(items, lambda x: x["item"]), "、")
-        return F.when(F.size(items) > 0, F.concat(F.lit(label), joined))
+        return F.when(F.size(items) > 0, F.concat(F.lit(fields.SUMMARY_LABELS[section]), joined))
 
     count = F.coalesce(F.max(F.when(F.col("section") == "all", F.col("cases"))), F.lit(0))
-    head = F.when(count == 0, F.lit(f"「{query}」に関連するデータが見つかりませんでした。")).otherwise(
-        F.concat(F.lit(f"「{query}」に関連するデータが"), count.cast("string"),
-                 F.lit("件見つかりました。")))
-    return summary.agg(F.concat_ws(
-        "\n", head, line("machine_model", "主な機種: "), line("work_content", "主な作業内容: ")
-    ).alias("text"))
+    before, after = (part.format(query=query) for part in fields.SUMMARY_FOUND)
+    head = F.when(count == 0, F.lit(fields.SUMMARY_NOTHING.format(query=query))).otherwise(
+        F.concat(F.lit(before), count.cast("string"), F.lit(after)))
+    return summary.agg(F.concat_ws("\n", head, *map(line, fields.SUMMARY_LABELS)).alias("text"))
 
 
 def fallback_search(cases: DataFrame, parts: DataFrame, query: str, tie_break: Sequence[str],

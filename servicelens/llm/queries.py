@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from servicelens.llm import packing, secrets, simhash
+from servicelens.llm import decontamination, licenses, packing, secret_scan, simhash
 
 TOKENIZER = "word_bpe_49k.json"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,13 +48,40 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    base = F.filter("spans", lambda s: s.kind.isin(*secrets.BASE_KINDS))
+    found = secret_scan.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s.kind.isin(*secret_scan.BASE_KINDS))
 
     def count(kind: str) -> Column:
         return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
 
     return (found.withColumn("base", base)
-            .select("doc_id", *(count(k) for k in secrets.BASE_KINDS),
-                    _hex_digest(secrets.span_digest("base")).alias("base_sha256"),
-                    secrets.span_digest().alias("spans")))
+            .select("doc_id", *(count(k) for k in secret_scan.BASE_KINDS),
+                    _hex_digest(secret_scan.span_digest("base")).alias("base_sha256"),
+                    secret_scan.span_digest().alias("spans")))
+
+
+@_register
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    labels = F.transform("phrases", lambda p: p.label)
+    places = F.transform("phrases", lambda p: p.word)
+    named = F.transform("spans", lambda s: s.label)
+    best = F.coalesce(F.array_max(F.transform("spans", lambda s: s.score)), F.lit(0.0))
+
+    def joined(values: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(values)), ",")
+
+    return found.select(
+        "doc_id", "n_words", F.size("phrases").cast("long").alias("n_base"),
+        F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"),
+        joined(labels).alias("base_labels"), joined(F.concat(labels, named)).alias("labels"),
+        F.when(F.size("phrases") > 0, F.lit(1.0)).otherwise(best).alias("score"))
+
+
+@_register
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_leaks(_table(spark, sf_dir, "documents"),
+                                       _table(spark, sf_dir, "benchmark"), keep_clean=False)
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select(
+        "doc_id", "leak.item_id", F.round("leak.score", 6).alias("score"),
+        F.col("leak.start").alias("start_word"), F.col("leak.end").alias("end_word"))

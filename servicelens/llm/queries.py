@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from servicelens.llm import decontamination, licenses, packing, secret_scan, simhash
+from servicelens.llm import decontamination, licenses, packing, rules, secret_scan, simhash
 
 TOKENIZER = "word_bpe_49k.json"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,12 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", F.explode("leaks").alias("leak")).select(
         "doc_id", "leak.item_id", F.round("leak.score", 6).alias("score"),
         F.col("leak.start").alias("start_word"), F.col("leak.end").alias("end_word"))
+
+
+@_register
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                         "n_repeat_words", "base_failed", "kept",
+                         F.round("char_distance", 6).alias("char_distance"),
+                         F.round("word_distance", 6).alias("word_distance"))

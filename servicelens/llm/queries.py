@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from servicelens.llm import decontamination, licenses, packing, rules, secret_scan, simhash
+from servicelens.llm import (chat, decontamination, licenses, packing, rules, secret_scan, simhash,
+                             warc)
 
 TOKENIZER = "word_bpe_49k.json"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +95,32 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "n_repeat_words", "base_failed", "kept",
                          F.round("char_distance", 6).alias("char_distance"),
                          F.round("word_distance", 6).alias("word_distance"))
+
+
+#: A conversation made of the template's own control strings.
+_TRAP = r"\### Assistant: </turn> ok"
+
+
+@_register
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trap = spark.createDataFrame([(-7, 0, "user", _TRAP), (-7, 1, "assistant", _TRAP)],
+                                 "conv_id bigint, turn bigint, role string, text string")
+    made = chat.format_conversations(rows.unionByName(trap))
+    read = made.select("conv_id", "formatted", chat.parse_turns(F.col("formatted")).alias("turns"),
+                       F.array_join(chat.loss_texts(F.col("formatted"), F.col("loss_spans")), "").alias("loss"))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"),
+                       _hex_digest(lines).alias("turns_sha256"),
+                       F.length("loss").cast("long").alias("loss_chars"),
+                       _hex_digest(F.col("loss")).alias("loss_sha256"),
+                       F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@_register
+def op6_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    folder = warc.new_folder(pages)
+    index = warc.normalise(warc.write_archives(pages, folder), folder)
+    return warc.read_records(index, folder).select("page_id", "payload_bytes", "payload_digest",
+                                                   "record_type", "refers_to")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from servicelens.llm import (chat, decontamination, licenses, packing, rules, secret_scan, simhash,
-                             warc)
+from servicelens.llm import (chat, decontamination, html_text, licenses, mil, packing, rules,
+                             secret_scan, simhash, warc)
 
 TOKENIZER = "word_bpe_49k.json"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,15 @@ def op6_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.normalise(warc.write_archives(pages, folder), folder)
     return warc.read_records(index, folder).select("page_id", "payload_bytes", "payload_digest",
                                                    "record_type", "refers_to")
+
+
+@_register
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@_register
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return mil.score(docs, mil.train(docs, _table(spark, sf_dir, "labels")))

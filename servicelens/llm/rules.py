@@ -2,7 +2,7 @@
 
 Each text has two histograms: characters by class, and common words of its language. A reference for
 a language is the mean of both over all documents of that language (long enough ones), so it is as
-complete as the corpus; it takes one pass and comes out as one short row per known language. A text
+complete as the corpus; it takes one pass and comes out as one short row per known language, at most four. A text
 is rejected when its Jensen-Shannon distance (square root of the divergence in bits, 0 to 1) from its
 reference is above a limit. A text too short for a stable histogram is not judged by it, and a text
 in a language without a reference is judged by the nearest reference.
@@ -56,6 +56,10 @@ CLASSES = {
 }
 
 
+_REFERENCES = ("array<struct<reference_lang:string,reference_chars:array<double>,"
+               "reference_words:array<double>>>")
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """`use(value)`, with the value computed once per row however often it is used."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -178,10 +182,11 @@ def judge(docs: DataFrame, reference: DataFrame | None = None, chars_limit: floa
     added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
              "char_distance", "word_distance", "kept")
     names = [n for n in dict.fromkeys(docs.columns) if n not in added]
-    # At most one row per known language, hence an array that is as short.
-    listed = (references(docs) if reference is None else reference).agg(
-        F.collect_list(F.struct("*")).alias("_references"))
-    measured = with_histograms(with_counts(only(docs, *names))).join(F.broadcast(listed))
+    listed = F.array(*(F.struct(
+        F.lit(r.reference_lang).alias("reference_lang"), F.lit(r.reference_chars).alias("reference_chars"),
+        F.lit(r.reference_words).alias("reference_words"))
+        for r in (references(docs) if reference is None else reference).collect())).cast(_REFERENCES)
+    measured = with_histograms(with_counts(only(docs, *names))).withColumn("_references", listed)
 
     def least(distance: Callable[[Column], Column]) -> Column:
         own = F.exists("_references", lambda r: r.reference_lang == F.col("lang"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +51,25 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return safe.select(*(F.col(f"_{taken.index(n)}").alias(n) for n in names))
 
 
+def shielded(df: DataFrame, used: Sequence[str], added: Sequence[str]
+             ) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The table with all columns but the used ones under names of their own, and a way back.
+
+    So a column `TEXT` cannot clash with `text`. The way back selects the columns in their old order
+    and then the added ones, which replace columns of the same name.
+    """
+    first = {n: i for i, n in reversed(list(enumerate(df.columns)))}
+    kept = [(i, n) for n, i in sorted(first.items(), key=lambda x: x[1]) if n not in added]
+    names = [n if n in used else f"_kept{i}" for i, n in kept]
+    safe = df.toDF(*(f"_{i}" for i in range(len(df.columns)))).select(
+        *(F.col(f"_{i}").alias(n) for (i, _), n in zip(kept, names)))
+
+    def restored(result: DataFrame) -> DataFrame:
+        return result.select(*names, *added).toDF(*(n for _, n in kept), *added)
+
+    return safe, restored
+
+
 def alnum_words(text: bytes) -> list[bytes]:
     """Lower-case words (A-Z only) made of ASCII letters, digits and any character beyond ASCII."""
     return text.translate(_ASCII_WORDS).split()

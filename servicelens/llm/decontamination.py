@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from servicelens.llm.common import alnum_words, durable, only, rolling_grams, text_key
+from servicelens.llm.common import alnum_words, durable, only, rolling_grams, shielded, text_key
 
 GRAM = 4
 WINDOW = 3
@@ -152,9 +152,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep_clean: bool = True,
     Without `keep_clean` only documents with a leak are returned. A column `leaks` of the input is
     replaced.
     """
-    names = [n for n in dict.fromkeys(docs.columns) if n != "leaks"]
+    safe, restored = shielded(docs, ("doc_id", "text"), ("leaks",))
     found = candidates(docs, benchmark, **options)
-    keyed = only(docs, *names).withColumn("_text_key", text_key())
+    keyed = safe.withColumn("_text_key", text_key())
 
     @F.pandas_udf(_LEAKS)
     def leaks(texts: pd.Series, items: pd.Series) -> pd.Series:
@@ -162,5 +162,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep_clean: bool = True,
 
     joined = keyed.join(found, keyed["doc_id"].eqNullSafe(found["vote_id"])
                         & (F.col("_text_key") == F.col("vote_key")), "left" if keep_clean else "inner")
-    judged = joined.withColumn("leaks", leaks("text", "items")).select(*names, "leaks")
+    judged = restored(joined.withColumn("leaks", leaks("text", "items")))
     return judged if keep_clean else judged.where(F.size("leaks") > 0)

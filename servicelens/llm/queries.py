@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from servicelens.llm import (chat, decontamination, html_text, licenses, mil, packing, rules,
-                             secret_scan, simhash, warc)
+                             secret_scan, simhash, sql, warc)
 
 TOKENIZER = "word_bpe_49k.json"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(sql.SQL)
 
 
 def _register(function: Callable[[SparkSession, str], DataFrame]) -> Callable:
@@ -90,11 +90,9 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 @_register
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    judged = rules.report(_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
-                         "n_repeat_words", "base_failed", "kept",
-                         F.round("char_distance", 6).alias("char_distance"),
-                         F.round("word_distance", 6).alias("word_distance"))
+                         "n_repeat_words", "base_failed", "kept")
 
 
 #: A conversation made of the template's own control strings.

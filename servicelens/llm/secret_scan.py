@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from servicelens.llm.common import only, sliced
+from servicelens.llm.common import shielded, sliced
 
 try:
     from re import _parser as sre
@@ -214,7 +214,7 @@ _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int6
 
 
 def find_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """doc_id, text with secrets masked, and spans: array of (kind, start, end) in code points.
+    """The documents, secrets in `text` masked, and `spans`: array of (kind, start, end) in code points.
 
     Spans are sorted by start, then by the order of the rules. Masking leaves a text without spans
     as it was; null stays null.
@@ -235,10 +235,11 @@ def find_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
                 [*rest, pa.array(clean, pa.string()), pa.array(listed, pa.list_(_SPAN))],
                 [*names, "text", "spans"])
 
-    kept = [f for f in docs.schema.fields if f.name not in ("text", "spans")]
+    safe, restored = shielded(docs, ("doc_id", "text"), ("spans",))
+    kept = [f for f in safe.schema.fields if f.name != "text"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "text string",
                         "spans array<struct<kind:string,start:bigint,end:bigint>>"])
-    return only(docs, *(f.name for f in kept), "text").mapInArrow(scanned, schema)
+    return restored(safe.select(*(f.name for f in kept), "text").mapInArrow(scanned, schema))
 
 
 def span_digest(spans: str = "spans") -> Column:

@@ -120,3 +120,7 @@ CHUNK_SEPARATORS = [" | ", "。", "、", " "]
 def standard_name(name: str) -> str:
     """The standard name for an export heading; any other name is returned as it is."""
     return STANDARD_NAMES.get(name, name)
+
+# Cells visited by one question. The original searches exactly up to 128 dimensions or below 100
+# vectors and by cells otherwise; here the caller says which.
+PROBES = 8

@@ -12,42 +12,56 @@ def top_k(hits: DataFrame, k: int, *tie_break: str) -> DataFrame:
     return hits.orderBy(F.col("score").desc(), *tie_break).limit(k)
 
 
-def _score(c: Column) -> Column:
-    return F.round(c, 6).alias("score")
+def _carried(*sides: DataFrame) -> list[str]:
+    """Columns beside id and score that all sides have, such as content and metadata."""
+    return [c for c in sides[0].columns
+            if c not in ("id", "score") and all(c in s.columns for s in sides)]
 
 
 def fuse_union(keyword: DataFrame, semantic: DataFrame, k: int,
                semantic_weight: float = fields.SEMANTIC_WEIGHT) -> DataFrame:
-    """Weighted union under separate id spaces: the same record may appear once per side."""
+    """Weighted union under separate id spaces: the same record may appear once per side.
+
+    (document_id, score) and the columns that both sides carry.
+    """
+    carried = _carried(keyword, semantic)
     sides = [("db_", keyword, 1 - semantic_weight), ("vec_", semantic, semantic_weight)]
     parts = [hits.select(F.concat(F.lit(prefix), F.col("id").cast("string")).alias("document_id"),
-                         _score(F.col("score") * weight)) for prefix, hits, weight in sides]
+                         (F.col("score") * weight).alias("score"), *carried)
+             for prefix, hits, weight in sides]
     return top_k(parts[0].unionByName(parts[1]), k, "document_id")
 
 
 def fuse_by_record(keyword: DataFrame, semantic: DataFrame, k: int,
                    semantic_weight: float = fields.SEMANTIC_WEIGHT) -> DataFrame:
-    """Scores of the same record are added: full outer join of the two top lists on the id."""
+    """Scores of the same record are added: full outer join of the two top lists on the id.
+
+    (id, score) and the columns that both sides carry, from the keyword side where it has them.
+    """
+    carried = _carried(keyword, semantic)
+
     def weighted(hits: DataFrame, weight: float, name: str) -> DataFrame:
-        return hits.select("id", (F.col("score") * weight).alias(name))
+        return hits.select("id", (F.col("score") * weight).alias(name),
+                           *(F.col(c).alias(f"{name}_{c}") for c in carried))
 
     both = weighted(keyword, 1 - semantic_weight, "_k").join(
         weighted(semantic, semantic_weight, "_s"), "id", "full_outer")
     total = F.coalesce("_k", F.lit(0.0)) + F.coalesce("_s", F.lit(0.0))
-    return top_k(both.select("id", _score(total)), k, "id")
+    return top_k(both.select("id", total.alias("score"),
+                             *(F.coalesce(f"_k_{c}", f"_s_{c}").alias(c) for c in carried)), k, "id")
 
 
 def light_hybrid(semantic: DataFrame, keyword: DataFrame, k: int) -> DataFrame:
     """Best `k // 2` hits of each side in one list; equal scores list semantic hits first.
 
     Keyword hits all score the same and count in load order. A record found by both sides appears
-    twice.
+    twice. Columns that both sides carry are kept.
     """
-    half = k // 2
+    half, carried = k // 2, _carried(semantic, keyword)
     sides = [("doc_", 0, top_k(semantic, half, "id")),
              ("struct_", 1, keyword.orderBy("id").limit(half))]
     parts = [hits.select(F.concat(F.lit(prefix), F.col("id").cast("string")).alias("document_id"),
-                         _score(F.col("score")), F.lit(side).alias("_side"), "id")
+                         "score", *carried, F.lit(side).alias("_side"), "id")
              for prefix, side, hits in sides]
     return top_k(parts[0].unionByName(parts[1]), k, "_side", "id").drop("_side", "id")
 

@@ -6,16 +6,15 @@ a document: count/length * ln(N / (df + 1)); it is 0 or negative for terms in ne
 
 from __future__ import annotations
 
+import re
 from collections import Counter
+from dataclasses import dataclass
 
-import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from servicelens.functions.text import WORD_CHARACTER, WORD_RUN, tokens
-from servicelens.functions.values import any_of
+from servicelens.functions.text import tokens
 from servicelens.operators.skew import join_counted_key
-from servicelens.session import ensure_checkpoint_dir
 
 
 def _tokenized(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -53,13 +52,29 @@ def vocabulary(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
                                     F.sum("rows").alias("documents"))
 
 
+def _runs(ordered: Column) -> Column:
+    """(term, n) for each run of equal terms in a sorted array."""
+    starts = F.filter(F.transform(ordered, lambda _, i: i),
+                      lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+
+    def counted(at: Column) -> Column:
+        ends = F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(ordered)))
+        return F.zip_with(at, ends, lambda a, b: F.struct(
+            F.get(ordered, a).alias("term"), (b - a).alias("n")))
+
+    return F.element_at(F.transform(F.array(starts), counted), 1)
+
+
 def term_counts(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, term, tf) with tf the term's share of the document's tokens."""
-    # the length is taken before the explode, or every exploded row would drag the array along
-    sized = _tokenized(documents, doc_id, text).withColumn("length", F.size("tokens"))
-    return (_exploded(sized, F.col("tokens"), "doc_id", "length")
-            .groupBy("doc_id", "length", "term").agg(F.count("*").alias("n"))
-            .select("doc_id", "term", (F.col("n") / F.col("length")).alias("tf")))
+    """(doc_id, term, tf) with tf the term's share of the document's tokens.
+
+    A document is one row, so its tokens are sorted and counted there and nothing is shuffled.
+    """
+    found = _tokenized(documents, doc_id, text)
+    ordered = F.transform(F.array(F.sort_array("tokens")), _runs)     # sorted once per row
+    counted = found.select("doc_id", F.size("tokens").alias("length"),
+                           F.inline_outer(F.element_at(ordered, 1))).filter("term is not null")
+    return counted.select("doc_id", "term", (F.col("n") / F.col("length")).alias("tf"))
 
 
 def _weighted(counts: DataFrame, frequency: DataFrame, corpus_size: Column) -> DataFrame:
@@ -76,44 +91,72 @@ def tfidf_weights(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
                      ).select("doc_id", "term", "tf", "df", "weight")
 
 
-def built_index(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """:func:`tfidf_weights` computed once and read back from the reliable checkpoint folder, for
-    a session that searches the same documents several times."""
-    ensure_checkpoint_dir(documents.sparkSession)
-    return tfidf_weights(documents, doc_id, text).checkpoint()
-
-
 def query_weights(query: str) -> dict[str, float]:
     """Share of each term among all the query's tokens, known to the corpus or not."""
-    found = regex.findall(WORD_RUN, query.lower())
+    found = re.findall(r"\w+", query.lower())
     return {term: n / len(found) for term, n in Counter(found).items()}
 
 
-def _cosine(weights: DataFrame, wanted: dict[str, float], query_norm: Column, k: int) -> DataFrame:
-    """Top k documents by cosine with the query."""
-    asked = F.lit(None).cast("double")
-    for t, w in wanted.items():
-        asked = F.when(F.col("term") == t, w).otherwise(asked)
-    per_doc = weights.groupBy("doc_id").agg(
-        F.sum(asked * F.col("weight")).alias("dot"),
-        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+def _asked(term: Column, wanted: dict[str, float]) -> Column:
+    """The query's weight of a term; null for other terms."""
+    pairs = [F.lit(x) for item in wanted.items() for x in item]
+    return F.try_element_at(F.create_map(*pairs), term) if pairs else F.lit(None).cast("double")
+
+
+def _ranked(dots: DataFrame, query_norm: Column, k: int) -> DataFrame:
+    """Top k of (doc_id, dot, norm) by the exact cosine; documents of no similarity are no hits.
+
+    Sums of equal documents can differ in their last bits, by the order of summation. So scores that
+    agree in 12 decimals rank by id; the score itself is not rounded, nor is the test for hits.
+    """
     score = F.when((F.col("norm") == 0) | (query_norm == 0), 0.0).otherwise(
         F.col("dot") / (F.col("norm") * query_norm))
-    return (per_doc.filter("dot is not null")
-            .select("doc_id", F.round(score, 6).alias("score")).filter("score > 0")
-            .orderBy(F.col("score").desc(), "doc_id").limit(k))
+    return (dots.select("doc_id", score.alias("score")).filter("score > 0")
+            .orderBy(F.round("score", 12).desc(), "doc_id").limit(k))
 
 
-def search_weights(weights: DataFrame, query: str, k: int = 10) -> DataFrame:
-    """Search a stored index. Only documents holding a query term are aggregated."""
-    wanted = query_weights(query)
-    found = weights.filter(F.col("term").isin(list(wanted)))
-    known = F.lit(0.0)
-    for t, w in wanted.items():
-        known = known + F.when(F.bool_or(F.col("term") == t), w * w).otherwise(0.0)
-    query_norm = found.agg(F.sqrt(known)).scalar()
-    hits = found.select("doc_id").distinct()
-    return _cosine(weights.join(hits, "doc_id", "left_semi"), wanted, query_norm, k)
+def _known_norm(known: Column, wanted: dict[str, float]) -> Column:
+    """Norm of the query over the terms in the array `known`."""
+    total = F.lit(0.0)
+    for term, weight in wanted.items():
+        total = total + F.when(F.array_contains(known, term), weight * weight).otherwise(0.0)
+    return F.sqrt(total)
+
+
+@dataclass
+class TextIndex:
+    """Postings (term, doc_id, weight) and norms (doc_id, norm) of a document table."""
+
+    postings: DataFrame
+    norms: DataFrame
+
+    def write(self, path: str) -> None:
+        """Store the index, postings in term order, so that a question reads its terms only."""
+        (self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+         .write.mode("overwrite").parquet(f"{path}/postings"))
+        stored = self.postings.sparkSession.read.parquet(f"{path}/postings")
+        norms = stored.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+        norms.sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/norms")
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> TextIndex:
+        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/norms"))
+
+    def search(self, query: str, k: int = 10) -> DataFrame:
+        """(doc_id, score), best first. Reads the postings of the query's terms and joins the norms
+        of the documents they name."""
+        wanted = query_weights(query)
+        found = self.postings.filter(F.col("term").isin(list(wanted)))
+        norm = found.agg(_known_norm(F.collect_set("term"), wanted)).scalar()
+        dots = found.groupBy("doc_id").agg(F.sum(_asked(F.col("term"), wanted) * F.col("weight")).alias("dot"))
+        return _ranked(dots.join(self.norms, "doc_id"), norm, k)
+
+
+def build_index(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> TextIndex:
+    """The index of all documents, not computed yet; `write` computes and stores it."""
+    postings = tfidf_weights(documents, doc_id, text).select("term", "doc_id", "weight")
+    norms = postings.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    return TextIndex(postings, norms)
 
 
 def tfidf_search(documents: DataFrame, query: str, k: int = 10, doc_id: str = "doc_id",
@@ -121,21 +164,19 @@ def tfidf_search(documents: DataFrame, query: str, k: int = 10, doc_id: str = "d
     """Search documents directly: (doc_id, score), best first, ties in document order.
 
     All documents take part in the document frequencies; weights are built only for those that hold
-    a query term, since no other document can score.
+    a query term, since no other document can score. For more than one question, store an index.
     """
     wanted = query_weights(query)
-
-    def holds(term: str) -> Column:
-        # the term as a whole token; stops at the first occurrence, unlike tokenizing the text
-        return F.lower(text).rlike(f"(?<!{WORD_CHARACTER}){term}(?!{WORD_CHARACTER})")
-
-    candidates = documents.filter(any_of(holds(t) for t in wanted))
+    asked = F.array(*(F.lit(t) for t in wanted)).cast("array<string>")
+    words = tokens(F.col(text))
+    candidates = documents.filter(F.arrays_overlap(words, asked))
     # corpus size, and the query's norm over the terms the corpus knows, from one pass
-    known = F.lit(0.0)
-    for t, w in wanted.items():
-        known = known + F.when(F.bool_or(holds(t)), w * w).otherwise(0.0)
-    corpus = documents.agg(F.struct(F.count("*").alias("size"), F.sqrt(known).alias("norm"))
+    held = F.array_distinct(F.flatten(F.collect_set(F.array_intersect(words, asked))))
+    corpus = documents.agg(F.struct(F.count("*").alias("size"), _known_norm(held, wanted).alias("norm"))
                            ).scalar()
     weights = _weighted(term_counts(candidates, doc_id, text),
                         document_frequency(documents, doc_id, text), corpus["size"])
-    return _cosine(weights, wanted, corpus["norm"], k)
+    dots = weights.groupBy("doc_id").agg(
+        F.sum(_asked(F.col("term"), wanted) * F.col("weight")).alias("dot"),
+        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm")).filter("dot is not null")
+    return _ranked(dots, corpus["norm"], k)

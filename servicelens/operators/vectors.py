@@ -6,76 +6,92 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-EXACT_UP_TO_DIMENSIONS = 128
-CELLS = 100
-_TRAINING_ROWS_PER_CELL = 256
+from servicelens import fields
 
+CELLS = 100
+_FILES_PER_CELL = 4
 
-def dot(a: Column, b: Column) -> Column:
-    """Inner product, accumulated in double."""
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda total, p: total + p)
 
+def nearest(vectors: DataFrame, query: Sequence[float], k: int, row_id: str = "vec_id",
+            vector: str = "embedding") -> DataFrame:
+    """Exact top k by inner product: (id, score), equal scores by id.
 
-def _as_column(query: Column | Sequence[float]) -> Column:
-    if isinstance(query, Column):
-        return query
-    return F.array(*(F.lit(float(x)) for x in query))
+    One product per Arrow batch, in double; each row is summed alike, so equal vectors score
+    equally. Each task keeps k rows; nothing is shuffled. Rows without a vector are no hits.
+    """
+    asked = np.asarray(query, dtype=np.float64)
 
+    @F.pandas_udf("double")
+    def inner(rows: pd.Series) -> pd.Series:
+        if rows.empty:
+            return pd.Series([], dtype="float64")
+        return pd.Series((np.stack(rows.to_numpy()).astype(np.float64) * asked).sum(axis=1))
 
-def nearest(vectors: DataFrame, query: Column | Sequence[float], k: int, row_id: str = "vec_id",
-            vector: str = "embedding") -> DataFrame:
-    """Exact top k by inner product: (id, score). Each task keeps k rows; nothing is shuffled."""
-    score = F.round(dot(F.col(vector), _as_column(query)), 6)
-    return (vectors.select(F.col(row_id).alias("id"), score.alias("score"))
+    return (vectors.filter(F.col(vector).isNotNull())
+            .select(F.col(row_id).alias("id"), inner(vector).alias("score"))
             .orderBy(F.col("score").desc(), "id").limit(k))
 
 
 @dataclass
 class CellIndex:
-    """Vectors with the number of their coarse cell, and the cell centres."""
+    """Vectors with the number of their coarse cell, and the cell centres (cell, centre)."""
 
     vectors: DataFrame
-    centres: np.ndarray
+    centres: DataFrame
 
     def probe(self, query: Sequence[float], k: int, probes: int, row_id: str = "vec_id",
               vector: str = "embedding") -> DataFrame:
-        """Top k among the cells whose centres are nearest to the query, re-ranked exactly."""
-        closest = np.argsort(-(self.centres @ np.asarray(query, dtype=float)))[:probes]
-        near = self.vectors.filter(F.col("cell").isin([int(c) for c in closest]))
-        return nearest(near, query, k, row_id, vector)
+        """Top k among the cells whose centres are nearest to the query, re-ranked exactly.
 
-    def write(self, path: str) -> None:
-        """Store one folder per cell, so that a probe reads only the cells it visits."""
-        self.vectors.write.mode("overwrite").partitionBy("cell").parquet(path)
+        The centres are as many as the cells, so their nearest ones are a top list of `probes` rows.
+        """
+        near = nearest(self.centres, query, probes, "cell", "centre").select(F.col("id").alias("_cell"))
+        found = self.vectors.join(F.broadcast(near), F.col("cell") == F.col("_cell"), "left_semi")
+        return nearest(found, query, k, row_id, vector)
+
+    def write(self, path: str, row_id: str = "vec_id") -> None:
+        """Store centres and vectors, one folder per cell, so that a probe reads only its cells.
+
+        The rows of a cell are dealt to a few writers by id, which bounds the files of a cell and
+        keeps a large cell from being one task.
+        """
+        part = F.pmod(F.xxhash64(row_id), F.lit(_FILES_PER_CELL))
+        (self.vectors.repartition("cell", part).write.mode("overwrite").partitionBy("cell")
+         .parquet(f"{path}/vectors"))
+        self.centres.write.mode("overwrite").parquet(f"{path}/centres")
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> CellIndex:
+        return cls(spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/centres"))
 
 
 def build_cells(vectors: DataFrame, vector: str = "embedding", cells: int = CELLS,
                 seed: int = 42) -> CellIndex:
-    """Assign every vector to one of the coarse cells.
+    """Fit the cell centres on all vectors and assign every vector to its cell.
 
-    Only the centres are fitted on a bounded draw, as is usual for a coarse quantizer; all vectors
-    are assigned and searchable.
+    The fit passes over the vectors several times. Build once, store with `write`, and probe the
+    stored index.
     """
     features = vectors.withColumn("_features", array_to_vector(F.col(vector).cast("array<double>")))
-    share = min(1.0, cells * _TRAINING_ROWS_PER_CELL / max(1, vectors.count()))
-    training = features.select("_features")
-    if share < 1.0:
-        training = training.sample(fraction=share, seed=seed)
     model: KMeansModel = KMeans(k=cells, featuresCol="_features", predictionCol="cell",
-                                seed=seed, maxIter=10).fit(training)
-    return CellIndex(model.transform(features).drop("_features"),
-                     np.vstack(model.clusterCenters()))
-
-
-def search(vectors: DataFrame, query: Sequence[float], k: int, row_id: str = "vec_id",
-           vector: str = "embedding", probes: int = 8) -> DataFrame:
-    """Exact search up to 128 dimensions or below 100 vectors, cell search otherwise."""
-    if len(query) <= EXACT_UP_TO_DIMENSIONS or vectors.limit(CELLS).count() < CELLS:
-        return nearest(vectors, query, k, row_id, vector)
-    return build_cells(vectors, vector).probe(query, k, probes, row_id, vector)
+                                seed=seed, maxIter=10).fit(features)
+    centres = vectors.sparkSession.createDataFrame(
+        [(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "cell int, centre array<double>")
+    return CellIndex(model.transform(features).drop("_features"), centres)
+
+
+def search(vectors: DataFrame | CellIndex, query: Sequence[float], k: int, row_id: str = "vec_id",
+           vector: str = "embedding", method: str = "exact", probes: int = fields.PROBES) -> DataFrame:
+    """Top k of a table (`method="exact"`) or of a built or stored index (`method="cells"`)."""
+    if method == "exact":
+        table = vectors.vectors if isinstance(vectors, CellIndex) else vectors
+        return nearest(table, query, k, row_id, vector)
+    if method != "cells" or not isinstance(vectors, CellIndex):
+        raise ValueError('method is "exact", or "cells" with an index')
+    return vectors.probe(query, k, probes, row_id, vector)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +15,15 @@ from servicelens.functions.fuzzy import fuzzy_match
 from servicelens.functions.text import (
     has_any, light_snippet, light_text, metadata_json, normalize_text, record_snippet, record_text,
 )
-from servicelens.operators import facts, filters, fusion, metrics, quality, search, tfidf, vectors
+from servicelens.operators import (
+    facts, filters, fusion, hybrid, metrics, quality, search, tfidf, vectors,
+)
 from servicelens.operators.clean import derive, normalize_records, text_columns
 from servicelens.plans.spec import run_spec
 from servicelens.plans.standin import (
     DOCUMENT_RECORDS_SQL, ORDER, RECORDS_SQL, documents, documents_as_records, lines, table,
 )
+from servicelens.session import ensure_checkpoint_dir
 from servicelens.sources.exports import sentinels_to_null
 from servicelens.sources.tables import number_rows, standard_records
 
@@ -32,11 +36,14 @@ FLAG_INPUTS = ["category", "malfunction_content"]
 KEY = [c for c in ORDER if c != "l_extendedprice"]
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | None = None, rounds: str | None = None) -> Callable[[Query], Query]:
+    """Register a query and its SQL twin. `rounds` is a column of the twin's result that is rounded
+    to six decimals behind its ORDER BY and LIMIT."""
     def register(build: Query) -> Query:
         QUERIES[build.__name__] = build
         if sql:
-            SQL[build.__name__] = sql
+            SQL[build.__name__] = (
+                f"SELECT * REPLACE (round({rounds}, 6) AS {rounds}) FROM ({sql})" if rounds else sql)
         return build
 
     return register
@@ -50,6 +57,17 @@ def on_documents(sql: str) -> str:
     return f"WITH {DOCUMENT_RECORDS_SQL} {sql}"
 
 
+def rounded(hits: DataFrame) -> DataFrame:
+    """Scores to the six decimals that are compared; hits are found and ranked before."""
+    return hits.withColumn("score", F.round("score", 6))
+
+
+def scratch_path(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A place in the shared folder for an index of these tables; built again, it is replaced."""
+    kept = hashlib.md5(sf_dir.encode()).hexdigest()[:12]
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{kept}"
+
+
 def clean(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     return derive(lines(spark, sf_dir, *names))
 
@@ -214,16 +232,13 @@ def sample_exact(spark, sf_dir):
 
 @query(on_records("""
 , m AS (SELECT CAST(date_trunc('month', base_date) AS DATE) AS mon, count(*) AS n FROM clean
-        WHERE malfunction = 1 AND machine_model = 'Brand#7' AND department = 'NATION_3'
-          AND base_date IS NOT NULL GROUP BY 1),
+        WHERE malfunction = 1 AND base_date IS NOT NULL GROUP BY 1),
 spine AS (SELECT CAST(unnest(generate_series(min(mon), max(mon), INTERVAL 1 MONTH)) AS DATE) AS mon
           FROM m)
 SELECT last_day(spine.mon) AS month_end, coalesce(n, 0) AS malfunctions
 FROM spine LEFT JOIN m ON spine.mon = m.mon"""))
 def monthly_trend_filled(spark, sf_dir):
-    df = clean(spark, sf_dir, *DATES, *FLAG_INPUTS, "machine_model", "department")
-    return metrics.monthly_failures(filters.in_values(
-        df, {"machine_model": ["Brand#7"], "department": ["NATION_3"]}))
+    return metrics.monthly_failures(clean(spark, sf_dir, *DATES, *FLAG_INPUTS))
 
 
 @query(on_records("""
@@ -448,8 +463,8 @@ _COSINE_SQL = """
 q AS (SELECT unnest([{terms}]) AS term, unnest([{weights}]::DOUBLE[]) AS qw),
 known AS (SELECT * FROM q WHERE term IN (SELECT term FROM dfs)),
 score AS (
-  SELECT w.doc_id, round(sum(qw * weight) / (sqrt(sum(weight * weight))
-      * (SELECT sqrt(sum(qw * qw)) FROM known)), 6) AS score
+  SELECT w.doc_id, sum(qw * weight) / (sqrt(sum(weight * weight))
+      * (SELECT sqrt(sum(qw * qw)) FROM known)) AS score
   FROM w LEFT JOIN known USING (term) GROUP BY w.doc_id HAVING count(qw) > 0
     AND sum(weight * weight) > 0)
 """
@@ -473,15 +488,19 @@ def tfidf_weights(spark, sf_dir):
 
 
 @query(f"""WITH {tfidf_sql(SEARCH_TEXT, "documents", "doc_id")}
-SELECT doc_id, score FROM score WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20""")
+SELECT doc_id, round(score, 6) AS score FROM score WHERE score > 0
+ORDER BY round(score, 12) DESC, doc_id LIMIT 20""")
 def tfidf_search(spark, sf_dir):
-    return tfidf.tfidf_search(documents(spark, sf_dir), SEARCH_TEXT, 20)
+    return rounded(tfidf.tfidf_search(documents(spark, sf_dir), SEARCH_TEXT, 20))
 
 
 @query(f"""WITH {tfidf_sql(SEARCH_TEXT, "documents", "doc_id")}
-SELECT doc_id, score FROM score WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10""")
+SELECT doc_id, round(score, 6) AS score FROM score WHERE score > 0
+ORDER BY round(score, 12) DESC, doc_id LIMIT 10""")
 def tfidf_index_search(spark, sf_dir):
-    return tfidf.search_weights(tfidf.built_index(documents(spark, sf_dir)), SEARCH_TEXT, 10)
+    path = scratch_path(spark, sf_dir, "text_index")
+    tfidf.build_index(documents(spark, sf_dir)).write(path)
+    return rounded(tfidf.TextIndex.read(spark, path).search(SEARCH_TEXT, 10))
 
 
 @query("""
@@ -525,11 +544,12 @@ _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz
 
 @query(on_documents(f"""
 SELECT id, machine_model FROM doc
-WHERE {_FOLD.format("work_content")} LIKE '%évi%the%' OR {_FOLD.format("work_content")} LIKE '%évi%'
+WHERE {" OR ".join(f"{_FOLD.format(c)} LIKE '%évi%'" for c in ("work_content", "machine_model", "category"))}
 ORDER BY id LIMIT 20"""))
 def like_search(spark, sf_dir):
-    return search.like_search(documents_as_records(spark, sf_dir), "éVI", 20,
-                              columns=["work_content"]).select("id", "machine_model")
+    records = documents_as_records(spark, sf_dir).withColumns(
+        {"malfunction_content": F.col("machine_model"), "parts_name": F.col("category")})
+    return search.like_search(records, "éVI", 20).select("id", "machine_model")
 
 
 @query(r"""
@@ -548,8 +568,8 @@ def probe_vector(spark: SparkSession, sf_dir: str) -> list[float]:
 
 
 _NEAREST_SQL = """
-v AS (SELECT vec_id AS id, round(list_dot_product(embedding::DOUBLE[],
-        (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score
+v AS (SELECT vec_id AS id, list_dot_product(embedding::DOUBLE[],
+        (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS score
       FROM embeddings ORDER BY score DESC, id LIMIT {k})
 """
 _KEYWORD_SQL = """
@@ -560,15 +580,31 @@ k AS (SELECT id, 1.0::DOUBLE AS score FROM doc
 _DOC_COLUMNS = ["work_content", "machine_model", "category"]
 
 
-@query(f"""WITH {_NEAREST_SQL.format(k=10)} SELECT id, score FROM v""")
+_TOP_VECTORS_SQL = f"WITH {_NEAREST_SQL.format(k=10)} SELECT id, round(score, 6) AS score FROM v"
+
+
+@query(_TOP_VECTORS_SQL)
 def vector_topk(spark, sf_dir):
-    return vectors.nearest(table(spark, sf_dir, "embeddings"), probe_vector(spark, sf_dir), 10)
+    return rounded(vectors.nearest(table(spark, sf_dir, "embeddings"), probe_vector(spark, sf_dir), 10))
+
+
+def stored_cells(spark: SparkSession, sf_dir: str) -> vectors.CellIndex:
+    """The index as a later session finds it: built and written, then read back."""
+    path = scratch_path(spark, sf_dir, "cells")
+    vectors.build_cells(table(spark, sf_dir, "embeddings")).write(path)
+    return vectors.CellIndex.read(spark, path)
 
 
 @query()
 def vector_ivf(spark, sf_dir):
-    cells = vectors.build_cells(table(spark, sf_dir, "embeddings"))
-    return cells.probe(probe_vector(spark, sf_dir), 10, probes=8)
+    return rounded(vectors.search(stored_cells(spark, sf_dir), probe_vector(spark, sf_dir), 10,
+                                  method="cells"))
+
+
+@query(_TOP_VECTORS_SQL)
+def vector_cells_full(spark, sf_dir):
+    return rounded(stored_cells(spark, sf_dir).probe(probe_vector(spark, sf_dir), 10,
+                                                     probes=vectors.CELLS))
 
 
 def both_sides(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame]:
@@ -580,32 +616,63 @@ def both_sides(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, Dat
 
 @query(on_documents(f""", {_KEYWORD_SQL.format(word="ungber", k=20)}, {_NEAREST_SQL.format(k=20)}
 SELECT * FROM (
-  SELECT 'db_' || id AS document_id, round(score * (1 - 0.7::DOUBLE), 6) AS score FROM k
-  UNION ALL SELECT 'vec_' || id, round(score * 0.7::DOUBLE, 6) FROM v)
-ORDER BY score DESC, document_id LIMIT 10"""))
+  SELECT 'db_' || id AS document_id, score * (1 - 0.7::DOUBLE) AS score FROM k
+  UNION ALL SELECT 'vec_' || id, score * 0.7::DOUBLE FROM v)
+ORDER BY score DESC, document_id LIMIT 10"""), rounds="score")
 def hybrid_union(spark, sf_dir):
-    return fusion.fuse_union(*both_sides(spark, sf_dir, 10), 10)
+    return rounded(fusion.fuse_union(*both_sides(spark, sf_dir, 10), 10))
 
 
 @query(on_documents(f""", {_KEYWORD_SQL.format(word="ungber", k=20)}, {_NEAREST_SQL.format(k=20)}
-SELECT coalesce(k.id, v.id) AS id, round(coalesce(k.score * (1 - 0.7::DOUBLE), 0)
-  + coalesce(v.score * 0.7::DOUBLE, 0), 6) AS score
-FROM k FULL JOIN v ON k.id = v.id ORDER BY score DESC, id LIMIT 10"""))
+SELECT coalesce(k.id, v.id) AS id, coalesce(k.score * (1 - 0.7::DOUBLE), 0)
+  + coalesce(v.score * 0.7::DOUBLE, 0) AS score
+FROM k FULL JOIN v ON k.id = v.id ORDER BY score DESC, id LIMIT 10"""), rounds="score")
 def hybrid_record(spark, sf_dir):
-    return fusion.fuse_by_record(*both_sides(spark, sf_dir, 10), 10)
+    return rounded(fusion.fuse_by_record(*both_sides(spark, sf_dir, 10), 10))
+
+
+_QUESTION = "ungber"
+_LIGHT_COLUMNS = ["work_content", "machine_model", "category"]
 
 
-@query(f"""WITH {tfidf_sql(SEARCH_TEXT, "documents", "doc_id")},
+@query(f"""WITH {tfidf_sql(_QUESTION, "documents", "doc_id")},
 s AS (SELECT 'doc_' || doc_id AS document_id, score, 0 AS side, doc_id AS id FROM score
-      WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 5),
+      WHERE score > 0 ORDER BY round(score, 12) DESC, doc_id LIMIT 5),
 l AS (SELECT 'struct_' || doc_id AS document_id, 0.8::DOUBLE AS score, 1 AS side, doc_id AS id
-      FROM documents WHERE {_FOLD.format("text")} LIKE '%ungber%' ORDER BY doc_id LIMIT 5)
-SELECT document_id, score FROM (FROM s UNION ALL FROM l) ORDER BY score DESC, side, id LIMIT 10""")
+      FROM documents WHERE {" OR ".join(f"{_FOLD.format(c)} LIKE '%ungber%'" for c in ("text", "lang", "source"))}
+      ORDER BY doc_id LIMIT 5),
+f AS (SELECT * FROM (FROM s UNION ALL FROM l) ORDER BY score DESC, side, id LIMIT 10)
+SELECT document_id, score, text AS content, lang AS machine_model
+FROM f JOIN documents ON doc_id = id""", rounds="score")
 def hybrid_light(spark, sf_dir):
-    semantic = tfidf.tfidf_search(documents(spark, sf_dir), SEARCH_TEXT, 5)
-    keyword = search.light_hits(documents_as_records(spark, sf_dir), "ungber", 5,
-                                columns=["work_content"], content=F.col("category"))
-    return fusion.light_hybrid(semantic.withColumnRenamed("doc_id", "id"), keyword, 10)
+    return rounded(hybrid.light_hybrid_search(
+        documents_as_records(spark, sf_dir), documents(spark, sf_dir), _QUESTION, 10,
+        F.col("work_content"), metadata=["machine_model"], columns=_LIGHT_COLUMNS))
+
+
+_CONTEXT_SQL = """
+t AS (SELECT *, '【関連情報 - スコア: ' || printf('%.2f', round_even(score, 2)) || '】' || chr(10)
+        || content || chr(10) AS context_text FROM hit),
+b AS (SELECT {key}, score, context_text, row_number() OVER o AS position,
+        sum(length(context_text)) OVER o AS used_chars
+      FROM t WINDOW o AS (ORDER BY score DESC, {key}))
+SELECT {key}, round(score, 6) AS score, context_text, CAST(position AS INTEGER) AS position,
+  CAST(used_chars AS BIGINT) AS used_chars FROM b WHERE used_chars <= 4000"""
+
+
+@query(on_documents(f""", {_KEYWORD_SQL.format(word=_QUESTION, k=20)}, {_NEAREST_SQL.format(k=20)},
+hit AS (SELECT document_id, f.score, machine_model || ' | ' || category || ' | ' || work_content[:300] AS content
+  FROM (SELECT * FROM (
+    SELECT 'db_' || id AS document_id, score * (1 - 0.7::DOUBLE) AS score, id FROM k
+    UNION ALL SELECT 'vec_' || id, score * 0.7::DOUBLE, id FROM v)
+  ORDER BY score DESC, document_id LIMIT 10) f JOIN doc USING (id)),
+{_CONTEXT_SQL.format(key="document_id")}"""))
+def hybrid_context(spark, sf_dir):
+    content = F.concat_ws(" | ", "machine_model", "category", F.substring("work_content", 1, 300))
+    found = hybrid.hybrid_search(
+        documents_as_records(spark, sf_dir), table(spark, sf_dir, "embeddings"), _QUESTION,
+        probe_vector(spark, sf_dir), 10, content, columns=_DOC_COLUMNS)
+    return rounded(fusion.pack_context(found, "document_id")).drop("content")
 
 
 _TURN_ID = "conv_id || '-' || turn"
@@ -629,29 +696,23 @@ def _turn_hits_sql(k: int) -> str:
     return f"""{tfidf_sql(_TURN_TEXT, _TURNS, "turn_id")},
 hit AS (SELECT doc_id AS id, score, text AS content FROM score
         JOIN {_TURNS} ON doc_id = turn_id WHERE score > 0
-        ORDER BY score DESC, doc_id LIMIT {k})"""
+        ORDER BY round(score, 12) DESC, doc_id LIMIT {k})"""
 
 
-@query(f"""WITH {_turn_hits_sql(15)} SELECT id, score, content FROM hit""")
+@query(f"""WITH {_turn_hits_sql(15)} SELECT id, round(score, 6) AS score, content FROM hit""")
 def search_with_records(spark, sf_dir):
-    return turn_hits(spark, sf_dir, 15)
+    return rounded(turn_hits(spark, sf_dir, 15))
 
 
-@query(f"""WITH {_turn_hits_sql(30)},
-t AS (SELECT *, '【関連情報 - スコア: ' || printf('%.2f', round_even(score, 2)) || '】' || chr(10)
-        || content || chr(10) AS context_text FROM hit),
-b AS (SELECT id, score, context_text, row_number() OVER o AS position,
-        sum(length(context_text)) OVER o AS used_chars FROM t WINDOW o AS (ORDER BY score DESC, id))
-SELECT id, score, context_text, CAST(position AS INTEGER) AS position,
-  CAST(used_chars AS BIGINT) AS used_chars FROM b WHERE used_chars <= 4000""")
+@query(f"""WITH {_turn_hits_sql(30)}, {_CONTEXT_SQL.format(key="id")}""")
 def context_budget(spark, sf_dir):
-    return fusion.pack_context(turn_hits(spark, sf_dir, 30)).drop("content")
+    return rounded(fusion.pack_context(turn_hits(spark, sf_dir, 30))).drop("content")
 
 
 @query(f"""WITH {_turn_hits_sql(5)}
-SELECT id, score, '関連情報: ' || content AS context_text FROM hit""")
+SELECT id, round(score, 6) AS score, '関連情報: ' || content AS context_text FROM hit""")
 def context_first_hits(spark, sf_dir):
-    return fusion.first_hits(turn_hits(spark, sf_dir, 10)).drop("content")
+    return rounded(fusion.first_hits(turn_hits(spark, sf_dir, 10))).drop("content")
 
 
 # --- fallback search ----------------------------------------------------------------------------
@@ -766,13 +827,10 @@ def parse_safe(spark, sf_dir):
 
 @query(r"""
 SELECT doc_id, coalesce(nullif(regexp_extract(text, '\d{3}-\d{4}'), ''),
-  nullif(regexp_extract(source, '\d+'), '')) AS phone_or_source FROM documents
-WHERE regexp_matches(text, '\d{3}-\d{4}') OR source LIKE '%1%'""")
+  nullif(regexp_extract(source, '\d+'), '')) AS phone_or_source FROM documents""")
 def extract_code(spark, sf_dir):
     pattern = r"\d{3}-\d{4}"
-    docs = documents(spark, sf_dir).filter(
-        F.col("text").rlike(pattern) | F.col("source").contains("1"))
-    return docs.select("doc_id", F.coalesce(
+    return documents(spark, sf_dir).select("doc_id", F.coalesce(
         values.extract_code([F.col("text")], pattern),
         values.extract_code([F.col("source")], r"\d+")).alias("phone_or_source"))
 

@@ -84,8 +84,8 @@ def cosine_ranking(texts, question, k):
     for i, w in enumerate(weights):
         product = math.sqrt(sum(x * x for x in w.values()) * sum(x * x for x in q.values()))
         value = sum(q[t] * w[t] for t in q if t in w) / product if product else 0.0
-        scores.append((i, round(value, 6)))
-    return sorted((s for s in scores if s[1] > 0), key=lambda s: (-s[1], s[0]))[:k]
+        scores.append((i, value))
+    return sorted((s for s in scores if s[1] > 0), key=lambda s: (-round(s[1], 12), s[0]))[:k]
 
 
 @pytest.fixture(scope="module")
@@ -113,8 +113,25 @@ def test_small_weights():
 def test_searches_match_brute_force(rows, texts, question):
     df = rows("doc_id int, text string", *enumerate(texts))
     want = cosine_ranking(texts, question, 10)
-    assert cells(tfidf.tfidf_search(df, question, 10)) == want
-    assert cells(tfidf.search_weights(tfidf.tfidf_weights(df), question, 10)) == want
+    for found in (tfidf.tfidf_search(df, question, 10), tfidf.build_index(df).search(question, 10)):
+        assert [(i, pytest.approx(s)) for i, s in cells(found)] == want
+
+
+def test_stored_text_index(spark, rows, texts, tmp_path):
+    tfidf.build_index(rows("doc_id int, text string", *enumerate(texts))).write(str(tmp_path))
+    index = tfidf.TextIndex.read(spark, str(tmp_path))
+    found = index.search("all w1 w2 unknown", 10)
+    assert [(i, pytest.approx(s)) for i, s in cells(found)] == cosine_ranking(texts, "all w1 w2 unknown", 10)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_tiny_similarities_are_hits(rows):
+    long = "common " + " ".join(f"w{i}" for i in range(2000))
+    df = rows("doc_id int, text string", *((i, f"common x{i}") for i in range(2000)), (5000, long),
+              *((9000 + i, "other") for i in range(2)))
+    found = dict(cells(tfidf.tfidf_search(df, "common", 5000)))
+    assert len(found) == 2001 and 0 < found[5000] < 5e-6
 
 
 # --- vectors ----------------------------------------------------------------------------------------
@@ -126,29 +143,32 @@ def unit_vectors():
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def test_vector_search(spark, rows, unit_vectors):
+def test_vector_search(spark, rows, unit_vectors, tmp_path):
     df = rows("vec_id int, embedding array<float>",
               *[(i, v.tolist()) for i, v in enumerate(unit_vectors)])
     q = unit_vectors[7].tolist()
     exact = cells(vectors.nearest(df, q, 10))
     want = np.argsort(-(unit_vectors @ unit_vectors[7]))[:10]
-    assert [i for i, _ in exact] == want.tolist() and exact[0] == (7, 1.0)
+    assert [i for i, _ in exact] == want.tolist() and exact[0] == (7, pytest.approx(1.0))
     assert vectors.nearest(df, q, 1000).count() == 400
     assert cells(vectors.search(df, q, 10)) == exact
+    with pytest.raises(ValueError):
+        vectors.search(df, q, 10, method="cells")
 
-    index = vectors.build_cells(df, cells=10)
-    assert index.vectors.count() == 400
-    assert cells(index.probe(q, 10, probes=10)) == exact
+    vectors.build_cells(df, cells=10).write(str(tmp_path))
+    index = vectors.CellIndex.read(spark, str(tmp_path))
+    assert index.vectors.count() == 400 and index.centres.count() == 10
+    assert cells(vectors.search(index, q, 10, method="cells", probes=10)) == exact
+    assert cells(vectors.search(index, q, 10)) == exact
     few = {i for i, _ in cells(index.probe(q, 10, probes=3))}
     assert len(few & set(want.tolist())) >= 7
 
 
-def test_wide_vectors_use_cells_only_with_enough_rows(rows):
-    wide = [[0.0] * 129 for _ in range(3)]
-    for i, v in enumerate(wide):
-        v[i] = 1.0
-    df = rows("vec_id int, embedding array<float>", *enumerate(wide))
-    assert cells(vectors.search(df, wide[1], 1)) == [(1, 1.0)]
+def test_vectors_rank_by_the_exact_score(rows):
+    near = [(i, [1.0, i * 1e-9]) for i in range(5)]
+    df = rows("vec_id int, embedding array<double>", *near, (9, None), (8, [1.0, 4e-9]))
+    assert [i for i, _ in cells(vectors.nearest(df, [0.0, 1.0], 3))] == [4, 8, 3]
+    assert vectors.nearest(df, [0.0, 1.0], 10).count() == 6
 
 
 # --- fusion -----------------------------------------------------------------------------------------
@@ -156,9 +176,12 @@ def test_wide_vectors_use_cells_only_with_enough_rows(rows):
 def test_fusion(rows):
     keyword = rows("id int, score double", (1, 1.0))
     semantic = rows("id int, score double", (1, 0.9), (2, 0.5))
-    assert cells(fusion.fuse_union(keyword, semantic, 2)) == [("vec_1", 0.63), ("vec_2", 0.35)]
-    assert cells(fusion.fuse_union(keyword, semantic, 9))[2] == ("db_1", 0.3)
-    assert cells(fusion.fuse_by_record(keyword, semantic, 9)) == [(1, 0.93), (2, 0.35)]
+    assert [r[0] for r in cells(fusion.fuse_union(keyword, semantic, 2))] == ["vec_1", "vec_2"]
+    assert cells(fusion.fuse_union(keyword, semantic, 9))[2] == ("db_1", pytest.approx(0.3))
+    assert cells(fusion.fuse_by_record(keyword, semantic, 9)) == [(1, pytest.approx(0.93)), (2, 0.35)]
+    told = fusion.fuse_by_record(keyword.withColumn("content", F.lit("k")),
+                                 semantic.withColumn("content", F.lit("s")), 9)
+    assert cells(told, "id", "content") == [(1, "k"), (2, "s")]
 
 
 def test_light_hybrid(rows):

@@ -18,6 +18,7 @@ repeated rows. A null item id is an id like any other.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -114,23 +115,24 @@ def candidates(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, window:
                    .select("n_words").distinct().collect())      # at most gram - 1 values
     sizes = [gram, *short]
 
-    def exploded(df: DataFrame, *keep: str) -> DataFrame:
+    def of_size(size: int) -> DataFrame:        # a long item by its grams, a short one as a whole
+        grams = rolling_grams(items.select("item_key", "text"), [size])
+        return (grams.where(F.least("n_words", F.lit(gram)) == size)
+                .select("item_key", F.posexplode("grams").alias("place", "gram")))
+
+    of_items = durable(reduce(DataFrame.union, map(of_size, sizes)))
+
+    def placed(df: DataFrame) -> DataFrame:
         grams = rolling_grams(df, sizes)
-        if short:
-            return (grams.select(*keep, "n_words", "at", F.posexplode("grams").alias("index", "gram"))
-                    .withColumn("begin", F.array_max(F.filter("at", lambda a: a <= F.col("index"))))
-                    .withColumn("place", F.col("index") - F.col("begin")))
-        return grams.select(*keep, "n_words", F.posexplode("grams").alias("place", "gram"))
-
-    of_items = exploded(items.select("item_key", "text"), "item_key")
-    if short:                                   # a short item counts as a whole, a long one by grams
-        size = F.element_at(F.array(*(F.lit(s) for s in sizes)), F.array_position("at", F.col("begin")).cast("int"))
-        of_items = of_items.where(F.least("n_words", F.lit(gram)) == size)
-    of_items = durable(of_items.select("item_key", "place", "gram"))
+        if not short:
+            return grams.select("doc_id", "text_key", F.posexplode("grams").alias("place", "gram"))
+        begin = F.array_max(F.filter("at", lambda a: a <= F.col("index")))
+        return (grams.select("doc_id", "text_key", "at", F.posexplode("grams").alias("index", "gram"))
+                .select("doc_id", "text_key", (F.col("index") - begin).alias("place"), "gram"))
 
     rows = only(docs, "doc_id", "text").withColumn("text_key", text_key())
-    hits = durable(exploded(rows, "doc_id", "text_key").select("doc_id", "text_key", "place", "gram")
-                   .join(_checked(of_items.select("gram").distinct(), broadcast_grams), "gram"))
+    hits = durable(placed(rows).join(_checked(of_items.select("gram").distinct(), broadcast_grams),
+                                     "gram"))
     frequency = hits.groupBy("gram").agg(F.count("*").alias("frequency"))
     ranked = of_items.join(frequency, "gram").withColumn(
         "rank", F.struct("frequency", "gram", "place"))

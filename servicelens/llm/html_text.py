@@ -45,6 +45,7 @@ RAW = frozenset("script style noscript template iframe svg textarea title select
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark "
                    "q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 LEFT_OUT = frozenset("head nav header footer aside form button menu dialog input".split()) | RAW
+UNBROKEN = INLINE | RAW | {"button", "input"}           # left out without ending a block
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu "
                   "menubar toolbar".split())
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion "
@@ -283,7 +284,7 @@ def _read(tree: list, wrapper: list | None, inside: bool, region: str, fixed: bo
                 else:
                     _read(child, None, inside, region, False, out)
         elif name.startswith("!"):
-            if name[1:] not in INLINE:
+            if name[1:] not in UNBROKEN:
                 out.append("\n")
         elif name == "br":
             out.append(" ")

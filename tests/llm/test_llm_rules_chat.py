@@ -35,9 +35,9 @@ TEXTS = [None, "", " \n\t ", "one", PROSE, PROSE * 5, "a b c d e f g h a b c d e
 def test_counts(rows):
     docs = rows("doc_id bigint, text string, lang string, n_words string, LANG int",
                 *((i, t, "en", "x", 0) for i, t in enumerate(TEXTS)))
-    judged = rules.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                                      "base_failed").collect()
-    assert {r[0]: tuple(r[1:]) for r in judged} == {i: slow_counts(t) for i, t in enumerate(TEXTS)}
+    for judged in (rules.judge(docs), rules.report(docs)):
+        assert {r.doc_id: (*(r[c] for c in rules.COUNTS), r.base_failed) for r in judged.collect()} == {
+            i: slow_counts(t) for i, t in enumerate(TEXTS)}
 
 
 def test_long_text(rows):

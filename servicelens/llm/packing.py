@@ -17,6 +17,7 @@ rows and null ids are packed row by row. Other columns are ignored by `pack`.
 
 from __future__ import annotations
 
+import json
 import os
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
@@ -34,56 +35,99 @@ STRETCH_PIECES = 20_000         # pieces that are packed together
 STRETCH_TOKENS = 16_000_000
 NODES = 20_000                  # sequences tried by one search
 CHOICES = 8                     # fillings kept for one sequence
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
-_encoders: dict[str, tuple] = {}
+_encoders: dict[str, _Encoder] = {}
 
 
-def _encoder(path: str) -> tuple:
-    if path not in _encoders:
+class _Encoder:
+    """Ids of texts, word by word, with a cache of two generations of words.
+
+    The ids of a text are those of its parts between ASCII blanks, as the tokenizer never joins
+    across a blank; likewise a letter and a mark behind it are apart. A full cache becomes the old
+    generation, from which words in use move over, so memory is bounded and common words stay.
+    """
+
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        _encoders[path] = (Tokenizer.from_file(path), {})
-    return _encoders[path]
-
-
-def _learn(words: set[bytes], tokenizer, known: dict[bytes, bytes]) -> None:
-    """Add the ids of words. The ids of a text are those of its words between ASCII blanks, as the
-    tokenizer never joins across a blank; likewise a letter and a mark behind it are apart."""
-    if len(known) + len(words) > CACHE_WORDS:
-        known.clear()
-    ended, plain, other = [], [], []
-    stems: set[bytes] = set()
-    for word in words:
-        if len(word) > 1 and word[-1] in b".,!?" and word[-2:-1].isalpha():
-            ended.append(word)
-            stems.update((word[:-1], word[-1:]))
-        else:
-            stems.add(word)
-    for word in stems - known.keys():
-        (plain if word.isalpha() else other).append(word)      # bytes: ASCII letters only
-    for word in plain:
-        ids = [t.id for t in tokenizer.model.tokenize(word.lower().decode())]
-        known[word] = np.array(ids, dtype="<u4").tobytes()
-    encoded = tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
-    for word, found in zip(other, encoded):
-        known[word] = np.array(found.ids, dtype="<u4").tobytes()
-    for word in ended:
-        known[word] = known[word[:-1]] + known[word[-1:]]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.byte_level = _is_lower_byte_level(path)
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def texts(self, texts: Sequence[str | None], end_id: int) -> list[bytes]:
+        split = [(t or "").encode().split() for t in texts]
+        if len(self.young) > CACHE_WORDS:
+            self.old, self.young = self.young, {}
+        self._learn(set().union(*split) - self.young.keys())
+        end = np.array([end_id], dtype="<u4").tobytes()
+        get = self.young.__getitem__
+        return [b"".join(map(get, words)) + end for words in split]
+
+    def _learn(self, words: set[bytes]) -> None:
+        known, other, ended = self.young, [], []
+        for word in words & self.old.keys():
+            known[word] = self.old[word]
+        words = words - self.old.keys()
+        stems: set[bytes] = set()
+        for word in words:
+            if len(word) > 1 and word[-1] in b".,!?" and word[:-1].decode()[-1].isalpha():
+                ended.append(word)
+                stems.update((word[:-1], word[-1:]))
+            else:
+                stems.add(word)
+        tokenize = self.tokenizer.model.tokenize
+        for word in stems - known.keys():
+            plain = self.byte_level and _plain_letters(word.decode())
+            if plain:
+                known[word] = b"".join([t.id.to_bytes(4, "little") for t in tokenize(plain)])
+            else:
+                other.append(word)
+        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in other],
+                                                   add_special_tokens=False)
+        for word, found in zip(other, encoded):
+            known[word] = np.array(found.ids, dtype="<u4").tobytes()
+        for word in ended:
+            known[word] = known[word[:-1]] + known[word[-1:]]
+
+
+def _is_lower_byte_level(path: str) -> bool:
+    """The tokenizer lower-cases and then spells the bytes of each word in byte-level characters."""
+    with open(path, encoding="utf-8") as file:
+        parts = json.load(file)
+    normal = (parts.get("normalizer") or {}).get("normalizers") or []
+    before = (parts.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    return ([n["type"] for n in normal] == ["NFC", "Replace", "Lowercase"]
+            and [b["type"] for b in before] == ["Split", "ByteLevel"])
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level spelling: printable bytes are themselves, the others follow from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+def _plain_letters(word: str) -> str | None:
+    """The spelling of a word of Latin letters, which needs no other normalization; else None."""
+    if not word.isalpha():
+        return None
+    if word.isascii():
+        return word.lower()
+    if max(word) > "\u024f" or "\u0130" in word:
+        return None
+    return word.lower().encode().decode("latin-1").translate(_BYTE_LETTERS)
 
 
 def token_bytes(texts: Sequence[str | None], path: str, end_id: int = END_ID) -> list[bytes]:
     """Per text its ids and the end mark, as little-endian unsigned 32-bit numbers."""
-    tokenizer, known = _encoder(path)
-    split = [(t or "").encode().split() for t in texts]
-    fresh = set().union(*split) - known.keys()
-    if fresh:
-        _learn(fresh, tokenizer, known)
-        missing = set().union(*split) - known.keys()            # the cache was emptied meanwhile
-        if missing:
-            _learn(missing, tokenizer, known)
-    end = np.array([end_id], dtype="<u4").tobytes()
-    return [b"".join(map(known.__getitem__, words)) + end for words in split]
+    if path not in _encoders:
+        _encoders[path] = _Encoder(path)
+    return _encoders[path].texts(texts, end_id)
 
 
 def best_fit(lengths: Sequence[int], capacity: int) -> list[list[int]]:

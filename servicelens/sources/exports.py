@@ -1,23 +1,26 @@
 """Read sheet exports (one CSV file per sheet) into one table of raw text cells.
 
-Layout: `<anywhere>/<workbook>/<sheet>.csv`. The header sits in the first or the second line. Files
-that share a header layout are read by one scan, so the number of plan branches follows the number
-of layouts and not the number of files.
+Layout: `<anywhere>/<workbook>/<sheet>.csv`. The header sits in the first or the second line. One
+distributed read finds the layouts of all files: the width of each sheet over all its records, and
+its first two records. Files that share a layout are then read by one scan, so jobs and plan branches
+follow the number of layouts and not the number of files. The driver holds the caller's list of paths
+and the layout of each.
 """
 
 from __future__ import annotations
 
+import csv
 import logging
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 from pathlib import PurePosixPath
 from urllib.parse import unquote
 
-from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,7 +33,7 @@ FILE_HEADING, SHEET_HEADING = "ファイル名", "シート名"
 LOAD_ORDER = ["_file_order", "_block_start", "_row"]
 _UNNAMED = "Unnamed"
 _BLANK_SHARE = 0.8
-_PROBES_AT_ONCE = 16
+_LOOKUPS_AT_ONCE = 16
 _SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.-]*:/{0,2}(?=/)"
 
 
@@ -51,8 +54,14 @@ def clean_names(names: Sequence[str]) -> list[str]:
     return out
 
 
-def pick_header(rows: Sequence[Sequence[str | None]]) -> Layout:
-    """The first of two rows with under 80% blank names, else row 0."""
+def pick_header(rows: Sequence[Sequence[str | None]], width: int = 0) -> Layout:
+    """The first of two rows with under 80% blank names, else row 0.
+
+    Rows are judged at the width of the sheet: shorter ones are filled up with blanks.
+    """
+    width = max(width, *(len(row) for row in rows[:2]))
+    rows = [[*row, *[None] * (width - len(row))] for row in rows[:2]]
+
     def named(row):
         return [v if v is not None and v.strip() else f"{_UNNAMED}: {i}"
                 for i, v in enumerate(row)]
@@ -61,7 +70,7 @@ def pick_header(rows: Sequence[Sequence[str | None]]) -> Layout:
         names = named(row)
         return sum(n.startswith(_UNNAMED) for n in names) < len(names) * _BLANK_SHARE
 
-    at = next((i for i, row in enumerate(rows[:2]) if usable(row)), 0)
+    at = next((i for i, row in enumerate(rows) if usable(row)), 0)
     header = tuple("" if v is None else v for v in rows[at])
     return Layout(at, tuple(clean_names(named(rows[at]))), header)
 
@@ -73,32 +82,76 @@ def _reader(spark: SparkSession, multi_line: bool):
             .option("ignoreTrailingWhiteSpace", False))
 
 
-def _probe(spark: SparkSession, path: str, multi_line: bool) -> Layout | None:
-    """Header layout of one file, from its first two records; None if it cannot be read."""
-    try:
-        rows = _reader(spark, multi_line).option("header", False).csv(path).head(2)
-    except PySparkException as e:
-        log.warning("skipped %s: %s", path, str(e).splitlines()[0])
-        return None
-    if not rows:
-        log.warning("skipped %s: empty", path)
-        return None
-    return pick_header([[v.lstrip("\ufeff") if v else v for v in row] for row in rows])
+def _path() -> Column:
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def _existing(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """The paths that exist, in their order; others are logged."""
+    def found(path: str) -> bool:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+    with ThreadPoolExecutor(_LOOKUPS_AT_ONCE) as pool:
+        there = dict(zip(paths, pool.map(found, paths)))
+    for path in paths:
+        if not there[path]:
+            log.warning("skipped %s: not found", path)
+    return [p for p in paths if there[p]]
+
+
+def _layout_columns(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        made = []
+        for row in frame.itertuples():
+            rows = [next(csv.reader([text.lstrip("\ufeff")], strict=False), [])
+                    for text in row.heads]
+            layout = pick_header([[v or None for v in r] for r in rows], row.width)
+            made.append((row.bare, layout.header_row, list(layout.names), list(layout.header)))
+        yield pd.DataFrame(made, columns=["bare", "header_row", "names", "header"])
+
+
+def find_layouts(spark: SparkSession, paths: Sequence[str], multi_line: bool = False) -> DataFrame:
+    """(bare, header_row, names, header): the layout of every file with records, from one read.
+
+    A reader of one column hands over each record with more fields as it is written, so its fields
+    can be counted whatever the width of the lines before it.
+    """
+    raw = (_reader(spark, multi_line).option("header", False)
+           .option("columnNameOfCorruptRecord", "_record")
+           .schema("_c0 string, _record string").csv(list(paths)))
+    quoted = F.concat(F.lit('"'), F.replace("_c0", F.lit('"'), F.lit('""')), F.lit('"'))
+    records = raw.select(
+        F.regexp_replace(_path(), _SCHEME, "").alias("bare"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"),
+                 F.monotonically_increasing_id().alias("row")).alias("place"),
+        F.coalesce("_record", quoted).alias("record"))
+    unquoted = F.regexp_replace("record", r'"(?:[^"]|"")*"', "")
+    fields_in = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","))) + 1
+    first_two = Window.partitionBy("bare").orderBy("place")
+    heads = (records.withColumn("_n", F.row_number().over(first_two)).filter("_n <= 2")
+             .groupBy("bare").agg(F.sort_array(F.collect_list(F.struct("_n", "record"))).alias("heads"))
+             .withColumn("heads", F.transform("heads", lambda h: F.coalesce(h.record, F.lit("")))))
+    widths = records.groupBy("bare").agg(F.coalesce(F.max(fields_in), F.lit(1)).alias("width"))
+    return heads.join(widths, "bare").mapInPandas(
+        _layout_columns, "bare string, header_row int, names array<string>, header array<string>")
 
 
 def _scan(spark: SparkSession, layout: Layout, paths: Sequence[str], multi_line: bool) -> DataFrame:
     cells = [f"_c{i}" for i in range(len(layout.names))]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in cells])
     raw = (_reader(spark, multi_line).option("header", True).schema(schema).csv(list(paths)))
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    df = raw.select(*cells, path.alias("_path"),
+    df = raw.select(*cells, _path().alias("_path"),
                     F.col("_metadata.file_block_start").alias("_block_start"),
                     F.monotonically_increasing_id().alias("_row"))
     if layout.header_row == 1:
-        # the reader skips line 0 of each file; the header itself is the record equal to it
+        # the reader skips line 0 of each file; of the records equal to the header the first goes
         is_header = reduce(lambda a, b: a & b, (
             F.coalesce(F.col(c), F.lit("")) == v for c, v in zip(cells, layout.header)))
-        df = df.filter(~is_header)
+        in_file = Window.partitionBy("_path").orderBy("_block_start", "_row")
+        repeats = (df.filter(is_header).withColumn("_n", F.row_number().over(in_file))
+                   .filter("_n > 1").drop("_n"))
+        df = df.filter(~is_header).unionByName(repeats)
     named = [F.col(c).alias(n) for c, n in zip(cells, layout.names)]
     return df.select(
         *named,
@@ -114,12 +167,13 @@ def _bare(path: str) -> str:
 def _in_file_order(df: DataFrame, paths: Sequence[str]) -> DataFrame:
     """Add the position of each row's file in the list of paths.
 
-    The lookup holds one row per input file and comes from the driver's own path list.
+    The lookup holds one row per input file and comes from the driver's own path list; Spark knows
+    its size and broadcasts it while it is small.
     """
     order = df.sparkSession.createDataFrame(
         [(_bare(p), i) for i, p in enumerate(paths)], "_bare string, _file_order int")
     bare = F.regexp_replace("_path", _SCHEME, "").alias("_bare")
-    return df.join(F.broadcast(order), bare == order["_bare"], "left").drop("_bare")
+    return df.join(order, bare == order["_bare"], "left").drop("_bare")
 
 
 def sentinels_to_null(df: DataFrame, markers: Sequence[str] = tuple(fields.NULL_MARKERS)
@@ -136,13 +190,16 @@ def read_exports(spark: SparkSession, paths: Sequence[str], sheets: Sequence[str
     Files that are missing, empty or unreadable are logged and skipped. `sheets` is an allow-list of
     sheet names. The columns in `LOAD_ORDER` give the load order of the rows.
     """
-    chosen = [p for p in paths if sheets is None or PurePosixPath(p).stem in sheets]
-    with ThreadPoolExecutor(_PROBES_AT_ONCE) as pool:
-        found = list(pool.map(lambda p: _probe(spark, p, multi_line), chosen))
+    chosen = _existing(spark, [p for p in paths if sheets is None or PurePosixPath(p).stem in sheets])
     by_layout: dict[Layout, list[str]] = {}
-    for path, layout in zip(chosen, found):
-        if layout:
-            by_layout.setdefault(layout, []).append(path)
+    if chosen:
+        listed = find_layouts(spark, chosen, multi_line).agg(F.collect_list(F.struct("*"))).first()[0]
+        found = {x.bare: Layout(x.header_row, tuple(x.names), tuple(x.header)) for x in listed}
+        for path in chosen:
+            if _bare(path) in found:
+                by_layout.setdefault(found[_bare(path)], []).append(path)
+            else:
+                log.warning("skipped %s: empty", path)
     if not by_layout:
         return spark.createDataFrame([], T.StructType([]))
     scans = [_scan(spark, layout, files, multi_line) for layout, files in by_layout.items()]

@@ -17,7 +17,9 @@ def write(path, text):
 
 def test_header_choice():
     blank = [None] * 9 + ["報告書"]
-    assert exports.pick_header([blank, ["a", "b"]]).header_row == 1
+    assert exports.pick_header([blank, ["a", "b", "c"]]).header_row == 1
+    assert exports.pick_header([blank, ["a", "b"]]).header_row == 0       # 80 % of the width is blank
+    assert exports.pick_header([["a"], ["b", "c"]], 6).header_row == 1
     assert exports.pick_header([["a", None], ["1", "2"]]).names == ("a", "Unnamed: 1")
     assert exports.pick_header([blank, blank]).header_row == 0
     assert exports.pick_header([blank]).header_row == 0
@@ -75,6 +77,39 @@ def test_files_of_one_layout_share_a_scan(spark, tmp_path):
     assert [r[0] for r in df.orderBy(*exports.LOAD_ORDER).collect()] == [str(i) for i in range(7)]
 
 
+def test_width_is_that_of_the_whole_sheet(spark, tmp_path):
+    late = write(tmp_path / "w" / "late.csv", "Report\n整備案件NO,機種名,作業時間\nA1,U-30,2\n")
+    df = exports.read_exports(spark, [late])
+    assert cells(df.orderBy(*exports.LOAD_ORDER), "Report", "`Unnamed: 1`", "`Unnamed: 2`") == [
+        ("整備案件NO", "機種名", "作業時間"), ("A1", "U-30", "2")]
+    title = write(tmp_path / "w" / "title.csv", "Report\na,b,c,d,e,f\n1,2,3,4,5,6\n\"x, \"\"y\",2\n")
+    df = exports.read_exports(spark, [title])
+    assert cells(df.orderBy(*exports.LOAD_ORDER), "a", "b", "f") == [("1", "2", "6"), ('x, "y', "2", None)]
+
+
+def test_only_the_first_record_equal_to_the_header_is_the_header(spark, tmp_path):
+    path = write(tmp_path / "w" / "s.csv", ",,,,,t\na,b,c,d,e,f\n1,,,,,\na,b,c,d,e,f\n2,,,,,\n")
+    df = exports.read_exports(spark, [path])
+    assert cells(df.orderBy(*exports.LOAD_ORDER), "a") == [("1",), ("a",), ("2",)]
+
+
+def test_records_over_several_lines(spark, tmp_path):
+    path = write(tmp_path / "w" / "s.csv", 'a,b\n"1\n2",x\n3,y,z\n')
+    df = exports.read_exports(spark, [path], multi_line=True)
+    assert cells(df.orderBy(*exports.LOAD_ORDER), "a", "b", "`Unnamed: 2`") == [("1\n2", "x", None), ("3", "y", "z")]
+
+
+def test_jobs_do_not_grow_with_files(spark, tmp_path):
+    paths = [write(tmp_path / f"v{i}" / "s.csv", f"a,b\n{i},x\n") for i in range(12)]
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    for n in (2, 12):
+        spark.sparkContext.setJobGroup(f"layouts{n}", "")
+        assert exports.find_layouts(spark, paths[:n]).count() == n
+        jobs.append(len(tracker.getJobIdsForGroup(f"layouts{n}")))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[0] == jobs[1]
+
+
 def test_ingest_to_clean_records(spark, workbooks):
     out = normalize_records(exports.read_exports(spark, workbooks))
     row = {r["case_no"]: r for r in out.collect()}

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from servicelens.llm.common import only
+from servicelens.llm.common import durable, only, shielded
 
 BLANKS = r"[\x20\x09-\x0D]+"
 WINDOW = 8
@@ -45,17 +45,16 @@ COMMON_WORDS = {
            "le").split(),
 }
 
-# Character classes as regular expressions of all characters outside of them.
+# Character classes as regular expressions of all characters outside of them. Blanks
+# and whatever is left over are two classes more.
 CLASSES = {
-    "lower": "[^a-z]+",
     "upper": "[^A-Z]+",
     "digit": "[^0-9]+",
-    "blank": r"[^\x20\x09-\x0D]+",
     "stop": r"[^.,;:!?'\"()\-]+",
+    "symbol": "[^#*$%&|<>@^~_=+/{}]+",
     "beyond": r"[\x00-\x7F]+",
 }
 
-
 _REFERENCES = ("array<struct<reference_lang:string,reference_chars:array<double>,"
                "reference_words:array<double>>>")
 
@@ -98,17 +97,23 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
                   let(let(F.transform(words, lambda w: F.xxhash64(w)), hashed), counted)).otherwise(0)
 
 
-def with_counts(docs: DataFrame) -> DataFrame:
+def with_words(docs: DataFrame) -> DataFrame:
+    """Adds _words, and _word_chars, the characters in them."""
+    return docs.withColumn("_words", words_of(F.coalesce("text", F.lit("")))).withColumn(
+        "_word_chars", F.length(F.array_join("_words", "")))
+
+
+def with_counts(worded: DataFrame) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    return docs.withColumn("_words", words_of(text)).withColumns({
+    return worded.withColumns({
         "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+        "word_chars": F.col("_word_chars").cast("long"),
         "n_symbols": _only_matching(text, r"[^#*$%&|<>]+").cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_repeat_words": repeated_words(F.col("_words")).cast("long"),
-    }).drop("_words")
+    })
 
 
 def _shares(counts: Column) -> Column:
@@ -119,6 +124,7 @@ def _shares(counts: Column) -> Column:
 
 def _class_counts(text: Column) -> Column:
     parts = [_only_matching(text, r).cast("double") for r in CLASSES.values()]
+    parts.append((F.length(text) - F.col("_word_chars")).cast("double"))
     return let(F.array(*parts), lambda p: F.concat(p, F.array(
         F.length(text) - F.aggregate(p, F.lit(0.0), lambda a, c: a + c))))
 
@@ -138,28 +144,27 @@ def _word_counts(words: Column, lang: str) -> Column:
     return let(hits, counts)
 
 
-def with_histograms(docs: DataFrame) -> DataFrame:
-    """Adds _chars (shares of the classes) and, by language, _words_<lang> where it applies."""
+def measure(docs: DataFrame) -> DataFrame:
+    """The documents with the counts, `_length`, `_chars` (shares of the classes) and, by language,
+    `_words_<lang>` (shares of its common words) where the text may be in it."""
     text = F.coalesce("text", F.lit(""))
-    prepared = docs.withColumn("_words", words_of(text)).withColumn(
-        "_chars", _shares(_class_counts(text)))
-    named = F.col("lang").isin(*COMMON_WORDS)
-    return prepared.withColumns({
-        f"_words_{lang}": F.when(~F.coalesce(named, F.lit(False)) | (F.col("lang") == lang),
-                                 _shares(_word_counts(F.col("_words"), lang)))
-        for lang in COMMON_WORDS})
+    unknown = ~F.coalesce(F.col("lang").isin(*COMMON_WORDS), F.lit(False))
+    return with_counts(with_words(docs)).withColumns({
+        "_length": F.length(text),
+        "_chars": _shares(_class_counts(text)),
+        **{f"_words_{lang}": F.when(unknown | (F.col("lang") == lang),
+                                    _shares(_word_counts(F.col("_words"), lang)))
+           for lang in COMMON_WORDS}}).drop("_words", "_word_chars")
 
 
-def references(docs: DataFrame) -> DataFrame:
+def references(measured: DataFrame) -> DataFrame:
     """One row per known language: reference_lang, reference_chars and reference_words."""
-    measured = with_histograms(only(docs, "text", "lang").where(F.col("lang").isin(*COMMON_WORDS)))
     own = F.coalesce(*(F.when(F.col("lang") == x, F.col(f"_words_{x}")) for x in COMMON_WORDS))
-    long_enough = measured.where((F.length("text") >= CHARS_GUARD)
-                                 & (F.size("_words") >= WORDS_GUARD))
+    shares = measured.where(F.col("lang").isin(*COMMON_WORDS) & (F.col("_length") >= CHARS_GUARD)
+                            & (F.col("n_words") >= WORDS_GUARD)).select("lang", "_chars", own.alias("_own"))
     size = 1 + max(map(len, COMMON_WORDS.values()))
-    shares = long_enough.select("lang", "_chars", own.alias("_own"))
     means = shares.groupBy("lang").agg(
-        F.array(*(F.avg(F.get("_chars", F.lit(i))) for i in range(len(CLASSES) + 1))).alias("reference_chars"),
+        F.array(*(F.avg(F.get("_chars", F.lit(i))) for i in range(len(CLASSES) + 2))).alias("reference_chars"),
         F.array(*(F.avg(F.get("_own", F.lit(i))) for i in range(size))).alias("reference_words"))
     return means.withColumnRenamed("lang", "reference_lang")
 
@@ -173,20 +178,19 @@ def divergence(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t) / 2, F.lit(0.0)))
 
 
-def judge(docs: DataFrame, reference: DataFrame | None = None, chars_limit: float = CHARS_LIMIT,
-          words_limit: float = WORDS_LIMIT) -> DataFrame:
-    """The documents with the counts, base_failed, char_distance, word_distance and kept.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+ADDED = (*COUNTS, "base_failed", "char_distance", "word_distance", "kept")
+
+
+def verdicts(measured: DataFrame, reference: DataFrame, chars_limit: float = CHARS_LIMIT,
+             words_limit: float = WORDS_LIMIT) -> DataFrame:
+    """Adds base_failed, char_distance, word_distance and kept to measured documents.
 
     The distances are null where a guard holds or no reference exists.
     """
-    added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-             "char_distance", "word_distance", "kept")
-    names = [n for n in dict.fromkeys(docs.columns) if n not in added]
     listed = F.array(*(F.struct(
         F.lit(r.reference_lang).alias("reference_lang"), F.lit(r.reference_chars).alias("reference_chars"),
-        F.lit(r.reference_words).alias("reference_words"))
-        for r in (references(docs) if reference is None else reference).collect())).cast(_REFERENCES)
-    measured = with_histograms(with_counts(only(docs, *names))).withColumn("_references", listed)
+        F.lit(r.reference_words).alias("reference_words")) for r in reference.collect())).cast(_REFERENCES)
 
     def least(distance: Callable[[Column], Column]) -> Column:
         own = F.exists("_references", lambda r: r.reference_lang == F.col("lang"))
@@ -198,9 +202,8 @@ def judge(docs: DataFrame, reference: DataFrame | None = None, chars_limit: floa
         mine = F.coalesce(*(F.when(r.reference_lang == x, F.col(f"_words_{x}")) for x in COMMON_WORDS))
         return divergence(mine, r.reference_words)
 
-    text_length = F.length(F.coalesce("text", F.lit("")))
-    distances = measured.withColumns({
-        "char_distance": F.when(text_length >= CHARS_GUARD,
+    distances = measured.withColumn("_references", listed).withColumns({
+        "char_distance": F.when(F.col("_length") >= CHARS_GUARD,
                                 least(lambda r: divergence(F.col("_chars"), r.reference_chars))),
         "word_distance": F.when(F.col("n_words") >= WORDS_GUARD, least(words_for)),
         "base_failed": (F.col("n_words") < LEAST_WORDS)
@@ -208,4 +211,20 @@ def judge(docs: DataFrame, reference: DataFrame | None = None, chars_limit: floa
     })
     near = (F.coalesce(F.col("char_distance") <= chars_limit, F.lit(True))
             & F.coalesce(F.col("word_distance") <= words_limit, F.lit(True)))
-    return distances.withColumn("kept", ~F.col("base_failed") & near).select(*names, *added)
+    return distances.withColumn("kept", ~F.col("base_failed") & near)
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """The documents with the counts, base_failed, char_distance, word_distance and kept.
+
+    Texts are measured twice, for the references and for the verdict, and moved nowhere.
+    """
+    safe, restored = shielded(docs, ("text", "lang"), ADDED)
+    measured = measure(safe)
+    return restored(verdicts(measured, references(measured)))
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """doc_id with what `judge` adds. Measurements are kept in a checkpoint, so texts are read once."""
+    measured = durable(measure(only(docs, "doc_id", "text", "lang")).drop("text"))
+    return verdicts(measured, references(measured)).select("doc_id", *ADDED)

@@ -14,6 +14,12 @@ from pyspark.sql import functions as F
 from servicelens import fields
 
 _NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
+_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+_NAME = ("(?i)(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t|tember)?"
+         "|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)")
+_MONTH_FIRST = r"^\s*(\d{1,2})[/-](\d{1,2})[/-](\d{4})(?!\d)"
+_DAY_NAME = rf"(?i)^\s*(\d{{1,2}})[- ]{_NAME}[-, .]+(\d{{4}})((?:\s.*)?)$"
+_NAME_DAY = rf"(?i)^\s*{_NAME}\.?[ -](\d{{1,2}})(?:,? |-)(\d{{4}})((?:\s.*)?)$"
 _DAY = r"^\s*(\d{4})(?:[/.年](\d{1,2})[/.月](\d{1,2})日?|(\d{2})(\d{2})(?!\d))"
 
 
@@ -46,8 +52,25 @@ def to_number(c: Column) -> Column:
 
 
 def to_timestamp(c: Column) -> Column:
-    """Text to a zone-free timestamp; `2024-1-5`, `2024/1/5 9:30`, `2024年1月5日`, `20240105`."""
-    return F.regexp_replace(c, _DAY, "$1-$2$4-$3$5").try_cast("timestamp_ntz")
+    """Text to a zone-free timestamp: `2024-1-5`, `2024/1/5 9:30`, `2024年1月5日`, `20240105`, month
+    first as in `1/5/2024`, and month names as in `05-Jan-2024` or `January 5, 2024 9:30`."""
+    def month(name: Column) -> Column:
+        place = F.instr(F.lit(_MONTHS), F.lower(F.substring(name, 1, 3)))
+        return ((place + 2) / 3).cast("int").cast("string")
+
+    def from_parts(pattern: str, named_month: int, day: int) -> Column:
+        def part(i: int) -> Column:
+            return F.regexp_extract(c, pattern, i)
+
+        return F.when(c.rlike(pattern), F.concat(
+            part(3), F.lit("-"), month(part(named_month)), F.lit("-"), part(day), part(4)))
+
+    year_first = F.regexp_replace(c, _DAY, "$1-$2$4-$3$5")
+    written = (F.when(c.rlike(_MONTH_FIRST), F.regexp_replace(c, _MONTH_FIRST, "$3-$1-$2"))
+               .when(c.rlike(_DAY_NAME), from_parts(_DAY_NAME, 2, 1))
+               .when(c.rlike(_NAME_DAY), from_parts(_NAME_DAY, 1, 2))
+               .otherwise(year_first))
+    return written.try_cast("timestamp_ntz")
 
 
 def duration_days(c: Column) -> Column:

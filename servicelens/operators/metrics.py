@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from servicelens import fields
 from servicelens.functions.values import named, percent
+from servicelens.session import ensure_checkpoint_dir
 
-_BUCKETS = 4096
 
 
 def top_counts(df: DataFrame, column: str, n: int | None = None, name: str = "cases") -> DataFrame:
@@ -85,23 +85,24 @@ def cases_by_location(cases: DataFrame) -> DataFrame:
 def exact_median(df: DataFrame, by: str, value: str, name: str = "median") -> DataFrame:
     """Exact median of the non-null values per non-null group, largest first.
 
-    Values are counted per (group, value) before the first shuffle. A group is then narrowed to the
-    one or two value buckets that hold its middle ranks, and only the distinct values in those are
-    put in order, by an external sort. A group may be arbitrarily large; one without values gets
-    null.
+    Values are counted per (group, value) before the first shuffle. The counts are range-partitioned
+    by group and value, so the ranges follow the data and an outlier has no effect on them; a
+    checkpoint fixes them. A group is then narrowed to the one or two ranges that hold its middle
+    ranks, and only the distinct values in those are put in order, by an external sort. A group may
+    be arbitrarily large; one without values gets null.
     """
+    ensure_checkpoint_dir(df.sparkSession)
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counted = (df.filter(F.col(by).isNotNull())
                .groupBy(by, F.col(value).cast("double").alias("_v"))
-               .agg(F.count("*").alias("_n")))
-    limits = counted.agg(F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi"))).scalar()
-    scaled = F.width_bucket(F.col("_v"), limits["lo"], limits["hi"], F.lit(_BUCKETS))
-    bucketed = counted.withColumn(
-        "_b", F.when(F.col("_v").isNull(), -1).otherwise(F.coalesce(scaled, F.lit(0))))
+               .agg(F.when(F.col("_v").isNull(), 0).otherwise(F.count("*")).alias("_n")))
+    bucketed = (counted.repartitionByRange(ranges, by, "_v")
+                .withColumn("_b", F.spark_partition_id()).checkpoint())
 
     group = Window.partitionBy(by)
     upto = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     buckets = (bucketed.groupBy(by, "_b")
-               .agg(F.sum(F.when(F.col("_b") >= 0, F.col("_n")).otherwise(0)).alias("_n"))
+               .agg(F.sum("_n").alias("_n"))
                .select(by, "_b", (F.sum("_n").over(upto) - F.col("_n")).alias("_before"),
                        F.sum("_n").over(upto).alias("_upto"),
                        F.sum("_n").over(group).alias("_total"))

@@ -811,7 +811,13 @@ SELECT o_orderkey, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderdate END AS
   CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS price FROM orders""")
 def parse_safe(spark, sf_dir):
     priority, day = F.col("o_orderpriority"), F.col("o_orderdate")
-    written = (F.when(priority == "1-URGENT", F.date_format(day, "yyyy/M/d"))
+    month_first = F.col("o_orderkey") % 3 == 0
+    month_name = F.col("o_orderkey") % 3 == 1
+    written = (F.when((priority == "1-URGENT") & month_first, F.date_format(day, "M/d/yyyy"))
+               .when((priority == "2-HIGH") & month_first, F.date_format(day, "dd-MMM-yyyy"))
+               .when((priority == "3-MEDIUM") & month_first, F.date_format(day, "MMM d, yyyy"))
+               .when((priority == "3-MEDIUM") & month_name, F.date_format(day, "MMMM d, yyyy HH:mm"))
+               .when(priority == "1-URGENT", F.date_format(day, "yyyy/M/d"))
                .when(priority == "2-HIGH", F.date_format(day, "yyyy年M月d日"))
                .when(priority == "3-MEDIUM", F.date_format(day, "yyyyMMdd"))
                .when(priority == "4-NOT SPECIFIED", F.date_format(day, "yyyy-MM-dd HH:mm:ss"))

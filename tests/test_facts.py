@@ -132,6 +132,14 @@ def test_median_matches_the_built_in_one(spark, value):
     assert dict(cells(metrics.exact_median(df, "g", "v"))) == pytest.approx(want)
 
 
+@pytest.mark.parametrize("outlier", ["1e12D", "double('Infinity')"])
+def test_median_with_an_outlier(spark, outlier):
+    df = spark.range(4000).select(F.expr("id % 3").alias("g"), F.expr(
+        f"case when id = 17 then {outlier} else rand(5) end").alias("v"))
+    want = {r[0]: r[1] for r in df.groupBy("g").agg(F.median("v")).collect()}
+    assert dict(cells(metrics.exact_median(df, "g", "v"))) == pytest.approx(want)
+
+
 def test_facets_and_bounds(rows):
     df = rows("machine_model string, series string, hour_bin string", ("U", None, "不明"),
               ("U", "s", "不明"))

@@ -39,6 +39,15 @@ def test_timestamps(rows):
                    day.replace(hour=10, second=1), None, None, None, None, None]
 
 
+def test_month_first_and_month_names(rows):
+    got = column(rows, "string", ["1/5/2024", "01/05/2024 9:30", "05-Jan-2024", "Jan 5, 2024", "january 5, 2024 09:30",
+                                  "5 JAN 2024", "Sept 5, 2024", "13/5/2024", "05-Foo-2024", "1/5/20245", "1-5-2024"],
+                 values.to_timestamp)
+    day = datetime(2024, 1, 5)
+    half = day.replace(hour=9, minute=30)
+    assert got == [day, half, day, day, half, day, datetime(2024, 9, 5), None, None, None, day]
+
+
 @pytest.mark.parametrize("row, flag", [
     (("エンジン", None, None), 1), ((None, None, None), 0), (("定期点検", None, None), 0),
     (("定期点検", "漏れ", None), 1), (("", "", ""), 0), ((None, None, "法定検査"), 0)])

@@ -432,10 +432,39 @@ def spec_global(spark, sf_dir):
                     {"name": "hours", "expr": "sum:作業時間"}]})
 
 
-@query()
+def fuzzy_names_sql(needle: str, names: str) -> str:
+    """CTE `near`: the distinct names (of the query `names`, column `name`) that score above 70.
+
+    The longest common subsequence is one list per row of its table: each character of the needle
+    folds the last row into the next. Windows slide over the longer text, cut off at both ends; over
+    either one where both are equally long.
+    """
+    return f"""
+cells AS (SELECT name, lower(name) AS cell, '{needle}' AS needle FROM (SELECT DISTINCT name FROM ({names}))
+          WHERE name <> ''),
+sides AS (SELECT name, needle AS a, cell AS b FROM cells WHERE length(cell) >= length(needle)
+          UNION ALL SELECT name, cell, needle FROM cells WHERE length(cell) <= length(needle)),
+starts AS (SELECT *, unnest(range(2 - length(a), length(b) + 1)) AS first FROM sides),
+windows AS (SELECT name, a, b[greatest(first, 1):least(first + length(a) - 1, length(b))] AS w FROM starts),
+tables AS (SELECT name, a, w, list_reduce(
+    list_transform(range(1, length(a) + 1), lambda k: [unicode(a[k])]),
+    lambda above, c: list_transform(range(length(w) + 1), lambda j: CASE WHEN j = 0 THEN 0 ELSE list_max(
+      list_transform(range(1, j + 1), lambda i:
+        greatest(above[i + 1], above[i] + (unicode(w[i]) = c[1])::INTEGER))) END),
+    list_transform(range(length(w) + 1), lambda z: 0)) AS last_row FROM windows),
+near AS (SELECT name FROM tables GROUP BY name
+         HAVING max(200.0 * last_row[length(w) + 1] / (length(a) + length(w))) > 70)"""
+
+
+FUZZY_NEEDLE = "smal wijet"
+
+
+@query(on_records(f""", {fuzzy_names_sql(FUZZY_NEEDLE, "SELECT parts_name AS name FROM clean")}
+SELECT parts_name, sum(parts_qty) AS qty FROM clean WHERE parts_name IN (SELECT name FROM near)
+GROUP BY parts_name"""))
 def spec_fuzzy(spark, sf_dir):
     return spec(spark, sf_dir, ["parts_name", "parts_qty"], {
-        "filters": [{"column": "部品品名", "op": "fuzzy_search", "value": "smal wijet"}],
+        "filters": [{"column": "部品品名", "op": "fuzzy_search", "value": FUZZY_NEEDLE}],
         "groupby": ["parts_name"], "metrics": [{"name": "qty", "expr": "sum:部品数量"}]})
 
 
@@ -895,10 +924,11 @@ def normalize_documents(spark, sf_dir):
         "doc_id", normalize_text(F.translate("text", ascii_text + " ", wide + "　")).alias("text"))
 
 
-@query()
+@query(f"""WITH {fuzzy_names_sql(FUZZY_NEEDLE, "SELECT p_name AS name FROM part")}
+SELECT p_partkey, p_name FROM part WHERE p_name IN (SELECT name FROM near)""")
 def fuzzy_parts(spark, sf_dir):
     df = table(spark, sf_dir, "part")
-    return df.filter(fuzzy_match(F.col("p_name"), "smal wijet")).select("p_partkey", "p_name")
+    return df.filter(fuzzy_match(F.col("p_name"), FUZZY_NEEDLE)).select("p_partkey", "p_name")
 
 
 @query()

@@ -170,6 +170,8 @@ def fuzzy_score(c: Column, needle: str) -> Column:
 def fuzzy_match(c: Column, needle: str) -> Column:
     """True where the similarity is strictly above 70; missing and empty cells never match.
 
+    Needles of more than 64 characters are scored with Python integers: the same scores, slower.
+
     Cells the cheap test rejects cross to Python as null, which scores 0.
     """
     candidate = F.when(can_reach(c, needle), c)

@@ -22,8 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_partitions(spark: SparkSession) -> int | None:
+    """The session's `servicelens.spread.partitions`, for tables known to be one unsplittable file."""
+    asked = spark.conf.get("servicelens.spread.partitions", None)
+    return int(asked) if asked else None
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_spread(spark, f"{sf_dir}/documents.parquet", "doc_id")
+    return read_spread(spark, f"{sf_dir}/documents.parquet", "doc_id", spread_partitions(spark))
 
 
 def _columns() -> dict[str, tuple[tuple[str, ...], Column]]:
@@ -69,7 +75,7 @@ def lines(spark: SparkSession, sf_dir: str, *names: str, spread: bool = False) -
     """Repair records with the named columns; `spread` is for work that is heavy per row."""
     columns = _columns()
     needed = {t for n in names for t in columns[n][0]}
-    df = (read_spread(spark, f"{sf_dir}/{_LINE}.parquet", "l_orderkey") if spread
+    df = (read_spread(spark, f"{sf_dir}/{_LINE}.parquet", "l_orderkey", spread_partitions(spark)) if spread
           else table(spark, sf_dir, _LINE))
 
     def join(name: str, left: str, right: str) -> None:

@@ -67,13 +67,16 @@ def relevance_hits(df: DataFrame, query: str, weights: Mapping[str, float] | Non
                    ) -> DataFrame:
     """Rows with any keyword, with their relevance, in no order.
 
-    Known columns weigh 1 or 0.5; a table without any of them is searched in all its text columns
-    at 0.5. A blank query returns all rows, unranked.
+    Known columns, under their standard names or export headings, weigh 1 or 0.5; a table without any
+    of them is searched in all its text columns at 0.5. A blank query returns all rows, unranked.
     """
     words = [w.lower() for w in keywords(query)]
     if not words:
         return df
-    chosen = {c: w for c, w in (weights or fields.RELEVANCE_WEIGHTS).items() if c in df.columns}
+    known = weights or fields.RELEVANCE_WEIGHTS
+    standard = {c: fields.STANDARD_NAMES.get(c, c) for c in df.columns}
+    chosen = {c: known[c if c in known else name] for c, name in standard.items()
+              if c in known or name in known}
     chosen = chosen or {c: 0.5 for c in text_columns(df)}
     found = df.filter(any_keyword([named(c) for c in chosen], words))
     return found.withColumn("relevance", relevance(chosen, words))

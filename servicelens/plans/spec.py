@@ -124,7 +124,8 @@ def _metric(df: DataFrame, expr: str) -> Column:
     raise ValueError(f"unsupported expression: {expr}")
 
 
-def _sorted(result: DataFrame, spec: Spec, keys: list[str], metrics: list[str]) -> DataFrame:
+def _sorted(result: DataFrame, rows: DataFrame, spec: Spec, keys: dict[str, str],
+            metrics: list[str]) -> DataFrame:
     order = spec.get("sort") or {}
     by = order.get("by", fields.COUNT_NAME)
     if by not in result.columns:
@@ -132,8 +133,10 @@ def _sorted(result: DataFrame, spec: Spec, keys: list[str], metrics: list[str])
     column = named(by)
     leading = [column]
     if isinstance(result.schema[by].dataType, T.StringType):
-        # a text key sorts by number when every value of it is one
-        numeric = result.agg(F.bool_and(column.isNull() | to_number(column).isNotNull())).scalar()
+        # A text key sorts by number when every value of it is one. Metrics are numbers, so this is a
+        # group key; the grouped rows tell as much as the groups, by a scan of one column.
+        source = named(keys[by])
+        numeric = rows.agg(F.bool_and(source.isNull() | to_number(source).isNotNull())).scalar()
         leading = [F.when(numeric, to_number(column)), F.when(~numeric, column)]
     ascending = bool(order.get("asc", False))
     first = [c.asc_nulls_last() if ascending else c.desc_nulls_last() for c in leading]
@@ -155,7 +158,7 @@ def run_spec(cases: DataFrame, parts: DataFrame, spec: Spec) -> DataFrame:
 
     grouped = df.groupBy(*(named(column).alias(shown) for shown, column in keys.items()))
     result = grouped.agg(*(expr.alias(name) for name, expr in metrics))
-    result = _sorted(result, spec, list(keys), [name for name, _ in metrics])
+    result = _sorted(result, df, spec, keys, [name for name, _ in metrics])
     topn = spec.get("topn")
     if isinstance(topn, int) and not isinstance(topn, bool) and topn > 0:
         result = result.limit(topn)

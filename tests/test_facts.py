@@ -70,6 +70,11 @@ def test_exact_sample_is_repeatable(spark):
     assert len(first) == 50 and first == again
     assert {r[0] for r in filters.sample_exactly(df, 50, ["case_no"], 7).collect()} != first
     assert filters.sample_exactly(df, 1000, ["case_no"]).count() == 500
+    many = spark.range(20000).selectExpr("id AS case_no", "1 AS same")
+    digest = F.md5(F.concat_ws("|", F.lit("42"), F.col("case_no").cast("string")))
+    assert cells(filters.sample_exactly(many, 20, ["case_no"]), "case_no") == cells(
+        many.orderBy(digest).limit(20), "case_no")
+    assert filters.sample_exactly(many, 20, ["same"]).count() == 20
 
 
 def test_filter_state(rows):

@@ -19,6 +19,9 @@ def test_relevance(rows):
     got = cells(search.relevance_search(df, "Oil", ["id"]), "id", "relevance")
     assert got == [(2, 1.5), (1, 1.0), (4, 0.5)]
     assert search.relevance_search(df, "  ", ["id"]).count() == 4
+    raw = rows("id int, `作業内容` string, `機種名` string, `他` string", (1, "oil", "x", None), (2, "OIL", "oil-1", None),
+               (3, None, None, "oil"))
+    assert cells(search.relevance_search(raw, "oil", ["id"]), "id", "relevance") == [(2, 1.5), (1, 1.0)]
     other = rows("id int, anything string", (1, "oil"))
     assert cells(search.relevance_search(other, "oil", ["id"]), "relevance") == [(0.5,)]
 

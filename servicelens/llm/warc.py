@@ -8,7 +8,8 @@ names; each task attempt writes files of its own name, and only files named in t
 a repeated or lost attempt leaves no trace in it.
 
 Of equal payloads of `least_revisit` bytes or more, the page with the smallest id is stored and the
-others refer to it. Finding them joins digests with their smallest ids; a payload that very many pages
+others refer to it. Finding them joins pages with the digests that two pages or more share; these are
+counted first and broadcast while they are few, else the join shuffles. A payload that very many pages
 share is counted before the shuffle, and its partition can be split.
 
 Nulls and special cases: null html is an empty payload. Rows with the smallest id of a payload are all
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from servicelens.llm.common import durable, only, shared_folder, sliced
 
 ARCHIVE_BYTES = 64_000_000      # payload per archive
+BROADCAST_DIGESTS = 100_000     # shared payloads up to which their digests, 48 bytes each, are broadcast
 STEP = 1 << 20                  # bytes read at a time
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -123,7 +125,8 @@ def split_records(chunks: Iterator[bytes]) -> Iterator[bytes]:
         raise ValueError("the archive ends within a record")
 
 
-def write_archives(pages: DataFrame, folder: str, least_revisit: int = 0) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, least_revisit: int = 0,
+                   broadcast_digests: int = BROADCAST_DIGESTS) -> DataFrame:
     """(path, records) of archives with a record for every page, each one gzip stream."""
     named = (only(pages, "page_id", "url", "html")
              .select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
@@ -131,6 +134,8 @@ def write_archives(pages: DataFrame, folder: str, least_revisit: int = 0) -> Dat
     firsts = durable(named.where(F.octet_length("html") >= least_revisit).groupBy("digest")
                      .agg(F.min("page_id").alias("first_id"), F.count("*").alias("pages"))
                      .where("pages > 1").select(F.col("digest").alias("same"), "first_id"))
+    if firsts.limit(broadcast_digests + 1).count() <= broadcast_digests:
+        firsts = F.broadcast(firsts)            # pages then stay where they lie
     told = named.join(firsts, F.col("digest") == F.col("same"), "left").select(
         "page_id", "url", "html", "first_id",
         F.coalesce(~F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("same").isNotNull(),

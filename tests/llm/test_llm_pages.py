@@ -20,11 +20,11 @@ def pages(rows):
     return rows("page_id bigint, url string, html string, digest string, URL string", *((*p, "x", "y") for p in PAGES))
 
 
-@pytest.mark.parametrize("archive_bytes", [64_000_000, 100])
-def test_round_trip(pages, tmp_path, monkeypatch, archive_bytes):
+@pytest.mark.parametrize("archive_bytes, digests", [(64_000_000, 100_000), (100, 0)])
+def test_round_trip(pages, tmp_path, monkeypatch, archive_bytes, digests):
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", archive_bytes)
     folder = f"file://{tmp_path}"
-    archives = warc.write_archives(pages, folder)
+    archives = warc.write_archives(pages, folder, broadcast_digests=digests)
     index = warc.normalise(archives, folder)
     found = warc.read_records(index, folder).collect()
     firsts = {}

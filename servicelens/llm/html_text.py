@@ -8,8 +8,11 @@ where pages lie and merged twice, by host and a salt and then by host, so a host
 pages sends one small wrapper per task and never its pages. All pages take part.
 
 A page is then read along its host's wrapper. The article (else the main part, else the body) is
-kept without menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments. Outside
-an article, text that the wrapper holds fixed on three pages or more belongs to the template and goes.
+kept without menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments. Text that
+the wrapper holds fixed, over three pages or more that differ in their texts, belongs to the template and
+goes, inside articles too. Slots stay, also those of repeated groups, and so does all text in optional
+parts, which may be of one page alone. An article that is template by half or more of its words is a
+near copy of the others rather than made from one template with them, and stays whole.
 
 Nulls and special cases: null html is empty and gives an empty text; a null or odd url has the host
 "", whose pages share a wrapper; repeated rows are read alike; tags nested deeper than `DEPTH` stay on
@@ -22,8 +25,8 @@ import hashlib
 import html
 import json
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterator, Sequence
+from functools import lru_cache, reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from servicelens.llm.common import durable, only, sliced
 
 DEPTH = 150
-FIXED_PAGES = 3                 # pages that must agree before fixed text counts as template
+FIXED_PAGES = 3                 # different pages that must agree before fixed text counts as template
 BROADCAST_BYTES = 32_000_000
 HELD_HOSTS = 2_000
 SALTS = 32
@@ -234,83 +237,119 @@ def align(a: list, b: list) -> list:
     return fold(done)
 
 
+def _parts(children: list) -> Iterator[list | tuple]:
+    """The children in order; neighbouring texts and inline elements are one tuple."""
+    run: list = []
+    for child in children:
+        if isinstance(child, str) or child[0] in INLINE or child[0] == "br":
+            run.append(child)
+            continue
+        if run:
+            yield tuple(run)
+            run = []
+        yield child
+    if run:
+        yield tuple(run)
+
+
+def _inner(children: list | tuple) -> str:
+    return "".join(c if isinstance(c, str) else " " if c[0] == "br" else _inner(c[1]) for c in children)
+
+
+def _words(run: tuple) -> str:
+    return " ".join(_inner(run).split())
+
+
 def page_wrapper(tree: list) -> list:
     """The children of a page's tree as a wrapper of that page alone; inline elements are text."""
     nodes: list = []
-    for child in tree[1]:
-        if isinstance(child, str) or child[0] in INLINE or child[0] == "br":
-            text = child if isinstance(child, str) else _inner(child)
-            if not text.strip():
-                continue
-            if nodes and nodes[-1][0] == "#":
-                nodes[-1] = ["#", 0, ""]
-            else:
-                nodes.append(["#", 0, _digest(" ".join(text.split()))])
+    for part in _parts(tree[1]):
+        if isinstance(part, tuple):
+            if text := _words(part):
+                nodes.append(["#", 0, _digest(text)])
         else:
-            nodes.append([child[0], 0, [] if child[0].startswith("!") else page_wrapper(child)])
+            nodes.append([part[0], 0, [] if part[0].startswith("!") else page_wrapper(part)])
     return fold(nodes)
 
 
-def _inner(node: list) -> str:
-    return "".join(c if isinstance(c, str) else _inner(c) for c in node[1])
-
-
 def _has(tree: list, name: str) -> bool:
     return any(not isinstance(c, str) and not c[0].startswith("!") and (c[0] == name or _has(c, name))
                for c in tree[1])
 
 
-def _flat(nodes: list) -> list:
-    return [x for n in nodes for x in (_flat(n[2]) if n[0].startswith("(") else (n,))]
+def _flat(nodes: list, mode: int = 0) -> list:
+    return [x for n in nodes for x in (_flat(n[2], n[1] & OPTIONAL) if n[0].startswith("(")
+                                       else ([n[0], n[1] | mode, n[2]],))]
 
 
-def _read(tree: list, wrapper: list | None, inside: bool, region: str, fixed: bool, out: list[str]) -> None:
-    """Append the texts of a tree; `\n` stands between blocks. `wrapper` holds the nodes beside it."""
+def _read(tree: list, wrapper: list | None, inside: bool, region: str, fixed: bool, out: list[str],
+          gone: list[str]) -> None:
+    """Append the texts of a tree; `\n` stands between blocks. `wrapper` holds the nodes beside it.
+
+    Template texts are appended to `gone`.
+    """
     known, place = _flat(wrapper or []), 0
-    for child in tree[1]:
-        text = isinstance(child, str)
-        name = "#" if text or child[0] in INLINE else child[0]
+    for part in _parts(tree[1]):
+        run = isinstance(part, tuple)
+        name = "#" if run else part[0]
         node = None
-        if known and not (text and not child.strip()):
+        if known and not (run and not _inner(part).strip()):
             order = (*range(place, len(known)), *range(place))
             found = next((i for i in order if known[i][0] == name), None)
             if found is not None:
                 node, place = known[found], found
-        if name == "#":
-            template = fixed and node and node[2] and not node[1] & OPTIONAL
-            if inside and not (template and node[2] == _digest(" ".join((child if text else _inner(child)).split()))):
-                if text:
-                    out.append(html.unescape(child).replace("\n", " "))
-                else:
-                    _read(child, None, inside, region, False, out)
+        here = fixed and node is not None and not node[1] & OPTIONAL
+        if run:
+            if inside and here and node[2] and node[2] == _digest(text := _words(part)):
+                gone.append(text)
+            elif inside:
+                for child in part:
+                    if isinstance(child, str):
+                        out.append(html.unescape(child).replace("\n", " "))
+                    elif child[0] == "br":
+                        out.append(" ")
+                    else:
+                        _read(child, None, inside, region, False, out, gone)
         elif name.startswith("!"):
             if name[1:] not in UNBROKEN:
                 out.append("\n")
-        elif name == "br":
-            out.append(" ")
         else:
             out.append("\n")
-            _read(child, node[2] if node else None, inside or name == region, region, fixed, out)
+            _read(part, node[2] if node else None, inside or name == region, region, here, out, gone)
             out.append("\n")
 
 
-def main_text(page: str | None, wrapper: tuple[int, list] | None = None) -> str:
-    """The article of a page, blocks joined by one blank. `wrapper`: pages it is made of, and nodes."""
-    tree = parse(page or "")
-    region = next((r for r in ("article", "main") if _has(tree, r)), "")
-    fixed = not region and wrapper is not None and wrapper[0] >= FIXED_PAGES
-    out: list[str] = []
-    _read(tree, wrapper[1] if wrapper else None, not region, region, fixed, out)
+def _joined(out: list[str]) -> str:
     blocks = (" ".join(b.split()) for b in "".join(out).split("\n"))
     return " ".join(b for b in blocks if b)
 
 
+def _text(tree: list, wrapper: Sequence | None = None) -> str:
+    region = next((r for r in ("article", "main") if _has(tree, r)), "")
+    fixed = wrapper is not None and all(n >= FIXED_PAGES for n in (wrapper[0], *map(len, wrapper[2:])))
+    out: list[str] = []
+    gone: list[str] = []
+    _read(tree, wrapper[1] if fixed else None, not region, region, fixed, out, gone)
+    text = _joined(out)
+    if region and gone and sum(len(g.split()) for g in gone) >= len(text.split()):
+        return _text(tree)
+    return text
+
+
+def main_text(page: str | None, wrapper: Sequence | None = None) -> str:
+    """The article of a page, blocks joined by one blank.
+
+    `wrapper`: pages it is made of, nodes, and digests of some of their texts, if these are known.
+    """
+    return _text(parse(page or ""), wrapper)
+
+
+def _merged(a: list, b: list) -> list:
+    return [a[0] + b[0], align(a[1], b[1]), sorted({*a[2], *b[2]})[:FIXED_PAGES]]
+
+
 def _merge_all(wrappers: Iterator[str]) -> str:
-    pages, nodes = 0, None
-    for text in wrappers:
-        more, other = json.loads(text)
-        pages, nodes = pages + more, other if nodes is None else align(nodes, other)
-    return json.dumps([pages, nodes])
+    return json.dumps(reduce(_merged, map(json.loads, wrappers)))
 
 
 def with_host(pages: DataFrame) -> DataFrame:
@@ -320,7 +359,9 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper): one row per host, the wrapper as JSON of the page count and the nodes."""
+    """(host, wrapper): one row per host, the wrapper as JSON of the page count, the nodes and digests
+    of `FIXED_PAGES` different texts, or of all if they are fewer: copies are no evidence of a template.
+    """
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
 
@@ -332,9 +373,11 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 
         for batch in sliced(batches):
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-                nodes = page_wrapper(parse(page or ""))
+                tree = parse(page or "")
                 known = held.get(host)
-                held[host] = [1, nodes] if known is None else [known[0] + 1, align(known[1], nodes)]
+                enough = known is not None and len(known[2]) >= FIXED_PAGES
+                one = [1, page_wrapper(tree), [] if enough else [_digest(_text(tree))]]
+                held[host] = one if known is None else _merged(known, one)
                 if len(held) > HELD_HOSTS:
                     yield flush()
         yield flush()

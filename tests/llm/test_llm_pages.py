@@ -146,3 +146,30 @@ def test_extract_follows_the_article_on_all_hosts(rows):
     assert html_text.extract(table.limit(0)).count() == 0
     wrappers = html_text.infer_wrappers(table.repartition(5)).collect()
     assert len(wrappers) == 3 and all(re.match(r"\[10, ", w.wrapper) for w in wrappers)
+
+
+STORY = "<nav>m</nav><article><h1>Title {0}</h1><p>story {0} has words<p>and {0} more<div>Read <a href=x>on</a> here</div>{1}</article>"
+
+
+def test_template_text_inside_articles_goes(rows):
+    pages = [STORY.format(i, f"<table><tr><td>only page {i}</table>" if i == 2 else "") for i in range(6)]
+    table = rows("page_id bigint, url string, html string",
+                 *((i, "http://one.example/", p) for i, p in enumerate(pages)),
+                 *((10 + i, "http://copies.example/", pages[0]) for i in range(6)),
+                 *((20 + i, "http://two.example/", p) for i, p in enumerate(pages[:2])))
+    found = {r.page_id: r.text for r in html_text.extract(table.repartition(5)).collect()}
+
+    def text(i, end):
+        return f"Title {i} story {i} has words and {i} more{end}"
+
+    assert found == {**{i: text(i, " only page 2" if i == 2 else "") for i in range(6)},
+                     **{10 + i: text(0, " Read on here") for i in range(6)},
+                     **{20 + i: text(i, " Read on here") for i in range(2)}}
+
+
+def test_what_a_wrapper_cannot_tell_stays():
+    nodes = wrapper(*(STORY.format(i, "") for i in range(3)), STORY.format(3, "<section><h2>Part</h2></section>"))
+    page = STORY.format(3, "<section><h2>Part</h2></section>")
+    assert html_text.main_text(page, (4, nodes)).endswith("3 more Part")            # optional, perhaps of one page
+    assert html_text.main_text(page, (2, nodes)).endswith("Read on here Part")      # too few pages
+    assert html_text.main_text("<article><p>x</p><div>Read on here</div></article>", (4, nodes)) == "x Read on here"

@@ -16,7 +16,8 @@ near copy of the others rather than made from one template with them, and stays
 
 Nulls and special cases: null html is empty and gives an empty text; a null or odd url has the host
 "", whose pages share a wrapper; repeated rows are read alike; tags nested deeper than `DEPTH` stay on
-one level, with their text. Other columns are ignored.
+one level, with their text, but articles, main parts and left-out elements hold theirs at any depth.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -103,19 +104,28 @@ def parse(page: str) -> list:
     """The page as a tree: an element is [signature, children], a text is a string."""
     root: list = ["", []]
     stack, tags, at = [root], [""], 0
+    places: dict[str, list[int]] = {}               # where the open elements of each tag stand
+    deep: dict[str, int] = {}                       # the same of regions beyond `DEPTH`
     scan = _TOKEN.match
     find = page.find
 
     def pop_to(depth: int) -> None:
-        del stack[depth:], tags[depth:]
+        while len(stack) > depth:
+            name, inner = stack.pop()
+            places[tags.pop()].pop()
+            if len(stack) >= DEPTH:
+                if inner is not stack[-1][1]:
+                    deep.pop(name, None)
+                elif name not in INLINE and name[0] != "!":
+                    inner.append([name, []])        # the end of a block on the same level
+
+    def last(names: set) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
 
     def close_open(names: set, barriers: set) -> None:
-        for depth in range(len(tags) - 1, 0, -1):
-            if tags[depth] in names:
-                pop_to(depth)
-                return
-            if tags[depth] in barriers:
-                return
+        depth = last(names)
+        if depth > last(barriers):
+            pop_to(depth)
 
     size = len(page)
     while at < size:
@@ -136,8 +146,8 @@ def parse(page: str) -> list:
         if not tag:
             continue
         if token[1] or token[4]:
-            if tag in tags:
-                pop_to(len(tags) - 1 - tags[::-1].index(tag))
+            if places.get(tag):
+                pop_to(places[tag][-1])
             elif tag in ("p", "br"):
                 stack[-1][1].append(["br", []])
             continue
@@ -152,8 +162,17 @@ def parse(page: str) -> list:
         if tag in CLOSES:
             close_open(CLOSES[tag], BARRIERS.get(tag, set()))
         element = [signature(tag, attributes), []]
-        stack[-1][1].append(element)
-        if tag not in VOID and not attributes.endswith("/") and len(stack) < DEPTH:
+        name, (above, level) = element[0], stack[-1]
+        level.append(element)
+        if tag not in VOID and not attributes.endswith("/"):
+            if len(stack) >= DEPTH:                 # a level of its own only where the reader needs it
+                if above.startswith("!"):
+                    element = [above, level]
+                elif name in ("article", "main") and name not in deep:
+                    deep[name] = len(stack)
+                elif not name.startswith("!"):
+                    element = [name, level]
+            places.setdefault(tag, []).append(len(stack))
             stack.append(element)
             tags.append(tag)
     return root

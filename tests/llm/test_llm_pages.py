@@ -173,3 +173,21 @@ def test_what_a_wrapper_cannot_tell_stays():
     assert html_text.main_text(page, (4, nodes)).endswith("3 more Part")            # optional, perhaps of one page
     assert html_text.main_text(page, (2, nodes)).endswith("Read on here Part")      # too few pages
     assert html_text.main_text("<article><p>x</p><div>Read on here</div></article>", (4, nodes)) == "x Read on here"
+
+
+def nested(inner, tag="div", levels=2 * html_text.DEPTH):
+    return f"<{tag}>" * levels + inner + f"</{tag}>" * levels
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<div><article>{nested('a')}after<p>end</article></div>out", "a after end"),
+    (nested("a<nav>menu<div>m</div></nav>b<div class=comments>c<div>d</div>e</div>f"), "a b f"),
+    (nested("a<div>b</div>c<b>d</b>e<p>f<p>g"), "a b cde f g"),
+    (nested("out<article>in<div>x</div>y<article>z</article>end</article>out"), "in x y z end"),
+    (nested(f"a<aside>{nested('x<article>y</article>', 'aside')}</aside>b"), "a b"),
+    (nested("<ul><li>a<li>b<ul><li>c</ul></ul>"), "a b c"),
+])
+def test_levels_beyond_the_depth(page, text):
+    assert html_text.main_text(page) == text
+    nodes = wrapper(page, page)
+    assert html_text.main_text(page, (2, nodes)) == text

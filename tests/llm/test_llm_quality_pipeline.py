@@ -25,6 +25,13 @@ def test_passages_cover_the_text():
     assert mil.passages(None).tolist() == mil.passages("").tolist() == [[0.0] * mil.FEATURES]
 
 
+def test_share_of_the_most_frequent_word_counts_all_words():
+    for at in range(40):
+        words = [f"w{i}" for i in range(40)]
+        words[at:at] = [words[at]] * 24
+        assert mil.passages(" ".join(words))[0, 9] == pytest.approx(25 / 64)
+
+
 def test_gradients_descend_and_attention_finds_the_telling_passage():
     rng = np.random.default_rng(0)
     bags, labels = [], []

@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Word n-grams of all training passages are joined with those of the test items. How often each of
-them occurs in the whole corpus decides which are seeds: of every `WINDOW` neighbouring n-grams of an
-item the rarest one. So every verbatim run of `GRAM + WINDOW - 1` words holds a seed, however common
-its words are, and nothing is left out for being frequent. The places where seeds of an item hit are
-aligned with the item word by word; the score is the alignment's share of a perfect one, so edited
-copies score high and texts with a few common words low.
+Word n-grams of all training passages are joined with those of the test items, and every hit is a
+seed. So every verbatim run of `GRAM` words counts, however common its words are and whatever other
+texts hold; nothing is left out for being frequent. The places where seeds of an item hit are aligned
+with the item word by word; the score is the alignment's share of a perfect one, so edited copies score
+high and texts with a few common words low. A place that holds too few of the item's words to reach the
+least score is not aligned.
 
 The item side is broadcast only while its n-grams are at most `BROADCAST_GRAMS`; beyond that the join
 shuffles. Texts are shuffled once, by id, to meet their candidates.
@@ -22,13 +22,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from servicelens.llm.common import alnum_words, durable, only, rolling_grams, shielded, text_key
 
 GRAM = 4
-WINDOW = 3
 BROADCAST_GRAMS = 1_000_000
 LEAST_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -89,8 +88,11 @@ def leaks_in(text: str | None, candidates: Sequence[dict] | None,
         item = np.array([numbers.get(w, -1 - i) for i, w in
                          enumerate(alnum_words(candidate["item_text"].encode()))], dtype=np.int64)
         best = max(((*align(item, words[a:b]), a)
-                    for a, b in regions(candidate["diagonals"], len(item), len(words))),
-                   key=lambda x: (x[0], -x[3]))
+                    for a, b in regions(candidate["diagonals"], len(item), len(words))
+                    if np.isin(item, words[a:b]).sum() / len(item) >= least_score),
+                   key=lambda x: (x[0], -x[3]), default=None)
+        if best is None:
+            continue
         score = best[0] / (MATCH * len(item))
         if score >= least_score:
             found.append({"item_id": candidate["item_id"], "score": score,
@@ -103,7 +105,7 @@ def _checked(table: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(table) if table.limit(limit + 1).count() <= limit else table
 
 
-def candidates(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, window: int = WINDOW,
+def candidates(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM,
                broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """(vote_id, vote_key, items): per text the items that seeds point to, with diagonals."""
     items = durable(only(benchmark, "item_id", "text")
@@ -131,15 +133,8 @@ def candidates(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, window:
                 .select("doc_id", "text_key", (F.col("index") - begin).alias("place"), "gram"))
 
     rows = only(docs, "doc_id", "text").withColumn("text_key", text_key())
-    hits = durable(placed(rows).join(_checked(of_items.select("gram").distinct(), broadcast_grams),
-                                     "gram"))
-    frequency = hits.groupBy("gram").agg(F.count("*").alias("frequency"))
-    ranked = of_items.join(frequency, "gram").withColumn(
-        "rank", F.struct("frequency", "gram", "place"))
-    onward = (Window.partitionBy("item_key").orderBy("place").rangeBetween(0, window - 1))
-    seeds = durable(ranked.select("item_key", F.min("rank").over(onward).alias("rank")).distinct()
-                    .select("item_key", "rank.gram", F.col("rank.place").alias("seed_place")))
-    voted = (hits.join(_checked(seeds, broadcast_grams), "gram")
+    seeds = of_items.withColumnRenamed("place", "seed_place")
+    voted = (placed(rows).join(_checked(seeds, broadcast_grams), "gram")
              .groupBy("doc_id", "text_key", "item_key")
              .agg(F.collect_set(F.col("place") - F.col("seed_place")).alias("diagonals")))
     named = voted.join(items.select("item_key", "item_id", "item_text"), "item_key")

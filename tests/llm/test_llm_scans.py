@@ -157,3 +157,16 @@ def test_frequent_passage_is_still_found(rows):
     docs = rows("doc_id bigint, text string", *((i, ITEM) for i in range(300)))
     items = rows("item_id bigint, text string", (1, ITEM))
     assert decontamination.find_leaks(docs, items, keep_clean=False).count() == 300
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_edited_copy_beside_a_verbatim_one(rows, limit):
+    item = [f"w{i}" for i in range(30)]
+    edited = " ".join(f"edit{i}" if i % 6 == 5 else w for i, w in enumerate(item))
+    noise = " ".join(f"n{i}" for i in range(90))
+    docs = rows("doc_id bigint, text string", (1, f"{noise} {' '.join(item)}"), (2, f"{noise} {edited}"),
+                (3, f"{' '.join(item[3:7])} {noise} {edited}"), (4, f"{noise} {' '.join(item[:4])} {noise}"))
+    items = rows("item_id bigint, text string", (1, " ".join(item)))
+    found = decontamination.find_leaks(docs, items, keep_clean=False, broadcast_grams=limit).collect()
+    assert sorted((r.doc_id, r.leaks[0].start) for r in found) == [(1, 90), (2, 90), (3, 94)]
+    assert min(r.leaks[0].score for r in found) > 0.7

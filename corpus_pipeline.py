@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from servicelens.llm import decontamination, packing, rules, secret_scan, simhash
-from servicelens.llm.common import only, shared_folder
+from servicelens.llm.common import only, shared_folder, text_key
 from servicelens.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -33,11 +33,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs)
+    found = simhash.near_duplicates(docs, keyed=True)
     gone = (found.where(F.col("doc_id") != F.col("component_id"))
-            .select(F.col("doc_id").alias("gone_id")).distinct())
+            .select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct())
     rows = only(docs, *COLUMNS)
-    return (rows.join(gone, rows.doc_id == gone.gone_id, "left_anti")
+    return (rows.join(gone, (rows.doc_id == gone.gone_id) & (text_key() == F.col("gone_key")), "left_anti")
             .dropDuplicates(["doc_id", "text"]).select(*COLUMNS))
 
 

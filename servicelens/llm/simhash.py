@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from servicelens.llm.common import durable, only
+from servicelens.llm.common import durable, only, text_key
 from servicelens.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -52,14 +52,15 @@ def simhash(text: str | None, shingle: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > len(bits), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fingerprint) with the fingerprint as a long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS, keyed: bool = False) -> DataFrame:
+    """(doc_id, fingerprint) with the fingerprint as a long; `keyed` adds text_key."""
 
     @F.pandas_udf(T.LongType())
     def printed(texts: pd.Series) -> pd.Series:
         return pd.Series([simhash(t, shingle) for t in texts], dtype="int64")
 
-    return only(docs, "doc_id", "text").select("doc_id", printed("text").alias("fingerprint"))
+    key = [text_key().alias("text_key")] if keyed else []
+    return only(docs, "doc_id", "text").select("doc_id", printed("text").alias("fingerprint"), *key)
 
 
 def block_masks(blocks: int, free: int) -> list[int]:
@@ -118,13 +119,17 @@ def close_links(prints: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int =
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
-                    bucket_rows: int = 4096) -> DataFrame:
-    """One row per document: doc_id, fingerprint (long) and component_id, the smallest id reached."""
-    prints = durable(fingerprints(docs, shingle))
+                    bucket_rows: int = 4096, keyed: bool = False) -> DataFrame:
+    """One row per document: doc_id, fingerprint (long) and component_id, the smallest id reached.
+
+    `keyed` adds text_key, which tells rows of one id apart.
+    """
+    prints = durable(fingerprints(docs, shingle, keyed))
     classes = durable(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id")))
     roots = components(close_links(classes.select("fingerprint"), max_bits, bucket_rows))
     placed = classes.join(roots, classes.fingerprint == roots.node, "left").select(
         "fingerprint", "least_id", F.coalesce("root", "fingerprint").alias("root"))
     named = durable(placed.groupBy("root").agg(F.min("least_id").alias("component_id")))
     member = durable(placed.join(named, "root").select("fingerprint", "component_id"))
-    return prints.join(member, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return prints.join(member, "fingerprint").select(
+        "doc_id", "fingerprint", "component_id", *(["text_key"] if keyed else []))

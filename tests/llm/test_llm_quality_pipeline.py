@@ -138,6 +138,14 @@ def test_stages_on_odd_rows(spark, rows, tmp_path):
     assert corpus_pipeline.pack(spark, docs, SMALL).count() == docs.count()
 
 
+def test_near_dedup_tells_rows_of_one_id_apart(spark, rows):
+    first, second = (" ".join(f"{w}{i}" for i in range(60)) for w in "ab")
+    docs = rows("doc_id bigint, text string, lang string, source string, n_chars bigint",
+                *((i, t, "en", "s", 1) for i, t in ((0, first), (1, first), (1, second), (2, second), (2, None))))
+    kept = corpus_pipeline.near_dedup(spark, docs, SMALL).collect()
+    assert sorted((r.doc_id, r.text or "") for r in kept) == [(0, first), (1, second), (2, "")]
+
+
 def test_pipeline_runs_whole(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0
 

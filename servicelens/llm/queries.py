@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from servicelens.llm import (chat, decontamination, html_text, licenses, mil, packing, rules,
-                             secret_scan, simhash, sql, warc)
+from servicelens.llm import (chat, decontamination, fill_middle, html_text, lexical, licenses,
+                             line_dedup, mil, packing, rules, secret_scan, simhash, sql, warc)
 
 TOKENIZER = "word_bpe_49k.json"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,23 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return mil.score(docs, mil.train(docs, _table(spark, sf_dir, "labels")))
+
+
+@_register
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", _hex_digest(F.col("kept")).alias("kept_sha256"))
+
+
+@_register
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars",
+                       _hex_digest(F.col("output")).alias("output_sha256"),
+                       _hex_digest(fill_middle.restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+@_register
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")

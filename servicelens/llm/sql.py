@@ -111,8 +111,73 @@ SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
        CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
 FROM (SELECT *, unhex(sha1(html))::BIT::VARCHAR AS bits FROM firsts)"""
 
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+LINE_DEDUP = f"""
+WITH texts AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
+split AS (
+  SELECT n, i, parts[i] AS line, {_LOWERED.format(f"trim(parts[i], {_SPACES})")} AS key
+  FROM (SELECT n, string_split(t, chr(10)) AS parts, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM texts)),
+frequent AS (SELECT key FROM split WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT n) >= 10),
+kept AS (
+  SELECT n, count(*) AS n_lines, count(*) FILTER (f.key IS NOT NULL) AS n_dropped,
+         coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (f.key IS NULL), '') AS t
+  FROM split LEFT JOIN frequent f USING (key) GROUP BY n)
+SELECT doc_id, n_lines, n_dropped, sha256(kept.t) AS kept_sha256 FROM texts JOIN kept USING (n)"""
+
+FILL_IN_MIDDLE = r"""
+WITH hashed AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+lines AS (
+  SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS parts,
+         list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::BIGINT) AS g FROM hashed),
+formed AS (
+  SELECT *, least(g[1] % (len(parts) + 1), g[2] % (len(parts) + 1)) AS a,
+         greatest(g[1] % (len(parts) + 1), g[2] % (len(parts) + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR g[3] % 100 >= 100
+              THEN 'plain' WHEN g[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM lines),
+cut AS (
+  SELECT *, array_to_string(parts[1:a], '') AS p, array_to_string(parts[a + 1:b], '') AS m,
+         array_to_string(parts[b + 1:], '') AS s FROM formed)
+SELECT doc_id, len(parts)::BIGINT AS n, form,
+       CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM cut"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+LEXICAL_SEARCH = f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWERED.format("coalesce(text, '')")}, '{_TERM}') AS w
+  FROM documents),
+corpus AS (SELECT count(*)::BIGINT AS total, sum(len(w))::BIGINT AS l FROM texts WHERE len(w) > 0),
+asked AS (
+  SELECT item_id, term, count(*)::BIGINT AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all({_LOWERED.format("coalesce(text, '')")}, '{_TERM}')) AS term
+        FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY item_id, term),
+held AS (
+  SELECT r, doc_id, n, term, count(*)::BIGINT AS tf
+  FROM (SELECT r, doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM texts)
+  WHERE term IN (SELECT term FROM asked) GROUP BY r, doc_id, n, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * total + 2) / (2 * count(*) + 1)))::BIGINT AS weight
+  FROM held, corpus GROUP BY term, total),
+scores AS (
+  SELECT item_id, r, doc_id,
+         sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * total) // l))))::BIGINT AS score
+  FROM held JOIN weights USING (term) JOIN asked USING (term), corpus GROUP BY item_id, r, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10"""
+
 SQL = {
     "op3_quality_rules": quality_rules(),
     "op4_chat_formatting": CHAT_FORMATTING,
     "op6_warc_normaliser": WARC_NORMALISER,
+    "op11_line_dedup": LINE_DEDUP,
+    "op12_fill_in_middle": FILL_IN_MIDDLE,
+    "op13_lexical_search": LEXICAL_SEARCH,
 }

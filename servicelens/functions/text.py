@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from servicelens import fields
+from servicelens.functions.automaton import MANY, keywords_held
 from servicelens.functions.values import any_of, blank_to_null, named
 
 # ASCII white space and separator controls where they are more than one plain space
@@ -76,6 +77,8 @@ def keywords(query: str) -> list[str]:
 
 def any_keyword(columns: Sequence[Column], words: Sequence[str]) -> Column:
     """True when any keyword occurs literally in any column."""
+    if len(words) >= MANY:
+        return any_of(keywords_held(c, words) > 0 for c in columns)
     return any_of(contains_text(c, w) for c in columns for w in words)
 
 
@@ -83,6 +86,9 @@ def relevance(weighted: Mapping[str, float], words: Sequence[str]) -> Column:
     """Sum over (column, keyword) hits of the column's weight."""
     score = F.lit(0.0)
     for name, weight in weighted.items():
+        if len(words) >= MANY:
+            score = score + keywords_held(named(name), words) * weight
+            continue
         for w in words:
             hit = F.coalesce(contains_text(named(name), w), F.lit(False))
             score = score + F.when(hit, weight).otherwise(0.0)

@@ -13,6 +13,7 @@ from servicelens import fields
 from servicelens.functions.text import any_keyword, keywords, matches
 from servicelens.functions.values import any_of, named, words_pattern
 from servicelens.operators.clean import text_columns
+from servicelens.operators.grams import SubstringIndex
 
 _HEX = 12       # hexadecimal digits of a digest that a sample's bound is written in
 
@@ -95,10 +96,16 @@ def table_search(df: DataFrame, pattern: str) -> DataFrame:
     return df.filter(any_of(matches(named(c), pattern) for c in text_columns(df)))
 
 
-def keyword_search(df: DataFrame, query: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows holding any keyword of the query in any of the columns (default: all text columns)."""
+def keyword_search(df: DataFrame, query: str, columns: Sequence[str] | None = None,
+                   index: SubstringIndex | None = None, row_id: str = "id") -> DataFrame:
+    """Rows holding any keyword of the query in any of the columns (default: all text columns).
+
+    An index of these columns narrows the rows that are looked at.
+    """
     words = keywords(query)
     if not words:
         return df
     chosen = text_columns(df) if columns is None else [c for c in columns if c in df.columns]
+    if index:
+        df = index.narrowed(df, [[w] for w in words], row_id)
     return df.filter(any_keyword([named(c) for c in chosen], words))

@@ -9,20 +9,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from servicelens import fields
+from servicelens.functions.automaton import MANY
 from servicelens.functions.text import (
     any_keyword, ilike_any, keywords, like_any, light_snippet, record_snippet, relevance,
 )
 from servicelens.functions.values import named
 from servicelens.operators.clean import text_columns
+from servicelens.operators.grams import SubstringIndex, like_pieces
 
 
 def ilike_search(records: DataFrame, query: str = "", filters: Mapping[str, Any] | None = None,
-                 columns: Sequence[str] = fields.RECORD_SEARCH_COLUMNS) -> DataFrame:
+                 columns: Sequence[str] = fields.RECORD_SEARCH_COLUMNS,
+                 index: SubstringIndex | None = None, row_id: str = "id") -> DataFrame:
     """Rows where a column is ILIKE the query, and every filter column equals its value.
 
     An empty query matches all rows; a filter without a value is skipped; a filter on a column the
-    table does not have is an error.
+    table does not have is an error. An index of the columns narrows the rows that are looked at.
     """
+    if query and index:
+        records = index.narrowed(records, [like_pieces(query)], row_id)
     if query:
         records = records.filter(ilike_any([F.col(c) for c in columns], query))
     for name, value in (filters or {}).items():
@@ -48,8 +53,11 @@ def record_hits(records: DataFrame, query: str, filters: Mapping[str, Any] | Non
 
 
 def like_search(records: DataFrame, query: str, n: int = 10, row_id: str = "id",
-                columns: Sequence[str] = fields.LIKE_SEARCH_COLUMNS) -> DataFrame:
+                columns: Sequence[str] = fields.LIKE_SEARCH_COLUMNS,
+                index: SubstringIndex | None = None) -> DataFrame:
     """First matching records in load order (LIKE, ASCII letters without case)."""
+    if index:
+        records = index.narrowed(records, [like_pieces(query)], row_id)
     return (records.filter(like_any([F.col(c) for c in columns], query))
             .orderBy(row_id).limit(n))
 
@@ -78,6 +86,8 @@ def relevance_hits(df: DataFrame, query: str, weights: Mapping[str, float] | Non
     chosen = {c: known[c if c in known else name] for c, name in standard.items()
               if c in known or name in known}
     chosen = chosen or {c: 0.5 for c in text_columns(df)}
+    if len(words) >= MANY and min(chosen.values()) > 0:         # the relevance tells hits, in one look
+        return df.withColumn("relevance", relevance(chosen, words)).filter("relevance > 0")
     found = df.filter(any_keyword([named(c) for c in chosen], words))
     return found.withColumn("relevance", relevance(chosen, words))
 

@@ -106,13 +106,13 @@ def query_weights(query: str) -> dict[str, float]:
     return {term: n / len(found) for term, n in Counter(found).items()}
 
 
-def _asked(term: Column, wanted: dict[str, float]) -> Column:
+def asked_weight(term: Column, wanted: dict[str, float]) -> Column:
     """The query's weight of a term; null for other terms."""
     pairs = [F.lit(x) for item in wanted.items() for x in item]
     return F.try_element_at(F.create_map(*pairs), term) if pairs else F.lit(None).cast("double")
 
 
-def _ranked(dots: DataFrame, query_norm: Column, k: int) -> DataFrame:
+def ranked(dots: DataFrame, query_norm: Column, k: int) -> DataFrame:
     """Top k of (doc_id, dot, norm) by the exact cosine; documents of no similarity are no hits.
 
     Sums of equal documents can differ in their last bits, by the order of summation. So scores that
@@ -124,7 +124,7 @@ def _ranked(dots: DataFrame, query_norm: Column, k: int) -> DataFrame:
             .orderBy(F.round("score", 12).desc(), "doc_id").limit(k))
 
 
-def _known_norm(known: Column, wanted: dict[str, float]) -> Column:
+def known_norm(known: Column, wanted: dict[str, float]) -> Column:
     """Norm of the query over the terms in the array `known`."""
     total = F.lit(0.0)
     for term, weight in wanted.items():
@@ -156,9 +156,9 @@ class TextIndex:
         of the documents they name."""
         wanted = query_weights(query)
         found = self.postings.filter(F.col("term").isin(list(wanted)))
-        norm = found.agg(_known_norm(F.collect_set("term"), wanted)).scalar()
-        dots = found.groupBy("doc_id").agg(F.sum(_asked(F.col("term"), wanted) * F.col("weight")).alias("dot"))
-        return _ranked(dots.join(self.norms, "doc_id"), norm, k)
+        norm = found.agg(known_norm(F.collect_set("term"), wanted)).scalar()
+        dots = found.groupBy("doc_id").agg(F.sum(asked_weight(F.col("term"), wanted) * F.col("weight")).alias("dot"))
+        return ranked(dots.join(self.norms, "doc_id"), norm, k)
 
 
 def build_index(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> TextIndex:
@@ -181,11 +181,11 @@ def tfidf_search(documents: DataFrame, query: str, k: int = 10, doc_id: str = "d
     candidates = documents.filter(F.arrays_overlap(words, asked))
     # corpus size, and the query's norm over the terms the corpus knows, from one pass
     held = F.array_distinct(F.flatten(F.collect_set(F.array_intersect(words, asked))))
-    corpus = documents.agg(F.struct(F.count("*").alias("size"), _known_norm(held, wanted).alias("norm"))
+    corpus = documents.agg(F.struct(F.count("*").alias("size"), known_norm(held, wanted).alias("norm"))
                            ).scalar()
     weights = _weighted(grouped_term_counts(candidates, doc_id, text),
                         document_frequency(documents, doc_id, text), corpus["size"])
     dots = weights.groupBy("doc_id").agg(
-        F.sum(_asked(F.col("term"), wanted) * F.col("weight")).alias("dot"),
+        F.sum(asked_weight(F.col("term"), wanted) * F.col("weight")).alias("dot"),
         F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm")).filter("dot is not null")
-    return _ranked(dots, corpus["norm"], k)
+    return ranked(dots, corpus["norm"], k)

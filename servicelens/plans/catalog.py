@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from servicelens.functions.text import (
     has_any, light_snippet, light_text, metadata_json, normalize_text, record_snippet, record_text,
 )
 from servicelens.operators import (
-    facts, filters, fusion, hybrid, metrics, quality, search, tfidf, vectors,
+    block_max, facts, filters, fusion, grams, hybrid, metrics, quality, search, tfidf, vectors,
 )
 from servicelens.operators.clean import derive, normalize_records, text_columns
 from servicelens.plans.spec import run_spec
@@ -63,9 +64,10 @@ def rounded(hits: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """A place in the shared folder for an index of these tables; built again, it is replaced."""
+    """A new place in the shared folder for an index of these tables, so that no other result loses
+    the files it reads."""
     kept = hashlib.md5(sf_dir.encode()).hexdigest()[:12]
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{kept}"
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{kept}-{uuid.uuid4().hex}"
 
 
 def clean(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
@@ -532,6 +534,20 @@ def tfidf_index_search(spark, sf_dir):
     return rounded(tfidf.TextIndex.read(spark, path).search(SEARCH_TEXT, 10))
 
 
+@query(f"""WITH {tfidf_sql(SEARCH_TEXT, "documents", "doc_id")}
+SELECT doc_id, round(score, 6) AS score FROM score WHERE score > 0
+ORDER BY round(score, 12) DESC, doc_id LIMIT 10""")
+def tfidf_block_search(spark, sf_dir):
+    return rounded(stored_blocks(spark, sf_dir).search(SEARCH_TEXT, 10))
+
+
+def stored_blocks(spark: SparkSession, sf_dir: str) -> block_max.BlockMaxIndex:
+    text_path, path = (scratch_path(spark, sf_dir, n) for n in ("text_index", "block_index"))
+    tfidf.build_index(documents(spark, sf_dir)).write(text_path)
+    block_max.build_block_max(tfidf.TextIndex.read(spark, text_path)).write(path)
+    return block_max.BlockMaxIndex.read(spark, path)
+
+
 @query("""
 SELECT doc_id, lang, source FROM documents
 WHERE contains(lower(text), 'ungber') OR contains(lower(text), 'vielle')
@@ -556,6 +572,40 @@ def keyword_relevance(spark, sf_dir):
     return found.select("id", "machine_model", "relevance")
 
 
+_KEYWORDS = 1000
+
+
+def keyword_list(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The first words of the test items, in order: a long list of keywords that follows the data."""
+    words = tfidf.vocabulary(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return words.orderBy("term").limit(_KEYWORDS).agg(F.collect_list("term")).first()[0]
+
+
+_KEYWORDS_SQL = rf"""
+kw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS term FROM benchmark
+       ORDER BY term LIMIT {_KEYWORDS})"""
+
+
+@query(on_documents(f""", {_KEYWORDS_SQL},
+s AS (SELECT id, machine_model, CAST(count(*) FILTER (contains(lower(work_content), term))
+    + 0.5 * count(*) FILTER (contains(lower(machine_model), term))
+    + 0.5 * count(*) FILTER (contains(lower(category), term)) AS DOUBLE) AS relevance
+  FROM doc, kw GROUP BY id, machine_model)
+SELECT * FROM s WHERE relevance > 0"""))
+def keyword_relevance_many(spark, sf_dir):
+    found = search.relevance_search(documents_as_records(spark, sf_dir),
+                                    " ".join(keyword_list(spark, sf_dir)), ["id"])
+    return found.select("id", "machine_model", "relevance")
+
+
+@query(f"""WITH {_KEYWORDS_SQL}
+SELECT page_id, url FROM pages WHERE EXISTS (
+  SELECT 1 FROM kw WHERE contains(lower(url), term) OR contains(lower(html), term))""")
+def keyword_any_many(spark, sf_dir):
+    return filters.keyword_search(table(spark, sf_dir, "pages"), " ".join(keyword_list(spark, sf_dir)),
+                                  ["url", "html"]).select("page_id", "url")
+
+
 @query(on_documents("""
 SELECT id, machine_model, category FROM doc
 WHERE (work_content ILIKE '%a_tion%the%' OR machine_model ILIKE '%a_tion%the%'
@@ -581,6 +631,39 @@ def like_search(spark, sf_dir):
     return search.like_search(records, "éVI", 20).select("id", "machine_model")
 
 
+def stored_grams(spark: SparkSession, sf_dir: str) -> grams.SubstringIndex:
+    path = scratch_path(spark, sf_dir, "grams")
+    grams.build_grams(documents_as_records(spark, sf_dir), _DOC_COLUMNS).write(path)
+    return grams.SubstringIndex.read(spark, path)
+
+
+@query(on_documents("""
+SELECT id, machine_model, category FROM doc
+WHERE work_content ILIKE '%ción_ñ%lara%' OR machine_model ILIKE '%ción_ñ%lara%'
+   OR category ILIKE '%ción_ñ%lara%'"""))
+def ilike_indexed(spark, sf_dir):
+    return search.ilike_search(documents_as_records(spark, sf_dir), "CIÓN_Ñ%LaRa", columns=_DOC_COLUMNS,
+                               index=stored_grams(spark, sf_dir)).select("id", "machine_model", "category")
+
+
+@query(on_documents(f"""
+SELECT id, machine_model FROM doc
+WHERE {" OR ".join(f"{_FOLD.format(c)} LIKE '%évi%'" for c in ("work_content", "machine_model", "category"))}
+ORDER BY id LIMIT 20"""))
+def like_indexed(spark, sf_dir):
+    return search.like_search(documents_as_records(spark, sf_dir), "éVI", 20, columns=_DOC_COLUMNS,
+                              index=stored_grams(spark, sf_dir)).select("id", "machine_model")
+
+
+@query(on_documents("""
+SELECT id, machine_model FROM doc
+WHERE """ + " OR ".join(f"contains(lower({c}), '{w}')" for c in ("work_content", "machine_model", "category")
+                        for w in ("ungber", "vielle", "src11"))))
+def keyword_indexed(spark, sf_dir):
+    return filters.keyword_search(documents_as_records(spark, sf_dir), "Ungber vielle SRC11", _DOC_COLUMNS,
+                                  stored_grams(spark, sf_dir)).select("id", "machine_model")
+
+
 @query(r"""
 SELECT event_id, event_type FROM events
 WHERE regexp_matches(event_type, '(?i)^SIGN|: 9\d') OR regexp_matches(props, '(?i)^SIGN|: 9\d')""")
@@ -626,8 +709,15 @@ def stored_cells(spark: SparkSession, sf_dir: str) -> vectors.CellIndex:
 
 @query()
 def vector_ivf(spark, sf_dir):
-    return rounded(vectors.search(stored_cells(spark, sf_dir), probe_vector(spark, sf_dir), 10,
-                                  method="cells"))
+    index = stored_cells(spark, sf_dir).calibrated(10)
+    return rounded(vectors.search(index, probe_vector(spark, sf_dir), 10, method="cells"))
+
+
+@query()
+def vector_recall(spark, sf_dir):
+    """Recall of the approximate search by the number of probes, over every 20th vector."""
+    asked = table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "question")
+    return stored_cells(spark, sf_dir).recalls(asked, 10)
 
 
 @query(_TOP_VECTORS_SQL)
@@ -636,6 +726,24 @@ def vector_cells_full(spark, sf_dir):
                                                      probes=vectors.CELLS))
 
 
+@query(_TOP_VECTORS_SQL)
+def vector_cells_exact(spark, sf_dir):
+    return rounded(vectors.search(stored_cells(spark, sf_dir), probe_vector(spark, sf_dir), 10))
+
+
+@query("""
+SELECT question, id, score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT q.vec_id AS question, v.vec_id AS id, round(score, 6) AS score, row_number() OVER (
+    PARTITION BY q.vec_id ORDER BY s.score DESC, v.vec_id) AS rank
+  FROM embeddings q, embeddings v,
+    LATERAL (SELECT list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score) s
+  WHERE q.vec_id % 20 = 0) WHERE rank <= 10""")
+def vector_many(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "question")
+    return rounded(vectors.nearest_many(rows, asked, 10))
+
+
 def both_sides(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame]:
     keyword = search.record_hits(documents_as_records(spark, sf_dir), "ungber", n=2 * k,
                                  columns=_DOC_COLUMNS, content=F.col("category"))
@@ -690,14 +798,14 @@ SELECT {key}, round(score, 6) AS score, context_text, CAST(position AS INTEGER)
 
 
 @query(on_documents(f""", {_KEYWORD_SQL.format(word=_QUESTION, k=20)}, {_NEAREST_SQL.format(k=20)},
-hit AS (SELECT document_id, f.score, machine_model || ' | ' || category || ' | ' || work_content[:300] AS content
+hit AS (SELECT document_id, f.score, machine_model || ' | ' || category || ' | ' || work_content AS content
   FROM (SELECT * FROM (
     SELECT 'db_' || id AS document_id, score * (1 - 0.7::DOUBLE) AS score, id FROM k
     UNION ALL SELECT 'vec_' || id, score * 0.7::DOUBLE, id FROM v)
   ORDER BY score DESC, document_id LIMIT 10) f JOIN doc USING (id)),
 {_CONTEXT_SQL.format(key="document_id")}"""))
 def hybrid_context(spark, sf_dir):
-    content = F.concat_ws(" | ", "machine_model", "category", F.substring("work_content", 1, 300))
+    content = F.concat_ws(" | ", "machine_model", "category", "work_content")
     found = hybrid.hybrid_search(
         documents_as_records(spark, sf_dir), table(spark, sf_dir, "embeddings"), _QUESTION,
         probe_vector(spark, sf_dir), 10, content, columns=_DOC_COLUMNS)

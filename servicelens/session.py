@@ -30,7 +30,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         configured = tempfile.mkdtemp(prefix="checkpoints-")
     context.setCheckpointDir(configured)

@@ -10,7 +10,7 @@ import __spark_entry__ as driver
 from servicelens.plans import catalog
 
 SF_DIR = "/root/testdata/sf0.001"
-ROWS_ONLY = {"vector_ivf", "fuzzy_documents", "chunk_texts"}
+ROWS_ONLY = {"vector_ivf", "vector_recall", "fuzzy_documents", "chunk_texts"}
 
 
 @pytest.fixture(scope="module")

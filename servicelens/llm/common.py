@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -128,6 +129,46 @@ def sliced(batches: Iterator[pa.RecordBatch], chars: int = 8_000_000) -> Iterato
             yield batch.slice(at, rows)
 
 
+def key_blocks(df: DataFrame, key: str, weight: Column, bound: int) -> list[DataFrame]:
+    """The rows in parts by the hash of a key, each weighing at most `bound` or being of one key only."""
+    weighed = df.select(F.col(key).alias("key"), weight.alias("weight"))
+    count = max(1, -(-(weighed.agg(F.sum("weight")).first()[0] or 0) // bound))
+    while True:
+        def block(name: str, parts: int = count) -> Column:
+            return F.pmod(F.xxhash64(name, F.lit(parts)), F.lit(parts))
+
+        crowded = (weighed.groupBy(block("key").alias("block"))
+                   .agg(F.sum("weight").alias("weight"), F.min("key").alias("a"), F.max("key").alias("b"))
+                   .where((F.col("a") != F.col("b")) & (F.col("weight") > bound)))
+        if crowded.isEmpty():
+            return [df.where(block(key) == n) for n in range(count)]
+        count *= 2
+
+
+def term_frequencies(texts: DataFrame, terms: dict[bytes, int]) -> tuple[dict[int, int], int, int]:
+    """(rows that hold each of the terms, by its number; rows with a word; words) of the column `text`.
+
+    What comes back is as long as `terms` at most, whatever the texts are.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(terms)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = shared.value
+        found: Counter[int] = Counter()
+        for batch in sliced(batches):
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                words = alnum_words(text or b"")
+                found[-1] += bool(words)
+                found[-2] += len(words)
+                found.update(numbers[w] for w in numbers.keys() & set(words))
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())],
+                                         ["term", "rows"])
+
+    each = texts.mapInArrow(counted, "term bigint, rows bigint")
+    found = dict(each.groupBy("term").agg(F.sum("rows")).collect())
+    return found, found.pop(-1, 0), found.pop(-2, 0)
+
+
 def text_key() -> Column:
     """A digest of the text; with the id it tells rows apart where ids repeat."""
     return F.xxhash64(F.coalesce("text", F.lit("")))

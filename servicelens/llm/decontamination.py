@@ -1,37 +1,46 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-Word n-grams of all training passages are joined with those of the test items, and every hit is a
-seed. So every verbatim run of `GRAM` words counts, however common its words are and whatever other
-texts hold; nothing is left out for being frequent. The places where seeds of an item hit are aligned
-with the item word by word; the score is the alignment's share of a perfect one, so edited copies score
-high and texts with a few common words low. A place that holds too few of the item's words to reach the
-least score is not aligned.
-
-The item side is broadcast only while its n-grams are at most `BROADCAST_GRAMS`; beyond that the join
-shuffles. Texts are shuffled once, by id, to meet their candidates.
-
-Nulls and special cases: null texts are empty; an item without words matches nothing; an item shorter
-than `GRAM` words is one n-gram by itself. Rows are told apart by id and text, so repeated rows give
-repeated rows. A null item id is an id like any other.
+"""Benchmark decontamination: rare-word seeds, then Smith-Waterman alignment.
+
+Every word of a test item is an n-gram of size one, ranked by the number of documents that hold it.
+The rarest ones of each item are its seeds, as many as the least score demands. An alignment that
+reaches this score leaves only so many of the item's words unmatched, so by the pigeonhole principle a
+known number of the seeds must be matched, within a stretch of the text whose length is bounded as well.
+Only there the item is aligned word by word. So no leak is lost, however it is edited, and words that
+are common in the documents select nothing, as long as the item has rarer ones.
+
+The seeds of the items are an inverted index that every task gets, and texts are joined with it where they
+lie: the documents are read twice, first for the document frequencies of the items' words, and never
+shuffled. The index is bounded: items go in blocks of at most `block_words` words, dealt by hash, and
+more items mean more steps within a task. Only an item beyond the bound by itself is a larger block.
+
+The score of an alignment is its share of a perfect one. It must reach `least_score` and be worth
+`SHORT` matched words at least, so an item of `SHORT` or fewer words must occur word by word.
+
+Nulls and special cases: null texts are empty; an item without words matches nothing. A document is a
+row, so repeated rows give repeated rows. A null item id is an id like any other; repeated rows of an
+item are one, and texts of one id are items of their own. Extra columns are kept; `leaks` is replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+import math
+from collections import Counter
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from servicelens.llm.common import alnum_words, durable, only, rolling_grams, shielded, text_key
+from servicelens.llm.common import alnum_words, key_blocks, only, shielded, sliced, term_frequencies
 
-GRAM = 4
-BROADCAST_GRAMS = 1_000_000
+BLOCK_WORDS = 1_000_000
 LEAST_SCORE = 0.5
+SHORT = 4
+SEED_SHARE = 0.75               # of an item's words; more seeds must be hit more often
 MATCH, MISMATCH, GAP = 2, -1, -1
 
+_LEAK = pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())])
 _LEAKS = "array<struct<item_id:bigint,score:double,start:bigint,end:bigint>>"
 
 
@@ -62,102 +71,128 @@ def align(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
     return best, start, end
 
 
-def regions(diagonals: Sequence[int], length: int, total: int) -> list[tuple[int, int]]:
-    """Stretches of the text that hold the item on these diagonals, with room for edits."""
-    slack = length // 2 + 2
-    found: list[tuple[int, int]] = []
-    for d in sorted(diagonals):
-        a, b = max(0, d - slack), min(total, d + length + slack)
-        if found and a <= found[-1][1]:
-            found[-1] = (found[-1][0], max(found[-1][1], b))
-        else:
-            found.append((a, b))
-    return found
-
-
-def leaks_in(text: str | None, candidates: Sequence[dict] | None,
-             least_score: float = LEAST_SCORE) -> list[dict]:
-    """The candidate items that the text holds: id, score and word span of the best alignment."""
-    if candidates is None or not len(candidates):
-        return []
-    numbers: dict[bytes, int] = {}
-    words = np.array([numbers.setdefault(w, len(numbers))
-                      for w in alnum_words((text or "").encode())], dtype=np.int64)
-    found = []
-    for candidate in candidates:
-        item = np.array([numbers.get(w, -1 - i) for i, w in
-                         enumerate(alnum_words(candidate["item_text"].encode()))], dtype=np.int64)
-        best = max(((*align(item, words[a:b]), a)
-                    for a, b in regions(candidate["diagonals"], len(item), len(words))
-                    if np.isin(item, words[a:b]).sum() / len(item) >= least_score),
-                   key=lambda x: (x[0], -x[3]), default=None)
-        if best is None:
-            continue
-        score = best[0] / (MATCH * len(item))
-        if score >= least_score:
-            found.append({"item_id": candidate["item_id"], "score": score,
-                          "start": best[3] + best[1], "end": best[3] + best[2]})
-    return sorted(found, key=lambda x: (x["item_id"] is None, x["item_id"], x["start"]))
-
-
-def _checked(table: DataFrame, limit: int) -> DataFrame:
-    """Marked for broadcast only if it has no more rows than the limit."""
-    return F.broadcast(table) if table.limit(limit + 1).count() <= limit else table
-
-
-def candidates(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM,
-               broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
-    """(vote_id, vote_key, items): per text the items that seeds point to, with diagonals."""
-    items = durable(only(benchmark, "item_id", "text")
-                    .select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-                    .distinct().withColumn("item_key", F.xxhash64("item_id", "text"))
-                    .withColumn("item_text", F.col("text")))
-    counted = rolling_grams(items.select("item_key", "text"), [gram])
-    short = sorted(r[0] for r in counted.where((F.col("n_words") < gram) & (F.col("n_words") > 0))
-                   .select("n_words").distinct().collect())      # at most gram - 1 values
-    sizes = [gram, *short]
-
-    def of_size(size: int) -> DataFrame:        # a long item by its grams, a short one as a whole
-        grams = rolling_grams(items.select("item_key", "text"), [size])
-        return (grams.where(F.least("n_words", F.lit(gram)) == size)
-                .select("item_key", F.posexplode("grams").alias("place", "gram")))
-
-    of_items = durable(reduce(DataFrame.union, map(of_size, sizes)))
-
-    def placed(df: DataFrame) -> DataFrame:
-        grams = rolling_grams(df, sizes)
-        if not short:
-            return grams.select("doc_id", "text_key", F.posexplode("grams").alias("place", "gram"))
-        begin = F.array_max(F.filter("at", lambda a: a <= F.col("index")))
-        return (grams.select("doc_id", "text_key", "at", F.posexplode("grams").alias("index", "gram"))
-                .select("doc_id", "text_key", (F.col("index") - begin).alias("place"), "gram"))
-
-    rows = only(docs, "doc_id", "text").withColumn("text_key", text_key())
-    seeds = of_items.withColumnRenamed("place", "seed_place")
-    voted = (placed(rows).join(_checked(seeds, broadcast_grams), "gram")
-             .groupBy("doc_id", "text_key", "item_key")
-             .agg(F.collect_set(F.col("place") - F.col("seed_place")).alias("diagonals")))
-    named = voted.join(items.select("item_key", "item_id", "item_text"), "item_key")
-    return named.groupBy(F.col("doc_id").alias("vote_id"), F.col("text_key").alias("vote_key")).agg(
-        F.collect_list(F.struct("item_id", "item_text", "diagonals")).alias("items"))
+class Seeds:
+    """The rarest words of a block of items, as an inverted index.
+
+    `need[i]` text words within fewer than `span[i]` words must be seeds of item i. An alignment of m
+    matches and e errors scores 2m - e, so a score of x takes m >= x / 2, leaves at most (words - x / 2)
+    words of the item unmatched, and covers m + e <= 3 * words - x words of the text.
+    """
+
+    def __init__(self, items: Sequence[tuple[int | None, list[bytes]]], frequencies: Mapping[bytes, int],
+                 least_score: float = LEAST_SCORE) -> None:
+        self.items = [(item_id, words) for item_id, words in items if words]
+        self.least = [max(math.ceil(MATCH * least_score * len(w)), MATCH * min(len(w), SHORT)) for _, w in self.items]
+        self.counts = [Counter(words) for _, words in self.items]
+        by_word: dict[bytes, list[int]] = {}
+        need, span = [], []
+        for number, ((_, words), least) in enumerate(zip(self.items, self.least)):
+            spare = len(words) - -(-least // MATCH)             # words that may be left unmatched
+            count = min(len(words), max(spare + 1, math.ceil(SEED_SHARE * len(words))))
+            need.append(count - spare)
+            span.append(3 * len(words) - least)
+            rarest = sorted(range(len(words)), key=lambda i: (frequencies.get(words[i], 0), words[i], i))[:count]
+            for word in {words[i] for i in rarest}:
+                by_word.setdefault(word, []).append(number)
+        self.need, self.span = np.array(need, dtype=np.int64), np.array(span, dtype=np.int64)
+        self.words = {word: n for n, word in enumerate(by_word)}
+        self.at = np.cumsum([0, *map(len, by_word.values())])
+        self.item = np.array([i for of in by_word.values() for i in of], dtype=np.int64)
+
+    def regions(self, words: list[bytes]) -> dict[int, list[tuple[int, int]]]:
+        """For each item with enough seeds close together the stretches of the text to align."""
+        known = self.words.get
+        hits = [(place, word) for place, word in enumerate(map(known, words)) if word is not None]
+        if not hits:
+            return {}
+        places, seeds = np.array(hits, dtype=np.int64).T
+        lengths = self.at[seeds + 1] - self.at[seeds]
+        index = np.repeat(self.at[seeds] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        items, places = self.item[index], np.repeat(places, lengths)
+        order = np.argsort(items, kind="stable")
+        items, places = items[order], places[order]
+        last = np.arange(len(items)) + self.need[items] - 1
+        inside = last < len(items)
+        last = np.where(inside, last, 0)
+        close = inside & (items[last] == items) & (places[last] - places < self.span[items])
+        found: dict[int, list[tuple[int, int]]] = {}
+        for i in np.flatnonzero(close).tolist():
+            item, wide = int(items[i]), int(self.span[items[i]])
+            a, b = max(0, int(places[last[i]]) - wide + 1), min(len(words), int(places[i]) + wide)
+            of = found.setdefault(item, [])
+            if of and a <= of[-1][1]:
+                of[-1] = (of[-1][0], max(b, of[-1][1]))
+            else:
+                of.append((a, b))
+        return {item: kept for item, of in found.items() if (kept := [x for x in of if self._can_hold(item, words, *x)])}
+
+    def _can_hold(self, item: int, words: list[bytes], a: int, b: int) -> bool:
+        """Whether a stretch has enough of the item's words, each as often as the item has it."""
+        own = self.counts[item]
+        here = Counter(w for w in words[a:b] if w in own)
+        return MATCH * sum(min(n, own[w]) for w, n in here.items()) >= self.least[item]
+
+    def leaks(self, text: bytes | None) -> list[dict]:
+        """The items that the text holds: id, score and word span of the best alignment, the first of
+        equal ones."""
+        words = alnum_words(text or b"")
+        found = []
+        for number, stretches in self.regions(words).items():
+            item_id, item = self.items[number]
+            codes: dict[bytes, int] = {}
+            own = np.array([codes.setdefault(w, len(codes)) for w in item], dtype=np.int64)
+            best = max(((*align(own, np.array([codes.get(w, -1) for w in words[a:b]], dtype=np.int64)), a)
+                        for a, b in stretches), key=lambda x: (x[0], -x[3]))
+            if best[0] >= self.least[number]:
+                found.append({"item_id": item_id, "score": best[0] / (MATCH * len(item)),
+                              "start": best[3] + best[1], "end": best[3] + best[2]})
+        return found
+
+
+def _in_order(leaks: list[dict]) -> list[dict]:
+    return sorted(leaks, key=lambda x: (x["item_id"] is None, x["item_id"], x["start"], x["end"], x["score"]))
+
+
+def item_seeds(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCORE,
+               block_words: int = BLOCK_WORDS) -> list[Seeds]:
+    """The seeds of all items in bounded blocks, ranked by their document frequency in `docs`."""
+    items = (only(benchmark, "item_id", "text").select(F.col("item_id").cast("long"), "text").distinct()
+             .withColumn("item_key", F.xxhash64("item_id", "text")))
+    texts = only(docs, "text")
+    blocks = []
+    words = F.size(F.split(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
+    for block in key_blocks(items, "item_key", words, block_words):
+        listed = [(r.item_id, alnum_words((r.text or "").encode())) for r in block.collect()]   # within block_words
+        terms = {w: n for n, w in enumerate(dict.fromkeys(w for _, of in listed for w in of))}
+        counts, _, _ = term_frequencies(texts, terms)
+        blocks.append(Seeds(listed, {w: counts.get(n, 0) for w, n in terms.items()}, least_score))
+    return blocks
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, keep_clean: bool = True,
-               least_score: float = LEAST_SCORE, **options: int) -> DataFrame:
+               least_score: float = LEAST_SCORE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents with `leaks`: array of (item_id, score, start, end), word spans of the text.
 
-    Without `keep_clean` only documents with a leak are returned. A column `leaks` of the input is
-    replaced.
+    Without `keep_clean` only documents with a leak are returned.
     """
-    safe, restored = shielded(docs, ("doc_id", "text"), ("leaks",))
-    found = candidates(docs, benchmark, **options)
-    keyed = safe.withColumn("_text_key", text_key())
-
-    @F.pandas_udf(_LEAKS)
-    def leaks(texts: pd.Series, items: pd.Series) -> pd.Series:
-        return pd.Series([leaks_in(t, i, least_score) for t, i in zip(texts, items)], dtype=object)
-
-    joined = keyed.join(found, keyed["doc_id"].eqNullSafe(found["vote_id"])
-                        & (F.col("_text_key") == F.col("vote_key")), "left" if keep_clean else "inner")
-    judged = restored(joined.withColumn("leaks", leaks("text", "items")))
-    return judged if keep_clean else judged.where(F.size("leaks") > 0)
+    safe, restored = shielded(docs, ("text",), ("leaks",))
+    context = docs.sparkSession.sparkContext
+    judged = safe.withColumn("leaks", F.array().cast(_LEAKS))
+    names, schema = judged.columns, T.StructType(judged.schema.fields)
+
+    def looking(seeds) -> Iterator[pa.RecordBatch]:
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in sliced(batches):
+                before = batch.column("leaks").to_pylist()
+                leaks = [_in_order(old + seeds.value.leaks(text)) for old, text in
+                         zip(before, batch.column("text").cast(pa.binary()).to_pylist())]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(n) for n in names[:-1]), pa.array(leaks, pa.list_(_LEAK))], names)
+
+        return judge
+
+    for block in item_seeds(docs, benchmark, least_score, block_words):
+        if block.items:
+            judged = judged.mapInArrow(looking(context.broadcast(block)), schema)
+    found = restored(judged)
+    return found if keep_clean else found.where(F.size("leaks") > 0)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from servicelens.llm.common import alnum_words, only, sliced
+from servicelens.llm.common import alnum_words, key_blocks, only, sliced, term_frequencies
 
 TOP = 10
 LENGTH_SHARE = 75                               # percent of the length penalty that follows the length
@@ -115,37 +115,6 @@ def _postings(items: DataFrame) -> DataFrame:
         counted, "item_key bigint, item_id bigint, term binary, times bigint")
 
 
-def _blocks(postings: DataFrame, block_postings: int) -> list[DataFrame]:
-    """The postings in parts by item, each within the bound or of one item only."""
-    count = max(1, -(-postings.count() // block_postings))
-    while True:
-        block = F.pmod(F.xxhash64("item_key", F.lit(count)), F.lit(count))
-        largest = (postings.groupBy(block.alias("block")).agg(F.count("*").alias("rows"), F.min("item_key").alias("a"),
-                                                              F.max("item_key").alias("b"))
-                   .where(F.col("a") != F.col("b")).agg(F.max("rows")).first()[0])
-        if (largest or 0) <= block_postings:
-            return [postings.where(block == n) for n in range(count)]
-        count *= 2
-
-
-def _counted(texts: DataFrame, index) -> DataFrame:
-    """(term, docs): document frequency of the index's terms, documents (-1) and all terms (-2)."""
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = index.value.terms
-        found: Counter[int] = Counter()
-        for batch in sliced(batches):
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                words = alnum_words(text or b"")
-                found[-1] += bool(words)
-                found[-2] += len(words)
-                found.update(terms[w] for w in terms.keys() & set(words))
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())],
-                                         ["term", "docs"])
-
-    each = texts.mapInArrow(counted, "term bigint, docs bigint")
-    return each.groupBy("term").agg(F.sum("docs").alias("docs"))
-
-
 def _best(rows: DataFrame, index, weights, n_docs: int, all_terms: int, k: int) -> DataFrame:
     """(item, doc_id, score): the heaps of every task."""
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,15 +146,14 @@ def search(docs: DataFrame, items: DataFrame, k: int = TOP, block_postings: int
     spark = docs.sparkSession
     rows = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     results = []
-    for block in _blocks(_postings(items), block_postings):
+    for block in key_blocks(_postings(items), "item_key", F.lit(1), block_postings):
         own = ItemIndex(block.collect())            # a block is within block_postings
         if not own.items:
             continue
-        index = spark.sparkContext.broadcast(own)
-        found = dict(_counted(rows.select("text"), index).collect())
-        n_docs, all_terms = found.get(-1, 0), found.get(-2, 0)
+        found, n_docs, all_terms = term_frequencies(rows.select("text"), own.terms)
         if not n_docs:
             continue
+        index = spark.sparkContext.broadcast(own)
         weights = spark.sparkContext.broadcast(
             term_weights(n_docs, np.array([found.get(t, 0) for t in range(len(own.terms))])))
         order = Window.partitionBy("item").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())

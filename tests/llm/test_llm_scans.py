@@ -136,11 +136,11 @@ def leak_tables(rows):
     return docs, items
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 0])
+@pytest.mark.parametrize("limit", [1_000_000, 1])
 def test_leaks(leak_tables, limit):
     docs, items = leak_tables
     found = [(r.doc_id, [x.item_id for x in r.leaks]) for r in
-             decontamination.find_leaks(docs, items, broadcast_grams=limit).collect()]
+             decontamination.find_leaks(docs, items, block_words=limit).collect()]
     assert sorted(found, key=str) == sorted([(1, [10]), (1, [10]), (2, [10]), (3, []), (4, []), (5, []), (6, []),
                                              (7, [13]), (None, [10])], key=str)
     only = decontamination.find_leaks(docs, items, keep_clean=False).collect()
@@ -159,14 +159,80 @@ def test_frequent_passage_is_still_found(rows):
     assert decontamination.find_leaks(docs, items, keep_clean=False).count() == 300
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 0])
-def test_edited_copy_beside_a_verbatim_one(rows, limit):
-    item = [f"w{i}" for i in range(30)]
-    edited = " ".join(f"edit{i}" if i % 6 == 5 else w for i, w in enumerate(item))
+@pytest.mark.parametrize("limit", [1_000_000, 1])
+@pytest.mark.parametrize("every, score", [(6, 0.75), (4, 0.64), (3, 0.5)])
+def test_edited_copy_beside_a_verbatim_one(rows, limit, every, score):
+    item = [f"w{i}" for i in range(31)]
+    edited = " ".join(f"edit{i}" if i % every == every - 1 else w for i, w in enumerate(item))
     noise = " ".join(f"n{i}" for i in range(90))
     docs = rows("doc_id bigint, text string", (1, f"{noise} {' '.join(item)}"), (2, f"{noise} {edited}"),
                 (3, f"{' '.join(item[3:7])} {noise} {edited}"), (4, f"{noise} {' '.join(item[:4])} {noise}"))
-    items = rows("item_id bigint, text string", (1, " ".join(item)))
-    found = decontamination.find_leaks(docs, items, keep_clean=False, broadcast_grams=limit).collect()
-    assert sorted((r.doc_id, r.leaks[0].start) for r in found) == [(1, 90), (2, 90), (3, 94)]
-    assert min(r.leaks[0].score for r in found) > 0.7
+    items = rows("item_id bigint, text string", (1, " ".join(item)), (2, "nothing of this is held"))
+    found = decontamination.find_leaks(docs, items, keep_clean=False, block_words=limit).collect()
+    assert sorted((r.doc_id, r.leaks[0].item_id, r.leaks[0].start) for r in found) == [(1, 1, 90), (2, 1, 90), (3, 1, 94)]
+    assert min(r.leaks[0].score for r in found) >= score
+
+
+def slow_leaks(text, items, least_score=0.5):
+    """Every item aligned with the whole text."""
+    here, found = words(text), []
+    for item_id, item in items:
+        item = words(item)
+        if item:
+            codes = {w: n for n, w in enumerate(dict.fromkeys(item + here))}
+            score = decontamination.align(*(np.array([codes[w] for w in ws], dtype=int) for ws in (item, here)))[0]
+            if score >= max(2 * least_score * len(item), 2 * min(len(item), decontamination.SHORT)):
+                found.append((item_id, score / (2 * len(item))))
+    return sorted(found)
+
+
+def mutated(rng, item, rate):
+    """Words replaced, left out, put in or swapped."""
+    out = []
+    for word in item:
+        kind = rng.random()
+        if kind < rate / 3:
+            continue
+        out += [f"x{rng.integers(50)}"] if kind < 2 * rate / 3 else [word]
+        if kind > 1 - rate / 3:
+            out.append(f"y{rng.integers(50)}")
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_no_leak_is_lost(rows, seed):
+    """All pairs by whole alignment, with words from few to many and edits from none to most."""
+    rng = np.random.default_rng(seed)
+    vocabulary = [f"v{i}" for i in range((12, 40, 150, 600)[seed])]
+    share = 1 / np.arange(1, len(vocabulary) + 1)
+    draw = lambda n: [vocabulary[i] for i in rng.choice(len(vocabulary), n, p=share / share.sum())]
+    items = [(i, draw(int(rng.integers(1, 40)))) for i in range(25)]
+    texts = []
+    for n in range(60):
+        item = items[int(rng.integers(25))][1]
+        texts.append((n, " ".join(draw(int(rng.integers(0, 60))) + mutated(rng, item, (n % 6) / 6) + draw(int(rng.integers(0, 60))))))
+    told = [(i, " ".join(w)) for i, w in items]
+    docs = rows("doc_id bigint, text string", *texts).repartition(4)
+    found = decontamination.find_leaks(docs, rows("item_id bigint, text string", *told), block_words=200)
+    got = {r.doc_id: [(x.item_id, x.score) for x in r.leaks] for r in found.collect()}
+    assert got == {n: slow_leaks(t, told) for n, t in texts}
+    assert sum(map(len, got.values())) > 20
+
+
+def test_a_common_phrase_selects_nothing():
+    """Items that share a phrase with all documents are aligned with none of them."""
+    phrase = "in the beginning of the".split()
+    items = [(i, phrase + [f"own{i}x{n}" for n in range(9)]) for i in range(50)]
+    frequencies = {w.encode(): 2000 for w in phrase}
+    seeds = decontamination.Seeds([(i, [w.encode() for w in ws]) for i, ws in items], frequencies)
+    text = [w.encode() for w in phrase * 3 + ["other"] * 20]
+    assert seeds.regions(text) == {}
+    assert seeds.leaks(" ".join(items[7][1]).encode())[0]["item_id"] == 7
+
+
+def test_long_text_with_many_copies(rows):
+    text = f"{ITEM} and so on. " * 3000
+    docs = rows("doc_id bigint, text string", (1, text), (1, text), (2, "and so on " * 50_000))
+    found = decontamination.find_leaks(docs, rows("item_id bigint, text string", (1, ITEM), (1, ITEM), (1, "wall quay")),
+                                       keep_clean=False).collect()
+    assert [(r.doc_id, [(x.item_id, x.score, x.start) for x in r.leaks]) for r in found] == [(1, [(1, 1.0, 0)])] * 2

@@ -122,7 +122,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int
                     bucket_rows: int = 4096, keyed: bool = False) -> DataFrame:
     """One row per document: doc_id, fingerprint (long) and component_id, the smallest id reached.
 
-    `keyed` adds text_key, which tells rows of one id apart.
+    `keyed` adds text_key, which tells rows of one id apart, and root, a fingerprint that names the
+    component, as two components can share their smallest id where ids repeat.
     """
     prints = durable(fingerprints(docs, shingle, keyed))
     classes = durable(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id")))
@@ -130,6 +131,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int
     placed = classes.join(roots, classes.fingerprint == roots.node, "left").select(
         "fingerprint", "least_id", F.coalesce("root", "fingerprint").alias("root"))
     named = durable(placed.groupBy("root").agg(F.min("least_id").alias("component_id")))
-    member = durable(placed.join(named, "root").select("fingerprint", "component_id"))
+    more = ["root"] if keyed else []
+    member = durable(placed.join(named, "root").select("fingerprint", "component_id", *more))
     return prints.join(member, "fingerprint").select(
-        "doc_id", "fingerprint", "component_id", *(["text_key"] if keyed else []))
+        "doc_id", "fingerprint", "component_id", *(["text_key"] if keyed else []), *more)

@@ -4,9 +4,13 @@ import base64
 import gzip
 import hashlib
 import io
+import json
 import re
+from unittest import mock
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from servicelens.llm import html_text, warc
 
@@ -104,37 +108,118 @@ def test_deep_and_long_pages():
     assert len(html_text.main_text(long)) == 50_000 * 11 - 1
 
 
+def whole(*pages):
+    """[pages, nodes, digests] as the host's tasks make them."""
+    one = [[1, html_text.page_wrapper(html_text.parse(p)), [html_text._digest(html_text.main_text(p))]] for p in pages]
+    return html_text.merged_all(one)
+
+
 def wrapper(*pages):
-    nodes = [html_text.page_wrapper(html_text.parse(p)) for p in pages]
-    whole = nodes[0]
-    for other in nodes[1:]:
-        whole = html_text.align(whole, other)
-    return whole
+    return whole(*pages)[1]
 
 
 def test_alignment_finds_slots_repeats_and_options():
     found = wrapper("<div><h1>A</h1><p>x</p><p>y</p></div><h6>same</h6>", "<div><h1>B</h1><table></table><p>z</p></div><h6>same</h6>")
     div, end = found
-    assert [n[0] for n in div[2]] == ["h1", "table", "p"]
-    heading, table, paragraph = div[2]
-    assert heading[2] == [["#", 0, ""]]                         # a slot
-    assert table[1] & html_text.OPTIONAL and not heading[1] & html_text.OPTIONAL
-    assert paragraph[1] & html_text.REPEATED
-    assert end[2][0][2]                                         # fixed text
-    pairs = wrapper("<dl><dt>a<dd>b<dt>c<dd>d</dl>", "<dl><dt>a<dd>b</dl>")
-    assert [(n[0], bool(n[1] & html_text.REPEATED)) for n in pairs[0][2]] == [("(dt dd)", True)]
+    assert [n[0] for n in div[3]] == ["h1", "table", "p"]
+    heading, table, paragraph = div[3]
+    assert heading[3] == [["#", 2, "", 0]]                      # a slot
+    assert (table[1], heading[1]) == (1, 2)                     # shown by one page of two
+    assert paragraph[2]                                         # repeated
+    assert end[3][0][2:] == [html_text._digest("same"), 2]      # fixed text
+    pairs = wrapper("<dl><dt>a<dd>b<dt>c<dd>d</dl>", "<dl><dt>a<dd>b</dl>", "<dl><dt>q<dd>r<dt>s<dd>t<dt>u<dd>v</dl>")
+    assert [(n[0], n[2]) for n in pairs[0][3]][-1] == ("(dt dd)", True)
+
+
+def test_neighbours_of_equal_pages_are_not_folded():
+    nodes = wrapper(*(f"<div><p>Slogan</p></div><div><p>{i}</p></div>" for i in range(4)))
+    assert [n[0] for n in nodes] == ["div", "div"] and nodes[0][3][0][3] == [["#", 4, html_text._digest("Slogan"), 4]]
+
+
+SLOGAN = "<div><p>Site slogan</p></div><div><p>{}</p></div>"
 
 
 def test_template_text_outside_articles_goes(rows):
-    page = "<div><p>Site slogan</p></div><div><p>{}</p></div>"
     table = rows("page_id bigint, url string, html string, wrapper string, HOST int",
-                 *((i, f"http://one.example/{i}", page.format(f"story {i}"), "", 0) for i in range(5)),
-                 (10, "http://two.example/", page.format("alone"), "", 0), (11, None, page.format("no url"), "", 0),
-                 (12, "http://one.example/x", None, "", 0))
-    found = {r.page_id: r.text for r in html_text.extract(table).collect()}
-    assert found == {**{i: f"story {i}" if False else f"Site slogan story {i}" for i in range(5)}, 10: "Site slogan alone",
-                     11: "Site slogan no url", 12: ""} or found == {
-        **{i: f"story {i}" for i in range(5)}, 10: "Site slogan alone", 11: "Site slogan no url", 12: ""}
+                 *((i, f"http://one.example/{i}", SLOGAN.format(f"story {i}"), "", 0) for i in range(9)),
+                 (10, "http://two.example/", SLOGAN.format("alone"), "", 0), (11, None, SLOGAN.format("no url"), "", 0),
+                 (12, "http://one.example/x", None, "", 0), (13, "http://one.example/y", "<div><p>odd</p></div>", "", 0),
+                 (3, "http://one.example/3", SLOGAN.format("story 3"), "", 0),
+                 *((20 + i, None, SLOGAN.format(f"nowhere {i}"), "", 0) for i in range(5)))
+    found = sorted((r.page_id, r.text) for r in html_text.extract(table.repartition(3)).collect())
+    assert found == sorted([*((i, f"story {i}") for i in range(9)), (3, "story 3"), (10, "Site slogan alone"),
+                            (11, "Site slogan no url"), (12, ""), (13, "odd"),
+                            *((20 + i, f"Site slogan nowhere {i}") for i in range(5))])
+
+
+BLOG = ("<div class=top><h2>The Daily</h2><p>News since 1900</p></div><div class=text><h1>Title {0}</h1>{1}<p>Support us today.</p>"
+        "</div><div><p>Printed in Rome</p></div>")
+
+
+def blog(n, paragraphs):
+    return BLOG.format(n, "".join(f"<p>part {i} of {n}</p>" for i in range(paragraphs)))
+
+
+def test_wrappers_decide_where_no_mark_does(rows):
+    """Sites without any telling tag or class: the text is what their pages do not share."""
+    sizes = [3, 1, 5, 2, 4, 3, 7, 1, 2, 6, 3, 3]
+    table = rows("page_id bigint, url string, html string",
+                 *((i, f"https://blog.example/{i}", blog(i, n)) for i, n in enumerate(sizes)))
+    for parts in (1, 4):
+        found = {r.page_id: r.text for r in html_text.extract(table.repartition(parts)).collect()}
+        assert found == {i: " ".join([f"Title {i}", *(f"part {k} of {i}" for k in range(n))]) for i, n in enumerate(sizes)}
+    for i, n in enumerate(sizes):
+        assert "Support us today." in html_text.main_text(blog(i, n))          # without the wrapper
+
+
+def test_one_odd_page_does_not_turn_a_wrapper_off():
+    pages = [blog(i, 1 + i % 4) for i in range(12)]
+    odd = ["<h1>Gone</h1><p>moved</p>", BLOG.replace("Support us today.", "Read on.").format(99, "<p>a</p>")]
+    for made in (pages + odd, odd + pages, pages[:6] + odd + pages[6:]):
+        known = whole(*made)
+        assert html_text.main_text(pages[5], known) == "Title 5 part 0 of 5 part 1 of 5"
+        assert html_text.main_text(odd[1], known) == "Title 99 a Read on."
+        assert html_text.main_text(odd[0], known) == "Gone moved"
+
+
+def test_wrapper_size_follows_the_template():
+    """Pages that each have parts of their own: the wrapper stays as large as some pages."""
+    def page(i):
+        own = "".join(f"<{t}>{i}</{t}>" for t in (f"x{i % 97}", f"y{i % 89}", f"z{i % 83}"))
+        return f"<div><h1>{i}</h1>{own}<p>Contact us</p></div>"
+
+    sizes = {n: len(json.dumps(whole(*map(page, range(n))))) for n in (50, 200, 800)}
+    assert sizes[800] < 1.3 * sizes[50] and sizes[800] < 10 * len(json.dumps(whole(page(0))))
+    assert html_text.main_text(page(5), whole(*map(page, range(200)))) == "5 5 5 5"
+
+
+def slow_likest(a, b):
+    """The most that any alignment of two levels can be worth, by trying all."""
+    if not a or not b:
+        return 0
+    return max(slow_likest(a[1:], b), slow_likest(a, b[1:]),
+               slow_likest(a[1:], b[1:]) + html_text._likeness(a[0], b[0]) if html_text._likeness(a[0], b[0]) else 0)
+
+
+LEVEL = st.lists(st.tuples(st.sampled_from("pqr"), st.sampled_from("xyz ")), max_size=5)
+
+
+def level(nodes):
+    return [[n, 1, False, [["#", 1, t, 1]] if t.strip() else []] for n, t in nodes]
+
+
+@settings(max_examples=200, deadline=None)
+@given(LEVEL, LEVEL)
+def test_alignment_is_the_likest(a, b):
+    """Without folding, what is merged is worth as much as the best of all alignments."""
+    a, b = level(a), level(b)
+    if [n[0] for n in a] == [n[0] for n in b]:
+        return
+    with mock.patch.object(html_text, "fold", lambda nodes, pages: nodes), \
+            mock.patch.object(html_text, "_same", lambda x, y, one: [x[0], 2, html_text._likeness(x, y), []]):
+        done = html_text.align(a, b, 1, 1)
+    assert sum(n[2] for n in done if n[1] == 2) == slow_likest(a, b)
+    assert len(done) + sum(n[1] == 2 for n in done) == len(a) + len(b)
 
 
 def test_extract_follows_the_article_on_all_hosts(rows):
@@ -168,11 +253,25 @@ def test_template_text_inside_articles_goes(rows):
 
 
 def test_what_a_wrapper_cannot_tell_stays():
-    nodes = wrapper(*(STORY.format(i, "") for i in range(3)), STORY.format(3, "<section><h2>Part</h2></section>"))
-    page = STORY.format(3, "<section><h2>Part</h2></section>")
-    assert html_text.main_text(page, (4, nodes)).endswith("3 more Part")            # optional, perhaps of one page
-    assert html_text.main_text(page, (2, nodes)).endswith("Read on here Part")      # too few pages
-    assert html_text.main_text("<article><p>x</p><div>Read on here</div></article>", (4, nodes)) == "x Read on here"
+    pages = [*(STORY.format(i, "") for i in range(3)), STORY.format(3, "<section><h2>Part</h2></section>")]
+    known = whole(*pages)
+    assert html_text.main_text(pages[3], known) == "Title 3 story 3 has words and 3 more Part"    # perhaps of one page
+    assert html_text.main_text(pages[3], whole(*pages[2:])).endswith("Read on here Part")         # too few pages
+    assert html_text.main_text(pages[0], whole(*pages[:1] * 9)).endswith("Read on here")          # copies only
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<article>a<article class=comment>c</article><div>b</div></article>", "a b"),
+    ("<article>a</article><article class='teaser card'>t</article>", "a"),
+    ("<article><p class='ad-hoc'>a</p><p id='share-price'>b</p><div class='social-science'>c</div></article>", "a b c"),
+    ("<article><div class='entry-header'><h1>T</h1></div><div class='post-comments'>no</div>x</article>", "T x"),
+    ("<article><header><h1>T</h1></header><p>x</p></article><header>no</header>", "T x"),
+    ("<article>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b</article>", "a x=1 b"),
+    ("<div role=article>in</div><div>out</div>", "in"), ("<div class='site-header'>no</div><div class='related-posts'>no</div>x", "x"),
+    ("<div class='sidebar-left'>no</div><div class='no-sidebar'>x</div><p class='menu-item-12'>no</p>", "x"),
+])
+def test_which_parts_belong_to_an_article(page, text):
+    assert html_text.main_text(page) == text
 
 
 def nested(inner, tag="div", levels=2 * html_text.DEPTH):
@@ -189,5 +288,4 @@ def nested(inner, tag="div", levels=2 * html_text.DEPTH):
 ])
 def test_levels_beyond_the_depth(page, text):
     assert html_text.main_text(page) == text
-    nodes = wrapper(page, page)
-    assert html_text.main_text(page, (2, nodes)) == text
+    assert html_text.main_text(page, whole(page, page, page)) == text

@@ -4,8 +4,9 @@ Every word of a test item is an n-gram of size one, ranked by the number of docu
 The rarest ones of each item are its seeds, as many as the least score demands. An alignment that
 reaches this score leaves only so many of the item's words unmatched, so by the pigeonhole principle a
 known number of the seeds must be matched, within a stretch of the text whose length is bounded as well.
-Only there the item is aligned word by word. So no leak is lost, however it is edited, and words that
-are common in the documents select nothing, as long as the item has rarer ones.
+Only there the item is aligned word by word, and only if its words can stand there in their order often
+enough. So no leak is lost, however it is edited, and words that are common in the documents select
+nothing, as long as the item has rarer ones.
 
 The seeds of the items are an inverted index that every task gets, and texts are joined with it where they
 lie: the documents are read twice, first for the document frequencies of the items' words, and never
@@ -23,8 +24,8 @@ item are one, and texts of one id are items of their own. Extra columns are kept
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from servicelens.llm.common import alnum_words, key_blocks, only, shielded, slic
 BLOCK_WORDS = 1_000_000
 LEAST_SCORE = 0.5
 SHORT = 4
-SEED_SHARE = 0.75               # of an item's words; more seeds must be hit more often
+SEED_SHARE = 0.65               # of an item's words; more seeds must be hit more often
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 _LEAK = pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())])
@@ -71,6 +72,14 @@ def align(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
     return best, start, end
 
 
+def _masks(words: list[bytes]) -> dict[bytes, int]:
+    """The places of each word as bits."""
+    masks: dict[bytes, int] = {}
+    for place, word in enumerate(words):
+        masks[word] = masks.get(word, 0) | 1 << place
+    return masks
+
+
 class Seeds:
     """The rarest words of a block of items, as an inverted index.
 
@@ -83,7 +92,7 @@ class Seeds:
                  least_score: float = LEAST_SCORE) -> None:
         self.items = [(item_id, words) for item_id, words in items if words]
         self.least = [max(math.ceil(MATCH * least_score * len(w)), MATCH * min(len(w), SHORT)) for _, w in self.items]
-        self.counts = [Counter(words) for _, words in self.items]
+        self.masks = [_masks(words) for _, words in self.items]
         by_word: dict[bytes, list[int]] = {}
         need, span = [], []
         for number, ((_, words), least) in enumerate(zip(self.items, self.least)):
@@ -101,11 +110,9 @@ class Seeds:
 
     def regions(self, words: list[bytes]) -> dict[int, list[tuple[int, int]]]:
         """For each item with enough seeds close together the stretches of the text to align."""
-        known = self.words.get
-        hits = [(place, word) for place, word in enumerate(map(known, words)) if word is not None]
-        if not hits:
-            return {}
-        places, seeds = np.array(hits, dtype=np.int64).T
+        seeds = np.fromiter(map(self.words.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        places = np.flatnonzero(seeds >= 0)
+        seeds = seeds[places]
         lengths = self.at[seeds + 1] - self.at[seeds]
         index = np.repeat(self.at[seeds] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
         items, places = self.item[index], np.repeat(places, lengths)
@@ -115,22 +122,42 @@ class Seeds:
         inside = last < len(items)
         last = np.where(inside, last, 0)
         close = inside & (items[last] == items) & (places[last] - places < self.span[items])
+        chosen = np.flatnonzero(close)
+        if not len(chosen):
+            return {}
+        items, last = items[chosen], places[last[chosen]]
+        wide = self.span[items]
+        begins, ends = np.maximum(last - wide + 1, 0), np.minimum(places[chosen] + wide, len(words))
+        heads = np.flatnonzero((np.diff(items, prepend=-1) != 0) | (begins > np.concatenate(([0], ends[:-1]))))
+        tails = np.append(heads[1:] - 1, len(items) - 1)
         found: dict[int, list[tuple[int, int]]] = {}
-        for i in np.flatnonzero(close).tolist():
-            item, wide = int(items[i]), int(self.span[items[i]])
-            a, b = max(0, int(places[last[i]]) - wide + 1), min(len(words), int(places[i]) + wide)
-            of = found.setdefault(item, [])
-            if of and a <= of[-1][1]:
-                of[-1] = (of[-1][0], max(b, of[-1][1]))
-            else:
-                of.append((a, b))
-        return {item: kept for item, of in found.items() if (kept := [x for x in of if self._can_hold(item, words, *x)])}
-
-    def _can_hold(self, item: int, words: list[bytes], a: int, b: int) -> bool:
-        """Whether a stretch has enough of the item's words, each as often as the item has it."""
-        own = self.counts[item]
-        here = Counter(w for w in words[a:b] if w in own)
-        return MATCH * sum(min(n, own[w]) for w, n in here.items()) >= self.least[item]
+        for item, a, b in zip(items[heads].tolist(), begins[heads].tolist(), ends[tails].tolist()):
+            if kept := self._holding(item, words, a, b):
+                found.setdefault(item, []).extend(kept)
+        return found
+
+    def _holding(self, item: int, words: list[bytes], a: int, b: int) -> list[tuple[int, int]]:
+        """The parts of a stretch with enough of the item's words in their order, wherever they stand.
+
+        Every alignment lies in a window of twice its greatest length that begins at a multiple of that
+        length. The longest common subsequence of window and item is counted in the bits of one number.
+        """
+        masks, wide, size = self.masks[item], int(self.span[item]), len(self.items[item][1])
+        least, full = -(-self.least[item] // MATCH), (1 << size) - 1
+        kept: list[tuple[int, int]] = []
+        for at in range(a, max(a + 1, b - wide), wide):
+            end = min(b, at + 2 * wide)
+            state = full
+            for mask in map(masks.get, words[at:end]):
+                if mask:
+                    hit = state & mask
+                    state = ((state + hit) | (state - hit)) & full
+            if size - state.bit_count() >= least:
+                if kept and at <= kept[-1][1]:
+                    kept[-1] = (kept[-1][0], end)
+                else:
+                    kept.append((at, end))
+        return kept
 
     def leaks(self, text: bytes | None) -> list[dict]:
         """The items that the text holds: id, score and word span of the best alignment, the first of

@@ -44,7 +44,8 @@ class _Encoder:
     """Ids of texts, word by word, with a cache of two generations of words.
 
     The ids of a text are those of its parts between ASCII blanks, as the tokenizer never joins
-    across a blank; likewise a letter and a mark behind it are apart. A full cache becomes the old
+    across a blank; likewise a letter and a mark behind it are apart (a letter as the tokenizer sees it:
+    in lower case a capital can end in a combining mark). A full cache becomes the old
     generation, from which words in use move over, so memory is bounded and common words stay.
     """
 
@@ -72,7 +73,7 @@ class _Encoder:
         words = words - self.old.keys()
         stems: set[bytes] = set()
         for word in words:
-            if len(word) > 1 and word[-1] in b".,!?" and word[:-1].decode()[-1].isalpha():
+            if len(word) > 1 and word[-1] in b".,!?" and word[:-1].decode().lower()[-1].isalpha():
                 ended.append(word)
                 stems.update((word[:-1], word[-1:]))
             else:

@@ -107,3 +107,16 @@ def test_cache_generations(monkeypatch):
     for text in ("a b c d", "c d e", "x a b", "a"):
         found = np.frombuffer(encoder.texts([text], 1)[0], "<u4").tolist()
         assert found == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_ids_of_random_strings():
+    """Letters of many kinds, marks, digits and blanks in any order, as the tokenizer itself has them."""
+    rng = np.random.default_rng(11)
+    signs = [*"abzABZ \n.,!?'-1", "İ", "ı", "ß", "Σ", "ς", "é", "E\u0301", "\u0307", "Ǆ", "ŉ", "ñ", "ﬁ", "ª", "я", "字", "\u00a0", "\u200b",
+             "𝄞", "don't", "the", "<|endoftext|>", "ͅ", "Å"]
+    texts = ["".join(signs[i] for i in rng.integers(len(signs), size=rng.integers(1, 9))) for _ in range(30_000)]
+    found = packing.token_bytes(texts, tokenizer_path())
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    wanted = tokenizer.encode_batch(texts, add_special_tokens=False)
+    wrong = [t for t, f, w in zip(texts, found, wanted) if np.frombuffer(f, "<u4").tolist() != [*w.ids, 1]]
+    assert wrong == []

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from servicelens import fields
 
-_BLANKS = " \t\n\r\f\v"
+BLANKS = " \t\n\r\f\v"
 
 
 def _pieces(text: str, size: int, separators: Sequence[str]) -> list[str]:
@@ -39,12 +39,12 @@ def split_text(text: str, size: int = fields.CHUNK_SIZE, overlap: int = fields.C
     length = 0
     for piece in _pieces(text, size, list(separators)):
         if held and length + len(piece) > size:
-            chunks.append("".join(held).strip(_BLANKS))
+            chunks.append("".join(held).strip(BLANKS))
             while held and (length > overlap or length + len(piece) > size):
                 length -= len(held.pop(0))
         held.append(piece)
         length += len(piece)
-    chunks.append("".join(held).strip(_BLANKS))
+    chunks.append("".join(held).strip(BLANKS))
     return [c for c in chunks if c]
 
 
@@ -55,7 +55,7 @@ def chunk_array(c: Column, size: int = fields.CHUNK_SIZE, overlap: int = fields.
         return texts.map(lambda t: split_text(t, size, overlap, separators), na_action="ignore")
 
     # most records fit one chunk and never leave the JVM
-    short = F.filter(F.array(F.trim(c, F.lit(_BLANKS))), lambda t: t != "")
+    short = F.filter(F.array(F.trim(c, F.lit(BLANKS))), lambda t: t != "")
     return F.when(F.length(c) <= size, short).otherwise(chunks(F.when(F.length(c) > size, c)))
 
 

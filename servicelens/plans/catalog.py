@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from servicelens import fields
 from servicelens.functions import values
-from servicelens.functions.chunking import chunk_documents
+from servicelens.functions.chunking import BLANKS, chunk_documents
 from servicelens.functions.fuzzy import fuzzy_match
 from servicelens.functions.text import (
     has_any, light_snippet, light_text, metadata_json, normalize_text, record_snippet, record_text,
@@ -25,7 +25,7 @@ from servicelens.plans.standin import (
     DOCUMENT_RECORDS_SQL, ORDER, RECORDS_SQL, documents, documents_as_records, lines, table,
 )
 from servicelens.session import ensure_checkpoint_dir
-from servicelens.sources.exports import sentinels_to_null
+from servicelens.sources.exports import FILE_HEADING, read_exports, sentinels_to_null
 from servicelens.sources.tables import number_rows, standard_records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1050,8 +1050,62 @@ def chunk_texts(spark, sf_dir):
     return chunk_documents(documents(spark, sf_dir).select("doc_id", "text"), "text")
 
 
+@query("""
+SELECT doc_id, true AS fits, true AS from_text, true AS begins, true AS ends, true AS covers
+FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''""")
+def chunk_rules(spark, sf_dir):
+    """What holds for the chunks of every text with more than blanks: they fit, are parts of the text,
+    begin and end it, and leave out blanks only."""
+    rows = documents(spark, sf_dir).select("doc_id", "text", F.trim("text", F.lit(BLANKS)).alias("whole"))
+    count = F.length(F.translate("whole", BLANKS, ""))
+    return (chunk_documents(rows, "text").groupBy("doc_id").agg(
+        F.bool_and(F.length("content") <= fields.CHUNK_SIZE).alias("fits"),
+        F.bool_and(F.contains("whole", "content")).alias("from_text"),
+        F.bool_and((F.col("chunk_index") > 0) | F.startswith("whole", "content")).alias("begins"),
+        F.max_by(F.endswith("whole", "content"), "chunk_index").alias("ends"),
+        (F.sum(F.length(F.translate("content", BLANKS, ""))) >= F.max(count)).alias("covers")))
+
+
 # --- whole ingest steps -----------------------------------------------------------------------
 
+def write_sheets(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The orders as two workbooks of several sheets, with headings and column orders of their own."""
+    rows, root = table(spark, sf_dir, "orders"), scratch_path(spark, sf_dir, "sheets")
+    finished = rows.filter("o_orderstatus = 'F'").select(
+        F.col("o_orderkey").alias("整備案件NO"),
+        F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).otherwise("« NULL »").alias(" 機種名"),
+        F.col("o_totalprice").alias("部品数量"), F.col("o_orderdate").alias("売上日"))
+    others = rows.filter("o_orderstatus <> 'F'").select(
+        F.col("o_orderdate").alias("売上日"), F.col("o_orderkey").alias("整備案件NO"),
+        F.concat(F.lit('"a, b" '), "o_orderstatus").alias("作業内容"), F.col("o_custkey").alias("備考"))
+    for name, sheets in (("book_1", finished), ("book_2", others)):
+        (sheets.repartition(4, "整備案件NO").write.option("header", True).option("escape", '"')
+         .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
+         .csv(f"{root}/{name}"))
+    return spark.read.text([f"{root}/book_1", f"{root}/book_2"]).inputFiles()
+
+
+@query("""
+SELECT CASE o_orderstatus WHEN 'F' THEN 'book_1' ELSE 'book_2' END AS workbook, count(*) AS rows,
+  sum(o_orderkey)::BIGINT AS keys,
+  count(*) FILTER (o_orderstatus = 'F' AND o_orderpriority <> '5-LOW') AS models,
+  round(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 2) AS quantity,
+  min(o_orderdate)::TIMESTAMP AS first_date, max(CASE WHEN o_orderstatus <> 'F' THEN '"a, b" ' || o_orderstatus END) AS work,
+  (count(*) FILTER (o_orderstatus <> 'F')) AS notes
+FROM orders GROUP BY 1""")
+def sheet_ingest(spark, sf_dir):
+    """Sheets written and read back: headers, names, provenance, union and null markers."""
+    raw = read_exports(spark, write_sheets(spark, sf_dir))
+    kept = raw.select(F.col(FILE_HEADING).alias("workbook"), F.col("整備案件NO").cast("bigint").alias("key"),
+                      F.col("機種名").alias("model"), values.to_number(F.col("部品数量")).alias("quantity"),
+                      values.to_timestamp(F.col("売上日")).alias("date"), F.col("作業内容").alias("work"),
+                      F.col("備考").alias("note"))
+    return kept.groupBy("workbook").agg(
+        F.count("*").alias("rows"), F.sum("key").alias("keys"), F.count("model").alias("models"),
+        F.round(F.sum("quantity"), 2).alias("quantity"), F.min("date").alias("first_date"),
+        F.max("work").alias("work"), F.count("note").alias("notes"))
+
+
 @query(on_records("""
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(case_no AS VARCHAR) AS case_no,
   machine_model, category, nullif(malfunction_content, '') AS malfunction_content, sales_date,

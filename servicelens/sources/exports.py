@@ -2,9 +2,9 @@
 
 Layout: `<anywhere>/<workbook>/<sheet>.csv`. The header sits in the first or the second line. One
 distributed read finds the layouts of all files: the width of each sheet over all its records, and
-its first two records. Files that share a layout are then read by one scan, so jobs and plan branches
-follow the number of layouts and not the number of files. The driver holds the caller's list of paths
-and the layout of each.
+its first two records. A second one reads all files by one scan and joins each record with its file's
+layout, which says where the record holds each heading. Jobs and plan follow neither files nor
+layouts. The driver holds the caller's list of paths and the distinct headings.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ import re
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
 from pathlib import PurePosixPath
 from urllib.parse import unquote
 
@@ -26,6 +25,7 @@ from pyspark.sql import types as T
 
 from servicelens import fields
 from servicelens.functions.values import named
+from servicelens.session import ensure_checkpoint_dir
 
 log = logging.getLogger(__name__)
 
@@ -112,20 +112,9 @@ def _layout_columns(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def find_layouts(spark: SparkSession, paths: Sequence[str], multi_line: bool = False) -> DataFrame:
-    """(bare, header_row, names, header): the layout of every file with records, from one read.
-
-    A reader of one column hands over each record with more fields as it is written, so its fields
-    can be counted whatever the width of the lines before it.
-    """
-    raw = (_reader(spark, multi_line).option("header", False)
-           .option("columnNameOfCorruptRecord", "_record")
-           .schema("_c0 string, _record string").csv(list(paths)))
-    quoted = F.concat(F.lit('"'), F.replace("_c0", F.lit('"'), F.lit('""')), F.lit('"'))
-    records = raw.select(
-        F.regexp_replace(_path(), _SCHEME, "").alias("bare"),
-        F.struct(F.col("_metadata.file_block_start").alias("block"),
-                 F.monotonically_increasing_id().alias("row")).alias("place"),
-        F.coalesce("_record", quoted).alias("record"))
+    """(bare, header_row, names, header): the layout of every file with records, from one read."""
+    records = _records(spark, paths, multi_line, header=False).select(
+        _bare(F.col("path")).alias("bare"), F.struct("block", "row").alias("place"), "record")
     unquoted = F.regexp_replace("record", r'"(?:[^"]|"")*"', "")
     fields_in = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","))) + 1
     first_two = Window.partitionBy("bare").orderBy("place")
@@ -137,43 +126,38 @@ def find_layouts(spark: SparkSession, paths: Sequence[str], multi_line: bool = F
         _layout_columns, "bare string, header_row int, names array<string>, header array<string>")
 
 
-def _scan(spark: SparkSession, layout: Layout, paths: Sequence[str], multi_line: bool) -> DataFrame:
-    cells = [f"_c{i}" for i in range(len(layout.names))]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in cells])
-    raw = (_reader(spark, multi_line).option("header", True).schema(schema).csv(list(paths)))
-    df = raw.select(*cells, _path().alias("_path"),
-                    F.col("_metadata.file_block_start").alias("_block_start"),
-                    F.monotonically_increasing_id().alias("_row"))
-    if layout.header_row == 1:
-        # the reader skips line 0 of each file; of the records equal to the header the first goes
-        is_header = reduce(lambda a, b: a & b, (
-            F.coalesce(F.col(c), F.lit("")) == v for c, v in zip(cells, layout.header)))
-        in_file = Window.partitionBy("_path").orderBy("_block_start", "_row")
-        repeats = (df.filter(is_header).withColumn("_n", F.row_number().over(in_file))
-                   .filter("_n > 1").drop("_n"))
-        df = df.filter(~is_header).unionByName(repeats)
-    named = [F.col(c).alias(n) for c, n in zip(cells, layout.names)]
-    return df.select(
-        *named,
-        F.regexp_extract("_path", r"([^/]+)/[^/]+$", 1).alias(FILE_HEADING),
-        F.regexp_extract("_path", r"([^/]+?)(\.[^./]*)?$", 1).alias(SHEET_HEADING),
-        "_path", "_block_start", "_row")
-
-
-def _bare(path: str) -> str:
-    return re.sub(_SCHEME, "", unquote(path))
-
-
-def _in_file_order(df: DataFrame, paths: Sequence[str]) -> DataFrame:
-    """Add the position of each row's file in the list of paths.
-
-    The lookup holds one row per input file and comes from the driver's own path list; Spark knows
-    its size and broadcasts it while it is small.
+def _records(spark: SparkSession, paths: Sequence[str], multi_line: bool, header: bool) -> DataFrame:
+    """(path, block, row, record): every record as it is written; `header` leaves out line 0 of each file.
+
+    A reader of one column hands over each record with more fields as it is written, whatever the width
+    of the lines before it.
     """
-    order = df.sparkSession.createDataFrame(
-        [(_bare(p), i) for i, p in enumerate(paths)], "_bare string, _file_order int")
-    bare = F.regexp_replace("_path", _SCHEME, "").alias("_bare")
-    return df.join(order, bare == order["_bare"], "left").drop("_bare")
+    raw = (_reader(spark, multi_line).option("header", header).option("columnNameOfCorruptRecord", "_record")
+           .schema("_c0 string, _record string").csv(list(paths)))
+    quoted = F.concat(F.lit('"'), F.replace("_c0", F.lit('"'), F.lit('""')), F.lit('"'))
+    return raw.select(_path().alias("path"), F.col("_metadata.file_block_start").alias("block"),
+                      F.monotonically_increasing_id().alias("row"), F.coalesce("_record", quoted).alias("record"))
+
+
+def _bare(path: Column) -> Column:
+    return F.regexp_replace(path, _SCHEME, "")
+
+
+def _cells(record: Column, width: int) -> Column:
+    """The fields of a record as an array of this width."""
+    names = [f"_c{i}" for i in range(width)]
+    parsed = F.from_csv(record, ", ".join(f"{n} string" for n in names), {
+        "escape": '"', "nullValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+    return F.transform(F.array(parsed), lambda p: F.array(*(p[n] for n in names)))[0]
+
+
+def _without_header(rows: DataFrame) -> DataFrame:
+    """The reader skips line 0 of each file; where line 1 is the header, the first record equal to it goes."""
+    told = F.transform(F.slice("cells", F.lit(1), F.size("header")), lambda c: F.coalesce(c, F.lit("")))
+    is_header = (F.col("header_row") == 1) & (told == F.col("header"))
+    in_file = Window.partitionBy("path").orderBy("block", "row")
+    repeats = rows.filter(is_header).withColumn("_n", F.row_number().over(in_file)).filter("_n > 1").drop("_n")
+    return rows.filter(~is_header).unionByName(repeats)
 
 
 def sentinels_to_null(df: DataFrame, markers: Sequence[str] = tuple(fields.NULL_MARKERS)
@@ -191,17 +175,34 @@ def read_exports(spark: SparkSession, paths: Sequence[str], sheets: Sequence[str
     sheet names. The columns in `LOAD_ORDER` give the load order of the rows.
     """
     chosen = _existing(spark, [p for p in paths if sheets is None or PurePosixPath(p).stem in sheets])
-    by_layout: dict[Layout, list[str]] = {}
-    if chosen:
-        listed = find_layouts(spark, chosen, multi_line).agg(F.collect_list(F.struct("*"))).first()[0]
-        found = {x.bare: Layout(x.header_row, tuple(x.names), tuple(x.header)) for x in listed}
-        for path in chosen:
-            if _bare(path) in found:
-                by_layout.setdefault(found[_bare(path)], []).append(path)
-            else:
-                log.warning("skipped %s: empty", path)
-    if not by_layout:
+    if not chosen:
+        return spark.createDataFrame([], T.StructType([]))
+    ensure_checkpoint_dir(spark)
+    order = spark.createDataFrame([(re.sub(_SCHEME, "", unquote(p)), i) for i, p in enumerate(chosen)],
+                                  "bare string, _file_order int")
+    layouts = find_layouts(spark, chosen, multi_line).join(order, "bare").checkpoint()
+    empty = order.join(layouts, "bare", "left_anti").agg(
+        F.count("*").alias("files"), F.min_by("bare", "_file_order").alias("first")).first()
+    if empty["files"]:
+        log.warning("skipped %d empty files, the first is %s", empty["files"], empty["first"])
+
+    # of the layouts only their distinct headings come to the driver, in the order in which they appear
+    each = layouts.select("_file_order", F.posexplode("names").alias("_place", "name"))
+    first = each.groupBy("name").agg(F.min(F.struct("_file_order", "_place")).alias("at"))
+    headings = [x["name"] for x in first.agg(F.array_sort(F.collect_list(F.struct("at", "name")))).first()[0]]
+    if not headings:
         return spark.createDataFrame([], T.StructType([]))
-    scans = [_scan(spark, layout, files, multi_line) for layout, files in by_layout.items()]
-    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
-    return sentinels_to_null(_in_file_order(union, chosen).drop("_path"))
+    known = layouts.agg(F.max(F.size("names")).alias("width"), F.max("header_row").alias("header_row")).first()
+
+    places = F.transform(F.array(*map(F.lit, headings)), lambda h: (F.array_position("names", h) - 1).cast("int"))
+    placed = layouts.select("bare", "_file_order", "header_row", "header", places.alias("places"))
+    rows = _records(spark, chosen, multi_line, header=True).withColumn("bare", _bare(F.col("path")))
+    rows = rows.join(placed, "bare").withColumn("cells", _cells(F.col("record"), known["width"]))
+    if known["header_row"]:
+        rows = _without_header(rows)
+    table = rows.select(
+        *(F.get("cells", F.get("places", F.lit(i))).alias(h) for i, h in enumerate(headings)),
+        F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias(FILE_HEADING),
+        F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias(SHEET_HEADING),
+        F.col("block").alias("_block_start"), F.col("row").alias("_row"), "_file_order")
+    return sentinels_to_null(table)

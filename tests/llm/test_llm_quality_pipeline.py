@@ -146,6 +146,17 @@ def test_near_dedup_tells_rows_of_one_id_apart(spark, rows):
     assert sorted((r.doc_id, r.text or "") for r in kept) == [(0, first), (1, second), (2, "")]
 
 
+def test_near_dedup_keeps_one_row_of_a_component(spark, rows):
+    """Near copies under one id are one component, and two components can share their smallest id."""
+    one, two = (" ".join(f"{w}{i}" for i in range(400)) for w in "ab")
+    docs = rows("doc_id bigint, text string, lang string, source string, n_chars bigint",
+                *((i, t, "en", "s", 1) for i, t in ((5, one), (5, f"{one} more"), (9, one), (5, two), (9, f"more {two}"),
+                                                    (None, one), (None, one))))
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, SMALL).collect()]
+    assert len(kept) == 3 and kept.count((None, one)) == 1 and (5, two) in kept
+    assert ((5, one) in kept) != ((5, f"{one} more") in kept)
+
+
 def test_pipeline_runs_whole(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0
 
@@ -163,5 +174,5 @@ def test_query_runs(spark, name):
 
 
 def test_registration():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert {*queries.QUERIES, "pipeline"} <= set(driver.queries())

@@ -4,7 +4,7 @@ Each stage is (name, function); a function takes (spark, docs, sf_dir) and retur
 is written as Parquet and read again as the next stage's documents:
 
 * quality rules: rejected documents go;
-* SimHash near-dedup: of each group of near duplicates the document with the smallest id stays;
+* SimHash near-dedup: of each group of near duplicates one row stays, that with the smallest id;
 * benchmark decontamination: documents that hold a test item go;
 * secret scan: every secret in a text is replaced by a mark (and `n_chars` follows);
 * best-fit packing: the texts become token pieces placed in sequences.
@@ -18,11 +18,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from servicelens.llm import decontamination, packing, rules, secret_scan, simhash
-from servicelens.llm.common import only, shared_folder, text_key
+from servicelens.llm.common import durable, only, shared_folder, text_key
 from servicelens.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -33,9 +33,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs, keyed=True)
-    gone = (found.where(F.col("doc_id") != F.col("component_id"))
-            .select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct())
+    """Of each component one row stays: the smallest id, and of its texts the one with the least key."""
+    found = durable(simhash.near_duplicates(docs, keyed=True))
+    first = F.col("doc_id") == F.col("component_id")
+    others = found.where(~first).select("doc_id", "text_key")
+    heads = found.where(first).select("root", "doc_id", "text_key").distinct()
+    heads = heads.withColumn("kept_key", F.min("text_key").over(Window.partitionBy("root")))
+    twins = heads.where(F.col("text_key") != F.col("kept_key")).select("doc_id", "text_key")
+    gone = others.union(twins).distinct().toDF("gone_id", "gone_key")
     rows = only(docs, *COLUMNS)
     return (rows.join(gone, (rows.doc_id == gone.gone_id) & (text_key() == F.col("gone_key")), "left_anti")
             .dropDuplicates(["doc_id", "text"]).select(*COLUMNS))

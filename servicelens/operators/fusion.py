@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from servicelens import fields
 
+_BROADCAST_IDS = 100_000
+
 
 def top_k(hits: DataFrame, k: int, *tie_break: str) -> DataFrame:
     return hits.orderBy(F.col("score").desc(), *tie_break).limit(k)
@@ -51,6 +53,35 @@ def fuse_by_record(keyword: DataFrame, semantic: DataFrame, k: int,
                              *(F.coalesce(f"_k_{c}", f"_s_{c}").alias(c) for c in carried)), k, "id")
 
 
+def fuse_exactly(keyword: DataFrame, semantic: DataFrame, k: int,
+                 semantic_weight: float = fields.SEMANTIC_WEIGHT, first: int | None = None) -> DataFrame:
+    """The k records with the highest sums over all hits of both sides: (id, score).
+
+    Where `fuse_by_record` adds up two cut lists and can miss a record that is just below the cut on both,
+    this one goes on until none can be missed (Fagin's threshold algorithm). Each round reads the best
+    hits of each side, looks up the other side's scores of their records, and stops when k of the sums
+    are above what any record behind both cuts can reach; else the lists get four times as long. The inputs
+    are whole hit tables with one row per id and scores of 0 or more.
+    """
+    weights = (1 - semantic_weight, semantic_weight)
+    sides = [hits.select("id", (F.col("score") * w).alias("score")) for hits, w in zip((keyword, semantic), weights)]
+    size = first or 2 * k
+    while True:
+        tops = [top_k(side, size, "id") for side in sides]
+        cuts = [top.agg(F.when(F.count("*") >= size, F.min("score")).otherwise(0.0).alias("cut"),
+                        (F.count("*") < size).alias("all")).first() for top in tops]
+        seen = tops[0].select("id").union(tops[1].select("id")).distinct()
+        seen = F.broadcast(seen) if size <= _BROADCAST_IDS else seen
+        sums = (sides[0].unionByName(sides[1]).join(seen, "id", "left_semi")
+                .groupBy("id").agg(F.sum("score").alias("score")))
+        found = top_k(sums, k, "id")
+        reach = sum(c["cut"] for c in cuts)
+        told = found.agg(F.count("*").alias("rows"), F.min("score").alias("least")).first()
+        if all(c["all"] for c in cuts) or told["rows"] >= k and told["least"] > reach:
+            return found
+        size *= 4
+
+
 def light_hybrid(semantic: DataFrame, keyword: DataFrame, k: int) -> DataFrame:
     """Best `k // 2` hits of each side in one list; equal scores list semantic hits first.
 

@@ -123,6 +123,39 @@ def exact_median(df: DataFrame, by: str, value: str, name: str = "median") -> Da
             .orderBy(F.col(name).desc_nulls_last(), by))
 
 
+def dashboard(cases: DataFrame, parts: DataFrame, models: int = 20, top: int = 10) -> DataFrame:
+    """All tables of the dashboard in long form, each fact table read once: (section, value, cases,
+    malfunctions, rank).
+
+    Sections of the cases: machine_model (by malfunctions), bulletin_no, location. Sections of the part
+    rows: month (of malfunctions, in date order), hour_bin, parts_name (by malfunctions), and the facets. A
+    row gives one cell to each section; cells are counted before the only shuffle, and lists are cut in
+    front of the ranking one.
+    """
+    month = F.date_format(F.date_trunc("month", "base_date"), "yyyy-MM")
+    wanted = {"machine_model": ("malfunctions", models), "bulletin_no": ("cases", top), "location": ("cases", None),
+              "month": ("value", None), "hour_bin": ("malfunctions", None), "parts_name": ("malfunctions", top)}
+    facets = {f"facet {c}": F.col(c) for c in (*fields.FACET_COLUMNS, "hour_bin") if c in parts.columns}
+
+    def counted(df: DataFrame, cells: dict[str, Column]) -> DataFrame:
+        listed = F.array(*(F.struct(F.lit(n).alias("section"), c.cast("string").alias("value")) for n, c in cells.items()))
+        each = df.select(F.explode(listed).alias("cell"), "malfunction").filter("cell.value is not null")
+        return each.groupBy("cell.section", "cell.value").agg(
+            F.count("*").alias("cases"), F.count_if(F.col("malfunction") == 1).alias("malfunctions"))
+
+    both = counted(cases, {n: F.col(n) for n in ("machine_model", "bulletin_no", "location")}).unionByName(
+        counted(parts, {"month": month, "hour_bin": F.col("hour_bin"), "parts_name": F.col("parts_name"), **facets}))
+    ordered = {kind: [n for n, (k, _) in wanted.items() if k == kind] for kind in ("malfunctions", "cases")}
+    both = both.filter(~F.col("section").isin(*ordered["malfunctions"], "month") | (F.col("malfunctions") > 0))
+    key = F.when(F.col("section").isin(ordered["malfunctions"]), -F.col("malfunctions")).otherwise(-F.col("cases"))
+    limit = F.coalesce(*(F.when(F.col("section") == n, size) for n, (_, size) in wanted.items() if size))
+    whole = F.when(limit.isNull(), F.col("value"))          # rows of unlimited sections are not gathered
+    rank = F.row_number().over(Window.partitionBy("section", whole).orderBy(key, "value"))
+    ranked = both.withColumn("rank", rank).filter(F.col("rank") <= max(models, top))
+    return ranked.filter(limit.isNull() | (F.col("rank") <= limit)).withColumn(
+        "rank", F.when(limit.isNotNull(), F.col("rank")))
+
+
 def date_bounds(df: DataFrame, date: str = "base_date") -> DataFrame:
     return df.agg(F.min(date).alias("first_date"), F.max(date).alias("last_date"))
 

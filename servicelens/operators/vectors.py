@@ -28,12 +28,10 @@ _ROUNDING = 1e-9                # relative; more than the order of summing chang
 _RING_SLACK = 1e-6              # parts of a half turn; an angle near zero is known to about 1e-8
 
 
-def nearest(vectors: DataFrame, query: Sequence[float], k: int, row_id: str = "vec_id",
-            vector: str = "embedding") -> DataFrame:
-    """Exact top k by inner product: (id, score), equal scores by id.
+def scored(vectors: DataFrame, query: Sequence[float], row_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Inner product of every vector with the query: (id, score). Rows without a vector are no hits.
 
-    One product per Arrow batch, in double; each row is summed alike, so equal vectors score
-    equally. Each task keeps k rows; nothing is shuffled. Rows without a vector are no hits.
+    One product per Arrow batch, in double; each row is summed alike, so equal vectors score equally.
     """
     asked = np.asarray(query, dtype=np.float64)
 
@@ -43,9 +41,13 @@ def nearest(vectors: DataFrame, query: Sequence[float], k: int, row_id: str = "v
             return pd.Series([], dtype="float64")
         return pd.Series((np.stack(rows.to_numpy()).astype(np.float64) * asked).sum(axis=1))
 
-    return (vectors.filter(F.col(vector).isNotNull())
-            .select(F.col(row_id).alias("id"), inner(vector).alias("score"))
-            .orderBy(F.col("score").desc(), "id").limit(k))
+    return vectors.filter(F.col(vector).isNotNull()).select(F.col(row_id).alias("id"), inner(vector).alias("score"))
+
+
+def nearest(vectors: DataFrame, query: Sequence[float], k: int, row_id: str = "vec_id",
+            vector: str = "embedding") -> DataFrame:
+    """Exact top k by inner product: (id, score), equal scores by id. Each task keeps k rows."""
+    return scored(vectors, query, row_id, vector).orderBy(F.col("score").desc(), "id").limit(k)
 
 
 def nearest_many(vectors: DataFrame, questions: DataFrame, k: int, row_id: str = "vec_id",

@@ -17,9 +17,10 @@ from servicelens.functions.text import (
     has_any, light_snippet, light_text, metadata_json, normalize_text, record_snippet, record_text,
 )
 from servicelens.operators import (
-    block_max, facts, filters, fusion, grams, hybrid, metrics, quality, search, tfidf, vectors,
+    block_max, facts, filters, fusion, grams, heavy, hybrid, metrics, quality, search, tfidf, vectors,
 )
 from servicelens.operators.clean import derive, normalize_records, text_columns
+from servicelens.plans import rollup
 from servicelens.plans.spec import run_spec
 from servicelens.plans.standin import (
     DOCUMENT_RECORDS_SQL, ORDER, RECORDS_SQL, documents, documents_as_records, lines, table,
@@ -330,6 +331,48 @@ def value_distribution(spark, sf_dir):
         lines(spark, sf_dir, "machine_model", "series", "service_class", "warranty_class"))
 
 
+_LONG_FIELDS = ["parts_code", "parts_name", "work_note", "case_no", "machine_model"]
+
+
+@query(on_records(f"""
+, l AS (SELECT unnest([{", ".join(f"'{c}'" for c in _LONG_FIELDS)}]) AS field,
+               unnest([{", ".join(f"CAST({c} AS VARCHAR)" for c in _LONG_FIELDS)}]) AS value FROM clean),
+c AS (SELECT field, value, count(*) AS cases FROM l WHERE value IS NOT NULL GROUP BY ALL)
+SELECT field, value, cases, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY field ORDER BY cases DESC, value) AS rank FROM c)
+WHERE rank <= 5"""))
+def frequent_values(spark, sf_dir):
+    return heavy.frequent_values(lines(spark, sf_dir, *_LONG_FIELDS), _LONG_FIELDS)
+
+
+_FACETS = [*fields.FACET_COLUMNS, "hour_bin"]
+
+
+@query(on_records(f"""
+, cells AS (
+  SELECT unnest(['machine_model', 'bulletin_no', 'location']) AS section,
+         unnest([machine_model, bulletin_no, location]) AS value, malfunction FROM cases
+  UNION ALL
+  SELECT unnest(['month', 'hour_bin', 'parts_name', {", ".join(f"'facet {c}'" for c in _FACETS)}]),
+         unnest([strftime(base_date, '%Y-%m'), hour_bin, parts_name, {", ".join(_FACETS)}]), malfunction FROM clean),
+counted AS (SELECT section, value, count(*) AS cases, sum(malfunction)::BIGINT AS malfunctions FROM cells
+            WHERE value IS NOT NULL GROUP BY ALL),
+shown AS (SELECT * FROM counted WHERE malfunctions > 0
+          OR section NOT IN ('machine_model', 'hour_bin', 'parts_name', 'month')),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY
+             CASE WHEN section IN ('machine_model', 'parts_name') THEN -malfunctions ELSE -cases END, value) AS r,
+             CASE section WHEN 'machine_model' THEN 20 WHEN 'bulletin_no' THEN 10 WHEN 'parts_name' THEN 10 END AS top
+           FROM shown)
+SELECT section, value, cases, malfunctions, CASE WHEN top IS NOT NULL THEN r::INTEGER END AS rank
+FROM ranked WHERE top IS NULL OR r <= top"""))
+def dashboard(spark, sf_dir):
+    names = ["case_no", *ORDER, *fields.FACET_COLUMNS, "location", "parts_name", "work_content", "work_note",
+             "hour_meter", *DATES, *FLAG_INPUTS]
+    part_rows = clean(spark, sf_dir, *dict.fromkeys(names))
+    case_rows, _ = facts.split_facts(part_rows, ORDER)
+    return metrics.dashboard(case_rows, part_rows)
+
+
 # --- query specs ------------------------------------------------------------------------------
 
 def spec(spark: SparkSession, sf_dir: str, names: list[str], body: dict) -> DataFrame:
@@ -406,6 +449,46 @@ def spec_free_text(spark, sf_dir):
                              "target_columns": ["作業内容", "部品品名", "no_such_column"]}})
 
 
+def spec_rolled(spark: SparkSession, sf_dir: str, names: list[str], totals: list[str], body: dict) -> DataFrame:
+    """The same from stored rollups by these names, with these totals."""
+    part_rows = clean(spark, sf_dir, "case_no", *ORDER, *names, *totals)
+    case_rows, _ = facts.split_facts(part_rows, ORDER)
+    stored = []
+    for name, table_ in (("case_rollup", case_rows), ("part_rollup", part_rows)):
+        path, made = scratch_path(spark, sf_dir, name), rollup.build_rollup(table_, names, totals)
+        made.write(path)
+        stored.append(made.read(spark, path))
+    return rollup.run_spec(case_rows, part_rows, body, *stored)
+
+
+@query(on_records("""
+SELECT series, kind, count(*) AS n, sum(coalesce(work_hours, 0)) AS hours, avg(coalesce(work_hours, 0)) AS mean_hours
+FROM cases WHERE base_date >= TIMESTAMP '1996-01-01' AND base_date <= TIMESTAMP '1999-12-31'
+  AND kind = 'F' AND machine_model IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5', 'Brand#12')
+  AND (department IS NULL OR department NOT IN ('NATION_1', 'NATION_2')) AND contains(lower(location), 'mach')
+GROUP BY series, kind"""))
+def spec_rollup(spark, sf_dir):
+    brands = [f"Brand#{i}" for i in (1, 2, 3, 4, 5, 12)]
+    return spec_rolled(spark, sf_dir, ["series", "kind", "machine_model", "department", "location", *DATES], ["work_hours"], {
+        "time_range": {"from": "1996-01-01", "to": "1999-12-31"},
+        "filters": [{"column": "種別", "op": "==", "value": "F"}, {"column": "機種名", "op": "in", "value": brands},
+                    {"column": "部門名", "op": "not in", "value": ["NATION_1", "NATION_2"]},
+                    {"column": "整備場所", "op": "contains", "value": "MACH"}],
+        "groupby": ["series", "kind"],
+        "metrics": [{"name": "n", "expr": "count"}, {"name": "hours", "expr": "sum:作業時間"},
+                    {"name": "mean_hours", "expr": "mean:作業時間"}]})
+
+
+@query(on_records("""
+SELECT machine_model, series, sum(parts_qty) AS total_qty, count(*) AS n, 0.0::DOUBLE AS nothing
+FROM clean GROUP BY machine_model, series"""))
+def spec_rollup_parts(spark, sf_dir):
+    return spec_rolled(spark, sf_dir, ["machine_model", "series"], ["parts_qty"], {
+        "groupby": ["machine_model", "series"],
+        "metrics": [{"name": "total_qty", "expr": "sum:部品数量"}, {"name": "n", "expr": "count"},
+                    {"name": "nothing", "expr": "sum:no_such_column"}]})
+
+
 @query(on_records("""
 SELECT location, sum(coalesce(work_hours, 0)) AS hours, count(*) AS n FROM cases GROUP BY location
 ORDER BY hours DESC, location NULLS LAST LIMIT 3"""))
@@ -768,6 +851,20 @@ def hybrid_record(spark, sf_dir):
     return rounded(fusion.fuse_by_record(*both_sides(spark, sf_dir, 10), 10))
 
 
+@query(on_documents("""
+, k AS (SELECT id, 1.0::DOUBLE AS score FROM doc WHERE """ + " OR ".join(
+    f"{c} ILIKE '%ungber%'" for c in ("work_content", "machine_model", "category")) + f"""),
+{_NEAREST_SQL.format(k=10**9)},
+p AS (SELECT * FROM v WHERE score > 0)
+SELECT coalesce(k.id, p.id) AS id, coalesce(k.score * (1 - 0.7::DOUBLE), 0) + coalesce(p.score * 0.7::DOUBLE, 0) AS score
+FROM k FULL JOIN p ON k.id = p.id ORDER BY score DESC, id LIMIT 10"""), rounds="score")
+def hybrid_exact(spark, sf_dir):
+    keyword = search.ilike_search(documents_as_records(spark, sf_dir), "ungber", columns=_DOC_COLUMNS).select(
+        "id", F.lit(fields.KEYWORD_SCORE).alias("score"))
+    semantic = vectors.scored(table(spark, sf_dir, "embeddings"), probe_vector(spark, sf_dir)).filter("score > 0")
+    return rounded(fusion.fuse_exactly(keyword, semantic, 10))
+
+
 _QUESTION = "ungber"
 _LIGHT_COLUMNS = ["work_content", "machine_model", "category"]
 

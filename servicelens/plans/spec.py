@@ -14,7 +14,7 @@ name raises ValueError.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Collection, Mapping
 from datetime import date, datetime
 from typing import Any
 
@@ -31,12 +31,20 @@ from servicelens.operators.filters import in_range
 Spec = Mapping[str, Any]
 
 
-def resolve(df: DataFrame, name: Any) -> str | None:
-    """The table's column for a name in a spec; None if there is none."""
-    if name in df.columns:
+#: Column of a table of partial aggregates: the rows that each of its rows stands for.
+ROWS = "_rows"
+
+
+def resolve_name(columns: Collection[str], name: Any) -> str | None:
+    """The column for a name in a spec; None if there is none."""
+    if name in columns:
         return name
     standard = fields.standard_name(name) if isinstance(name, str) else None
-    return standard if standard in df.columns else None
+    return standard if standard in columns else None
+
+
+def resolve(df: DataFrame, name: Any) -> str | None:
+    return resolve_name(df.columns, name)
 
 
 def wants_parts(spec: Spec) -> bool:
@@ -103,7 +111,7 @@ def _filtered(df: DataFrame, spec: Spec) -> DataFrame:
     return df
 
 
-def _number_or_zero(df: DataFrame, name: str) -> Column:
+def number_or_zero(df: DataFrame, name: str) -> Column:
     column = resolve(df, name)
     if column is None:
         return F.lit(0.0)
@@ -115,12 +123,13 @@ def _number_or_zero(df: DataFrame, name: str) -> Column:
 
 def _metric(df: DataFrame, expr: str) -> Column:
     kind, _, name = expr.partition(":")
+    partial = ROWS in df.columns                # the numbers of a partial aggregate are totals
     if expr == "count":
-        return F.count("*")
+        return F.coalesce(F.sum(ROWS), F.lit(0)) if partial else F.count("*")
     if kind == "sum" and name:
-        return F.coalesce(F.sum(_number_or_zero(df, name)), F.lit(0.0))
+        return F.coalesce(F.sum(number_or_zero(df, name)), F.lit(0.0))
     if kind == "mean" and name:
-        return F.avg(_number_or_zero(df, name))
+        return F.sum(number_or_zero(df, name)) / F.sum(ROWS) if partial else F.avg(number_or_zero(df, name))
     raise ValueError(f"unsupported expression: {expr}")
 
 
@@ -145,13 +154,17 @@ def _sorted(result: DataFrame, rows: DataFrame, spec: Spec, keys: dict[str, str]
 
 def run_spec(cases: DataFrame, parts: DataFrame, spec: Spec) -> DataFrame:
     """Filter, group, aggregate, sort and limit as the spec says."""
-    df = _filtered(parts if wants_parts(spec) else cases, spec)
+    return answer(parts if wants_parts(spec) else cases, spec)
+
 
+def answer(table: DataFrame, spec: Spec) -> DataFrame:
+    """The spec over one table: facts, or partial aggregates of them with a column `ROWS`."""
+    df = _filtered(table, spec)
     keys = {g: resolve(df, g) for g in spec.get("groupby") or []}
     keys = {shown: column for shown, column in keys.items() if column is not None}
     metrics = [(m["name"], _metric(df, m.get("expr") or "count"))
                for m in spec.get("metrics") or [] if m.get("name")]
-    metrics = metrics or [(fields.COUNT_NAME, F.count("*"))]
+    metrics = metrics or [(fields.COUNT_NAME, _metric(df, "count"))]
     names = [*keys, *(name for name, _ in metrics)]
     if len(set(names)) < len(names):
         raise ValueError(f"result names are not unique: {names}")

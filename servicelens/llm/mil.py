@@ -5,14 +5,16 @@ plain measurements of its characters, words and repetitions; gated attention wei
 passage counts, the weighted mean of the encodings is the document, and a logistic unit scores it. All
 weights are learned together from document labels alone.
 
-The fit uses at most `TRAIN_DOCS` labelled documents, those whose ids hash lowest, and of each at most
-`TRAIN_PASSAGES` evenly spread passages, which bounds what reaches the driver. Scoring covers every
-passage of every document, in one pass without a shuffle; the model is a few kilobytes.
+The fit uses labelled documents in the order in which their ids hash, at most `TRAIN_DOCS` of them and as
+many as have `TRAIN_PASSAGES` passages together, which bounds what reaches the driver. They enter whole.
+Scoring covers every passage of every document, in one pass without a shuffle; the model is a few
+kilobytes.
 
 Nulls and special cases: a null text is an empty one; an empty text is one passage without words and
 gets the model's score for it. Labels without an id or a quality are not used; several labels of one
 document count as their mean. Without any label, or labels of one kind only, all scores are the share
-of good labels, or 0.5. Repeated rows are scored alike; other columns are ignored.
+of good labels, or 0.5. Repeated rows are scored alike; where an id has several texts, the fit takes the
+one with the least key. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,14 +25,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from servicelens.llm.common import only, sliced
+from servicelens.llm.common import only, sliced, text_key
 
 PASSAGE_WORDS = 64
 TRAIN_DOCS = 4_000
-TRAIN_PASSAGES = 32
+TRAIN_PASSAGES = 200_000
 CUT = 0.7
 HIDDEN = 16
 EPOCHS = 250
@@ -157,19 +159,22 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS,
              .agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
              .withColumnRenamed("doc_id", "label_id"))
-    rows = only(docs, "doc_id", "text")
-    sample = rows.join(F.broadcast(known), rows.doc_id == known.label_id).select("text", "label")
+    rows = only(docs, "doc_id", "text").withColumn("key", text_key())
+    sample = (rows.join(F.broadcast(known), rows.doc_id == known.label_id).groupBy("label_id", "label")
+              .agg(F.min(F.struct("key", "text")).alias("one")).select("label_id", "label", "one.text"))
+    size = F.greatest(F.round(F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), r"[ \t-\r]+")) / PASSAGE_WORDS), F.lit(1))
+    upto = Window.orderBy(F.xxhash64("label_id"), "label_id")           # over at most train_docs rows
+    chosen = (sample.select("label_id", size.alias("size")).withColumn("sum", F.sum("size").over(upto))
+              .where(F.col("sum") <= train_passages).select(F.col("label_id").alias("chosen_id")))
+    sample = sample.join(F.broadcast(chosen), F.col("label_id") == F.col("chosen_id"), "left_semi")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            bags = []
-            for text in batch.column("text").to_pylist():
-                bag = passages(text)
-                kept = np.linspace(0, len(bag) - 1, min(len(bag), train_passages)).astype(int)
-                bags.append(bag[kept].tobytes())
+            bags = [passages(text).tobytes() for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(bags, pa.binary())],
                                              ["label", "bag"])
 
+    sample = sample.select("text", "label")
     found = sorted((bytes(r.bag), r.label) for r in sample.mapInArrow(measured, "label int, bag binary").collect())
     bags = [np.frombuffer(b, dtype=np.float32).reshape(-1, FEATURES) for b, _ in found]
     return fit(bags, np.array([label for _, label in found]))

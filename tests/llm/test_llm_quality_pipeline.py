@@ -3,6 +3,7 @@
 import sys
 import zlib
 from pathlib import Path
+from unittest import mock
 
 import numpy as np
 import oracle
@@ -46,6 +47,38 @@ def test_gradients_descend_and_attention_finds_the_telling_passage():
     assert np.mean(right) > 0.9
 
 
+def test_attention_decides_where_one_passage_tells():
+    """Bags of many plain passages and one telling one: with equal weights the model errs."""
+    rng = np.random.default_rng(4)
+    bags, labels = [], []
+    for i in range(400):
+        bag = rng.normal(0, 1, (rng.integers(10, 40), mil.FEATURES))
+        if i % 2:
+            bag[rng.integers(len(bag)), 3] += 5.0
+        bags.append(bag.astype(np.float32))
+        labels.append(i % 2)
+    model = mil.fit(bags[:300], np.array(labels[:300]))
+    even = mil.Model(model.base, model.mean, model.scale, {**model.weights, "attend": np.zeros(mil.HIDDEN)})
+    right, without = ([(m.score(b) >= 0.5) == y for b, y in zip(bags[300:], labels[300:])] for m in (model, even))
+    assert np.mean(right) > 0.9 and np.mean(without) < 0.7
+    x = (bags[1] - model.mean) / model.scale
+    weights = mil._forward(model.weights, x, np.zeros(1, dtype=np.int64), np.zeros(len(x), dtype=np.int64))["a"]
+    assert weights.argmax() == bags[1][:, 3].argmax() and weights.max() > 5 / len(x)
+
+
+def test_the_fit_takes_whole_texts_and_one_row_per_id(rows):
+    texts = {i: " ".join(f"{'good' if i % 2 else 'bad'}{k % 9}" for k in range(64 * (1 + i % 5))) for i in range(40)}
+    docs = rows("doc_id bigint, text string", *texts.items(), *[(1, texts[1])] * 30, (1, "zzz"), (None, "x"))
+    labels = rows("doc_id bigint, quality int, QUALITY string", *((i, i % 2, "") for i in texts))
+    seen = []
+    with mock.patch.object(mil, "fit", lambda bags, y: seen.append([len(b) for b in bags]) or mil.Model(0.5)):
+        mil.train(docs, labels)
+        mil.train(docs, labels, train_passages=20)
+    kept = [i for i in texts if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(seen[0]) == len(kept) and 3 <= len(seen[1]) < len(kept) and sum(seen[1]) <= 20
+    assert sum(seen[0]) in (sum(1 + i % 5 for i in kept), sum(1 + i % 5 for i in kept) - 1)     # id 1 by either text
+
+
 def test_gradient_against_differences():
     rng = np.random.default_rng(1)
     sizes = [1, 4, 2]

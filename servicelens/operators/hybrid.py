@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from servicelens import fields
 from servicelens.operators import fusion, search, tfidf, vectors
+from servicelens.operators.block_max import BlockMaxIndex
+from servicelens.operators.grams import SubstringIndex
 
 
 def _content(hits: DataFrame, records: DataFrame, row_id: str, content: Column,
@@ -26,13 +28,13 @@ def hybrid_search(records: DataFrame, vector_table: DataFrame | vectors.CellInde
                   filters: Mapping[str, Any] | None = None, metadata: Sequence[str] = (),
                   columns: Sequence[str] = fields.RECORD_SEARCH_COLUMNS,
                   semantic_weight: float = fields.SEMANTIC_WEIGHT, by_record: bool = False,
-                  method: str = "exact") -> DataFrame:
+                  method: str = "exact", index: SubstringIndex | None = None) -> DataFrame:
     """The k best of 2k hits from each side, with content and metadata.
 
     `by_record` adds up the scores of a record (id); otherwise each side keeps its hit
-    (document_id). `filters` hold for the keyword side.
+    (document_id). `filters` hold for the keyword side, and so does `index`, of the searched columns.
     """
-    keyword = search.record_hits(records, question, filters, 2 * k, row_id, columns, content)
+    keyword = search.record_hits(records, question, filters, 2 * k, row_id, columns, content, index)
     keyword = _content(keyword.drop("content"), records, row_id, content, metadata)
     semantic = _content(vectors.search(vector_table, vector, 2 * k, method=method), records, row_id,
                         content, metadata)
@@ -40,14 +42,17 @@ def hybrid_search(records: DataFrame, vector_table: DataFrame | vectors.CellInde
     return fuse(keyword, semantic, k, semantic_weight)
 
 
-def light_hybrid_search(records: DataFrame, documents: DataFrame | tfidf.TextIndex, question: str, k: int,
-                        content: Column, row_id: str = "id", doc_id: str = "doc_id", text: str = "text",
-                        metadata: Sequence[str] = (),
-                        columns: Sequence[str] = fields.LIKE_SEARCH_COLUMNS) -> DataFrame:
-    """The light form: text similarity in place of vectors, half of the list from each side."""
+def light_hybrid_search(records: DataFrame, documents: DataFrame | tfidf.TextIndex | BlockMaxIndex, question: str,
+                        k: int, content: Column, row_id: str = "id", doc_id: str = "doc_id", text: str = "text",
+                        metadata: Sequence[str] = (), columns: Sequence[str] = fields.LIKE_SEARCH_COLUMNS,
+                        index: SubstringIndex | None = None) -> DataFrame:
+    """The light form: text similarity in place of vectors, half of the list from each side.
+
+    The documents may be a stored index, and `index` one of the searched columns.
+    """
     half = k // 2
-    found = (documents.search(question, half) if isinstance(documents, tfidf.TextIndex)
-             else tfidf.tfidf_search(documents, question, half, doc_id, text))
+    found = (tfidf.tfidf_search(documents, question, half, doc_id, text) if isinstance(documents, DataFrame)
+             else documents.search(question, half))
     semantic = _content(found.withColumnRenamed("doc_id", "id"), records, row_id, content, metadata)
-    keyword = search.light_hits(records, question, half, row_id, columns, content)
+    keyword = search.light_hits(records, question, half, row_id, columns, content, index)
     return fusion.light_hybrid(semantic, _content(keyword.drop("content"), records, row_id, content, metadata), k)

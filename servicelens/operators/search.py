@@ -45,9 +45,9 @@ def newest(df: DataFrame, n: int, row_id: str = "id") -> DataFrame:
 def record_hits(records: DataFrame, query: str, filters: Mapping[str, Any] | None = None,
                 n: int = 20, row_id: str = "id",
                 columns: Sequence[str] = fields.RECORD_SEARCH_COLUMNS,
-                content: Column | None = None) -> DataFrame:
+                content: Column | None = None, index: SubstringIndex | None = None) -> DataFrame:
     """Newest matching records as scored hits: (id, score, content)."""
-    found = newest(ilike_search(records, query, filters, columns), n, row_id)
+    found = newest(ilike_search(records, query, filters, columns, index, row_id), n, row_id)
     return found.select(F.col(row_id).alias("id"), F.lit(fields.KEYWORD_SCORE).alias("score"),
                         (record_snippet() if content is None else content).alias("content"))
 
@@ -64,9 +64,9 @@ def like_search(records: DataFrame, query: str, n: int = 10, row_id: str = "id",
 
 def light_hits(records: DataFrame, query: str, n: int = 10, row_id: str = "id",
                columns: Sequence[str] = fields.LIKE_SEARCH_COLUMNS,
-               content: Column | None = None) -> DataFrame:
+               content: Column | None = None, index: SubstringIndex | None = None) -> DataFrame:
     """:func:`like_search` as scored hits: (id, score, content)."""
-    return like_search(records, query, n, row_id, columns).select(
+    return like_search(records, query, n, row_id, columns, index).select(
         F.col(row_id).alias("id"), F.lit(fields.LIGHT_KEYWORD_SCORE).alias("score"),
         (light_snippet() if content is None else content).alias("content"))
 

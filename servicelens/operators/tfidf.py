@@ -8,15 +8,23 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from servicelens.functions.text import tokens
 from servicelens.operators.skew import join_counted_key
 
 
+_ROWS = 256                     # documents whose terms are counted together
+
+
 def _tokenized(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     return documents.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("tokens"))
 
@@ -52,29 +60,32 @@ def vocabulary(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
                                     F.sum("rows").alias("documents"))
 
 
-def _runs(ordered: Column) -> Column:
-    """(term, n) for each run of equal terms in a sorted array."""
-    starts = F.filter(F.transform(ordered, lambda _, i: i),
-                      lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
-
-    def counted(at: Column) -> Column:
-        ends = F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(ordered)))
-        return F.zip_with(at, ends, lambda a, b: F.struct(
-            F.get(ordered, a).alias("term"), (b - a).alias("n")))
-
-    return F.element_at(F.transform(F.array(starts), counted), 1)
-
-
 def term_counts(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, term, tf) with tf the term's share of the document's tokens.
 
-    A document is one row, so its tokens are sorted and counted there and nothing is shuffled.
+    A document is one row, so its terms are counted there, in Arrow batches, and nothing is shuffled.
+    The tokens themselves are found by Spark, as everywhere.
     """
     found = _tokenized(documents, doc_id, text)
-    ordered = F.transform(F.array(F.sort_array("tokens")), _runs)     # sorted once per row
-    counted = found.select("doc_id", F.size("tokens").alias("length"),
-                           F.inline_outer(F.element_at(ordered, 1))).filter("term is not null")
-    return counted.select("doc_id", "term", (F.col("n") / F.col("length")).alias("tf"))
+    schema = T.StructType([found.schema["doc_id"], T.StructField("term", T.StringType()),
+                           T.StructField("tf", T.DoubleType())])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                lists = part.column("tokens")
+                codes = pc.dictionary_encode(lists.flatten())
+                lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                width = max(len(codes.dictionary), 1)
+                keys = np.repeat(np.arange(len(lengths)), lengths) * width + codes.indices.to_numpy()
+                keys, counts = np.unique(keys, return_counts=True)
+                rows, terms = keys // width, keys % width
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").take(pa.array(rows)), codes.dictionary.take(pa.array(terms)),
+                     pa.array(counts / lengths[rows])], ["doc_id", "term", "tf"])
+
+    return found.mapInArrow(counted, schema)
 
 
 def grouped_term_counts(documents: DataFrame, doc_id: str, text: str) -> DataFrame:

@@ -19,6 +19,7 @@ from servicelens.functions.text import (
 from servicelens.operators import (
     block_max, facts, filters, fusion, grams, heavy, hybrid, metrics, quality, search, tfidf, vectors,
 )
+from servicelens.operators.fuzzy_join import fuzzy_join
 from servicelens.operators.clean import derive, normalize_records, text_columns
 from servicelens.plans import rollup
 from servicelens.plans.spec import run_spec
@@ -517,28 +518,35 @@ def spec_global(spark, sf_dir):
                     {"name": "hours", "expr": "sum:作業時間"}]})
 
 
-def fuzzy_names_sql(needle: str, names: str) -> str:
-    """CTE `near`: the distinct names (of the query `names`, column `name`) that score above 70.
+def fuzzy_pairs_sql(needles: str, names: str) -> str:
+    """CTE `pairs`: needles (column `needle`) and distinct names (column `name`) that score above 70.
 
     The longest common subsequence is one list per row of its table: each character of the needle
     folds the last row into the next. Windows slide over the longer text, cut off at both ends; over
     either one where both are equally long.
     """
     return f"""
-cells AS (SELECT name, lower(name) AS cell, '{needle}' AS needle FROM (SELECT DISTINCT name FROM ({names}))
-          WHERE name <> ''),
-sides AS (SELECT name, needle AS a, cell AS b FROM cells WHERE length(cell) >= length(needle)
-          UNION ALL SELECT name, cell, needle FROM cells WHERE length(cell) <= length(needle)),
+cells AS (SELECT name, lower(name) AS cell, needle AS asked, lower(needle) AS needle
+          FROM (SELECT DISTINCT name FROM ({names})), (SELECT DISTINCT needle FROM ({needles}))
+          WHERE name <> '' AND needle <> ''),
+sides AS (SELECT name, asked, needle AS a, cell AS b FROM cells WHERE length(cell) >= length(needle)
+          UNION ALL SELECT name, asked, cell, needle FROM cells WHERE length(cell) <= length(needle)),
 starts AS (SELECT *, unnest(range(2 - length(a), length(b) + 1)) AS first FROM sides),
-windows AS (SELECT name, a, b[greatest(first, 1):least(first + length(a) - 1, length(b))] AS w FROM starts),
-tables AS (SELECT name, a, w, list_reduce(
+windows AS (SELECT name, asked, a, b[greatest(first, 1):least(first + length(a) - 1, length(b))] AS w FROM starts),
+tables AS (SELECT name, asked, a, w, list_reduce(
     list_transform(range(1, length(a) + 1), lambda k: [unicode(a[k])]),
     lambda above, c: list_transform(range(length(w) + 1), lambda j: CASE WHEN j = 0 THEN 0 ELSE list_max(
       list_transform(range(1, j + 1), lambda i:
         greatest(above[i + 1], above[i] + (unicode(w[i]) = c[1])::INTEGER))) END),
-    list_transform(range(length(w) + 1), lambda z: 0)) AS last_row FROM windows),
-near AS (SELECT name FROM tables GROUP BY name
-         HAVING max(200.0 * last_row[length(w) + 1] / (length(a) + length(w))) > 70)"""
+    list_transform(range(length(w) + 1), lambda j: 0)) AS last_row FROM windows),
+pairs AS (SELECT name, asked AS needle, max(200.0 * last_row[length(w) + 1] / (length(a) + length(w))) AS score
+          FROM tables GROUP BY name, asked HAVING score > 70)"""
+
+
+def fuzzy_names_sql(needle: str, names: str) -> str:
+    """CTE `near`: the distinct names (of the query `names`, column `name`) that score above 70."""
+    return f"""{fuzzy_pairs_sql(f"SELECT '{needle}' AS needle", names)},
+near AS (SELECT name FROM pairs)"""
 
 
 FUZZY_NEEDLE = "smal wijet"
@@ -553,6 +561,20 @@ def spec_fuzzy(spark, sf_dir):
         "groupby": ["parts_name"], "metrics": [{"name": "qty", "expr": "sum:部品数量"}]})
 
 
+@query(f"""WITH {fuzzy_pairs_sql(
+    "SELECT substr(p_name, 2, 5) || substr(p_name, 8) AS needle FROM part WHERE p_partkey % 20 = 0",
+    "SELECT p_name AS name FROM part")}
+SELECT needle, name AS cell, round(score, 6)::DOUBLE AS score, count(*) AS parts FROM pairs JOIN part ON p_name = name
+GROUP BY ALL""")
+def fuzzy_part_pairs(spark, sf_dir):
+    """Misspelt names of some parts against all parts."""
+    parts = table(spark, sf_dir, "part")
+    asked = parts.filter("p_partkey % 20 = 0").select(
+        F.concat(F.substring("p_name", 2, 5), F.substring("p_name", 8, 100)).alias("needle"))
+    found = rounded(fuzzy_join(parts.select("p_name"), "p_name", asked, "needle"))
+    return found.groupBy("needle", F.col("p_name").alias("cell"), "score").agg(F.count("*").alias("parts"))
+
+
 # --- text search ------------------------------------------------------------------------------
 
 @query(r"""
@@ -869,7 +891,7 @@ _QUESTION = "ungber"
 _LIGHT_COLUMNS = ["work_content", "machine_model", "category"]
 
 
-@query(f"""WITH {tfidf_sql(_QUESTION, "documents", "doc_id")},
+_LIGHT_SQL = f"""WITH {tfidf_sql(_QUESTION, "documents", "doc_id")},
 s AS (SELECT 'doc_' || doc_id AS document_id, score, 0 AS side, doc_id AS id FROM score
       WHERE score > 0 ORDER BY round(score, 12) DESC, doc_id LIMIT 5),
 l AS (SELECT 'struct_' || doc_id AS document_id, 0.8::DOUBLE AS score, 1 AS side, doc_id AS id
@@ -877,13 +899,24 @@ l AS (SELECT 'struct_' || doc_id AS document_id, 0.8::DOUBLE AS score, 1 AS side
       ORDER BY doc_id LIMIT 5),
 f AS (SELECT * FROM (FROM s UNION ALL FROM l) ORDER BY score DESC, side, id LIMIT 10)
 SELECT document_id, score, text AS content, lang AS machine_model
-FROM f JOIN documents ON doc_id = id""", rounds="score")
+FROM f JOIN documents ON doc_id = id"""
+
+
+@query(_LIGHT_SQL, rounds="score")
 def hybrid_light(spark, sf_dir):
     return rounded(hybrid.light_hybrid_search(
         documents_as_records(spark, sf_dir), documents(spark, sf_dir), _QUESTION, 10,
         F.col("work_content"), metadata=["machine_model"], columns=_LIGHT_COLUMNS))
 
 
+@query(_LIGHT_SQL, rounds="score")
+def hybrid_light_stored(spark, sf_dir):
+    """The same from stored indexes: block-max postings and grams."""
+    return rounded(hybrid.light_hybrid_search(
+        documents_as_records(spark, sf_dir), stored_blocks(spark, sf_dir), _QUESTION, 10, F.col("work_content"),
+        metadata=["machine_model"], columns=_LIGHT_COLUMNS, index=stored_grams(spark, sf_dir)))
+
+
 _CONTEXT_SQL = """
 t AS (SELECT *, '【関連情報 - スコア: ' || printf('%.2f', round_even(score, 2)) || '】' || chr(10)
         || content || chr(10) AS context_text FROM hit),
@@ -894,13 +927,16 @@ SELECT {key}, round(score, 6) AS score, context_text, CAST(position AS INTEGER)
   CAST(used_chars AS BIGINT) AS used_chars FROM b WHERE used_chars <= 4000"""
 
 
-@query(on_documents(f""", {_KEYWORD_SQL.format(word=_QUESTION, k=20)}, {_NEAREST_SQL.format(k=20)},
+_HYBRID_CONTEXT_SQL = on_documents(f""", {_KEYWORD_SQL.format(word=_QUESTION, k=20)}, {_NEAREST_SQL.format(k=20)},
 hit AS (SELECT document_id, f.score, machine_model || ' | ' || category || ' | ' || work_content AS content
   FROM (SELECT * FROM (
     SELECT 'db_' || id AS document_id, score * (1 - 0.7::DOUBLE) AS score, id FROM k
     UNION ALL SELECT 'vec_' || id, score * 0.7::DOUBLE, id FROM v)
   ORDER BY score DESC, document_id LIMIT 10) f JOIN doc USING (id)),
-{_CONTEXT_SQL.format(key="document_id")}"""))
+{_CONTEXT_SQL.format(key="document_id")}""")
+
+
+@query(_HYBRID_CONTEXT_SQL)
 def hybrid_context(spark, sf_dir):
     content = F.concat_ws(" | ", "machine_model", "category", "work_content")
     found = hybrid.hybrid_search(
@@ -909,6 +945,16 @@ def hybrid_context(spark, sf_dir):
     return rounded(fusion.pack_context(found, "document_id")).drop("content")
 
 
+@query(_HYBRID_CONTEXT_SQL)
+def hybrid_context_stored(spark, sf_dir):
+    """The same from stored indexes: cells, searched exactly, and grams."""
+    content = F.concat_ws(" | ", "machine_model", "category", "work_content")
+    found = hybrid.hybrid_search(
+        documents_as_records(spark, sf_dir), stored_cells(spark, sf_dir), _QUESTION, probe_vector(spark, sf_dir),
+        10, content, columns=_DOC_COLUMNS, index=stored_grams(spark, sf_dir))
+    return rounded(fusion.pack_context(found, "document_id")).drop("content")
+
+
 _TURN_ID = "conv_id || '-' || turn"
 _TURNS = f"(SELECT {_TURN_ID} AS turn_id, text FROM conversations)"
 _TURN_TEXT = "the that with from"

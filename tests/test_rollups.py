@@ -10,7 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from servicelens.operators import fusion, heavy, metrics, quality
+from servicelens.functions import fuzzy
+from servicelens.operators import fusion, fuzzy_join, heavy, metrics, quality
 from servicelens.plans import rollup
 from servicelens.plans import spec as specs
 
@@ -153,3 +154,31 @@ def test_exact_fusion_finds_what_two_cut_lists_miss(rows):
     cut = [side.orderBy(F.col("score").desc(), "id").limit(2) for side in (keyword, semantic)]
     assert 9 not in [i for i, _ in cells(fusion.fuse_by_record(*cut, 1))]
     assert cells(fusion.fuse_exactly(keyword, semantic, 1)) == [(9, pytest.approx(0.9))]
+
+
+# --- fuzzy join -----------------------------------------------------------------------------------------
+
+NEEDLES = ["smal wijet", "old anvl", "", None, "x", "ポンプ交", "W" * 70, "large  ring"]
+NAMES = ["small widget", "SMALL WIDGET", "old anvil", "old ring", "x", "xx", "油圧ポンプ交換", "", None, "w" * 66 + "z", "anvil old",
+         "large ring and more words behind it"]
+
+
+@pytest.mark.parametrize("block", [1024, 2])
+def test_fuzzy_join(rows, block):
+    cells_ = rows("id int, name string", *enumerate(NAMES), (90, "old ring"))
+    found = fuzzy_join.fuzzy_join(cells_, "name", rows("needle string", *((n,) for n in NEEDLES)), "needle", block=block)
+    want = [(i, n, a, float(s)) for i, n in [*enumerate(NAMES), (90, "old ring")] for a in NEEDLES if a and n
+            for s in fuzzy.partial_scores(a, [n]) if s > 70]
+    assert sorted(cells(found, "id", "name", "needle", "score")) == sorted(want)
+    assert len(want) >= 8
+    with pytest.raises(ValueError):
+        fuzzy_join.fuzzy_join(cells_, "name", cells_, "name", above=50)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.sampled_from("abc "), min_size=1, max_size=9), st.text(st.sampled_from("abc "), min_size=1, max_size=12))
+def test_shared_characters_rule_out_no_match(needle, cell):
+    alphabet = {c: i for i, c in enumerate(sorted(set(needle)))}
+    shared = fuzzy_join.shared_characters(*(fuzzy_join.character_counts([t], alphabet) for t in (cell, needle)))[0, 0]
+    if fuzzy.partial_scores(needle, [cell])[0] > 70:
+        assert shared > fuzzy_join._SHARE * min(len(needle), len(cell))

@@ -8,8 +8,8 @@ what the stretches lose at their ends is won back.
 Bin completion: the largest piece left opens a sequence; the undominated ways to fill it up are
 listed, fullest first, and tried depth first. A branch ends when its waste exceeds what a solution
 better than the incumbent may waste in all. The incumbent is a best-fit decreasing solution at
-first; when it reaches the bound of total length over capacity nothing is searched. `nodes` bounds
-the search of one stretch; where it runs out the incumbent stands, with every piece placed.
+first; when it reaches a lower bound nothing is searched. `Search` bounds the search of one stretch;
+where it runs out the incumbent stands, with every piece placed.
 
 Nulls and special cases: a null text is an empty one, whose only token is the end mark. Repeated
 rows and null ids are packed row by row. Other columns are ignored by `pack`.
@@ -18,9 +18,11 @@ rows and null ids are packed row by row. Other columns are ignored by `pack`.
 from __future__ import annotations
 
 import json
+import math
 import os
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,6 @@ CAPACITY = 4096
 END_ID = 1
 STRETCH_PIECES = 20_000         # pieces that are packed together
 STRETCH_TOKENS = 16_000_000
-NODES = 20_000                  # sequences tried by one search
-CHOICES = 8                     # fillings kept for one sequence
 CACHE_WORDS = 300_000
 
 _encoders: dict[str, _Encoder] = {}
@@ -173,42 +173,73 @@ def _dominated(chosen: list[int], unused: int, waste: int) -> bool:
     return bool(waste and reach & unused)
 
 
-def fillings(room: int, left: Counter, bits: int, choices: int = CHOICES,
-             steps: int = 200) -> list[list[int]]:
-    """Undominated ways to fill the room from the lengths left, fullest first.
+@dataclass(frozen=True)
+class Search:
+    """Bounds of the search for fewer sequences, each `math.inf` for none: sequences tried, fillings kept
+    for one of them, steps that enumerate these, and lengths tried in each place of a filling."""
 
-    Searched depth first, largest lengths first; `steps` bounds the search and `choices` what is
-    kept of it. `bits` is the bit set of the lengths in `left`.
+    nodes: float = 20_000
+    choices: float = 8
+    steps: float = 200
+    widest: float = 4
+
+
+def fillings(room: int, left: Counter, bits: int, search: Search = Search(), most_waste: float = math.inf
+             ) -> list[list[int]]:
+    """Undominated ways to fill the room from the lengths left, fullest first, none of more waste.
+
+    Searched depth first, largest lengths first, within the bounds. `bits` is the bit set of the
+    lengths in `left`.
     """
     found: list[tuple[int, list[int]]] = []
-    full = 0
+    full, steps = 0, search.steps
     stack: list[tuple[int, int, list[int]]] = [(room, room, [])]
-    while stack and steps and full < choices:
+    while stack and steps and full < search.choices:
         steps -= 1
         largest, space, chosen = stack.pop()
         fitting = _available(left, bits, chosen) & ((1 << (min(largest, space) + 1)) - 1)
         if not fitting:
-            found.append((space, chosen))
-            full += not space
+            if space <= most_waste:
+                found.append((space, chosen))
+                full += not space
             continue
         nexts = []
-        while fitting and len(nexts) < 4:
+        while fitting and len(nexts) < search.widest:
             length = fitting.bit_length() - 1
             fitting ^= 1 << length
             nexts.append((length, space - length, [*chosen, length]))
         stack.extend(reversed(nexts))
     found.sort(key=lambda x: x[0])
-    kept = [chosen for waste, chosen in found[:4 * choices]
+    looked = found if search.choices == math.inf else found[:4 * int(search.choices)]
+    kept = [chosen for waste, chosen in looked
             if not _dominated(chosen, _available(left, bits, chosen), waste)]
-    return kept[:choices] or [found[0][1]]
-
-
-def complete(lengths: Sequence[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
+    kept = kept if search.choices == math.inf else kept[:int(search.choices)]
+    return kept or [chosen for _, chosen in found[:1]]
+
+
+def least_bins(lengths: Sequence[int], capacity: int) -> int:
+    """A lower bound (Martello and Toth's L2): pieces over half the capacity have bins of their own, and
+    of the others only what does not fit into the room that these leave needs more. Small pieces are
+    disregarded up to each length in turn."""
+    counts = np.bincount(np.asarray(lengths, dtype=np.int64), minlength=capacity + 1)
+    pieces, tokens = np.cumsum(counts), np.cumsum(counts * np.arange(capacity + 1))
+    half = capacity // 2
+    small = np.arange(half + 1)                 # pieces shorter than this are left out
+    alone = pieces[-1] - pieces[half]
+    tall = capacity - small                     # pieces longer than this leave no room for the others
+    partly, their = pieces[tall] - pieces[half], tokens[tall] - tokens[half]
+    rest = tokens[half] - np.where(small > 0, tokens[small - 1], 0)
+    return int((alone + np.maximum(0, -(-(rest - (partly * capacity - their)) // capacity))).max())
+
+
+def complete(lengths: Sequence[int], capacity: int, search: Search = Search()) -> list[list[int]]:
     """As few bins as the search finds; each lists lengths."""
+    if not len(lengths):
+        return []
     ordered = sorted(lengths, reverse=True)
     best = best_fit(ordered, capacity)
     total = sum(ordered)
-    bound = -(-total // capacity)
+    bound, nodes = least_bins(ordered, capacity), search.nodes
     left = Counter(ordered)
     bits = sum(1 << length for length in left)
     allowed = (len(best) - 1) * capacity - total        # the waste of a solution with one bin less
@@ -227,29 +258,31 @@ def complete(lengths: Sequence[int], capacity: int, nodes: int = NODES) -> list[
         nodes -= 1
         if rest and wasted <= allowed:
             top = bits.bit_length() - 1
-            take([top], 1)
-            options = [[top, *f] for f in fillings(capacity - top, left, bits)]
-            take([top], -1)
+            left[top] -= 1
+            bits = bits if left[top] else bits & ~(1 << top)
+            options = [[top, *f] for f in fillings(capacity - top, left, bits, search, allowed - wasted)]
+            left[top] += 1
+            bits |= 1 << top
             options.reverse()
         else:
             if not rest and wasted <= allowed:
                 best = [chosen for chosen, _ in trail]
                 allowed = (len(best) - 1) * capacity - total
             options = []
-            while trail and not options:                # back to a bin with another filling
-                chosen, options = trail.pop()
-                take(chosen, -1)
-            if not options:
-                break
+        while trail and not options:                    # back to a bin with another filling
+            chosen, options = trail.pop()
+            take(chosen, -1)
+        if not options:
+            break
         chosen = options.pop()
         take(chosen, 1)
         trail.append((chosen, options))
     return best
 
 
-def place(lengths: np.ndarray, capacity: int, nodes: int = NODES) -> tuple[np.ndarray, np.ndarray]:
+def place(lengths: np.ndarray, capacity: int, search: Search = Search()) -> tuple[np.ndarray, np.ndarray]:
     """For each piece the number of its bin and its place there."""
-    bins = complete(lengths.tolist(), capacity, nodes)
+    bins = complete(lengths.tolist(), capacity, search)
     waiting: dict[int, list[int]] = {}
     for i, length in enumerate(lengths.tolist()):
         waiting.setdefault(length, []).append(i)
@@ -269,7 +302,7 @@ _PIECE = ("doc_id bigint, piece int, start bigint, length bigint, ids binary, se
 _NAMES = ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset", "room"]
 
 
-def _stretches(batches: Iterator[pa.RecordBatch], capacity: int, nodes: int,
+def _stretches(batches: Iterator[pa.RecordBatch], capacity: int, search: Search,
                first_id: int) -> Iterator[pa.RecordBatch]:
     """Pack pieces, stretch by stretch, into sequences numbered from `first_id`."""
     held: list[pa.RecordBatch] = []
@@ -280,7 +313,7 @@ def _stretches(batches: Iterator[pa.RecordBatch], capacity: int, nodes: int,
         nonlocal next_id
         rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         lengths = rows.column("length").to_numpy(zero_copy_only=False)
-        number, offset = place(lengths, capacity, nodes)
+        number, offset = place(lengths, capacity, search)
         room = capacity - np.bincount(number, weights=lengths).astype(np.int64)
         first, next_id = next_id, next_id + len(room)
         return pa.RecordBatch.from_arrays(
@@ -321,7 +354,7 @@ def _part_id(round_number: int) -> int:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
-         nodes: int = NODES) -> DataFrame:
+         search: Search = Search()) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids (binary), sequence_id and offset.
 
     Pieces of a document longer than the capacity hold `capacity` ids each but the last. Sequence
@@ -330,10 +363,10 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def tokenize(texts: list) -> list[bytes]:
             return token_bytes(texts, tokenizer_path, end_id)
-        return _stretches(_cut(batches, tokenize, capacity), capacity, nodes, _part_id(0))
+        return _stretches(_cut(batches, tokenize, capacity), capacity, search, _part_id(0))
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _stretches((b.select(_NAMES[:5]) for b in sliced(batches)), capacity, nodes,
+        return _stretches((b.select(_NAMES[:5]) for b in sliced(batches)), capacity, search,
                           _part_id(1))
 
     placed = durable(only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))

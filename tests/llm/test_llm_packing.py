@@ -1,6 +1,7 @@
 """Best-fit packing against the tokenizer itself and exhaustive search."""
 
 import itertools
+import math
 import zlib
 
 import numpy as np
@@ -87,6 +88,25 @@ def test_search_finds_the_fewest_bins(lengths):
     assert len(bins) == fewest(sorted(lengths, reverse=True), 20)
 
 
+FREE = packing.Search(*[math.inf] * 4)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=8))
+def test_search_without_bounds_and_the_lower_bound(lengths):
+    bins = packing.complete(lengths, 20, FREE)
+    assert sorted(x for b in bins for x in b) == sorted(lengths)
+    least = fewest(sorted(lengths, reverse=True), 20)
+    assert len(bins) == least >= packing.least_bins(lengths, 20) >= -(-sum(lengths) // 20)
+
+
+def test_lower_bound_counts_what_cannot_meet():
+    assert packing.least_bins([11] * 7, 20) == 7 and packing.least_bins([], 20) == 0
+    assert packing.least_bins([12, 12, 12, 9, 9], 20) == 4 and packing.least_bins([10] * 5, 20) == 3
+    hard = [2100] * 5000                                    # two never fit: the bound is met without a search
+    assert len(packing.complete(hard, 4096, packing.Search(nodes=0))) == 5000 == packing.least_bins(hard, 4096)
+
+
 def test_search_beats_best_fit():
     lengths = [6, 5, 4, 3, 2]                   # 6 4 | 5 3 2
     worse = [44, 24, 24, 22, 21, 17, 8, 8, 6, 6]
@@ -97,7 +117,7 @@ def test_search_beats_best_fit():
 
 def test_without_search_the_incumbent_stands():
     lengths = [44, 24, 24, 22, 21, 17, 8, 8, 6, 6]
-    assert sorted(x for b in packing.complete(lengths, 61, nodes=1) for x in b) == sorted(lengths)
+    assert sorted(x for b in packing.complete(lengths, 61, packing.Search(nodes=1)) for x in b) == sorted(lengths)
 
 
 def test_cache_generations(monkeypatch):

@@ -214,17 +214,23 @@ def verdicts(measured: DataFrame, reference: DataFrame, chars_limit: float = CHA
     return distances.withColumn("kept", ~F.col("base_failed") & near)
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def fitted(docs: DataFrame) -> DataFrame:
+    """The references of a table, to be stored and given to `judge` or `report` for others: verdicts then
+    depend on no other document of the table that is judged."""
+    return references(measure(only(docs, "text", "lang")))
+
+
+def judge(docs: DataFrame, reference: DataFrame | None = None) -> DataFrame:
     """The documents with the counts, base_failed, char_distance, word_distance and kept.
 
-    Texts are measured twice, for the references and for the verdict, and moved nowhere.
+    Without references given, texts are measured twice, for them and for the verdict, and moved nowhere.
     """
     safe, restored = shielded(docs, ("text", "lang"), ADDED)
     measured = measure(safe)
-    return restored(verdicts(measured, references(measured)))
+    return restored(verdicts(measured, references(measured) if reference is None else reference))
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, reference: DataFrame | None = None) -> DataFrame:
     """doc_id with what `judge` adds. Measurements are kept in a checkpoint, so texts are read once."""
     measured = durable(measure(only(docs, "doc_id", "text", "lang")).drop("text"))
-    return verdicts(measured, references(measured)).select("doc_id", *ADDED)
+    return verdicts(measured, references(measured) if reference is None else reference).select("doc_id", *ADDED)

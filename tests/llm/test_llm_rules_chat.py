@@ -83,6 +83,21 @@ def test_rules_without_references(rows):
     assert rules.judge(docs.limit(0)).count() == 0
 
 
+def test_stored_references_judge_a_table_of_junk(rows):
+    """Junk alone sets its own reference and passes; against a stored one it goes."""
+    import random
+    chance = random.Random(2)
+    words = ["the", "of", "and", "to", "in", "house", "water", "garden", "Stone", "river,", "light."]
+    good = [(i, " ".join(chance.choice(words) for _ in range(150)), "en") for i in range(20)]
+    junk = [(i, " ".join(f"{chance.random():.9f}" for _ in range(150)), "en") for i in range(5)]
+    docs, odd = (rows("doc_id bigint, text string, lang string", *t) for t in (good, junk))
+    stored = rules.fitted(docs)
+    for judged in (rules.judge, rules.report):
+        assert [r.kept for r in judged(odd).collect()] == [True] * 5
+        assert [r.kept for r in judged(odd, stored).collect()] == [False] * 5
+        assert all(r.kept for r in judged(docs, stored).collect())
+
+
 # Chat
 
 TRAP = r"\### Assistant: </turn> ok"

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from servicelens.functions.batches import sliced
+
 ASCII_GRAM = 3
 RAREST = 4                      # grams of a needle whose rows are read
 
@@ -104,7 +106,7 @@ def build_grams(table: DataFrame, columns: Sequence[str], row_id: str = "id") ->
     kind = table.schema[row_id].dataType
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ends, grams = [0], []
             for cells in zip(*(batch.column(i).to_pylist() for i in range(1, batch.num_columns))):
                 grams.extend(set().union(*(text_grams(c) for c in cells if c)))

@@ -25,4 +25,6 @@ def join_counted_key(rows: DataFrame, keyed: DataFrame, key: str, count: str, sp
     slice_no = F.pmod(F.xxhash64(spread_by), F.coalesce("_slices", F.lit(1))).cast("int")
     spread = (rows.join(F.broadcast(frequent), key, "left")
               .withColumn("_slice", slice_no).drop("_slices"))
-    return spread.join(sliced.drop("_slices"), [key, "_slice"]).drop("_slice")
+    # The keyed side is built, one share of the keys in each task: the size of rows that come from an
+    # array or from Python is underestimated, and Spark might broadcast the long side.
+    return spread.join(sliced.drop("_slices").hint("shuffle_hash"), [key, "_slice"]).drop("_slice")

@@ -18,13 +18,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from servicelens.functions.batches import sliced
 from servicelens.functions.text import tokens
 from servicelens.operators.skew import join_counted_key
 
 
-_ROWS = 256                     # documents whose terms are counted together
-
-
 def _tokenized(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     return documents.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("tokens"))
 
@@ -71,19 +69,17 @@ def term_counts(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
                            T.StructField("tf", T.DoubleType())])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, _ROWS):
-                part = batch.slice(at, _ROWS)
-                lists = part.column("tokens")
-                codes = pc.dictionary_encode(lists.flatten())
-                lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-                width = max(len(codes.dictionary), 1)
-                keys = np.repeat(np.arange(len(lengths)), lengths) * width + codes.indices.to_numpy()
-                keys, counts = np.unique(keys, return_counts=True)
-                rows, terms = keys // width, keys % width
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(rows)), codes.dictionary.take(pa.array(terms)),
-                     pa.array(counts / lengths[rows])], ["doc_id", "term", "tf"])
+        for batch in sliced(batches):
+            lists = batch.column("tokens")
+            codes = pc.dictionary_encode(lists.flatten())
+            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            width = max(len(codes.dictionary), 1)
+            keys = np.repeat(np.arange(len(lengths)), lengths) * width + codes.indices.to_numpy()
+            keys, counts = np.unique(keys, return_counts=True)
+            rows, terms = keys // width, keys % width
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(rows)), codes.dictionary.take(pa.array(terms)),
+                 pa.array(counts / lengths[rows])], ["doc_id", "term", "tf"])
 
     return found.mapInArrow(counted, schema)
 

@@ -779,9 +779,15 @@ def table_search(spark, sf_dir):
 
 # --- vectors and fusion -------------------------------------------------------------------------
 
+_PROBES: dict[str, list[float]] = {}
+
+
 def probe_vector(spark: SparkSession, sf_dir: str) -> list[float]:
-    """The stored vector number 0, standing in for an embedded question."""
-    return table(spark, sf_dir, "embeddings").filter("vec_id = 0").first()["embedding"]
+    """The stored vector number 0, standing in for an embedded question. A question's vector comes from
+    outside, so it is read once and is no part of a search."""
+    if sf_dir not in _PROBES:
+        _PROBES[sf_dir] = table(spark, sf_dir, "embeddings").filter("vec_id = 0").first()["embedding"]
+    return _PROBES[sf_dir]
 
 
 _NEAREST_SQL = """

@@ -10,16 +10,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from servicelens.sources.tables import read_spread
+from servicelens.sources.tables import spread_table
 
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 _LINE, _ORDERS, _PART, _CUSTOMER, _NATION = "lineitem", "orders", "part", "customer", "nation"
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. They do not change, so each schema is read once and not by a job per use."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def spread_partitions(spark: SparkSession) -> int | None:
@@ -29,7 +37,7 @@ def spread_partitions(spark: SparkSession) -> int | None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_spread(spark, f"{sf_dir}/documents.parquet", "doc_id", spread_partitions(spark))
+    return spread_table(table(spark, sf_dir, "documents"), "doc_id", spread_partitions(spark))
 
 
 def _columns() -> dict[str, tuple[tuple[str, ...], Column]]:
@@ -75,8 +83,8 @@ def lines(spark: SparkSession, sf_dir: str, *names: str, spread: bool = False) -
     """Repair records with the named columns; `spread` is for work that is heavy per row."""
     columns = _columns()
     needed = {t for n in names for t in columns[n][0]}
-    df = (read_spread(spark, f"{sf_dir}/{_LINE}.parquet", "l_orderkey", spread_partitions(spark)) if spread
-          else table(spark, sf_dir, _LINE))
+    df = table(spark, sf_dir, _LINE)
+    df = spread_table(df, "l_orderkey", spread_partitions(spark)) if spread else df
 
     def join(name: str, left: str, right: str) -> None:
         nonlocal df

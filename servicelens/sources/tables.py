@@ -56,14 +56,13 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str = "id",
             .select(*df.columns, (F.col("_before") + position + 1).alias(name)))
 
 
-def read_spread(spark: SparkSession, path: str, key: str, partitions: int | None = None) -> DataFrame:
-    """Read a stored table, in place or hash-partitioned by the key into as many parts as asked.
+def spread_table(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """A stored table in place, or hash-partitioned by the key into as many parts as asked.
 
     A file can hold all its rows in one row group, which no reader can split; text work on it runs in
     one task then. Whoever knows such a table names a number of partitions. A table with many splits
     is best left in place.
     """
-    df = spark.read.parquet(path)
     return df.repartition(partitions, key) if partitions else df
 
 

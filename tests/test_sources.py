@@ -156,9 +156,9 @@ def test_csv_export_has_header_and_mark(spark, rows, tmp_path):
         "整備案件NO,d", '"A""1",2024-01-02 00:00:00', ","]
 
 
-def test_read_spread_only_when_asked(spark, tmp_path):
+def test_spread_only_when_asked(spark, tmp_path):
     path = str(tmp_path / "one")
     spark.range(100).coalesce(1).write.parquet(path)
-    assert tables.read_spread(spark, path, "id", 4).rdd.getNumPartitions() == 4
-    plan = tables.read_spread(spark, path, "id")._jdf.queryExecution().executedPlan().toString()
+    assert tables.spread_table(spark.read.parquet(path), "id", 4).rdd.getNumPartitions() == 4
+    plan = tables.spread_table(spark.read.parquet(path), "id")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan

@@ -20,6 +20,8 @@ from __future__ import annotations
 import json
 import math
 import os
+import sys
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -73,16 +75,16 @@ class _Encoder:
         words = words - self.old.keys()
         stems: set[bytes] = set()
         for word in words:
-            if len(word) > 1 and word[-1] in b".,!?" and word[:-1].decode().lower()[-1].isalpha():
+            if word[-1] in b".,!?" and _ends_in_letter(word[:-1]):
                 ended.append(word)
                 stems.update((word[:-1], word[-1:]))
             else:
                 stems.add(word)
-        tokenize = self.tokenizer.model.tokenize
+        tokenize, pack = self.tokenizer.model.tokenize, _packed
         for word in stems - known.keys():
-            plain = self.byte_level and _plain_letters(word.decode())
+            plain = self.byte_level and _plain_letters(word)
             if plain:
-                known[word] = b"".join([t.id.to_bytes(4, "little") for t in tokenize(plain)])
+                known[word] = pack([t.id for t in tokenize(plain)])
             else:
                 other.append(word)
         encoded = self.tokenizer.encode_batch_fast([w.decode() for w in other],
@@ -113,15 +115,26 @@ def _byte_letters() -> dict[int, str]:
 _BYTE_LETTERS = _byte_letters()
 
 
-def _plain_letters(word: str) -> str | None:
+def _ends_in_letter(word: bytes) -> bool:
+    return word[-1:].isalpha() or (word[-1:] >= b"\x80" and word.decode().lower()[-1].isalpha())
+
+
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    numbers = array("I", ids)
+    if sys.byteorder == "big":
+        numbers.byteswap()
+    return numbers.tobytes()
+
+
+def _plain_letters(word: bytes) -> str | None:
     """The spelling of a word of Latin letters, which needs no other normalization; else None."""
-    if not word.isalpha():
-        return None
     if word.isascii():
-        return word.lower()
-    if max(word) > "\u024f" or "\u0130" in word:
+        return word.lower().decode() if word.isalpha() else None
+    text = word.decode()
+    if not text.isalpha() or max(text) > "\u024f" or "\u0130" in text:
         return None
-    return word.lower().encode().decode("latin-1").translate(_BYTE_LETTERS)
+    return text.lower().encode().decode("latin-1").translate(_BYTE_LETTERS)
 
 
 def token_bytes(texts: Sequence[str | None], path: str, end_id: int = END_ID) -> list[bytes]:
@@ -175,10 +188,10 @@ def _dominated(chosen: list[int], unused: int, waste: int) -> bool:
 
 @dataclass(frozen=True)
 class Search:
-    """Bounds of the search for fewer sequences, each `math.inf` for none: sequences tried, fillings kept
-    for one of them, steps that enumerate these, and lengths tried in each place of a filling."""
+    """Bounds of the search for fewer sequences, each `math.inf` for none: sequences whose fillings are
+    listed, fillings kept for one of them, steps that enumerate these, and lengths tried in each place."""
 
-    nodes: float = 20_000
+    nodes: float = 10_000
     choices: float = 8
     steps: float = 200
     widest: float = 4

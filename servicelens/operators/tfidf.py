@@ -93,9 +93,9 @@ def grouped_term_counts(documents: DataFrame, doc_id: str, text: str) -> DataFra
             .select("doc_id", "term", (F.col("n") / F.col("length")).alias("tf")))
 
 
-def _weighted(counts: DataFrame, frequency: DataFrame, corpus_size: Column) -> DataFrame:
+def _weighted(counts: DataFrame, frequency: DataFrame, corpus_size: Column, build_keyed: bool = False) -> DataFrame:
     idf = F.log(corpus_size / (F.col("df") + 1))
-    return (join_counted_key(counts, frequency, "term", "df", spread_by="doc_id")
+    return (join_counted_key(counts, frequency, "term", "df", "doc_id", build_keyed)
             .withColumn("weight", F.col("tf") * idf))
 
 
@@ -103,7 +103,7 @@ def tfidf_weights(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """The index: (doc_id, term, tf, df, weight). Write it once and search it many times."""
     size = documents.agg(F.count("*")).scalar()
     return _weighted(term_counts(documents, doc_id, text),
-                     document_frequency(documents, doc_id, text), size
+                     document_frequency(documents, doc_id, text), size, build_keyed=True
                      ).select("doc_id", "term", "tf", "df", "weight")
 
 

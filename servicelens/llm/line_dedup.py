@@ -173,7 +173,7 @@ def _repeated(suspects: DataFrame, least_docs: int, keep_first: bool) -> DataFra
 def _listed(suspects: DataFrame, repeated: DataFrame) -> DataFrame:
     """(list_id, list_key, marks): per row its repeated keys, with the line to keep or -1."""
     spread = suspects.withColumn("row", F.xxhash64("doc_id", "text_key"))
-    joined = join_counted_key(spread, repeated, "digest", "docs", spread_by="row")
+    joined = join_counted_key(spread, repeated, "digest", "docs", spread_by="row", build_keyed=True)
     own = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_key") == F.col("text_key"))
     stays = F.when(F.col("first").isNotNull() & own, F.col("first.line")).otherwise(-1)
     return joined.groupBy(F.col("doc_id").alias("list_id"), F.col("text_key").alias("list_key")).agg(

@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,12 @@ from servicelens.functions.batches import sliced
 
 ASCII_GRAM = 3
 RAREST = 4                      # grams of a needle whose rows are read
+LISTED = 2_000_000              # postings gathered in a task before they are written as lists
+_BROADCAST_ROWS = 100_000
+_SLICES = 16                    # parts of a gram's lists, so that a gram of all rows is not one task
+_SLICE_BYTES = 1_000_000
+_PLACE_BITS = 20                # of a posting's key: the row's place among the gathered ones
+_CHARACTER_BITS = 21
 
 
 def text_grams(text: str) -> set[str]:
@@ -38,7 +45,7 @@ def text_grams(text: str) -> set[str]:
 
 
 def folded(c: Column) -> Column:
-    return F.translate(F.lower(c), "ς", "σ")
+    return F.replace(F.lower(c), F.lit("ς"), F.lit("σ"))
 
 
 def like_pieces(query: str) -> list[str]:
@@ -46,31 +53,63 @@ def like_pieces(query: str) -> list[str]:
     return [p for p in re.split("[%_]", query) if p]
 
 
+def gram_codes(cells: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(code, place of the cell) of the grams of :func:`text_grams`, repeats included."""
+    texts = [c or "" for c in cells]
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    place = np.repeat(np.arange(len(texts)), lengths)
+    first, second = chars[:-1], chars[1:]
+    pairs = np.flatnonzero(((first | second) > 127) & (place[:-1] == place[1:]))
+    ascii_only = (chars[:-2] | chars[1:-1] | chars[2:]) <= 127
+    triples = np.flatnonzero(ascii_only & (place[:-2] == place[2:]))
+    mark = 1 << (2 * _CHARACTER_BITS)
+    codes = [chars[triples] << 14 | chars[triples + 1] << 7 | chars[triples + 2],
+             mark | chars[pairs] << _CHARACTER_BITS | chars[pairs + 1]]
+    return np.concatenate(codes), place[np.concatenate([triples, pairs])]
+
+
+def gram_of(code: int) -> str:
+    if code >> (2 * _CHARACTER_BITS):
+        low = (1 << _CHARACTER_BITS) - 1
+        return chr(code >> _CHARACTER_BITS & low) + chr(code & low)
+    return chr(code >> 14) + chr(code >> 7 & 127) + chr(code & 127)
+
+
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """Where a new value begins."""
+    return np.flatnonzero(np.diff(ordered, prepend=-1))
+
+
 @dataclass
 class SubstringIndex:
-    """Postings (gram, row) and frequencies (gram, rows)."""
+    """Lists (gram, rows) and frequencies (gram, rows). A gram has several lists, with each row in one."""
 
-    postings: DataFrame
+    lists: DataFrame
     frequencies: DataFrame
 
+    @property
+    def postings(self) -> DataFrame:
+        """(gram, row), one row per posting."""
+        return self.lists.select("gram", F.explode("rows").alias("row"))
+
     def write(self, path: str) -> None:
-        """Store the index in gram order, so that a search reads its grams only."""
-        (self.postings.repartitionByRange("gram", "row").sortWithinPartitions("gram", "row")
-         .write.mode("overwrite").parquet(f"{path}/postings"))
-        stored = self.postings.sparkSession.read.parquet(f"{path}/postings")
+        """Store the index, each file in gram order, so that a search reads its grams only."""
+        part = F.pmod(F.xxhash64(F.get("rows", F.lit(0))), F.lit(_SLICES))
+        (self.lists.repartition("gram", part).sortWithinPartitions("gram")
+         .write.mode("overwrite").parquet(f"{path}/lists"))
+        stored = self.lists.sparkSession.read.parquet(f"{path}/lists")
         (gram_frequencies(stored).repartitionByRange("gram").sortWithinPartitions("gram")
          .write.mode("overwrite").parquet(f"{path}/frequencies"))
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> SubstringIndex:
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/frequencies"))
+        return cls(spark.read.parquet(f"{path}/lists"), spark.read.parquet(f"{path}/frequencies"))
 
-    def holding(self, pieces: Sequence[str], rarest: int = RAREST) -> DataFrame | None:
-        """(row) of the rows that can hold all the pieces; None where no piece has a gram.
-
-        One look at the frequencies chooses the rarest grams; a gram that no row has empties the result.
-        """
-        spark = self.postings.sparkSession
+    def _rarest(self, pieces: Sequence[str], rarest: int) -> tuple[list[str], int] | None:
+        """The rarest grams of the pieces, none where no row has all of them, and how many rows have the
+        first; None where no piece has a gram."""
+        spark = self.lists.sparkSession
         low = spark.range(1).select(F.array(*(folded(F.lit(p)) for p in pieces)).cast("array<string>")).first()[0]
         grams = sorted(set().union(*map(text_grams, low)))
         if not grams:
@@ -79,42 +118,72 @@ class SubstringIndex:
             F.count("*").alias("known"),
             F.slice(F.array_sort(F.collect_list(F.struct("rows", "gram"))), 1, rarest).alias("rarest")).first()
         if found["known"] < len(grams):
-            return self.postings.select("row").limit(0)
-        chosen = [r["gram"] for r in found["rarest"]]
-        rows = self.postings.filter(F.col("gram").isin(chosen))
+            return [], 0
+        return [r["gram"] for r in found["rarest"]], found["rarest"][0]["rows"]
+
+    def _holding(self, chosen: Sequence[str]) -> DataFrame:
+        rows = self.postings.filter(F.col("gram").isin(list(chosen)))
         return rows.groupBy("row").agg(F.count("*").alias("grams")).filter(F.col("grams") == len(chosen)).select("row")
 
+    def holding(self, pieces: Sequence[str], rarest: int = RAREST) -> DataFrame | None:
+        """(row) of the rows that can hold all the pieces; None where no piece has a gram.
+
+        One look at the frequencies chooses the rarest grams; a gram that no row has empties the result.
+        """
+        found = self._rarest(pieces, rarest)
+        return found and self._holding(found[0])
+
     def narrowed(self, table: DataFrame, needles: Iterable[Sequence[str]], row_id: str = "id") -> DataFrame:
-        """The rows of the table that can hold all pieces of one of the needles."""
-        found = [self.holding(pieces) for pieces in needles]
+        """The rows of the table that can hold all pieces of one of the needles.
+
+        The frequencies bound the rows found; where these are few, the table is filtered in place.
+        """
+        found = [self._rarest(pieces, RAREST) for pieces in needles]
         if not found or any(f is None for f in found):
             return table
-        rows = reduce(DataFrame.unionAll, found)
+        rows = reduce(DataFrame.unionAll, [self._holding(chosen) for chosen, _ in found])
+        rows = F.broadcast(rows) if sum(most for _, most in found) <= _BROADCAST_ROWS else rows
         return table.join(rows, table[row_id] == rows["row"], "left_semi")
 
 
-def gram_frequencies(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("gram").agg(F.count("*").alias("rows"))
+def gram_frequencies(lists: DataFrame) -> DataFrame:
+    return lists.groupBy("gram").agg(F.sum(F.size("rows")).alias("rows"))
 
 
 def build_grams(table: DataFrame, columns: Sequence[str], row_id: str = "id") -> SubstringIndex:
     """The index of the columns of a table with unique row ids, not computed yet; `write` does that.
 
-    A row's grams are found inside its Arrow batch, each once, so only the write shuffles. A null
-    cell has no grams.
+    A task finds the grams of its rows in Arrow batches, each once a row, and gathers up to `LISTED`
+    postings, by gram, into lists; so what is shuffled are lists and not postings. A null cell has no grams.
     """
     kind = table.schema[row_id].dataType
+    names = ["gram", "rows"]
+
+    def lists(keys: list[np.ndarray], ids: list[pa.Array]) -> pa.RecordBatch:
+        every = np.sort(np.concatenate(keys))
+        codes = every >> _PLACE_BITS
+        starts = _starts(codes)
+        rows = pa.concat_arrays(ids).take(pa.array(every & ((1 << _PLACE_BITS) - 1)))
+        ends = pa.array(np.append(starts, len(codes)), pa.int32())
+        grams = pa.array([gram_of(c) for c in codes[starts].tolist()], pa.string())
+        return pa.RecordBatch.from_arrays([grams, pa.ListArray.from_arrays(ends, rows)], names)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            ends, grams = [0], []
-            for cells in zip(*(batch.column(i).to_pylist() for i in range(1, batch.num_columns))):
-                grams.extend(set().union(*(text_grams(c) for c in cells if c)))
-                ends.append(len(grams))
-            rows = pa.array([i for i, (a, b) in enumerate(zip(ends, ends[1:])) for _ in range(b - a)], pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), batch.column(0).take(rows)], ["gram", "row"])
-
-    schema = T.StructType([T.StructField("gram", T.StringType()), T.StructField("row", kind)])
+        keys, ids, postings, places = [], [], 0, 0
+        for batch in sliced(batches, _SLICE_BYTES):
+            if postings >= LISTED or places + batch.num_rows > 1 << _PLACE_BITS:
+                yield lists(keys, ids)
+                keys, ids, postings, places = [], [], 0, 0
+            found = [code << _PLACE_BITS | places + place for code, place in (
+                gram_codes(batch.column(i).to_pylist()) for i in range(1, batch.num_columns))]
+            held = np.sort(np.concatenate(found))
+            keys.append(held[_starts(held)])
+            ids.append(batch.column(0))
+            postings, places = postings + len(keys[-1]), places + batch.num_rows
+        if keys:
+            yield lists(keys, ids)
+
+    schema = T.StructType([T.StructField("gram", T.StringType()), T.StructField("rows", T.ArrayType(kind))])
     cells = table.select(row_id, *(folded(F.col(c).cast("string")) for c in columns))
-    postings = cells.mapInArrow(listed, schema)
-    return SubstringIndex(postings, gram_frequencies(postings))
+    gathered = cells.mapInArrow(listed, schema)
+    return SubstringIndex(gathered, gram_frequencies(gathered))

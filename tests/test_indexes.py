@@ -196,6 +196,24 @@ def test_grams_of_a_part_are_grams_of_the_whole(text, data):
     assert grams.text_grams(text[a:b]) <= grams.text_grams(text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.text(st.sampled_from("abc\0\x7f\x80éあ\U0001F600"), max_size=12), max_size=5))
+def test_grams_by_codes(texts):
+    codes, places = grams.gram_codes(texts)
+    assert ({(grams.gram_of(c), p) for c, p in zip(codes.tolist(), places.tolist())}
+            == {(g, p) for p, t in enumerate(texts) for g in grams.text_grams(t or "")})
+
+
+def test_postings_are_shuffled_as_lists(rows, monkeypatch):
+    """What is shuffled and sorted are lists of a gram's rows, in bounded parts, not one row per posting."""
+    monkeypatch.setattr(grams, "LISTED", 2000)
+    df = rows("id int, work_content string", *((i, "a common text あいう") for i in range(1000))).coalesce(1)
+    index = grams.build_grams(df, ["work_content"])
+    sizes = cells(index.lists.filter("gram = 'com'").selectExpr("size(rows)"))
+    assert sum(n for n, in sizes) == 1000 and 1 <= len(sizes) <= 20
+    assert cells(index.frequencies.filter("gram = 'いう'"), "rows") == [(1000,)]
+
+
 # --- many keywords ------------------------------------------------------------------------------------
 
 def test_many_keywords_count_as_few(rows):

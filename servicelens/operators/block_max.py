@@ -43,11 +43,11 @@ class BlockMaxIndex:
     tops: DataFrame
 
     def write(self, path: str) -> None:
-        """Store the index, postings in order of term and block."""
-        (self.postings.repartitionByRange("term", "block").sortWithinPartitions("term", "block", "doc_id")
+        """Store the index, each file in order of term and block."""
+        (self.postings.repartition("term", "block").sortWithinPartitions("term", "block", "doc_id")
          .write.mode("overwrite").parquet(f"{path}/postings"))
         stored = self.postings.sparkSession.read.parquet(f"{path}/postings")
-        (block_tops(stored).repartitionByRange("term", "block").sortWithinPartitions("term", "block")
+        (block_tops(stored).sortWithinPartitions("term", "block")
          .write.mode("overwrite").parquet(f"{path}/tops"))
 
     @classmethod
@@ -101,10 +101,10 @@ def block_tops(postings: DataFrame) -> DataFrame:
 def build_block_max(index: TextIndex, block_documents: int = BLOCK_DOCUMENTS) -> BlockMaxIndex:
     """The block-max form of an index. Documents whose weights are all zero are left out: they have no
     cosine."""
-    largest = index.postings.groupBy("doc_id").agg(F.max("weight").alias("largest"))
-    known = index.norms.filter("norm > 0").join(largest, "doc_id").withColumn("_rank", -F.col("largest") / F.col("norm"))
+    known = index.norms.filter("norm > 0").withColumn("_rank", -F.col("largest") / F.col("norm"))
     numbered = number_rows(known, ["_rank", "doc_id"], "_number")
     blocks = numbered.select("doc_id", "norm", F.floor((F.col("_number") - 1) / block_documents).alias("block"))
-    postings = index.postings.join(blocks, "doc_id").select(
+    # a document is one row of the built side, so the postings need no sort
+    postings = index.postings.join(blocks.hint("shuffle_hash"), "doc_id").select(
         "term", "block", "doc_id", (F.col("weight") / F.col("norm")).alias("impact"))
     return BlockMaxIndex(postings, block_tops(postings))

@@ -28,7 +28,7 @@ from servicelens.functions.batches import sliced
 ASCII_GRAM = 3
 RAREST = 4                      # grams of a needle whose rows are read
 LISTED = 2_000_000              # postings gathered in a task before they are written as lists
-_BROADCAST_ROWS = 100_000
+_BROADCAST_ROWS = 1_000_000
 _SLICES = 16                    # parts of a gram's lists, so that a gram of all rows is not one task
 _SLICE_BYTES = 1_000_000
 _PLACE_BITS = 20                # of a posting's key: the row's place among the gathered ones
@@ -136,13 +136,15 @@ class SubstringIndex:
     def narrowed(self, table: DataFrame, needles: Iterable[Sequence[str]], row_id: str = "id") -> DataFrame:
         """The rows of the table that can hold all pieces of one of the needles.
 
-        The frequencies bound the rows found; where these are few, the table is filtered in place.
+        The frequencies bound the rows found. Where these are few, the table is filtered in place; else
+        they are the built side of a hash join, so that long texts are never sorted.
         """
         found = [self._rarest(pieces, RAREST) for pieces in needles]
         if not found or any(f is None for f in found):
             return table
         rows = reduce(DataFrame.unionAll, [self._holding(chosen) for chosen, _ in found])
-        rows = F.broadcast(rows) if sum(most for _, most in found) <= _BROADCAST_ROWS else rows
+        few = sum(most for _, most in found) <= _BROADCAST_ROWS
+        rows = rows.hint("broadcast" if few else "shuffle_hash")
         return table.join(rows, table[row_id] == rows["row"], "left_semi")
 
 

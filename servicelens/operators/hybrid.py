@@ -12,13 +12,20 @@ from servicelens import fields
 from servicelens.operators import fusion, search, tfidf, vectors
 from servicelens.operators.block_max import BlockMaxIndex
 from servicelens.operators.grams import SubstringIndex
+from servicelens.session import ensure_checkpoint_dir
 
 
 def _content(hits: DataFrame, records: DataFrame, row_id: str, content: Column,
              metadata: Sequence[str]) -> DataFrame:
-    """A top list with content and metadata of its records; hits without a record have none."""
+    """A top list with content and metadata of its records; hits without a record have none.
+
+    Both are kept by a reliable checkpoint, as each is used twice: a search and a scan of the records take
+    place once.
+    """
+    ensure_checkpoint_dir(records.sparkSession)
+    hits = hits.checkpoint()
     told = records.select(F.col(row_id).alias("_record"), content.alias("content"), *metadata)
-    found = fusion.with_records(hits, told, "id", "_record").drop("_record")
+    found = fusion.with_records(hits, told, "id", "_record").drop("_record").checkpoint()
     missing = hits.join(found.select("id"), "id", "left_anti")
     return found.unionByName(missing, allowMissingColumns=True)
 

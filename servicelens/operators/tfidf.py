@@ -1,7 +1,7 @@
 """TF-IDF weights and cosine search over a document table, as joins and aggregates.
 
-The index is a long table of (document, term) rows, never one map per document. Weight of a term in
-a document: count/length * ln(N / (df + 1)); it is 0 or negative for terms in nearly all documents.
+The weights are a long table of (document, term) rows, never one map per document; the stored index holds
+them as lists of bounded parts of a term's documents. Weight of a term in a document: count/length * ln(N / (df + 1)); it is 0 or negative for terms in nearly all documents.
 """
 
 from __future__ import annotations
@@ -21,6 +21,10 @@ from pyspark.sql import types as T
 from servicelens.functions.batches import sliced
 from servicelens.functions.text import tokens
 from servicelens.operators.skew import join_counted_key
+from servicelens.session import ensure_checkpoint_dir
+
+
+_BETWEEN = r"[^\p{L}\p{N}_]+"        # what parts the words of `functions.text.tokens`
 
 
 def _tokenized(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -84,6 +88,35 @@ def term_counts(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     return found.mapInArrow(counted, schema)
 
 
+def term_lists(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(term, docs, shares): :func:`term_counts` gathered by term in each Arrow batch, so that what is
+    shuffled are lists. A term has many of them, each document is in one."""
+    low = documents.select(F.col(doc_id).alias("doc_id"), F.lower(F.col(text)).alias("text"))
+    kind = low.schema["doc_id"].dataType
+    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("docs", T.ArrayType(kind)),
+                           T.StructField("shares", T.ArrayType(T.DoubleType()))])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            pieces = pc.split_pattern_regex(pc.fill_null(batch.column("text"), ""), _BETWEEN)
+            words, place = pieces.flatten(), pc.list_parent_indices(pieces).to_numpy()
+            held = pc.not_equal(words, "")          # a text that begins or ends between words has blank pieces
+            codes = pc.dictionary_encode(words.filter(held))
+            place = place[held.to_numpy(zero_copy_only=False)]
+            lengths = np.bincount(place, minlength=batch.num_rows)
+            keys = codes.indices.to_numpy().astype(np.int64) * batch.num_rows + place
+            keys, counts = np.unique(keys, return_counts=True)
+            terms, places = keys // batch.num_rows, keys % batch.num_rows
+            starts = np.flatnonzero(np.diff(terms, prepend=-1))
+            ends = pa.array(np.append(starts, len(terms)), pa.int32())
+            docs = batch.column("doc_id").take(pa.array(places))
+            yield pa.RecordBatch.from_arrays(
+                [codes.dictionary.take(pa.array(terms[starts])), pa.ListArray.from_arrays(ends, docs),
+                 pa.ListArray.from_arrays(ends, pa.array(counts / lengths[places]))], ["term", "docs", "shares"])
+
+    return low.mapInArrow(listed, schema)
+
+
 def grouped_term_counts(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     """:func:`term_counts` by a hash aggregate: one shuffle of the postings, but compiled code, which
     is the quicker way for the few documents that one question selects."""
@@ -139,20 +172,33 @@ def known_norm(known: Column, wanted: dict[str, float]) -> Column:
     return F.sqrt(total)
 
 
+def listed_postings(lists: DataFrame) -> DataFrame:
+    """(term, doc_id, weight), one row per posting."""
+    return lists.select("term", F.explode(F.arrays_zip("docs", "weights")).alias("x")).select(
+        "term", F.col("x.docs").alias("doc_id"), F.col("x.weights").alias("weight"))
+
+
+def listed_norms(lists: DataFrame) -> DataFrame:
+    return listed_postings(lists).groupBy("doc_id").agg(
+        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"), F.max("weight").alias("largest"))
+
+
 @dataclass
 class TextIndex:
-    """Postings (term, doc_id, weight) and norms (doc_id, norm) of a document table."""
+    """Lists (term, docs, weights) and norms (doc_id, norm, largest weight) of a document table."""
 
-    postings: DataFrame
+    lists: DataFrame
     norms: DataFrame
 
+    @property
+    def postings(self) -> DataFrame:
+        return listed_postings(self.lists)
+
     def write(self, path: str) -> None:
-        """Store the index, postings in term order, so that a question reads its terms only."""
-        (self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-         .write.mode("overwrite").parquet(f"{path}/postings"))
-        stored = self.postings.sparkSession.read.parquet(f"{path}/postings")
-        norms = stored.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-        norms.sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/norms")
+        """Store the index, each file in term order, so that a question reads its terms only."""
+        self.lists.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        stored = self.lists.sparkSession.read.parquet(f"{path}/postings")
+        listed_norms(stored).sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/norms")
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> TextIndex:
@@ -169,10 +215,16 @@ class TextIndex:
 
 
 def build_index(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> TextIndex:
-    """The index of all documents, not computed yet; `write` computes and stores it."""
-    postings = tfidf_weights(documents, doc_id, text).select("term", "doc_id", "weight")
-    norms = postings.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    return TextIndex(postings, norms)
+    """The index of all documents; `write` stores it. Each text is read once: the term counts are kept by
+    a reliable checkpoint, and their frequencies are joined to them."""
+    ensure_checkpoint_dir(documents.sparkSession)
+    size = documents.agg(F.count("*")).scalar()
+    lists = term_lists(documents, doc_id, text).checkpoint()
+    frequency = lists.groupBy("term").agg(F.sum(F.size("docs")).alias("df"), F.count("*").alias("_lists"))
+    idf = F.log(size / (F.col("df") + 1))
+    weighted = join_counted_key(lists, frequency, "term", "_lists", "docs", build_keyed=True).withColumn("_idf", idf)
+    lists = weighted.select("term", "docs", F.transform("shares", lambda s: s * F.col("_idf")).alias("weights"))
+    return TextIndex(lists, listed_norms(lists))
 
 
 def tfidf_search(documents: DataFrame, query: str, k: int = 10, doc_id: str = "doc_id",

@@ -152,6 +152,22 @@ def test_blocks_skip_postings(both_indexes):
     assert blocks.postings.groupBy("block").agg({"doc_id": "count"}).count() == 76
 
 
+def test_lists_hold_the_weights(both_indexes, texts):
+    """A term's documents come as lists; as rows they are the weights, from the same words."""
+    index, _ = both_indexes
+    assert index.lists.count() < index.postings.count() / 50
+    want = {(t, d): w for t, d, w in cells(tfidf.tfidf_weights(texts), "term", "doc_id", "weight")}
+    assert {(t, d): w for t, d, w in cells(index.postings, "term", "doc_id", "weight")} == pytest.approx(want)
+
+
+def test_listed_words_are_tokens(rows):
+    chars = "".join(map(chr, [*range(1, 0x250), 0x3B1, 0x3C2, 0x3BB, 0x660, 0x966, 0x2160, 0x3042, 0x4E00, 0x20000]))
+    texts = [" ".join(chars), chars, ", a,b ", "", None, "--", "ΟΔΟΣ İstanbul"]
+    df = rows("doc_id int, text string", *enumerate(texts))
+    got = cells(tfidf.term_lists(df, "doc_id", "text").selectExpr("term", "explode(docs)"))
+    assert sorted(got) == sorted(cells(tfidf.term_counts(df, "doc_id", "text"), "term", "doc_id"))
+
+
 # --- substring index ----------------------------------------------------------------------------------
 
 RECORDS = [(1, "油圧ポンプ交換", "PC200"), (2, "Hydraulic pump", None), (3, None, None), (4, "", "é"), (5, "ポンプ", "pc200-8"),
@@ -196,6 +212,21 @@ def test_grams_of_a_part_are_grams_of_the_whole(text, data):
     assert grams.text_grams(text[a:b]) <= grams.text_grams(text)
 
 
+@pytest.mark.parametrize("most", [10 ** 6, 0])
+def test_long_texts_are_not_sorted(spark, gram_index, monkeypatch, capsys, most):
+    df, index = gram_index
+    monkeypatch.setattr(grams, "_BROADCAST_ROWS", most)
+    monkeypatch.setattr(grams, "RAREST", 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = index.narrowed(df, [["pump"], ["交換"]])
+        found.explain()
+        assert "SortMergeJoin" not in capsys.readouterr().out
+        assert sorted(cells(found, "id")) == [(1,), (2,), (9,)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.none() | st.text(st.sampled_from("abc\0\x7f\x80éあ\U0001F600"), max_size=12), max_size=5))
 def test_grams_by_codes(texts):

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from servicelens import fields
+from servicelens.functions.batches import sliced_arrays
 
 BLANKS = " \t\n\r\f\v"
 
@@ -50,9 +51,13 @@ def split_text(text: str, size: int = fields.CHUNK_SIZE, overlap: int = fields.C
 
 def chunk_array(c: Column, size: int = fields.CHUNK_SIZE, overlap: int = fields.CHUNK_OVERLAP,
                 separators: Sequence[str] = tuple(fields.CHUNK_SEPARATORS)) -> Column:
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def chunks(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t, size, overlap, separators), na_action="ignore")
+    kind = pa.list_(pa.string())
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def chunks(texts: pa.Array) -> pa.Array:
+        parts = [pa.array([t if t is None else split_text(t, size, overlap, separators) for t in part.to_pylist()],
+                          kind) for part in sliced_arrays(texts)]
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     # most records fit one chunk and never leave the JVM
     short = F.filter(F.array(F.trim(c, F.lit(BLANKS))), lambda t: t != "")

@@ -1,12 +1,14 @@
 import random
 import unicodedata
 
+import pyarrow as pa
 from conftest import cells
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from servicelens.functions import text
+from servicelens.functions.batches import sliced_arrays
 from servicelens.functions.chunking import _pieces, chunk_documents, split_text
 from servicelens.functions.fuzzy import can_reach, fuzzy_match, fuzzy_score, partial_scores
 from servicelens.operators.clean import normalize_texts
@@ -152,3 +154,11 @@ def test_chunk_table(rows):
               (4, " ", "s"))
     got = cells(chunk_documents(df, "v").orderBy("id", "chunk_index"))
     assert got == [(1, "p", 0, "a b"), (2, "q", 0, "x" * 500), (2, "q", 1, "x" * 100)]
+
+
+def test_texts_become_objects_in_bounded_parts():
+    array = pa.array(["x" * 1000] * 500 + [None, "", "y" * 30_000])
+    parts = list(sliced_arrays(array, 20_000))
+    assert pa.concat_arrays(parts).equals(array)
+    assert len(parts) > 20 and all(len(p) <= 20 for p in parts)
+    assert list(sliced_arrays(array.slice(0, 0))) == []

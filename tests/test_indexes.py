@@ -260,3 +260,10 @@ def test_many_keywords_count_as_few(rows):
     got = cells(search.relevance_search(df, " ".join(words), ["id"]), "id", "relevance")
     assert got == sorted(((r["id"], r["r"]) for r in many if r["r"] > 0), key=lambda x: (-x[1], x[0]))
     assert sorted(cells(filters.keyword_search(df, " ".join(words)), "id")) == sorted((i,) for i, _ in got)
+
+
+def test_columns_share_a_python_worker(rows, capsys):
+    df = rows("id int, work_content string, machine_model string", (1, "k1", "k2"))
+    words = [f"k{i}" for i in range(40)]
+    search.relevance_search(df, " ".join(words), ["id"]).explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") <= 2       # of the filter and of the result, not one per column

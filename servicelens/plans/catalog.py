@@ -1228,7 +1228,7 @@ def write_sheets(spark: SparkSession, sf_dir: str) -> list[str]:
         F.col("o_orderdate").alias("売上日"), F.col("o_orderkey").alias("整備案件NO"),
         F.concat(F.lit('"a, b" '), "o_orderstatus").alias("作業内容"), F.col("o_custkey").alias("備考"))
     for name, sheets in (("book_1", finished), ("book_2", others)):
-        (sheets.repartition(4, "整備案件NO").write.option("header", True).option("escape", '"')
+        (sheets.repartition(max(4, spark.sparkContext.defaultParallelism), "整備案件NO").write.option("header", True).option("escape", '"')
          .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
          .csv(f"{root}/{name}"))
     return spark.read.text([f"{root}/book_1", f"{root}/book_2"]).inputFiles()

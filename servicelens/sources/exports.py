@@ -82,8 +82,8 @@ def _reader(spark: SparkSession, multi_line: bool):
             .option("ignoreTrailingWhiteSpace", False))
 
 
-def _path() -> Column:
-    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+def _path(uri: Column) -> Column:
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
 
 
 def _existing(spark: SparkSession, paths: Sequence[str]) -> list[str]:
@@ -107,27 +107,27 @@ def _layout_columns(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows = [next(csv.reader([text.lstrip("\ufeff")], strict=False), [])
                     for text in row.heads]
             layout = pick_header([[v or None for v in r] for r in rows], row.width)
-            made.append((row.bare, layout.header_row, list(layout.names), list(layout.header)))
-        yield pd.DataFrame(made, columns=["bare", "header_row", "names", "header"])
+            made.append((row.uri, layout.header_row, list(layout.names), list(layout.header)))
+        yield pd.DataFrame(made, columns=["uri", "header_row", "names", "header"])
 
 
 def find_layouts(spark: SparkSession, paths: Sequence[str], multi_line: bool = False) -> DataFrame:
-    """(bare, header_row, names, header): the layout of every file with records, from one read."""
+    """(uri, header_row, names, header): the layout of every file with records, from one read."""
     records = _records(spark, paths, multi_line, header=False).select(
-        _bare(F.col("path")).alias("bare"), F.struct("block", "row").alias("place"), "record")
+        "uri", F.struct("block", "row").alias("place"), "record")
     unquoted = F.regexp_replace("record", r'"(?:[^"]|"")*"', "")
     fields_in = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","))) + 1
-    first_two = Window.partitionBy("bare").orderBy("place")
+    first_two = Window.partitionBy("uri").orderBy("place")
     heads = (records.withColumn("_n", F.row_number().over(first_two)).filter("_n <= 2")
-             .groupBy("bare").agg(F.sort_array(F.collect_list(F.struct("_n", "record"))).alias("heads"))
+             .groupBy("uri").agg(F.sort_array(F.collect_list(F.struct("_n", "record"))).alias("heads"))
              .withColumn("heads", F.transform("heads", lambda h: F.coalesce(h.record, F.lit("")))))
-    widths = records.groupBy("bare").agg(F.coalesce(F.max(fields_in), F.lit(1)).alias("width"))
-    return heads.join(widths, "bare").mapInPandas(
-        _layout_columns, "bare string, header_row int, names array<string>, header array<string>")
+    widths = records.groupBy("uri").agg(F.coalesce(F.max(fields_in), F.lit(1)).alias("width"))
+    return heads.join(widths, "uri").mapInPandas(
+        _layout_columns, "uri string, header_row int, names array<string>, header array<string>")
 
 
 def _records(spark: SparkSession, paths: Sequence[str], multi_line: bool, header: bool) -> DataFrame:
-    """(path, block, row, record): every record as it is written; `header` leaves out line 0 of each file.
+    """(uri, block, row, record): every record as it is written; `header` leaves out line 0 of each file.
 
     A reader of one column hands over each record with more fields as it is written, whatever the width
     of the lines before it.
@@ -135,7 +135,7 @@ def _records(spark: SparkSession, paths: Sequence[str], multi_line: bool, header
     raw = (_reader(spark, multi_line).option("header", header).option("columnNameOfCorruptRecord", "_record")
            .schema("_c0 string, _record string").csv(list(paths)))
     quoted = F.concat(F.lit('"'), F.replace("_c0", F.lit('"'), F.lit('""')), F.lit('"'))
-    return raw.select(_path().alias("path"), F.col("_metadata.file_block_start").alias("block"),
+    return raw.select(F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("block"),
                       F.monotonically_increasing_id().alias("row"), F.coalesce("_record", quoted).alias("record"))
 
 
@@ -155,7 +155,7 @@ def _without_header(rows: DataFrame) -> DataFrame:
     """The reader skips line 0 of each file; where line 1 is the header, the first record equal to it goes."""
     told = F.transform(F.slice("cells", F.lit(1), F.size("header")), lambda c: F.coalesce(c, F.lit("")))
     is_header = (F.col("header_row") == 1) & (told == F.col("header"))
-    in_file = Window.partitionBy("path").orderBy("block", "row")
+    in_file = Window.partitionBy("uri").orderBy("block", "row")
     repeats = rows.filter(is_header).withColumn("_n", F.row_number().over(in_file)).filter("_n > 1").drop("_n")
     return rows.filter(~is_header).unionByName(repeats)
 
@@ -180,7 +180,9 @@ def read_exports(spark: SparkSession, paths: Sequence[str], sheets: Sequence[str
     ensure_checkpoint_dir(spark)
     order = spark.createDataFrame([(re.sub(_SCHEME, "", unquote(p)), i) for i, p in enumerate(chosen)],
                                   "bare string, _file_order int")
-    layouts = find_layouts(spark, chosen, multi_line).join(order, "bare").checkpoint()
+    path = F.col("path")
+    layouts = (find_layouts(spark, chosen, multi_line).withColumn("path", _path(F.col("uri")))
+               .withColumn("bare", _bare(path)).join(F.broadcast(order), "bare").checkpoint())
     empty = order.join(layouts, "bare", "left_anti").agg(
         F.count("*").alias("files"), F.min_by("bare", "_file_order").alias("first")).first()
     if empty["files"]:
@@ -195,14 +197,16 @@ def read_exports(spark: SparkSession, paths: Sequence[str], sheets: Sequence[str
     known = layouts.agg(F.max(F.size("names")).alias("width"), F.max("header_row").alias("header_row")).first()
 
     places = F.transform(F.array(*map(F.lit, headings)), lambda h: (F.array_position("names", h) - 1).cast("int"))
-    placed = layouts.select("bare", "_file_order", "header_row", "header", places.alias("places"))
-    rows = _records(spark, chosen, multi_line, header=True).withColumn("bare", _bare(F.col("path")))
-    rows = rows.join(placed, "bare").withColumn("cells", _cells(F.col("record"), known["width"]))
+    # what is the same for all records of a file is worked out here, once per file
+    placed = layouts.select("uri", "_file_order", "header_row", "header", places.alias("places"),
+                            F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias(FILE_HEADING),
+                            F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1).alias(SHEET_HEADING))
+    # one row per file: the records stay where they are read, however many of them a file has
+    rows = _records(spark, chosen, multi_line, header=True).join(F.broadcast(placed), "uri")
+    rows = rows.withColumn("cells", _cells(F.col("record"), known["width"]))
     if known["header_row"]:
         rows = _without_header(rows)
     table = rows.select(
         *(F.get("cells", F.get("places", F.lit(i))).alias(h) for i, h in enumerate(headings)),
-        F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias(FILE_HEADING),
-        F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias(SHEET_HEADING),
-        F.col("block").alias("_block_start"), F.col("row").alias("_row"), "_file_order")
+        FILE_HEADING, SHEET_HEADING, F.col("block").alias("_block_start"), F.col("row").alias("_row"), "_file_order")
     return sentinels_to_null(table)

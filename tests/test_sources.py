@@ -110,6 +110,17 @@ def test_jobs_do_not_grow_with_files(spark, tmp_path):
     assert jobs[0] == jobs[1]
 
 
+def test_records_are_not_shuffled_by_file(spark, workbooks):
+    """A file's records would all meet in one task, however large the file."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = exports.read_exports(spark, workbooks[:2])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_ingest_to_clean_records(spark, workbooks):
     out = normalize_records(exports.read_exports(spark, workbooks))
     row = {r["case_no"]: r for r in out.collect()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import string
 import unicodedata
 from collections.abc import Iterable, Mapping, Sequence
@@ -19,6 +20,15 @@ from servicelens.functions.values import any_of, blank_to_null, named
 _ASCII_RUN = r"[\t-\r\x1C-\x20]{2,}|[\t-\r\x1C-\x1F]"
 WORD_RUN = r"([\p{L}\p{N}_]+)"
 
+# Japanese marks, kana and ideographs which NFKC leaves alone and which never merge with a neighbour;
+# full-width ASCII and the wide blank become plain ASCII
+_STEADY = "\u3001-\u3003\u3005-\u3015\u3041-\u3096\u30a1-\u30fe\u4e00-\u9fff"
+_WIDE = "\u3000" + "".join(chr(i) for i in range(0xFF01, 0xFF5F))
+_NARROW = " " + "".join(chr(i) for i in range(0x21, 0x7F))
+_WORD = rf"[\x00-\x08\x0E-\x1B!-\x7F{_STEADY}]++"
+_NORMAL = rf"\A(?:{_WORD}(?: {_WORD})*+)?\z"
+_EVERYDAY = rf"\A[\x00-\x7F{_STEADY}\u3000\uff01-\uff5e]*+\z"
+
 
 @F.pandas_udf(T.StringType())
 def _normalized(texts: pd.Series) -> pd.Series:
@@ -38,6 +48,26 @@ def normalize_text(c: Column) -> Column:
     return F.when(beyond_ascii, _normalized(F.when(beyond_ascii, c))).otherwise(plain)
 
 
+def normalize_everyday(c: Column) -> Column:
+    """`normalize_text` of the characters that most cells are made of: ASCII, full-width ASCII, kana and
+    ideographs; null for any other text. Needs no Python."""
+    narrow = F.translate(c, _WIDE, _NARROW)
+    return F.when(c.rlike(_NORMAL), c).when(
+        c.rlike(_EVERYDAY), F.trim(F.regexp_replace(narrow, _ASCII_RUN, " ")))
+
+
+@F.pandas_udf(T.StringType())
+def _normalized_cells(rows: pd.Series) -> pd.Series:
+    return rows.map(lambda row: json.dumps([t if t is None else " ".join(unicodedata.normalize("NFKC", t).split())
+                                            for t in json.loads(row)]), na_action="ignore")
+
+
+def normalize_cells(cells: Column) -> Column:
+    """`normalize_text` of every cell of an array, or null for a null array. The arrays travel as JSON, as
+    Spark measures a batch of lists anew for each row that it adds to it."""
+    return F.from_json(_normalized_cells(F.to_json(cells)), "array<string>")
+
+
 def tokens(c: Column) -> Column:
     """Lower-cased runs of letters, digits and underscores, as an array."""
     return F.regexp_extract_all(F.lower(c), F.lit(WORD_RUN), F.lit(0))

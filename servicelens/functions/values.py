@@ -20,6 +20,7 @@ _NAME = ("(?i)(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|
 _MONTH_FIRST = r"^\s*(\d{1,2})[/-](\d{1,2})[/-](\d{4})(?!\d)"
 _DAY_NAME = rf"(?i)^\s*(\d{{1,2}})[- ]{_NAME}[-, .]+(\d{{4}})((?:\s.*)?)$"
 _NAME_DAY = rf"(?i)^\s*{_NAME}\.?[ -](\d{{1,2}})(?:,? |-)(\d{{4}})((?:\s.*)?)$"
+_YEAR_FIRST = r"^\s*\d{4}"
 _DAY = r"^\s*(\d{4})(?:[/.年](\d{1,2})[/.月](\d{1,2})日?|(\d{2})(\d{2})(?!\d))"
 
 
@@ -66,7 +67,8 @@ def to_timestamp(c: Column) -> Column:
             part(3), F.lit("-"), month(part(named_month)), F.lit("-"), part(day), part(4)))
 
     year_first = F.regexp_replace(c, _DAY, "$1-$2$4-$3$5")
-    written = (F.when(c.rlike(_MONTH_FIRST), F.regexp_replace(c, _MONTH_FIRST, "$3-$1-$2"))
+    written = (F.when(c.rlike(_YEAR_FIRST), year_first)     # most dates; fits none of the other patterns
+               .when(c.rlike(_MONTH_FIRST), F.regexp_replace(c, _MONTH_FIRST, "$3-$1-$2"))
                .when(c.rlike(_DAY_NAME), from_parts(_DAY_NAME, 2, 1))
                .when(c.rlike(_NAME_DAY), from_parts(_NAME_DAY, 1, 2))
                .otherwise(year_first))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from servicelens import fields
 from servicelens.functions import values
-from servicelens.functions.text import normalize_text
+from servicelens.functions.text import normalize_everyday, normalize_cells
 from servicelens.sources.tables import to_standard_names
 
 
@@ -18,9 +18,22 @@ def text_columns(df: DataFrame) -> list[str]:
 
 
 def normalize_texts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Normalize every text column of the table (or the ones named) in one projection."""
-    chosen = text_columns(df) if columns is None else columns
-    return df.withColumns({c: normalize_text(values.named(c)) for c in chosen})
+    """Normalize every text column of the table (or the ones named).
+
+    The cells of a row go through one rule as an array, so that the generated code does not grow with
+    the columns. Only rows with rarer characters carry these cells over to Python.
+    """
+    chosen = text_columns(df) if columns is None else list(columns)
+    if not chosen:
+        return df
+    raw, plain, rare = F.col("_raw"), F.col("_plain"), F.col("_rare")
+    left = F.zip_with(raw, plain, lambda cell, done: F.when(done.isNull(), cell))
+    cells = (df.withColumn("_raw", F.array(*map(values.named, chosen)))
+             .withColumn("_plain", F.transform(raw, normalize_everyday))
+             .withColumn("_rare", left)
+             .withColumn("_rare", normalize_cells(F.when(F.exists(rare, lambda c: c.isNotNull()), rare))))
+    return cells.withColumns({c: F.coalesce(F.get(plain, F.lit(i)), F.get(rare, F.lit(i)))
+                              for i, c in enumerate(chosen)}).drop("_raw", "_plain", "_rare")
 
 
 def _typed(df: DataFrame) -> dict[str, Column]:
@@ -28,8 +41,9 @@ def _typed(df: DataFrame) -> dict[str, Column]:
     out: dict[str, Column] = {}
     for c in fields.DATE_COLUMNS:
         if c in kinds:
-            text = kinds[c] == "string"
-            out[c] = values.to_timestamp(F.col(c)) if text else F.col(c).cast("timestamp_ntz")
+            # as a function of an array's cells: the many cases of a date would be inlined for each column
+            out[c] = (F.transform(F.array(c), values.to_timestamp)[0] if kinds[c] == "string"
+                      else F.col(c).cast("timestamp_ntz"))
     for c in fields.NUMBER_COLUMNS:
         if c in kinds:
             number = values.to_number(F.col(c)) if kinds[c] == "string" else F.col(c).cast("double")

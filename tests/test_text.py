@@ -1,4 +1,5 @@
 import random
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -29,6 +30,30 @@ def test_normalize_touches_text_columns_only(rows):
     assert cells(normalize_texts(df)) == [("A", 1, "x")]
 
 
+def test_everyday_cells_need_no_python(rows):
+    inputs = ["ＫＸ－０８０　ポンプ\t 漏れ", None, "", " ", "a b", " a", "a  b", "a\nb", "a\x1fb", "定期点検、ヾ々〆", "ｶﾞ①",
+              "か\u3099", "é", "a\u00a0b", "㌔ x", "～！　", "\u3000", "a\x00b", "[\"x\", null]", "x" * 9000 + " y" * 9000]
+    want = [None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()) for t in inputs]
+    df = rows("i int, v string", *enumerate(inputs)).orderBy("i")
+    easy = [r[0] for r in df.select(text.normalize_everyday(F.col("v"))).collect()]
+    assert [i for i, e in enumerate(easy) if e is None] == [1, 10, 11, 12, 13, 14]
+    assert all(e is None or e == w for e, w in zip(easy, want))
+    pairs = list(zip(inputs, reversed(inputs)))
+    got = normalize_texts(rows("a string, `b.c` string, i int", *((a, b, i) for i, (a, b) in enumerate(pairs))))
+    assert cells(got.orderBy("i"), "a", "`b.c`") == list(zip(want, reversed(want)))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("_normalized") == plan.count("_normalized_cells")       # one pass for all columns
+
+
+def test_steady_characters_are_those_that_nfkc_leaves(rows):
+    steady = re.compile(f"[{text._STEADY}]")
+    marks = {unicodedata.normalize("NFD", chr(i))[1:2] for i in range(0x110000) if not 0xD800 <= i < 0xE000}
+    for c in filter(steady.match, map(chr, range(0x10000))):
+        assert unicodedata.normalize("NFKC", c) == c and not c.isspace() and not unicodedata.combining(c)
+        assert c not in marks
+    assert unicodedata.normalize("NFKC", text._WIDE) == text._NARROW
+
+
 def test_tokens(rows):
     df = rows("v string", ("機種: U-30 | 作業内容: オイル漏れ修理_x",), ("",))
     assert cells(df.select(text.tokens(F.col("v")))) == [

@@ -6,22 +6,36 @@ these over a question's terms bounds the score of every document in the block. S
 the blocks with the highest bounds, which gives a score that k documents reach, and then only blocks
 whose bound comes up to it. As blocks are in order of impact, the blocks to read lie close together in
 the stored postings, and the scan skips row groups of the rest.
+
+What is stored of a posting is the document's place in its block and the count of the term; the factors of
+its impact are kept once, with the term and with the document.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from servicelens.operators.tfidf import TextIndex, asked_weight, known_norm, query_weights, ranked
+from servicelens.functions.batches import sliced
+from servicelens.operators.tfidf import (
+    CHUNK_DOCUMENTS, LISTED, TextIndex, asked_weight, known_norm, listed_postings, query_weights, ranked, shared_codes,
+)
 from servicelens.sources.tables import number_rows
 
 BLOCK_DOCUMENTS = 128
+BROADCAST_DOCUMENTS = 4_000_000 # placed in one pass over the lists; more documents take more passes
 FIRST_BLOCKS = 4
 _LISTED_BLOCKS = 1000           # block numbers that go into the scan's own filter
 _ROUNDING = 1e-9
+_NUMBER_BITS = 40               # of a posting's key: the document's number
 
 
 @dataclass
@@ -37,22 +51,33 @@ class Reading:
 
 @dataclass
 class BlockMaxIndex:
-    """Postings (term, block, doc_id, impact) and their largest impacts (term, block, top, rows)."""
+    """Lists (term, block, idf, top, places, counts), with the largest impact as top, and documents (block,
+    place, doc_id, scale), where count * idf * scale is an impact. A term can have several lists in a block, with
+    each document in one."""
+
+    lists: DataFrame
+    documents: DataFrame
+
+    @property
+    def postings(self) -> DataFrame:
+        """(term, block, doc_id, impact), one row per posting."""
+        return listed_postings(self.lists).join(self.documents, ["block", "place"]).select(
+            "term", "block", "doc_id", (F.col("count") * F.col("idf") * F.col("scale")).alias("impact"))
 
-    postings: DataFrame
-    tops: DataFrame
+    @property
+    def tops(self) -> DataFrame:
+        """(term, block, top, rows): largest impacts, and numbers of postings."""
+        return self.lists.groupBy("term", "block").agg(F.max("top").alias("top"), F.sum(F.size("places")).alias("rows"))
 
     def write(self, path: str) -> None:
-        """Store the index, each file in order of term and block."""
-        (self.postings.repartition("term", "block").sortWithinPartitions("term", "block", "doc_id")
-         .write.mode("overwrite").parquet(f"{path}/postings"))
-        stored = self.postings.sparkSession.read.parquet(f"{path}/postings")
-        (block_tops(stored).sortWithinPartitions("term", "block")
-         .write.mode("overwrite").parquet(f"{path}/tops"))
+        """Store the index, the lists in order of term and block as they come."""
+        self.lists.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/lists")
+        (self.documents.sortWithinPartitions("block", "place").write.mode("overwrite")
+         .parquet(f"{path}/documents"))
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> BlockMaxIndex:
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/tops"))
+        return cls(spark.read.parquet(f"{path}/lists"), spark.read.parquet(f"{path}/documents"))
 
     def plan(self, query: str, k: int, first_blocks: int = FIRST_BLOCKS) -> Reading:
         """The blocks that can hold one of the top k. A term with negative impacts only adds nothing
@@ -74,37 +99,98 @@ class BlockMaxIndex:
     def _dots(self, query: str, blocks: DataFrame | None = None) -> DataFrame:
         """(doc_id, block, dot) of the documents that hold a term of the question, in these blocks."""
         wanted = query_weights(query)
-        found = self.postings.filter(F.col("term").isin(list(wanted)))
+        found, documents = self.lists.filter(F.col("term").isin(list(wanted))), self.documents
         if blocks is not None:
             span = blocks.agg(F.slice(F.collect_set("block"), 1, _LISTED_BLOCKS + 1).alias("listed"),
                               F.min("block").alias("low"), F.max("block").alias("high")).first()
-            found = found.filter(F.col("block").between(span["low"], span["high"]))
+            near = F.col("block").between(span["low"], span["high"])
+            found, documents = found.filter(near), documents.filter(near)
             found = (found.filter(F.col("block").isin(span["listed"])) if len(span["listed"]) <= _LISTED_BLOCKS
                      else found.join(blocks, "block", "left_semi"))
-        return found.groupBy("doc_id", "block").agg(
-            F.sum(asked_weight(F.col("term"), wanted) * F.col("impact")).alias("dot"))
+        asked = asked_weight(F.col("term"), wanted) * F.col("idf") * F.col("count")
+        dots = listed_postings(found).groupBy("block", "place").agg(F.sum(asked).alias("_dot"))
+        return dots.join(documents, ["block", "place"]).select(
+            "doc_id", "block", (F.col("_dot") * F.col("scale")).alias("dot"))
 
     def search(self, query: str, k: int = 10, first_blocks: int = FIRST_BLOCKS) -> DataFrame:
         """(doc_id, score), best first: the same as of :class:`TextIndex`."""
         wanted = query_weights(query)
         reading = self.plan(query, k, first_blocks)
-        norm = (self.tops.filter(F.col("term").isin(list(wanted)))
+        norm = (self.lists.filter(F.col("term").isin(list(wanted)))
                 .agg(known_norm(F.collect_set("term"), wanted)).scalar())
         dots = self._dots(query, reading.blocks).select("doc_id", "dot", F.lit(1.0).alias("norm"))
         return ranked(dots, norm, k)
 
 
-def block_tops(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("term", "block").agg(F.max("impact").alias("top"), F.count("*").alias("rows"))
-
-
-def build_block_max(index: TextIndex, block_documents: int = BLOCK_DOCUMENTS) -> BlockMaxIndex:
+def _placed(lists: DataFrame, shared: Broadcast, block_documents: int) -> DataFrame:
+    """The lists of a text index cut by block, for the documents at hand: sorted keys (of chunk and place), and the
+    numbers and scales that belong to them. As many postings as `LISTED` are ordered at a time."""
+    schema = "term string, block long, idf double, top double, places array<int>, counts array<int>"
+
+    def cut(parts: list) -> pa.RecordBatch:
+        _, numbers, scales = shared.value
+        codes, terms = shared_codes([p[0] for p in parts])
+        idfs = np.zeros(len(terms))
+        idfs[np.concatenate(codes)] = np.concatenate([p[1] for p in parts])
+        of = np.concatenate([own[p[2]] for own, p in zip(codes, parts)])
+        at, counts = (np.concatenate([p[i] for p in parts]) for i in (3, 4))
+        parts.clear()
+        order = np.argsort(of << _NUMBER_BITS | numbers[at])
+        of, at, counts = of[order], at[order], counts[order]
+        impacts, numbers = counts * idfs[of] * scales[at], numbers[at]
+        blocks, places = np.divmod(numbers, block_documents)
+        starts = np.flatnonzero(np.diff(of << _NUMBER_BITS | blocks, prepend=-1))
+        ends = pa.array(np.append(starts, len(of)), pa.int32())
+        tops = np.maximum.reduceat(impacts, starts) if len(starts) else impacts
+        return pa.RecordBatch.from_arrays(
+            [terms.take(pa.array(of[starts])), pa.array(blocks[starts]), pa.array(idfs[of[starts]]), pa.array(tops),
+             pa.ListArray.from_arrays(ends, pa.array(places, pa.int32())),
+             pa.ListArray.from_arrays(ends, pa.array(counts, pa.int32()))],
+            ["term", "block", "idf", "top", "places", "counts"])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, *_ = shared.value
+        parts, postings = [], 0
+        for batch in sliced(batches):
+            lengths = pc.list_value_length(batch.column("places")).to_numpy()
+            wanted = (np.repeat(batch.column("chunk").to_numpy() * CHUNK_DOCUMENTS, lengths)
+                      + batch.column("places").flatten().to_numpy())
+            at = np.searchsorted(keys, wanted)
+            held = np.flatnonzero(keys.take(at, mode="clip") == wanted) if len(keys) else at[:0]
+            parts.append((batch.column("term"), batch.column("idf").to_numpy(),
+                          np.repeat(np.arange(batch.num_rows, dtype=np.int32), lengths)[held],
+                          at[held].astype(np.int32), batch.column("counts").flatten().to_numpy()[held]))
+            postings += len(held)
+            if postings >= LISTED:
+                yield cut(parts)
+                postings = 0
+        if parts:
+            yield cut(parts)
+
+    found = lists.filter("docs is null").select("term", "chunk", "idf", "places", "counts")
+    return found.mapInArrow(placed, schema)
+
+
+def build_block_max(index: TextIndex, block_documents: int = BLOCK_DOCUMENTS,
+                    broadcast_documents: int = BROADCAST_DOCUMENTS) -> BlockMaxIndex:
     """The block-max form of an index. Documents whose weights are all zero are left out: they have no
-    cosine."""
-    known = index.norms.filter("norm > 0").withColumn("_rank", -F.col("largest") / F.col("norm"))
-    numbered = number_rows(known, ["_rank", "doc_id"], "_number")
-    blocks = numbered.select("doc_id", "norm", F.floor((F.col("_number") - 1) / block_documents).alias("block"))
-    # a document is one row of the built side, so the postings need no sort
-    postings = index.postings.join(blocks.hint("shuffle_hash"), "doc_id").select(
-        "term", "block", "doc_id", (F.col("weight") / F.col("norm")).alias("impact"))
-    return BlockMaxIndex(postings, block_tops(postings))
+    cosine.
+
+    The lists stay where they are. Numbers and scales of at most `broadcast_documents` documents, 24 bytes each,
+    are broadcast at a time; the documents of the next numbers take another pass over the lists.
+    """
+    norms = index.norms
+    context = norms.sparkSession.sparkContext
+    known = norms.filter("norm > 0").select(
+        "doc_id", (F.col("chunk") * CHUNK_DOCUMENTS + F.col("place")).alias("_key"),
+        (1 / (F.col("length") * F.col("norm"))).alias("scale"), (-F.col("largest") / F.col("norm")).alias("_rank"))
+    numbered = number_rows(known, ["_rank", "doc_id"], "_number").withColumn("_number", F.col("_number") - 1)
+    passes = []
+    for first in range(0, max(1, numbered.count()), broadcast_documents):
+        own = numbered.filter(F.col("_number").between(first, first + broadcast_documents - 1))
+        columns = own.select("_key", "_number", "scale").toArrow().sort_by("_key").columns
+        shared = context.broadcast([c.to_numpy() for c in columns])
+        passes.append(_placed(index.lists, shared, block_documents))
+    documents = numbered.select(F.floor(F.col("_number") / block_documents).alias("block"),
+                                (F.col("_number") % block_documents).cast("int").alias("place"), "doc_id", "scale")
+    return BlockMaxIndex(reduce(DataFrame.unionAll, passes), documents)

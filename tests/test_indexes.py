@@ -160,6 +160,51 @@ def test_lists_hold_the_weights(both_indexes, texts):
     assert {(t, d): w for t, d, w in cells(index.postings, "term", "doc_id", "weight")} == pytest.approx(want)
 
 
+def test_stored_postings_are_small(spark, tmp_path):
+    """What is shuffled and stored of a posting is a place and a count, in lists, not an id and a weight."""
+    rand = random.Random(6)
+    df = spark.createDataFrame([(10 ** 12 + 7 * i, " ".join(rand.choices([f"w{j}" for j in range(300)], k=200)))
+                                for i in range(2000)], "doc_id long, text string").coalesce(2)
+    index = tfidf.build_index(df)
+    plan = index.lists._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan
+    index.write(f"{tmp_path}/text")
+    index = tfidf.TextIndex.read(spark, f"{tmp_path}/text")
+    block_max.build_block_max(index).write(f"{tmp_path}/blocks")
+    stored = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    assert stored < 8 * index.postings.count()          # both indexes together; a double alone has 8 bytes
+
+
+def test_documents_are_placed_in_passes(spark, both_indexes, tmp_path):
+    """What is broadcast of the documents is bounded; more documents take more passes over the lists."""
+    index, blocks = both_indexes
+    block_max.build_block_max(index, 16, broadcast_documents=500).write(str(tmp_path))
+    passes = block_max.BlockMaxIndex.read(spark, str(tmp_path))
+    assert sorted(cells(passes.postings)) == sorted(cells(blocks.postings))
+    assert sorted(cells(passes.tops)) == sorted(cells(blocks.tops))
+    assert cells(passes.search("rare c1 c2", 10)) == cells(blocks.search("rare c1 c2", 10))
+
+
+def test_chunks_do_not_change_the_index(rows, texts, both_indexes, monkeypatch):
+    for module in (tfidf, block_max):
+        monkeypatch.setattr(module, "LISTED", 500)
+    monkeypatch.setattr(tfidf, "_STEP", 7)
+    monkeypatch.setattr(tfidf, "_SUMMED_CHUNKS", 2)
+    index, blocks = both_indexes
+    small = tfidf.build_index(texts.repartition(3))
+    assert small.norms.select("chunk").distinct().count() > 20
+    assert {d: n for d, n in cells(small.norms, "doc_id", "norm")} == pytest.approx(dict(cells(index.norms, "doc_id", "norm")))
+    got = block_max.build_block_max(small, 16).search("rare c1 c2", 10)
+    assert [d for d, _ in cells(got)] == [d for d, _ in cells(blocks.search("rare c1 c2", 10))]
+
+
+def test_indexes_of_nothing(rows):
+    for df in (rows("doc_id int, text string").limit(0), rows("doc_id int, text string", (1, None), (2, "--"))):
+        index = tfidf.build_index(df)
+        assert cells(index.search("a", 3)) == [] and cells(block_max.build_block_max(index).search("a", 3)) == []
+        assert index.postings.count() == 0
+
+
 def test_listed_words_are_tokens(rows):
     chars = "".join(map(chr, [*range(1, 0x250), 0x3B1, 0x3C2, 0x3BB, 0x660, 0x966, 0x2160, 0x3042, 0x4E00, 0x20000]))
     texts = [" ".join(chars), chars, ", a,b ", "", None, "--", "ΟΔΟΣ İstanbul"]

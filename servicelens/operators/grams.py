@@ -13,17 +13,21 @@ depends on what follows.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from servicelens.functions.batches import sliced
+from servicelens.session import ensure_checkpoint_dir
 
 ASCII_GRAM = 3
 RAREST = 4                      # grams of a needle whose rows are read
@@ -31,7 +35,9 @@ LISTED = 2_000_000              # postings gathered in a task before they are wr
 _BROADCAST_ROWS = 1_000_000
 _SLICES = 16                    # parts of a gram's lists, so that a gram of all rows is not one task
 _SLICE_BYTES = 1_000_000
-_PLACE_BITS = 20                # of a posting's key: the row's place among the gathered ones
+_PLACE_BITS = 15                # of a posting's key: the row's place among the gathered ones
+_CHUNKS_BITS = 20               # of a chunk's number: chunks of a task
+_STEP = 1 << 12                 # rows whose grams are found at a time
 _CHARACTER_BITS = 21
 
 
@@ -81,30 +87,55 @@ def _starts(ordered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(ordered, prepend=-1))
 
 
+def places_of(gaps: pa.ListArray) -> np.ndarray:
+    """The places in lists of gaps, which begin with a place, one list after the other."""
+    lengths, steps = pc.list_value_length(gaps).to_numpy(), gaps.flatten().to_numpy().astype(np.int64)
+    ends = np.cumsum(steps)
+    firsts = (np.cumsum(lengths) - lengths)[lengths > 0]
+    return ends - np.repeat(ends[firsts] - steps[firsts], lengths[lengths > 0])
+
+
 @dataclass
 class SubstringIndex:
-    """Lists (gram, rows) and frequencies (gram, rows). A gram has several lists, with each row in one."""
+    """Lists (gram, chunk, rows, ids) and frequencies (gram, rows).
+
+    A gram has a list in each chunk that holds it: the first row's place there, and the gaps to the others. A
+    further row of a chunk has the ids of its rows; in place of a gram stands a longer text. Both have to come
+    from the same chunks, so an index that is used before it is written is written first, to a folder of its own
+    beside the reliable checkpoints.
+    """
 
     lists: DataFrame
     frequencies: DataFrame
+    stored: bool = False
 
     @property
     def postings(self) -> DataFrame:
         """(gram, row), one row per posting."""
-        return self.lists.select("gram", F.explode("rows").alias("row"))
+        self._store()
+        each = _placed(self.lists.filter("ids is null")).select("gram", "chunk", F.explode("places").alias("place"))
+        return each.join(self._ids(), "chunk").select("gram", F.get("ids", "place").alias("row"))
+
+    def _ids(self) -> DataFrame:
+        return self.lists.filter("ids is not null").select("chunk", "ids")
+
+    def _store(self) -> None:
+        if not self.stored:
+            self.write(f"{ensure_checkpoint_dir(self.lists.sparkSession).rstrip('/')}/gram-index-{uuid.uuid4().hex}")
 
     def write(self, path: str) -> None:
         """Store the index, each file in gram order, so that a search reads its grams only."""
-        part = F.pmod(F.xxhash64(F.get("rows", F.lit(0))), F.lit(_SLICES))
+        spark, part = self.lists.sparkSession, F.pmod(F.xxhash64("chunk"), F.lit(_SLICES))
         (self.lists.repartition("gram", part).sortWithinPartitions("gram")
-         .write.mode("overwrite").parquet(f"{path}/lists"))
-        stored = self.lists.sparkSession.read.parquet(f"{path}/lists")
-        (gram_frequencies(stored).repartitionByRange("gram").sortWithinPartitions("gram")
+         .write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/lists"))
+        (gram_frequencies(spark.read.parquet(f"{path}/lists")).repartitionByRange("gram").sortWithinPartitions("gram")
          .write.mode("overwrite").parquet(f"{path}/frequencies"))
+        read = self.read(spark, path)
+        self.lists, self.frequencies, self.stored = read.lists, read.frequencies, True
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> SubstringIndex:
-        return cls(spark.read.parquet(f"{path}/lists"), spark.read.parquet(f"{path}/frequencies"))
+        return cls(spark.read.parquet(f"{path}/lists"), spark.read.parquet(f"{path}/frequencies"), True)
 
     def _rarest(self, pieces: Sequence[str], rarest: int) -> tuple[list[str], int] | None:
         """The rarest grams of the pieces, none where no row has all of them, and how many rows have the
@@ -122,8 +153,12 @@ class SubstringIndex:
         return [r["gram"] for r in found["rarest"]], found["rarest"][0]["rows"]
 
     def _holding(self, chosen: Sequence[str]) -> DataFrame:
-        rows = self.postings.filter(F.col("gram").isin(list(chosen)))
-        return rows.groupBy("row").agg(F.count("*").alias("grams")).filter(F.col("grams") == len(chosen)).select("row")
+        self._store()
+        found = _placed(self.lists.filter(F.col("gram").isin(list(chosen)))).groupBy("chunk").agg(
+            F.collect_list("places").alias("lists")).filter(F.size("lists") == len(chosen))
+        common = F.reduce("lists", F.get("lists", F.lit(0)), F.array_intersect)
+        return found.select("chunk", common.alias("places")).join(self._ids().hint("shuffle_hash"), "chunk").select(
+            F.explode(F.transform("places", lambda at: F.get("ids", at))).alias("row"))
 
     def holding(self, pieces: Sequence[str], rarest: int = RAREST) -> DataFrame | None:
         """(row) of the rows that can hold all the pieces; None where no piece has a gram.
@@ -148,44 +183,65 @@ class SubstringIndex:
         return table.join(rows, table[row_id] == rows["row"], "left_semi")
 
 
+def _placed(lists: DataFrame) -> DataFrame:
+    """(gram, chunk, places) of lists of gaps."""
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            gaps = batch.column("rows")
+            ends = np.cumsum(np.append(0, pc.list_value_length(gaps).to_numpy()))
+            places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places_of(gaps), pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("gram"), batch.column("chunk"), places],
+                                             ["gram", "chunk", "places"])
+
+    return lists.select("gram", "chunk", "rows").mapInArrow(placed, "gram string, chunk long, places array<int>")
+
+
 def gram_frequencies(lists: DataFrame) -> DataFrame:
-    return lists.groupBy("gram").agg(F.sum(F.size("rows")).alias("rows"))
+    return lists.filter("ids is null").groupBy("gram").agg(F.sum(F.size("rows")).alias("rows"))
 
 
 def build_grams(table: DataFrame, columns: Sequence[str], row_id: str = "id") -> SubstringIndex:
     """The index of the columns of a table with unique row ids, not computed yet; `write` does that.
 
     A task finds the grams of its rows in Arrow batches, each once a row, and gathers up to `LISTED`
-    postings, by gram, into lists; so what is shuffled are lists and not postings. A null cell has no grams.
+    postings as a chunk, by gram, into lists; so what is shuffled are lists of small numbers. A null cell has no
+    grams. A task that is run again after a failure has to meet its rows in the same order, as it does in files.
     """
-    kind = table.schema[row_id].dataType
-    names = ["gram", "rows"]
-
-    def lists(keys: list[np.ndarray], ids: list[pa.Array]) -> pa.RecordBatch:
-        every = np.sort(np.concatenate(keys))
-        codes = every >> _PLACE_BITS
+    schema = T.StructType([
+        T.StructField("gram", T.StringType()), T.StructField("chunk", T.LongType()),
+        T.StructField("rows", T.ArrayType(T.ShortType())),
+        T.StructField("ids", T.ArrayType(table.schema[row_id].dataType))])
+
+    def lists(chunk: int, keys: list[np.ndarray], ids: list[pa.Array]) -> pa.RecordBatch:
+        every, rows = np.sort(np.concatenate(keys)), pa.concat_arrays(ids)
+        codes, places = every >> _PLACE_BITS, (every & ((1 << _PLACE_BITS) - 1)).astype(np.int16)
         starts = _starts(codes)
-        rows = pa.concat_arrays(ids).take(pa.array(every & ((1 << _PLACE_BITS) - 1)))
-        ends = pa.array(np.append(starts, len(codes)), pa.int32())
-        grams = pa.array([gram_of(c) for c in codes[starts].tolist()], pa.string())
-        return pa.RecordBatch.from_arrays([grams, pa.ListArray.from_arrays(ends, rows)], names)
+        gaps = np.diff(places, prepend=np.int16(0))
+        gaps[starts] = places[starts]
+        grams = pa.array([f"chunk {chunk}", *(gram_of(c) for c in codes[starts].tolist())], pa.string())
+        ends = pa.array(np.concatenate([[0], starts, [len(codes)]]), pa.int32())
+        own = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+        return pa.RecordBatch.from_arrays(
+            [grams, pa.array(np.full(len(grams), chunk)), pa.ListArray.from_arrays(ends, pa.array(gaps)),
+             pa.concat_arrays([own, pa.nulls(len(starts), own.type)])], schema.fieldNames())
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, postings, places = [], [], 0, 0
-        for batch in sliced(batches, _SLICE_BYTES):
-            if postings >= LISTED or places + batch.num_rows > 1 << _PLACE_BITS:
-                yield lists(keys, ids)
-                keys, ids, postings, places = [], [], 0, 0
-            found = [code << _PLACE_BITS | places + place for code, place in (
-                gram_codes(batch.column(i).to_pylist()) for i in range(1, batch.num_columns))]
-            held = np.sort(np.concatenate(found))
-            keys.append(held[_starts(held)])
-            ids.append(batch.column(0))
-            postings, places = postings + len(keys[-1]), places + batch.num_rows
+        chunk, keys, ids, postings, places = TaskContext.get().partitionId() << _CHUNKS_BITS, [], [], 0, 0
+        for some in sliced(batches, _SLICE_BYTES):
+            for at in range(0, some.num_rows, _STEP):
+                batch = some.slice(at, _STEP)
+                if postings >= LISTED or places + batch.num_rows > 1 << _PLACE_BITS:
+                    yield lists(chunk, keys, ids)
+                    chunk, keys, ids, postings, places = chunk + 1, [], [], 0, 0
+                found = [code << _PLACE_BITS | places + place for code, place in (
+                    gram_codes(batch.column(i).to_pylist()) for i in range(1, batch.num_columns))]
+                held = np.sort(np.concatenate(found))
+                keys.append(held[_starts(held)])
+                ids.append(batch.column(0))
+                postings, places = postings + len(keys[-1]), places + batch.num_rows
         if keys:
-            yield lists(keys, ids)
+            yield lists(chunk, keys, ids)
 
-    schema = T.StructType([T.StructField("gram", T.StringType()), T.StructField("rows", T.ArrayType(kind))])
     cells = table.select(row_id, *(folded(F.col(c).cast("string")) for c in columns))
     gathered = cells.mapInArrow(listed, schema)
     return SubstringIndex(gathered, gram_frequencies(gathered))

@@ -4,6 +4,7 @@ import random
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import cells
 from hypothesis import given, settings
@@ -290,6 +291,39 @@ def test_postings_are_shuffled_as_lists(rows, monkeypatch):
     assert cells(index.frequencies.filter("gram = 'いう'"), "rows") == [(1000,)]
 
 
+def test_stored_gram_lists_are_small(spark, tmp_path):
+    """What is shuffled and stored of a posting is a small gap, not a row's id."""
+    rand = random.Random(3)
+    df = spark.createDataFrame([(10 ** 12 + 7 * i, " ".join(rand.choices(["油圧ポンプ", "abcde", "pump", "wear", "x1 y2"], k=3)))
+                                for i in range(4000)], "id long, work_content string").coalesce(1)
+    index = grams.build_grams(df, ["work_content"])
+    assert dict(index.lists.dtypes)["rows"] == "array<smallint>"
+    index.write(str(tmp_path))
+    stored = sum(f.stat().st_size for f in tmp_path.rglob("lists/*.parquet"))
+    assert stored < 2 * grams.SubstringIndex.read(spark, str(tmp_path)).postings.count()
+
+
+def test_chunks_do_not_change_what_is_held(spark, rows, gram_index, monkeypatch):
+    df, index = gram_index
+    monkeypatch.setattr(grams, "LISTED", 10)
+    monkeypatch.setattr(grams, "_STEP", 2)
+    small = grams.build_grams(df.repartition(2), ["work_content", "machine_model"])
+    for pieces in (["pump"], ["ポンプ", "交換"], ["no such"], ["pc200"]):
+        assert sorted(cells(small.holding(pieces))) == sorted(cells(index.holding(pieces)))
+    assert sorted(cells(small.postings)) == sorted(cells(index.postings))
+    assert sorted(cells(small.frequencies)) == sorted(cells(index.frequencies))
+    assert small.lists.select("chunk").distinct().count() > 3
+    none = grams.build_grams(rows("id int, work_content string").limit(0), ["work_content"])
+    assert none.postings.count() == 0 and none.holding(["pump"]).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 32767), max_size=8).map(sorted), max_size=5))
+def test_places_of_gaps(lists):
+    gaps = pa.array([np.diff(x, prepend=0).tolist() if x else [] for x in lists], pa.list_(pa.int16()))
+    assert grams.places_of(gaps).tolist() == [p for x in lists for p in x]
+
+
 # --- many keywords ------------------------------------------------------------------------------------
 
 def test_many_keywords_count_as_few(rows):

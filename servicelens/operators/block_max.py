@@ -19,20 +19,18 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from servicelens.functions.batches import sliced
 from servicelens.operators.tfidf import (
-    CHUNK_DOCUMENTS, LISTED, TextIndex, asked_weight, known_norm, listed_postings, query_weights, ranked, shared_codes,
+    CHUNK_DOCUMENTS, TextIndex, asked_weight, known_norm, listed_postings, query_weights, ranked, shared_codes,
 )
 from servicelens.sources.tables import number_rows
 
 BLOCK_DOCUMENTS = 128
-BROADCAST_DOCUMENTS = 4_000_000 # placed in one pass over the lists; more documents take more passes
+BROADCAST_DOCUMENTS = 1_000_000 # placed in one pass over the lists, about 100 bytes each; more take more passes
 FIRST_BLOCKS = 4
+ORDERED = 500_000               # postings that a task puts in order of term and document at a time
 _LISTED_BLOCKS = 1000           # block numbers that go into the scan's own filter
 _ROUNDING = 1e-9
 _NUMBER_BITS = 40               # of a posting's key: the document's number
@@ -122,53 +120,43 @@ class BlockMaxIndex:
         return ranked(dots, norm, k)
 
 
-def _placed(lists: DataFrame, shared: Broadcast, block_documents: int) -> DataFrame:
-    """The lists of a text index cut by block, for the documents at hand: sorted keys (of chunk and place), and the
-    numbers and scales that belong to them. As many postings as `LISTED` are ordered at a time."""
+def _cut(postings: DataFrame, block_documents: int) -> DataFrame:
+    """Lists by term and block of the postings (term, idf, count, number of the document, scale), of which a task
+    orders about `ORDERED` at a time."""
     schema = "term string, block long, idf double, top double, places array<int>, counts array<int>"
 
-    def cut(parts: list) -> pa.RecordBatch:
-        _, numbers, scales = shared.value
-        codes, terms = shared_codes([p[0] for p in parts])
-        idfs = np.zeros(len(terms))
-        idfs[np.concatenate(codes)] = np.concatenate([p[1] for p in parts])
-        of = np.concatenate([own[p[2]] for own, p in zip(codes, parts)])
-        at, counts = (np.concatenate([p[i] for p in parts]) for i in (3, 4))
+    def lists(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        codes, terms = shared_codes([p.column("term") for p in parts])
+        of = np.concatenate(codes)
+        numbers, counts, idfs, scales = (np.concatenate([p.column(c).to_numpy() for p in parts])
+                                         for c in ("number", "count", "idf", "scale"))
         parts.clear()
-        order = np.argsort(of << _NUMBER_BITS | numbers[at])
-        of, at, counts = of[order], at[order], counts[order]
-        impacts, numbers = counts * idfs[of] * scales[at], numbers[at]
+        order = np.argsort(of << _NUMBER_BITS | numbers)
+        impacts = (counts * idfs * scales)[order]
+        of, numbers, counts, idfs = of[order], numbers[order], counts[order], idfs[order]
         blocks, places = np.divmod(numbers, block_documents)
         starts = np.flatnonzero(np.diff(of << _NUMBER_BITS | blocks, prepend=-1))
         ends = pa.array(np.append(starts, len(of)), pa.int32())
-        tops = np.maximum.reduceat(impacts, starts) if len(starts) else impacts
         return pa.RecordBatch.from_arrays(
-            [terms.take(pa.array(of[starts])), pa.array(blocks[starts]), pa.array(idfs[of[starts]]), pa.array(tops),
+            [terms.take(pa.array(of[starts])), pa.array(blocks[starts]), pa.array(idfs[starts]),
+             pa.array(np.maximum.reduceat(impacts, starts)),
              pa.ListArray.from_arrays(ends, pa.array(places, pa.int32())),
              pa.ListArray.from_arrays(ends, pa.array(counts, pa.int32()))],
             ["term", "block", "idf", "top", "places", "counts"])
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, *_ = shared.value
-        parts, postings = [], 0
-        for batch in sliced(batches):
-            lengths = pc.list_value_length(batch.column("places")).to_numpy()
-            wanted = (np.repeat(batch.column("chunk").to_numpy() * CHUNK_DOCUMENTS, lengths)
-                      + batch.column("places").flatten().to_numpy())
-            at = np.searchsorted(keys, wanted)
-            held = np.flatnonzero(keys.take(at, mode="clip") == wanted) if len(keys) else at[:0]
-            parts.append((batch.column("term"), batch.column("idf").to_numpy(),
-                          np.repeat(np.arange(batch.num_rows, dtype=np.int32), lengths)[held],
-                          at[held].astype(np.int32), batch.column("counts").flatten().to_numpy()[held]))
-            postings += len(held)
-            if postings >= LISTED:
-                yield cut(parts)
-                postings = 0
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                parts.append(batch)
+                held += batch.num_rows
+            if held >= ORDERED:
+                yield lists(parts)
+                held = 0
         if parts:
-            yield cut(parts)
+            yield lists(parts)
 
-    found = lists.filter("docs is null").select("term", "chunk", "idf", "places", "counts")
-    return found.mapInArrow(placed, schema)
+    return postings.mapInArrow(cut, schema)
 
 
 def build_block_max(index: TextIndex, block_documents: int = BLOCK_DOCUMENTS,
@@ -176,21 +164,21 @@ def build_block_max(index: TextIndex, block_documents: int = BLOCK_DOCUMENTS,
     """The block-max form of an index. Documents whose weights are all zero are left out: they have no
     cosine.
 
-    The lists stay where they are. Numbers and scales of at most `broadcast_documents` documents, 24 bytes each,
-    are broadcast at a time; the documents of the next numbers take another pass over the lists.
+    The lists stay where they are, so their postings are not shuffled: numbers and scales of at most
+    `broadcast_documents` documents are broadcast at a time, and the documents of the next numbers take another
+    pass over the lists.
     """
-    norms = index.norms
-    context = norms.sparkSession.sparkContext
-    known = norms.filter("norm > 0").select(
-        "doc_id", (F.col("chunk") * CHUNK_DOCUMENTS + F.col("place")).alias("_key"),
-        (1 / (F.col("length") * F.col("norm"))).alias("scale"), (-F.col("largest") / F.col("norm")).alias("_rank"))
-    numbered = number_rows(known, ["_rank", "doc_id"], "_number").withColumn("_number", F.col("_number") - 1)
+    key = (F.col("chunk") * CHUNK_DOCUMENTS + F.col("place")).alias("_key")
+    known = index.norms.filter("norm > 0").select(
+        key, "doc_id", (1 / (F.col("length") * F.col("norm"))).alias("scale"),
+        (-F.col("largest") / F.col("norm")).alias("_rank"))
+    numbered = number_rows(known, ["_rank", "doc_id"], "_row").withColumn("number", F.col("_row") - 1)
+    postings = listed_postings(index.lists.filter("docs is null").drop("docs")).select("term", "idf", "count", key)
     passes = []
     for first in range(0, max(1, numbered.count()), broadcast_documents):
-        own = numbered.filter(F.col("_number").between(first, first + broadcast_documents - 1))
-        columns = own.select("_key", "_number", "scale").toArrow().sort_by("_key").columns
-        shared = context.broadcast([c.to_numpy() for c in columns])
-        passes.append(_placed(index.lists, shared, block_documents))
-    documents = numbered.select(F.floor(F.col("_number") / block_documents).alias("block"),
-                                (F.col("_number") % block_documents).cast("int").alias("place"), "doc_id", "scale")
+        own = numbered.filter(F.col("number").between(first, first + broadcast_documents - 1))
+        found = postings.join(F.broadcast(own.select("_key", "number", "scale")), "_key").drop("_key")
+        passes.append(_cut(found, block_documents))
+    documents = numbered.select(F.floor(F.col("number") / block_documents).alias("block"),
+                                (F.col("number") % block_documents).cast("int").alias("place"), "doc_id", "scale")
     return BlockMaxIndex(reduce(DataFrame.unionAll, passes), documents)

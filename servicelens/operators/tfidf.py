@@ -132,8 +132,8 @@ def chunk_lists(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
         counts = np.concatenate([n for *_, n in parts])
         parts.clear()
         docs = pa.concat_arrays(ids)
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
+        counts = counts[np.argsort(keys)]
+        keys.sort()
         terms, places = keys // CHUNK_DOCUMENTS, (keys % CHUNK_DOCUMENTS).astype(np.int16)
         lengths = np.bincount(places, counts, len(docs)).astype(np.int32)
         starts = np.flatnonzero(np.diff(terms, prepend=-1))

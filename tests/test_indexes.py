@@ -187,8 +187,8 @@ def test_documents_are_placed_in_passes(spark, both_indexes, tmp_path):
 
 
 def test_chunks_do_not_change_the_index(rows, texts, both_indexes, monkeypatch):
-    for module in (tfidf, block_max):
-        monkeypatch.setattr(module, "LISTED", 500)
+    monkeypatch.setattr(tfidf, "LISTED", 500)
+    monkeypatch.setattr(block_max, "ORDERED", 500)
     monkeypatch.setattr(tfidf, "_STEP", 7)
     monkeypatch.setattr(tfidf, "_SUMMED_CHUNKS", 2)
     index, blocks = both_indexes
